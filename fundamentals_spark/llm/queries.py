@@ -7,28 +7,63 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundamentals_spark.llm import mixing, privacy, quality
+import public_tokenizers
+
+from fundamentals_spark.llm import bpe, license_scan, mixing, privacy, quality, secret_scan, toxicity
 from fundamentals_spark.llm.common import read
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(read(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(documents, toxicity.train_toxicity(documents, read(spark, sf_dir, "labels")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
 
+def _joined(spans: str) -> Column:
+    return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
+def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, a count for each base kind, the digest of the base spans and all spans as text."""
+    base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in kinds))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = privacy.find_personal_data(read(spark, sf_dir, "documents"))
+    return _digest(privacy.find_personal_data(read(spark, sf_dir, "documents")), privacy.BASE)
 
-    def joined(spans: str) -> Column:
-        return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
 
-    base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in privacy.BASE))
-    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in privacy.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return _digest(secret_scan.scan_secrets(documents, secret_scan.train_secrets(documents)), secret_scan.KINDS)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing, "op4_pii": op4_pii, "op8_quality": op8_quality}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
+    "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
+    "op10_licenses": op10_licenses,
+}
 ORACLE_SQL: dict[str, str] = {}
