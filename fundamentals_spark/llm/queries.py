@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fundamentals_spark.llm import bpe, license_scan, mixing, privacy, quality, secret_scan, toxicity
+from fundamentals_spark.llm import bpe, license_scan, mixing, privacy, quality, secret_scan, topk, toxicity
 from fundamentals_spark.llm.common import read
 
 
@@ -44,6 +44,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(privacy.find_personal_data(read(spark, sf_dir, "documents")), privacy.BASE)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return _digest(secret_scan.scan_secrets(documents, secret_scan.train_secrets(documents)), secret_scan.KINDS)
@@ -62,8 +67,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
+    "op5_topk": op5_topk,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op10_licenses": op10_licenses,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_topk": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10
+""",
+}
