@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fundamentals_spark.llm import bpe, license_scan, mixing, privacy, quality, secret_scan, topk, toxicity
+from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, secret_scan, topk, toxicity
 from fundamentals_spark.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
+    "op9_jaccard": op9_jaccard,
     "op10_licenses": op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
