@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, secret_scan, topk, toxicity
+from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, topk, toxicity
 from fundamentals_spark.llm.common import read
 
 
@@ -49,6 +49,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     return _digest(secret_scan.scan_secrets(documents, secret_scan.train_secrets(documents)), secret_scan.KINDS)
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_topk": op5_topk,
+    "op6_repeats": op6_repeats,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
