@@ -56,7 +56,7 @@ def test_against_all_strings(spark, chunk, monkeypatch):
 
 
 def test_shared_ids(spark):
-    t = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    t = "".join(random.Random(1).choices("abcdefgh", k=300))
     df = spark.createDataFrame([(1, t), (1, t), (2, t[:150]), (2, "q" + t[100:]), (3, None)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(df).collect())
     assert got == [(1, 300, 0), (1, 300, 0), (2, 150, 150), (2, 201, 200), (3, 0, 0)]
