@@ -195,12 +195,12 @@ _encoders: dict[str, Encoder] = {}
 def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
     """id_col and the named outputs for every row, in one pass over whole texts.
 
-    Outputs: n_tokens long, ids array<long>, decoded binary (from the ids), ids_sha256 and decoded_sha256 string. A null
+    Outputs: n_tokens long, ids array<int>, decoded binary (from the ids), ids_sha256 and decoded_sha256 string. A null
     or empty text has no ids. Rows are treated alone, so repeated rows get equal results and an empty table gives an empty
     one; other columns are not read. ``vocabulary`` is the path of a rank file that the driver reads; the file's tokens
     and the hash go to the tasks with the function, as their size is the vocabulary's and does not grow with the data.
     """
-    kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<long>", pa.list_(pa.int64())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     tokens = load_ranks(vocabulary)
     key = hashlib.sha256(repr((vocabulary, pattern)).encode()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens), pattern))
@@ -223,7 +223,10 @@ def encode_texts(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
                     if name == "n_tokens":
                         value = [len(x) for x in ids]
                     elif name == "ids":
-                        value = [x.tolist() for x in ids]
+                        cuts = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                        flat = np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.uint32).astype(np.int32)
+                        cols[name] = pa.ListArray.from_arrays(cuts, pa.array(flat))
+                        continue
                     elif name == "ids_sha256":
                         value = [hashlib.sha256(np.frombuffer(x, dtype=np.uint32).astype("<u4").tobytes()).hexdigest() for x in ids]
                     elif name == "decoded":
