@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fundamentals_spark.plans import queries_core, queries_evidence
+
+_MODULES = (queries_core, queries_evidence)
+
 
 def queries():
-    return {}
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
