@@ -137,7 +137,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-OBSERVATIONS = """observations AS (SELECT 'T' || CAST(user_id % 40 AS VARCHAR) ticker, event_type metric, CAST(2020 + event_id % 4 AS INTEGER) AS year, CAST(floor(event_id / 4) AS BIGINT) % 4 + 1 AS q,
+OBSERVATIONS = """observations AS (SELECT 'T' || CAST(user_id % 40 AS VARCHAR) ticker, event_type metric, CAST(2020 + event_id % 4 AS INTEGER) AS year, CAST(CAST(floor(event_id / 4) AS BIGINT) % 4 + 1 AS INTEGER) AS q,
   CAST(value AS DECIMAL(18,4)) AS value, CASE WHEN event_id % 5 = 0 THEN 'low' WHEN event_id % 5 < 3 THEN 'medium' ELSE 'high' END confidence,
   CASE WHEN event_id % 3 = 0 THEN 'spreadsheet' ELSE 'pdf' END AS source, CASE WHEN event_id % 7 = 0 THEN 'segment' ELSE 'consolidated' END AS scope, event_id ordinal FROM events)"""
 
@@ -152,4 +152,4 @@ def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").select((F.col("user_id") % 200).alias("document"), state.alias("state"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"))
 
 
-LIFECYCLE = "lifecycle AS (SELECT user_id % 200 AS document, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES) + " END state, ts AS at, event_id ordinal FROM events)"
+LIFECYCLE = "lifecycle AS (SELECT user_id % 200 AS document, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES) + " END state, ts AS at_ts, event_id ordinal FROM events)"
