@@ -161,30 +161,52 @@ def covered(group: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarra
     return some, pos[some] - hi[some], pos[some] - lo[some] + LENGTH
 
 
+#: Open rows: an anchor at ``pos`` of ``doc`` whose context reaches ``reach // 256`` left and ``reach % 256`` right. Others: settled bytes from ``pos`` on, ``reach`` of them.
 ANCHOR = "open boolean, g long, c long, doc long, pos long, reach int"
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of each document (and version, the high bits of places) that touch become one."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    rank = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (start[1:] >> 32 != start[:-1] >> 32)])) << 33
+    base = rank - (start >> 32 << 32)
+    reach = np.maximum.accumulate(end + base)
+    new = np.concatenate([[True], start[1:] + base[1:] > reach[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    return doc[new], start[new], reach[last] - base[last]
+
+
 def _find(batch: pa.RecordBatch, buf: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-    """Anchors of a group of rows; of equal contexts all but the earliest are settled at once (open false)."""
+    """Anchors of a group of rows; of equal contexts all but the earliest are settled at once."""
     p, g, c, left, right = anchors(buf, offsets)
     row = np.searchsorted(offsets, p, side="right") - 1
     doc = batch.column("doc").to_numpy()[row]
     pos = p - offsets[row] + (batch.column("version").to_numpy().astype(np.int64)[row] << 32)
     order = np.lexsort((pos, doc, c, g))
-    g, c, doc, pos, reach = g[order], c[order], doc[order], pos[order], (left * 256 + right)[order]
+    g, c, doc, pos, left, right = g[order], c[order], doc[order], pos[order], left[order], right[order]
     new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])[: len(g)]
-    return pa.RecordBatch.from_arrays([pa.array(new), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(reach.astype(np.int32))], names=["open", "g", "c", "doc", "pos", "reach"])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
+    done = ~new & ((doc != doc[first]) | (pos != pos[first]))  # a row that shares its id and place with the first is that row again
+    d, a, b = _joined(doc[done], pos[done] - left[done], pos[done] + GRAM + right[done])
+    none = np.zeros(len(d), dtype=np.int64)
+    cols = [np.append(g[new].view(np.int64), none), np.append(c[new].view(np.int64), none), np.append(doc[new], d), np.append(pos[new], a), np.append((left * 256 + right)[new], b - a).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(cols[0])) < int(new.sum())), *map(pa.array, cols)], names=["open", "g", "c", "doc", "pos", "reach"])
 
 
 def _settle(batches):
-    """Streams anchors in order of (g, c, doc, pos): a later one of an equal context is settled; the earliest of each
-    context stays open if its gram has another context. Keeps one row between batches."""
+    """Streams open anchors in order of (g, c, doc, pos): a later one of an equal context is settled; the earliest of each
+    context stays open if its gram has another context. Settled rows pass. Keeps one row between batches."""
     held = None  # the earliest of the last context: g, c, doc, pos, reach, and whether it waits for another context
     for batch in batches:
-        cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("open", "g", "c", "doc", "pos", "reach")}
-        done = ~cols["open"]
-        g, c, doc, pos, reach = (cols[n] for n in ("g", "c", "doc", "pos", "reach"))
+        table = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("g", "c", "doc", "pos", "reach")]
+        is_open = batch.column("open").to_numpy(zero_copy_only=False)
+        passed = [x[~is_open] for x in table]
+        g, c, doc, pos, reach = (x[is_open] for x in table)
         if not len(g):
+            yield batch
             continue
         before = held or (None, None, None, None, None, False)
         new_g = np.concatenate([[before[0] is None or g[0] != before[0]], g[1:] != g[:-1]])
@@ -192,7 +214,7 @@ def _settle(batches):
         rep = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
         rd = np.where(rep >= 0, doc[rep], before[2] if held else 0)
         rp = np.where(rep >= 0, pos[rep], before[3] if held else 0)
-        settled = ~new & ((doc != rd) | (pos != rp)) | done & ((doc != rd) | (pos != rp))
+        settled = ~new & ((doc != rd) | (pos != rp))
         first = np.flatnonzero(new)
         out_open = np.zeros(len(g), dtype=bool)
         extra = []
@@ -204,9 +226,13 @@ def _settle(batches):
                 extra = [held[:5]]
             k = first[-1]
             held = (g[k], c[k], doc[k], pos[k], reach[k], not again[-1])
-        keep = np.flatnonzero(settled | out_open)
-        arrays = [np.append(a[keep].astype(t), np.array([e[i] for e in extra], dtype=t)) for i, (a, t) in enumerate(((g, np.int64), (c, np.int64), (doc, np.int64), (pos, np.int64), (reach, np.int32)))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(out_open[keep], np.ones(len(extra), dtype=bool))), *map(pa.array, arrays)], names=["open", "g", "c", "doc", "pos", "reach"])
+        left, right = reach[settled] // 256, reach[settled] % 256
+        d, a, b = _joined(np.append(passed[2], doc[settled]), np.append(passed[3], pos[settled] - left), np.append(passed[3] + passed[4], pos[settled] + GRAM + right))
+        none = np.zeros(len(d), dtype=np.int64)
+        opened = [np.append(x[out_open].astype(np.int64), np.array([e[i] for e in extra], dtype=np.int64)) for i, x in enumerate((g, c, doc, pos, reach))]
+        cols = [np.append(x, y) for x, y in zip(opened, (none, none, d, a, b - a), strict=True)]
+        cols[4] = cols[4].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cols[0])) < len(opened[0])), *map(pa.array, cols)], names=["open", "g", "c", "doc", "pos", "reach"])
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,9 +259,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield _find(batch.slice(i, j - i), buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     found = docs.select("doc", "version", "text").mapInArrow(scan, ANCHOR)
-    settled = materialize(found.repartition("g").sortWithinPartitions("g", "c", "doc", "pos").mapInArrow(_settle, ANCHOR))
-    low = F.col("pos") - F.floor(F.col("reach") / 256)
-    spans = settled.filter("not open").select("doc", low.alias("a"), (F.col("pos") + GRAM + F.pmod("reach", F.lit(256))).alias("b"))
+    # settled rows go anywhere; open ones meet by gram
+    dealt = found.repartition(F.when(F.col("open"), F.col("g")).otherwise(F.xxhash64("doc", "pos")))
+    settled = materialize(dealt.sortWithinPartitions("g", "c", "doc", "pos").mapInArrow(_settle, ANCHOR))
+    spans = settled.filter("not open").select("doc", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b"))
 
     wanted = settled.filter("open").groupBy("doc").agg(F.collect_list(F.struct("g", "pos", "reach")).alias("at"))
 
