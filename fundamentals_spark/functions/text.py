@@ -156,3 +156,40 @@ def parse_doc_name(c: Column) -> Column:
     p = r"^([A-Z]{4}[0-9]{1,2})_([1-4]T[0-9]{2})_([A-Z_]+)"
     t = F.upper(c)
     return F.when(t.rlike(p), F.struct(F.regexp_extract(t, p, 1).alias("ticker"), F.regexp_extract(t, p, 2).alias("period"), F.regexp_extract(t, p, 3).alias("type")))
+
+
+# Marker characters of UTF-8 text that was read as cp1252.
+_MOJIBAKE = "ÃÂâ€"
+
+
+def repair_mojibake(c: Column) -> Column:
+    """UTF-8 that was decoded as cp1252, decoded again: only where markers exist and fewer are left afterwards.
+
+    Spark's ``encode`` does not know cp1252, so an Arrow function does it, and only for rows that hold a marker.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def fix(s: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                out = t.encode("cp1252").decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                return t
+            return out if sum(map(out.count, _MOJIBAKE)) < sum(map(t.count, _MOJIBAKE)) else t
+
+        return s.map(lambda t: None if t is None else one(t))
+
+    return F.when(c.rlike(f"[{_MOJIBAKE}]"), fix(F.when(c.rlike(f"[{_MOJIBAKE}]"), c))).otherwise(c)
+
+
+#: Document types in order of priority with their patterns, and what excludes a document.
+DOCUMENT_TYPES = (("RELEASE_RESULTADOS", r"release|resultado"), ("PREVIA_OPERACIONAL", r"previa"), ("APRESENTACAO", r"apresentacao|presentation"), ("PLANILHA", r"planilha|spreadsheet|\.xlsx?"), ("ITR", r"\bitr\b"), ("DFP", r"\bdfp\b"))
+EXCLUDED_DOCUMENTS = r"audio|video|webcast|calendario"
+
+
+def classify_document(c: Column) -> Column:
+    """The first matching type of the priority list; null if nothing matches or an excluded word stands in the text."""
+    t = norm_text(c, "fold")
+    found = F.coalesce(*[F.when(t.rlike(p), F.lit(n)) for n, p in DOCUMENT_TYPES])
+    return F.when(~t.rlike(EXCLUDED_DOCUMENTS), found)

@@ -189,3 +189,23 @@ def benchmark(expected: DataFrame, actual: DataFrame) -> DataFrame:
     near = F.exists(F.col("found"), lambda x: F.abs(x - v) <= F.greatest(F.lit(0.01), F.abs(v) * 0.01))
     has = F.col("found").isNotNull()
     return j.select("id", F.when(F.col("protected") & ~has, "protected_state").when(F.col("protected"), "false_positive").when(~has, "not_found").when(v.isNull(), "found_without_expected_value").when(near, "match").otherwise("mismatch").alias("outcome"))
+
+
+def build_observations(cells: DataFrame, profile: DataFrame) -> DataFrame:
+    """Observations with evidence from classified cells: value, unit, period, basis, nature and flags from the profile's expectations.
+
+    ``cells``: doc, ticker, metric, label, period, value, unit, source, context. ``profile``: ticker, metric, expected_basis, expected_sign (rule rows).
+    """
+    from fundamentals_spark.functions.text import norm_unit, ownership_basis
+
+    c = cells.filter("metric is not null and value is not null").join(F.broadcast(profile), ["ticker", "metric"], "left")
+    basis = ownership_basis(F.concat_ws(" ", "label", "context"))
+    checks = F.array(F.when(F.col("expected_basis").isNotNull() & (F.col("expected_basis") != basis), F.lit("unexpected_basis")), F.when((F.col("expected_sign") == "positive") & (F.col("value") < 0), F.lit("unexpected_sign")), F.when(F.col("period").isNull(), F.lit("missing_period")))
+    u = norm_unit(F.col("value").cast("double"), F.col("unit"))
+    return c.select("doc", "ticker", "metric", "period", u["value"].alias("value"), u["unit"].alias("unit"), u["multiplier"].alias("multiplier"), basis.alias("ownership_basis"), "source", F.col("value").cast("double").alias("raw_value"), F.col("unit").alias("raw_unit"), F.col("label").alias("row_label"), F.filter(checks, lambda x: x.isNotNull()).alias("validation_flags"))
+
+
+def flatten_observations(docs: DataFrame) -> DataFrame:
+    """One row per observation of company documents: ticker, metric and the observation's fields. ``docs``: ticker, metrics map<string, array<struct>>."""
+    m = docs.select("ticker", F.explode("metrics").alias("metric", "items"))
+    return m.select("ticker", "metric", F.explode("items").alias("o")).select("ticker", "metric", "o.*")

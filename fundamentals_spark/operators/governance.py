@@ -104,3 +104,47 @@ def catalog(files: DataFrame, content: str = "content", origin: str = "origin")
     """sha256, 20-digit short id, size and stable id = sha256(origin, NUL, content hash)."""
     digest = F.sha2(F.col(content), 256)
     return files.withColumns({"sha256": digest, "short_id": F.substring(digest, 1, 20), "size": F.octet_length(F.col(content)), "stable_id": F.sha2(F.concat(F.col(origin), F.lit("\u0000"), digest), 256)})
+
+
+def validate_overrides(df: DataFrame, registry: DataFrame, metrics: list[str]) -> DataFrame:
+    """Rows with a registered ticker of the same sector, a known metric, a quarter and a finite number. ``registry``: ticker, sector."""
+    ok = F.col("metric").isin(*metrics) & F.col("q").between(1, 4) & F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")) & (F.abs(F.col("value").cast("double")) < float("inf"))
+    return df.filter(ok).join(registry.select("ticker", "sector").distinct(), ["ticker", "sector"], "left_semi")
+
+
+def merge_manifest_scope(previous: DataFrame, current: DataFrame, scope: str) -> DataFrame:
+    """``all``: the current rows and old overrides; ``financial``: current financial rows over old others; ``operational``: the union. Rows: component, path."""
+    if scope == "all":
+        return current.unionByName(previous.filter("component = 'override'")).distinct()
+    if scope == "financial":
+        return previous.filter("component not in ('financial', 'chart')").unionByName(current.filter("component in ('financial', 'chart')")).distinct()
+    return previous.unionByName(current.filter("component = 'operational'")).distinct()
+
+
+def comparison_table(indicators: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row per company and metric with the latest period that has a value. ``indicators``: company, year, q and the metrics."""
+    long = indicators.select("company", "year", "q", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")).select("company", "year", "q", "m.*")
+    top = long.groupBy("company", "metric").agg(F.max_by(F.struct("year", "q", "value"), F.when(F.col("value").isNotNull(), F.struct("year", "q"))).alias("t"))
+    return top.select("company", "metric", "t.year", "t.q", "t.value")
+
+
+def chart_series(indicators: DataFrame, value: str) -> DataFrame:
+    """company, year, value in millions and place in the display order."""
+    place = F.row_number().over(W.partitionBy("company").orderBy("year"))
+    return indicators.select("company", "year", (F.col(value).cast("double") / 1e6).alias("value"), place.alias("place"))
+
+
+def audit_rows(registry: DataFrame, **blocks: DataFrame) -> DataFrame:
+    """One row per company and block (each a table with ``company``): rows and status OK or missing."""
+    out = None
+    for name, df in blocks.items():
+        g = df.groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+        part = registry.select("company").join(g, "company", "left").select("company", F.lit(name).alias("block"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "missing").otherwise("OK").alias("status"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def validate_snapshots(df: DataFrame, sector: str, required: tuple[str, ...]) -> DataFrame:
+    """Array of errors for every snapshot row: another sector, a missing field, no observations without an accepted empty state."""
+    errors = F.array(F.when(~F.col("sector").eqNullSafe(F.lit(sector)), F.lit("wrong_sector")), *[F.when(F.col(c).isNull(), F.lit(f"missing_{c}")) for c in required], F.when((F.coalesce("observations", F.lit(0)) == 0) & ~F.coalesce(F.col("state") == "empty_accepted", F.lit(False)), F.lit("no_observations")))
+    return df.withColumn("errors", F.filter(errors, lambda e: e.isNotNull()))

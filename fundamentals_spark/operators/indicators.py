@@ -126,3 +126,72 @@ def reconcile(df: DataFrame, match: float = 0.01, review: float = 0.05) -> DataF
         .when(diff <= match, "MATCH").when(diff <= review, "IMMATERIAL").otherwise("MATERIAL")
     )
     return df.withColumns({"difference": diff, "status": status})
+
+
+def depreciation(dfc: DataFrame, periods: DataFrame) -> DataFrame:
+    """|D&A| per period: synthetic rows where the company has any, else all candidate rows; a missing isolated quarter is
+    year-to-date less the quarters before (a missing one counts as 0). ``dfc``: company, year, q, is_ytd, synthetic, value; ``periods``: company, year, q."""
+    any_syn = F.max("synthetic").over(W.partitionBy("company"))
+    rows = dfc.withColumn("__s", any_syn).filter("synthetic or not __s")
+    g = rows.groupBy("company", "year", "q", "is_ytd").agg(F.abs(F.sum("value")).alias("v"))
+    iso = g.filter("not is_ytd").select("company", "year", "q", F.col("v").alias("isolated"))
+    ytd = g.filter("is_ytd").select("company", "year", "q", F.col("v").alias("ytd"))
+    before = g.filter("is_ytd or q = 1").groupBy("company", "year", (F.col("q") + 1).alias("q")).agg(F.max("v").alias("prev"))
+    j = periods.join(iso, ["company", "year", "q"], "left").join(ytd, ["company", "year", "q"], "left").join(before, ["company", "year", "q"], "left")
+    zero = F.lit(0).cast("decimal(38,4)")
+    return j.select("company", "year", "q", F.coalesce("isolated", F.abs(F.col("ytd") - F.coalesce("prev", zero))).alias("da"), F.when(F.col("isolated").isNotNull(), "isolated").when(F.col("ytd").isNotNull(), "ytd_difference").otherwise("missing").alias("source"))
+
+
+def depreciation_ladder(df: DataFrame) -> DataFrame:
+    """First of: explicit field, DVA line, the single combined line, the single candidate; several candidates are an error."""
+    few = F.col("candidates").isNull() | (F.size("candidates") <= 1)
+    value = F.coalesce("explicit", "dva", "combined", F.when(few, F.try_element_at("candidates", F.lit(1))))
+    return df.withColumns({"da": F.abs(value), "error": F.when(value.isNull() & ~few, "ambiguous_candidates")})
+
+
+def account_value(df: DataFrame, code: str, by: list[str], required: bool = False) -> DataFrame:
+    """Value of exactly one row with the code per key: none gives null (or an error if required), several an error."""
+    hit = F.col("code") == code
+    g = df.groupBy(*by).agg(F.count_if(hit).alias("n"), F.max(F.when(hit, F.col("value"))).alias("v"))
+    return g.select(*by, F.when(F.col("n") == 1, F.col("v")).alias("value"), F.when(F.col("n") > 1, "duplicate_account").when((F.col("n") == 0) & F.lit(required), "missing_account").alias("error"))
+
+
+def match_accounts(bp: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of each rule (kind, codes array, pattern, excluded): exact codes where the key has any, else description matches. Rules are rows of fixed size."""
+    t = norm_text(F.col("description"), "fold")
+    j = bp.join(F.broadcast(rules), F.array_contains("codes", F.col("code")) | (F.regexp_like(t, F.col("pattern")) & ~F.coalesce(F.regexp_like(t, F.col("excluded")), F.lit(False))))
+    j = j.withColumn("exact", F.array_contains("codes", F.col("code")))
+    has = F.max("exact").over(W.partitionBy(*by, "kind"))
+    return j.withColumn("__h", has).filter("exact or not __h").drop("__h", "codes", "pattern", "excluded")
+
+
+def augment_income_statement(facts: DataFrame, lines: DataFrame) -> DataFrame:
+    """``facts`` (company, ref_date, code, description, value) with derived lines (after, description, value), each right after its account; rows carry their place."""
+    a = facts.withColumns({"anchor": F.col("code"), "step": F.lit(0), "derived": F.lit(False)})
+    b = lines.select("company", "ref_date", F.lit(None).cast("string").alias("code"), "description", "value", F.col("after").alias("anchor"), F.lit(1).alias("step"), F.lit(True).alias("derived"))
+    out = a.unionByName(b)
+    place = F.row_number().over(W.partitionBy("company", "ref_date").orderBy("anchor", "step", "description", "value"))
+    sign = F.when(F.max(F.col("value") > 0).over(W.partitionBy("company", "anchor", "step")), F.when(F.max(F.col("value") < 0).over(W.partitionBy("company", "anchor", "step")), "=").otherwise("+")).otherwise("-")
+    return out.withColumns({"place": place, "sign": sign})
+
+
+def deduction_ratio(obs: DataFrame) -> DataFrame:
+    """Disallowance over gross revenue in percent, by ticker and period."""
+    g = obs.groupBy("ticker", "year", "q").agg(F.max(F.when(F.col("metric") == "disallowance", F.col("value"))).alias("a"), F.max(F.when(F.col("metric") == "gross_revenue", F.col("value"))).alias("b"))
+    return g.select("ticker", "year", "q", (F.try_divide(F.col("a").cast("double"), F.nullif(F.col("b").cast("double"), F.lit(0.0))) * 100).alias("ratio"))
+
+
+def company_summary(registry: DataFrame, debt: DataFrame, capital: DataFrame, annual: DataFrame, caps: DataFrame) -> DataFrame:
+    """Latest net debt, working capital and market value, last annual EBITDA and EV over it, per company."""
+    d = debt.filter("net_debt is not null").groupBy("company").agg(F.max_by("net_debt", "ref_date").cast("double").alias("net_debt"))
+    w = capital.groupBy("company").agg(F.max_by("working_capital", "ref_date").cast("double").alias("working_capital"))
+    e = annual.groupBy("company").agg(F.max_by("ebitda", "year").cast("double").alias("ebitda"))
+    c = caps.filter("market_cap is not null").groupBy("company").agg(F.max_by("market_cap", "ref_date").alias("market_cap"))
+    j = registry.select("company").join(d, "company", "left").join(w, "company", "left").join(e, "company", "left").join(c, "company", "left")
+    return j.withColumn("ev_ebitda_last_annual", F.try_divide(F.col("market_cap") + F.col("net_debt"), F.nullif(F.col("ebitda"), F.lit(0.0))))
+
+
+def flags(*rules: tuple[Column, str, str, str]) -> Column:
+    """Array of (metric, status, message) structs for the rules whose condition holds."""
+    made = F.array(*[F.when(c, F.struct(F.lit(m).alias("metric"), F.lit(s).alias("status"), F.lit(t).alias("message"))) for c, m, s, t in rules])
+    return F.filter(made, lambda x: x.isNotNull())

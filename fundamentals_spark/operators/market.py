@@ -117,7 +117,7 @@ def sector_returns(caps: DataFrame, prices: DataFrame, registry: DataFrame, date
     count_cov = F.col("included") / F.col("registered")
     value_cov = F.when(F.col("unknown") == 0, F.try_divide("used_cap", "all_cap"))
     ok = (count_cov >= min_coverage) & (value_cov.isNull() | (value_cov >= min_coverage))
-    return g.select("sector", "ref_date", "horizon", "registered", "included", count_cov.alias("count_coverage"), value_cov.alias("value_coverage"), F.when(ok, F.try_divide("wr", "used_cap")).alias("weighted_return"), F.try_divide("top_cap", "used_cap").alias("top_weight"))
+    return g.select("sector", "ref_date", "horizon", "registered", "included", count_cov.alias("count_coverage"), value_cov.alias("value_coverage"), F.when(ok, F.try_divide("wr", "used_cap")).alias("weighted_return"), F.try_divide("top_cap", "used_cap").alias("top_weight"), "used_cap")
 
 
 def top_k(df: DataFrame, k: int = 5) -> DataFrame:
@@ -125,3 +125,29 @@ def top_k(df: DataFrame, k: int = 5) -> DataFrame:
     ok = df.filter(is_valid_market_cap(F.col("market_cap"), F.col("status")))
     rank = F.row_number().over(W.partitionBy("sector", "ref_date").orderBy(F.col("market_cap").desc(), "company"))
     return ok.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def historic_market_cap(prices: DataFrame, shares: DataFrame) -> DataFrame:
+    """``shares``: company, at, market, official. Price as-of times validated quantity; a discrepancy blocks the value."""
+    v = validate_shares(infer_share_scale(shares)).select("company", "at", "status", "quantity")
+    p = price_as_of(prices, v.select("company", "at").distinct()).select("company", "at", "price")
+    return v.join(p, ["company", "at"]).withColumn("market_cap", F.when(F.col("quantity").isNotNull(), F.col("price") * F.col("quantity")))
+
+
+def current_market_cap(prices: DataFrame, shares: DataFrame, classes: DataFrame, tol: float = 0.05) -> DataFrame:
+    """Last price times last shares; class quantities that differ by over ``tol`` from the shares block the value, components stay."""
+    p = prices.groupBy("company").agg(F.max_by("close", "date").alias("price"), F.max("date").alias("price_date"))
+    s = shares.groupBy("company").agg(F.max_by("shares", "date").alias("shares"))
+    c = classes.groupBy("company").agg(F.sum("quantity").alias("class_shares"), F.count(F.lit(1)).alias("components"))
+    j = p.join(s, "company").join(c, "company", "left")
+    diff = F.try_divide(F.abs(F.col("class_shares") - F.col("shares")).cast("double"), F.nullif(F.col("class_shares").cast("double"), F.lit(0.0)))
+    ok = F.coalesce(diff <= tol, F.lit(True))
+    return j.withColumns({"difference_pct": diff * 100, "market_cap": F.when(ok, F.col("price") * F.col("shares")), "status": F.when(ok, "ok").otherwise("class_divergence")})
+
+
+def return_diagnostics(returns: DataFrame) -> DataFrame:
+    """Flags of ``sector_returns``: a weight over 80 %, and used value at least ten times (or a tenth of) that of the date before with one."""
+    w = W.partitionBy("sector", "horizon").orderBy("ref_date").rowsBetween(W.unboundedPreceding, -1)
+    before = F.last(F.nullif(F.col("used_cap"), F.lit(0.0)), ignorenulls=True).over(w)
+    ratio = F.try_divide(F.greatest("used_cap", before), F.nullif(F.least("used_cap", before), F.lit(0.0)))
+    return returns.withColumns({"concentrated": F.col("top_weight") > 0.8, "cap_change": F.when(before.isNotNull() & F.col("used_cap").isNotNull(), ratio), "jump": F.coalesce((ratio >= 10) & before.isNotNull(), F.lit(False))})

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fundamentals_spark.plans import queries_core, queries_evidence
+from fundamentals_spark.plans import queries_core, queries_evidence, queries_more
 
-_MODULES = (queries_core, queries_evidence)
+_MODULES = (queries_core, queries_evidence, queries_more)
 
 
 def queries():

@@ -84,7 +84,7 @@ def prices(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("company", "date", "close", (F.col("close") * 0.5).alias("adj_close"), F.when(F.col("k") % 97 == 0, 0.5).when(F.col("k") % 89 == 0, 2.0).otherwise(0.0).alias("split_factor"))
 
 
-PRICES = """prices AS (SELECT company, date, close, close * 0.5 AS adj_close, CASE WHEN k % 97 = 0 THEN 0.5 WHEN k % 89 = 0 THEN 2.0 ELSE 0.0 END AS split_factor FROM (
+PRICES = """prices AS (SELECT company, date, close, close * 0.5 AS adj_close, CAST(CASE WHEN k % 97 = 0 THEN 0.5 WHEN k % 89 = 0 THEN 2.0 ELSE 0.0 END AS DOUBLE) AS split_factor FROM (
   SELECT CAST(c_nationkey AS INTEGER) company, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close, min(o_orderkey) k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2))"""
 
 
