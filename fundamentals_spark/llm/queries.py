@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, topk, toxicity
+from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, sql, topk, toxicity
 from fundamentals_spark.llm.common import read
 
 
@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_pii": sql.PII,
+    "op8_quality": sql.QUALITY,
     "op5_topk": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
