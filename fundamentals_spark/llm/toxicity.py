@@ -20,6 +20,8 @@ BITS = 18
 SAMPLE = 8000
 #: Grades 0 .. GRADES - 1; 0 is not toxic.
 GRADES = 4
+#: A document counts as toxic from this chance of a grade over 0 on.
+DECISION = 0.25
 CHUNK = 1 << 20
 
 
@@ -70,21 +72,32 @@ def grade_labels(row: np.ndarray, feat: np.ndarray, toxic: np.ndarray, least: in
     return graded
 
 
-def fit_ordinal(row: np.ndarray, feat: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 1e-3, steps: int = 300, least_df: int = 3) -> OrdinalModel:
-    """Maximum likelihood with an L2 penalty by Adam on all rows; thresholds are a first value and positive steps."""
+def fit_ordinal(row: np.ndarray, feat: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 1e-4, steps: int = 400, screen: float = 4.0, least_share: float = 0.1, trim: float = 0.1) -> OrdinalModel:
+    """Maximum likelihood with an L2 penalty by Adam on all rows; thresholds are a first value and positive steps.
+
+    Only features whose share among rows of grade over 0 differs from that among the others by at least ``screen``
+    standard errors take part, and that at least ``least_share`` of either hold: some labels are wrong, and the words of
+    a few documents or of a group of copies would learn those by heart. After half of the steps, rows whose side (grade 0 or
+    above) has a chance under ``trim`` are taken for wrong labels and set aside (trimmed likelihood).
+    """
     n = len(grade)
     w = np.zeros(1 << BITS)
     theta = np.concatenate([[1.0], np.zeros(grades - 2)])  # first threshold, log of steps
     if n == 0:
         return OrdinalModel(w, np.full(grades - 1, 60.0))
-    seen = np.bincount(feat, minlength=1 << BITS) >= least_df
-    use = seen[feat]
+    high = (grade > 0).astype(float)
+    n1, n0 = max(high.sum(), 1.0), max((1 - high).sum(), 1.0)
+    in1 = np.bincount(feat, weights=high[row], minlength=1 << BITS)
+    in0 = np.bincount(feat, weights=1 - high[row], minlength=1 << BITS)
+    share = np.clip((in1 + in0) / n, 1e-9, 1 - 1e-9)
+    z = (in1 / n1 - in0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    use = ((np.abs(z) >= screen) & (np.maximum(in1 / n1, in0 / n0) >= least_share))[feat]
     names, col = np.unique(feat[use], return_inverse=True)
     r, v = row[use], value[use]
     beta = np.zeros(len(names))
     m = [np.zeros_like(beta), np.zeros_like(theta)]
     s = [np.zeros_like(beta), np.zeros_like(theta)]
-    idx = np.arange(n)
+    idx, part = np.arange(n), np.ones(n)
     for t in range(1, steps + 1):
         z = np.bincount(r, weights=beta[col] * v, minlength=n)
         cut = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
@@ -92,8 +105,10 @@ def fit_ordinal(row: np.ndarray, feat: np.ndarray, value: np.ndarray, grade: np.
         p = 1.0 / (1.0 + np.exp(-np.clip(edge[None, :] - z[:, None], -60, 60)))
         p[:, 0], p[:, -1] = 0.0, 1.0
         hi, lo = p[idx, grade + 1], p[idx, grade]
+        if t == steps // 2:
+            part = (np.where(grade > 0, 1 - p[:, 1], p[:, 1]) >= trim).astype(float)
         prob = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / prob, lo * (1 - lo) / prob
+        d_hi, d_lo = part * hi * (1 - hi) / prob, part * lo * (1 - lo) / prob
         dz = (d_hi - d_lo) / n  # of the negative log likelihood
         d_edge = np.bincount(grade + 1, weights=-d_hi / n, minlength=grades + 1) + np.bincount(grade, weights=d_lo / n, minlength=grades + 1)
         d_cut = d_edge[1:-1]
@@ -145,7 +160,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
 
 
 def score_toxicity(documents: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, severity (expected grade), grade (the most likely) and toxic (P(grade > 0) of at least one half) for every row.
+    """id_col, severity (expected grade), grade (the most likely) and toxic (P(grade > 0) of at least DECISION) for every row.
 
     A null or empty text has no features and gets what the thresholds alone say. Repeated rows get equal results; an empty
     table gives an empty one; other columns are not read. The weights (2**BITS numbers) go out with the tasks.
@@ -157,7 +172,7 @@ def score_toxicity(documents: DataFrame, model: OrdinalModel, id_col: str = "doc
         fitted = OrdinalModel(*shared.value)
         above = fitted.above(np.bincount(row, weights=fitted.weights[feat] * value, minlength=batch.num_rows))
         each = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1), axis=1)
-        cols = [batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
+        cols = [batch.column("doc_id"), pa.array(above.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= DECISION)]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "severity", "grade", "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
