@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,8 +168,6 @@ def repair_mojibake(c: Column) -> Column:
 
     Spark's ``encode`` does not know cp1252, so an Arrow function does it, and only for rows that hold a marker.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fix(s: pd.Series) -> pd.Series:
         def one(t):

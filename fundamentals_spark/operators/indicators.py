@@ -195,3 +195,15 @@ def flags(*rules: tuple[Column, str, str, str]) -> Column:
     """Array of (metric, status, message) structs for the rules whose condition holds."""
     made = F.array(*[F.when(c, F.struct(F.lit(m).alias("metric"), F.lit(s).alias("status"), F.lit(t).alias("message"))) for c, m, s, t in rules])
     return F.filter(made, lambda x: x.isNotNull())
+
+
+def cash_cycle_records(balances: DataFrame, flows: DataFrame, target_end: Column) -> DataFrame:
+    """The cycle from flat records at one end date: the longest flow ending there, opening = latest balance before its start,
+    closing = the balance of exactly the end. Same columns as ``cash_cycle``; a missing closing balance is an error."""
+    longest = flows.filter(F.col("end") == target_end).groupBy("company").agg(F.min_by(F.struct("start", "end", "revenue", "cogs"), "start").alias("f")).select("company", "f.*")
+    kept = longest.select("company", F.col("start").alias("__s"), F.col("end").alias("__e"))
+    usable = balances.join(kept, "company").filter("ref_date < __s or ref_date = __e").drop("__s", "__e")
+    exact = usable.filter(F.col("ref_date") == target_end).select("company").distinct()
+    out = cash_cycle(usable, longest).join(exact.withColumn("__closing", F.lit(True)), "company", "left")
+    no = F.col("__closing").isNull()
+    return out.select("company", "start", "end", "days", *[F.when(~no, F.col(c)).alias(c) for c in ("pmr", "pme", "pmp")], F.when(no, "missing_balance").otherwise(F.col("error")).alias("error"), F.when(~no, F.col("cycle")).alias("cycle"))
