@@ -93,7 +93,8 @@ def with_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
         F.expr(f"if({size} >= 2, size(filter(zip_with(slice({n['h']}, 1, {size} - 1), slice({n['h']}, 2, {size} - 1), (a, b) -> a = b), e -> e)), 0)").cast("long").alias("n_echo"),
     )
     name = fresh(df, name)
-    out = out.select(*[F.col(f"`{c}`") for c in cols], counts.alias(name))
+    # through explode, as a filter on the verdict would else be pushed down and repeat all of the above
+    out = out.select(*[F.col(f"`{c}`") for c in cols], F.explode(F.array(counts)).alias(name))
     c = lambda k: F.col(f"`{name}`.{k}")
     metrics = {
         "mean_word_chars": F.try_divide(c("word_chars"), c("n_words")), "symbol_ratio": F.try_divide(c("n_symbols"), c("n_words")), "dup_line_ratio": F.try_divide(c("n_dup_lines"), c("n_lines")),
