@@ -67,3 +67,14 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256
 
 
 PII = _pii()
+
+REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), e AS (SELECT *, CAST(length(h) / 2 AS BIGINT) AS n FROM d),
+c AS (SELECT doc_id, h, unnest(range(0, n - 99, 500)) AS c FROM e WHERE n >= 100), q AS (SELECT doc_id, c, substr(h, 2 * c + 1, 1198) AS piece FROM c),
+w AS (SELECT doc_id, c, piece, unnest(range(0, CAST(length(piece) / 2 AS BIGINT) - 99)) AS j FROM q),
+g AS (SELECT doc_id, c + j AS s, row_number() OVER (PARTITION BY md5_number(substr(piece, 2 * j + 1, 200)) ORDER BY doc_id, c + j) AS k FROM w),
+r AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM g WHERE k > 1),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
+j AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY 1, 2),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM j),
+k AS (SELECT p.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last FROM p JOIN e USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.kept IS NULL THEN h ELSE k.kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM e LEFT JOIN k USING (doc_id)"""
