@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_pii": sql.PII,
     "op6_repeats": sql.REPEATS,
+    "op9_jaccard": sql.JACCARD,
     "op8_quality": sql.QUALITY,
     "op5_topk": """
 WITH v AS (

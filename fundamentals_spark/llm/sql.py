@@ -78,3 +78,13 @@ j AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY 1, 2),
 p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM j),
 k AS (SELECT p.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last FROM p JOIN e USING (doc_id) GROUP BY 1)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN k.kept IS NULL THEN h ELSE k.kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM e LEFT JOIN k USING (doc_id)"""
+
+JACCARD = r"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS k, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT k, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM d WHERE len(ws) > 0)),
+z AS (SELECT k, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.k = a JOIN z y ON y.k = b WHERE 10 * p.n >= 8 * (x.n + y.n - p.n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k, k AS t FROM d UNION SELECT r.k, e.b FROM r JOIN e ON r.t = e.a),
+c AS (SELECT r.k, min(d.doc_id) AS class_id FROM r JOIN d ON d.k = r.t GROUP BY 1)
+SELECT d.doc_id, c.class_id, (SELECT count(*) FROM e WHERE e.a = d.k) AS n_links FROM d JOIN c USING (k)"""
