@@ -148,3 +148,11 @@ def test_toxicity_on_held_out_labels(spark):
     none = toxicity.train_toxicity(docs, labels.limit(0))
     assert toxicity.score_toxicity(docs.limit(5), none).filter("toxic or severity > 0.01").count() == 0
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_edges(spark):
+    rows, df = documents(spark)
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(rows) if k % 3 == 0] + [(None, 1), (1, None), (rows[0][0], 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(df, toxicity.train_toxicity(df, labels)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    assert all(0 <= r.severity <= toxicity.GRADES - 1 and 0 <= r.grade < toxicity.GRADES for r in got)
