@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fundamentals_spark.functions import text as T
 from fundamentals_spark.operators import accounts, filings, indicators, market
-from fundamentals_spark.operators.asof import asof
 from fundamentals_spark.plans import standins as S
 
 QUERIES, SQL = {}, {}
