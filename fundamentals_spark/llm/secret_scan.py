@@ -6,7 +6,6 @@ trained here, on windows around the patterns' hits in a bounded sample of docume
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
