@@ -64,7 +64,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     permuted blocks, then a last pass that ends inside a block. So no row exceeds ``ceil(cap)`` times its size, and the
     result depends on the rows and the seed alone. An empty table gives an empty table.
     """
-    return _mixed(df, id_col, text_col, source_col, block_words, shard_slots, seed, cap)
+    mixed = _mixed(df, id_col, text_col, source_col, block_words, shard_slots, seed, cap)
+    return mixed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def slot_plan(targets: DataFrame, block_words: int, shard_slots: int, seed: int, few: bool = True) -> DataFrame:
@@ -140,14 +141,45 @@ def _mixed(df, id_col, text_col, source_col, block_words, shard_slots, seed, cap
     # rows with words differ in (name, start); rows without words need no sum
     out = joined.filter("size > 0").groupBy("name", "start", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).select("name", "start", "doc_id", "size", "source_size", "target", "taken")
     none = d.filter("size = 0").select("name", "start", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return out.unionByName(none).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken")
+    return out.unionByName(none).select("name", "doc_id", "size", "source_size", "target", "taken")
 
 
-def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def even_copies(mixed: DataFrame) -> DataFrame:
+    """Adds ``copies`` to rows of (name, doc_id, size, taken): whole copies whose words meet what each source takes.
+
+    Systematic rounding: along a source's rows in order of size, the running sum of the parts of copies (in units of 2**-30)
+    gives a copy wherever it passes a half. A row gets its taken / size rounded up or down, and as sizes only grow along
+    the sum, a source's words miss its taken words by at most its longest row. The sum goes over levels as the offsets do.
+    """
+    one = 1 << 30
+    d = materialize(mixed.withColumn("x", F.expr(f"if(size > 0, ((taken % size) * {one}) div size, 0L)")))
+    part = d.filter("x > 0").withColumns({"bits": F.length(F.bin("size")), "high": F.expr("shiftright(size, greatest(length(bin(size)) - 10, 0))"), "p": F.pmod(F.xxhash64("doc_id"), F.lit(FAN))})
+    levels, offs = ["bits", "high", "size", "p"], None
+    for n in range(1, len(levels) + 1):
+        upper = ["name", *levels[: n - 1]]
+        order = W.partitionBy(*upper).orderBy(levels[n - 1]).rowsBetween(W.unboundedPreceding, -1)
+        sums = part.groupBy(*upper, levels[n - 1]).agg(F.sum("x").alias("s")).withColumn("o", F.coalesce(F.sum("s").over(order), F.lit(0)))
+        sums = sums if offs is None else sums.join(offs, upper).withColumn("o", F.col("o") + F.col("off"))
+        offs = sums.select(*upper, levels[n - 1], F.col("o").alias("off"))
+    own = W.partitionBy("name", *levels).orderBy("doc_id", "x").rowsBetween(W.unboundedPreceding, 0)
+    part = part.withColumn("own", F.sum("x").over(own)).join(offs, ["name", *levels]).withColumn("end", F.col("off") + F.col("own") + one // 2)
+    part = part.withColumn("up", F.expr(f"end div {one} - (end - x) div {one}"))
+    out = part.select(*d.columns, "up").unionByName(d.filter("x = 0").withColumn("up", F.lit(0).cast("long")))
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("taken div size") + F.col("up")).cast("int")
+    return out.withColumn("copies", copies).drop("x", "up")
+
+
+def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rounding: str = "nearest", **options) -> DataFrame:
     """Rows of ``df`` as often as the mix takes them: taken over size, rounded to whole copies; rows of size 0 stay once.
 
+    ``nearest`` rounds each row by itself: where a source takes less than half of its words, its long rows all go, so the
+    words kept miss the target. ``even`` rounds along each source (``even_copies``), so that they meet it to one row.
     Rows with equal (id, source, size) share their copies in any order, so the outcome depends on the rows alone.
     """
+    if rounding == "even":
+        settings = {"block_words": BLOCK_WORDS, "shard_slots": SHARD_SLOTS, "seed": 17, "cap": 3.0} | options
+        mixed = even_copies(_mixed(df.select(id_col, text_col, source_col), id_col, text_col, source_col, **settings))
+        return mixed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", "copies")
     mixed = mix_sources(df.select(id_col, text_col, source_col), id_col, text_col, source_col, **options)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("size")).cast("int"))
     return mixed.withColumn("copies", copies)
