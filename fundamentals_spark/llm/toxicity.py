@@ -72,32 +72,36 @@ def grade_labels(row: np.ndarray, feat: np.ndarray, toxic: np.ndarray, least: in
     return graded
 
 
-def fit_ordinal(row: np.ndarray, feat: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 1e-4, steps: int = 400, screen: float = 4.0, least_share: float = 0.1, trim: float = 0.1) -> OrdinalModel:
+def fit_ordinal(row: np.ndarray, feat: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int = GRADES, l2: float = 1e-4, steps: int = 400, screen: float = 4.0, least: int = 5, noise: float = 0.05) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty by Adam on all rows; thresholds are a first value and positive steps.
 
-    Only features whose share among rows of grade over 0 differs from that among the others by at least ``screen``
-    standard errors take part, and that at least ``least_share`` of either hold: some labels are wrong, and the words of
-    a few documents or of a group of copies would learn those by heart. After half of the steps, rows whose side (grade 0 or
-    above) has a chance under ``trim`` are taken for wrong labels and set aside (trimmed likelihood).
+    Features that at least ``least`` rows hold and whose share among rows of grade over 0 differs from that among the others
+    by at least ``screen`` standard errors take part; rows with equal features on the same side count once there. A share
+    ``noise`` of labels is taken as drawn by the grades' frequencies: a row that the model contradicts pulls less, but
+    no row is left out, and a model that knows only the frequencies weighs all rows alike.
     """
     n = len(grade)
     w = np.zeros(1 << BITS)
     theta = np.concatenate([[1.0], np.zeros(grades - 2)])  # first threshold, log of steps
     if n == 0:
         return OrdinalModel(w, np.full(grades - 1, 60.0))
-    high = (grade > 0).astype(float)
-    n1, n0 = max(high.sum(), 1.0), max((1 - high).sum(), 1.0)
+    sketch = np.zeros(n, dtype=np.uint64)
+    np.add.at(sketch, row, bytehash.mix((feat.astype(np.uint64) << np.uint64(32)) + (value * 1e6).astype(np.uint64)))
+    once = np.zeros(n, dtype=bool)
+    once[np.unique(np.stack([sketch, (grade > 0).astype(np.uint64)]), axis=1, return_index=True)[1]] = True
+    high, low = (once & (grade > 0)).astype(float), (once & (grade == 0)).astype(float)
+    n1, n0 = max(high.sum(), 1.0), max(low.sum(), 1.0)
     in1 = np.bincount(feat, weights=high[row], minlength=1 << BITS)
-    in0 = np.bincount(feat, weights=1 - high[row], minlength=1 << BITS)
-    share = np.clip((in1 + in0) / n, 1e-9, 1 - 1e-9)
+    in0 = np.bincount(feat, weights=low[row], minlength=1 << BITS)
+    share = np.clip((in1 + in0) / (n1 + n0), 1e-9, 1 - 1e-9)
     z = (in1 / n1 - in0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    use = ((np.abs(z) >= screen) & (np.maximum(in1 / n1, in0 / n0) >= least_share))[feat]
+    use = ((np.abs(z) >= screen) & (in1 + in0 >= least))[feat]
     names, col = np.unique(feat[use], return_inverse=True)
     r, v = row[use], value[use]
     beta = np.zeros(len(names))
     m = [np.zeros_like(beta), np.zeros_like(theta)]
     s = [np.zeros_like(beta), np.zeros_like(theta)]
-    idx, part = np.arange(n), np.ones(n)
+    idx, drawn = np.arange(n), noise * (np.bincount(grade, minlength=grades) / n)[grade]
     for t in range(1, steps + 1):
         z = np.bincount(r, weights=beta[col] * v, minlength=n)
         cut = np.concatenate([[theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))])
@@ -105,10 +109,8 @@ def fit_ordinal(row: np.ndarray, feat: np.ndarray, value: np.ndarray, grade: np.
         p = 1.0 / (1.0 + np.exp(-np.clip(edge[None, :] - z[:, None], -60, 60)))
         p[:, 0], p[:, -1] = 0.0, 1.0
         hi, lo = p[idx, grade + 1], p[idx, grade]
-        if t == steps // 2:
-            part = (np.where(grade > 0, 1 - p[:, 1], p[:, 1]) >= trim).astype(float)
-        prob = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = part * hi * (1 - hi) / prob, part * lo * (1 - lo) / prob
+        prob = np.maximum((1 - noise) * (hi - lo) + drawn, 1e-9)
+        d_hi, d_lo = (1 - noise) * hi * (1 - hi) / prob, (1 - noise) * lo * (1 - lo) / prob
         dz = (d_hi - d_lo) / n  # of the negative log likelihood
         d_edge = np.bincount(grade + 1, weights=-d_hi / n, minlength=grades + 1) + np.bincount(grade, weights=d_lo / n, minlength=grades + 1)
         d_cut = d_edge[1:-1]
