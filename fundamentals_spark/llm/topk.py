@@ -121,7 +121,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
     q = materialize(q.join(bounds, "vec_id", "left"))
 
     # a block goes to the parts that one of its queries needs: bound <= |q| * longest of the bucket
-    blocks = q.groupBy("dim", "block").agg(F.max("norm").alias("most"), F.min(F.when(F.col("bound").isNull(), F.lit(float("-inf"))).otherwise(F.try_divide(F.col("bound").cast("double"), "norm"))).alias("least"))
+    # a query without a bound, or of length 0, whose scores are all 0, needs every part
+    least = F.coalesce(F.try_divide(F.col("bound").cast("double"), "norm"), F.lit(float("-inf")))
+    blocks = q.groupBy("dim", "block").agg(F.max("norm").alias("most"), F.min(least).alias("least"))
     pairs = blocks.join(sizes, "dim").filter(F.coalesce(F.col("top") * (1 + 1e-9) >= F.col("least"), F.lit(True)))
     pairs = pairs.select("dim", "block", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     found = _joined(q, c, pairs, k)
