@@ -21,8 +21,9 @@ from fundamentals_spark.llm.common import materialize
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 CHUNK = 1 << 20
-#: Contexts that one sorting task holds on average.
+#: Contexts that one sorting task holds on average; a gram with more is split by its windows. Parts that a class of equal windows is dealt to.
 SORT_ROWS = 10_000
+SALT = 64
 _LAST = np.iinfo(np.int64).max
 _TABLE2 = np.random.default_rng(77).integers(1, 2**64, 256, dtype=np.uint64)
 _BASE2 = bytehash.BASE ^ 0x5555555555555554
@@ -123,7 +124,7 @@ class Suffixes:
         k = np.flatnonzero(np.concatenate([[False], group[order[1:]] == group[order[:-1]]])) if len(order) else np.zeros(0, dtype=np.int64)
         i, j = order[k - 1], order[k]
         n = self.common(i, j)
-        if len(k):
+        if n.max(initial=0) > 0:
             span = np.arange(int(n.max(initial=0)))
             for lo in range(0, len(k), 4096):
                 s = slice(lo, lo + 4096)
@@ -235,6 +236,33 @@ def _settle(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cols[0])) < len(opened[0])), *map(pa.array, cols)], names=["open", "g", "c", "doc", "pos", "reach"])
 
 
+def _windows(batches):
+    """doc, pos, d and two hashes of every window of LENGTH bytes in an anchor's context, beginning d bytes before the gram."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            buf, offsets = bytehash.text_buffer(part.column("context"))
+            left = part.column("reach").to_numpy().astype(np.int64) // 256
+            row = np.repeat(np.arange(part.num_rows), np.maximum(np.diff(offsets) - LENGTH + 1, 0))
+            start = offsets[row] + np.arange(len(row)) - np.searchsorted(row, row)
+            one = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf), start, start + LENGTH))
+            two = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf, _TABLE2, _BASE2), start, start + LENGTH, _INVERSE2))
+            cols = [part.column("doc").to_numpy()[row], part.column("pos").to_numpy()[row], (left[row] - start + offsets[row]).astype(np.int32), one.view(np.int64), two.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc", "pos", "d", "h1", "h2"])
+
+
+def _hot_spans(contexts: DataFrame) -> DataFrame:
+    """Spans as ``covered`` finds them, for grams with more contexts than a sorting task holds: equal windows meet by
+    hash, so that a task gets classes of windows instead of all contexts of a gram."""
+    key = ["d", "h1", "h2"]
+    w = materialize(contexts.mapInArrow(_windows, "doc long, pos long, d int, h1 long, h2 long"))
+    first = w.groupBy(*key).agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last"))
+    first = first.filter("first != last").select(*key, "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    later = w.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALT)).cast("int")).join(first, [*key, "salt"])
+    later = later.filter("struct(doc, pos) != first").groupBy("doc", "pos").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    return later.select("doc", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + LENGTH).alias("b"))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary).
 
@@ -264,7 +292,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     settled = materialize(dealt.sortWithinPartitions("g", "c", "doc", "pos").mapInArrow(_settle, ANCHOR))
     spans = settled.filter("not open").select("doc", F.col("pos").alias("a"), (F.col("pos") + F.col("reach")).alias("b"))
 
-    wanted = settled.filter("open").groupBy("doc").agg(F.collect_list(F.struct("g", "pos", "reach")).alias("at"))
+    def wanted(opened: DataFrame) -> DataFrame:
+        return opened.groupBy("doc").agg(F.collect_list(F.struct("g", "pos", "reach")).alias("at"))
 
     def cut(batches):
         for batch in batches:
@@ -289,10 +318,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         i, a, b = covered(pdf["g"].to_numpy(), pdf["doc"].to_numpy(), pdf["pos"].to_numpy(), reach // 256, reach % 256, pdf["context"].to_list())
         return pd.DataFrame({"doc": pdf["doc"].to_numpy()[i], "a": a, "b": b})
 
-    tasks = max(1, settled.filter("open").count() // SORT_ROWS)
+    opened = settled.filter("open")
+    tasks = max(1, opened.count() // SORT_ROWS)
     texts = docs.select("doc", "doc_id", "version", "text")
-    contexts = texts.join(wanted, "doc").select("doc", "version", "text", "at").mapInArrow(cut, "g long, doc long, pos long, reach int, context binary")
-    sorted_spans = contexts.groupBy(F.pmod("g", F.lit(tasks)).alias("task")).applyInPandas(compare, "doc long, a long, b long")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        return texts.join(wanted(of), "doc").select("doc", "version", "text", "at").mapInArrow(cut, "g long, doc long, pos long, reach int, context binary")
+
+    hot = materialize(opened.groupBy("g").count().filter(F.col("count") > SORT_ROWS).select("g"))  # at most one gram for SORT_ROWS rows
+    if hot.limit(1).count():
+        spans = spans.unionByName(_hot_spans(contexts(opened.join(F.broadcast(hot), "g"))))
+        opened = opened.join(F.broadcast(hot), "g", "left_anti")
+    sorted_spans = contexts(opened).groupBy(F.pmod("g", F.lit(tasks)).alias("task")).applyInPandas(compare, "doc long, a long, b long")
     all_spans = spans.unionByName(sorted_spans).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
