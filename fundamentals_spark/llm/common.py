@@ -26,11 +26,10 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; that setting is made only where the session has none."""
+    """A new folder below ``spark.checkpoint.dir``; without that setting below the warehouse, which a cluster shares too."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        top = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -39,7 +38,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
