@@ -30,12 +30,14 @@ def norm_text(c: Column, mode: str = "fold") -> Column:
 
 
 def parse_number(c: Column, mode: str = "statement") -> Column:
-    """Locale numbers as decimal(38,6). Parentheses and a leading minus are negative; blank, ``-``, ``n/d`` and anything with
-    ``%`` is null. With both separators the last one is the decimal one. A single ``1.234`` is 1.234 in ``statement`` mode
-    and 1234 in ``operational`` mode; a comma alone is the decimal separator."""
+    """Locale numbers as decimal(38,6). Parentheses and a leading minus change the sign; blank, ``-``, ``n/d``, anything with
+    ``%`` and a minus elsewhere is null. With both separators the last one is the decimal one. A single ``1.234`` is 1.234
+    in ``statement`` mode and 1234 in ``operational`` mode; a comma alone is the decimal separator."""
     t = F.regexp_replace(F.lower(F.trim(c)), r"r\$|us\$|[  ]", "")
-    negative = t.rlike(r"^\(.*\)$") | t.startswith("-")
-    body = F.regexp_replace(t, r"[()+-]", "")
+    parens = t.rlike(r"^\(.*\)$")
+    inner = F.when(parens, F.regexp_extract(t, r"^\((.*)\)$", 1)).otherwise(t)
+    minus = inner.startswith("-")
+    body = F.regexp_replace(inner, r"^[+-]", "")
     comma, dot = F.locate(",", body) > 0, F.locate(".", body) > 0
     thousands = body.rlike(r"^[0-9]{1,3}(\.[0-9]{3})+$")
     grouped = thousands if mode == "operational" else thousands & body.rlike(r"\..*\.")
@@ -48,7 +50,7 @@ def parse_number(c: Column, mode: str = "statement") -> Column:
     )
     ok = plain.rlike(r"^[0-9]+(\.[0-9]+)?$|^\.[0-9]+$")
     value = F.when(ok, plain).try_cast("decimal(38,6)")
-    return F.when(negative, -value).otherwise(value)
+    return F.when(parens != minus, -value).otherwise(value)
 
 
 def norm_cvm_code(c: Column) -> Column:
@@ -133,10 +135,16 @@ def balance_side(c: Column) -> Column:
     return F.when(first == "1", "assets").when(first == "2", "liabilities")
 
 
+# Terms of the company's own part and of the whole of a project.
+COMPANY_SHARE = ("participacao da companhia", "company share", "% companhia", "%avll", "% cal", "%ez", "% even", "%cbr", "ex permuta")
+ONE_HUNDRED = ("100%", "cem por cento", "total projects")
+
+
 def ownership_basis(c: Column) -> Column:
+    """company_share if a term of the company's part stands in the text, else one_hundred_percent for a term of the whole, else unknown."""
     t = norm_text(c, "fold")
-    share = t.rlike(r"% ?(da )?(companhia|cia)|parte (da )?(companhia|cia)|company share|participacao")
-    return F.when(share & ~t.rlike(r"100 ?%"), "company_share").when(t.rlike(r"100 ?%"), "one_hundred_percent").otherwise("unknown")
+    has = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda x: t.contains(x))
+    return F.when(has(COMPANY_SHARE), "company_share").when(has(ONE_HUNDRED), "one_hundred_percent").otherwise("unknown")
 
 
 def line_periods(c: Column) -> Column:
@@ -182,13 +190,20 @@ def repair_mojibake(c: Column) -> Column:
     return F.when(c.rlike(f"[{_MOJIBAKE}]"), fix(F.when(c.rlike(f"[{_MOJIBAKE}]"), c))).otherwise(c)
 
 
-#: Document types in order of priority with their patterns, and what excludes a document.
-DOCUMENT_TYPES = (("RELEASE_RESULTADOS", r"release|resultado"), ("PREVIA_OPERACIONAL", r"previa"), ("APRESENTACAO", r"apresentacao|presentation"), ("PLANILHA", r"planilha|spreadsheet|\.xlsx?"), ("ITR", r"\bitr\b"), ("DFP", r"\bdfp\b"))
-EXCLUDED_DOCUMENTS = r"audio|video|webcast|calendario"
+# Document types in order of priority with their terms (accents folded), and terms that exclude a document.
+DOCUMENT_TYPES = (
+    ("PLANILHA_RESULTADOS", ("planilha de resultados", "planilha de fundamentos", "dados historicos", "fundamentos", "spreadsheet", "xlsx", "xlsm", "excel")),
+    ("PREVIA_OPERACIONAL", ("previa operacional", "pre-operational", "operational preview", "operational data")),
+    ("TRANSCRICAO_WEBCAST", ("transcricao", "transcript", "webcast transcript", "teleconferencia transcricao", "transcricao da teleconferencia")),
+    ("DEMONSTRACOES_FINANCEIRAS", ("demonstracoes financeiras", "demonstracao financeira", "financial statements", "itr", "dfp", "informacoes trimestrais")),
+    ("RELEASE_RESULTADOS", ("release de resultados", "release resultados", "earnings release", "relatorio de resultados", "press release")),
+    ("APRESENTACAO_RESULTADOS", ("apresentacao de resultados", "apresentacao resultados", "earnings presentation", "resultados apresentacao")),
+)
+EXCLUDED_DOCUMENTS = ("audio", "video", "webcast ao vivo", "calendar", "calendario")
 
 
 def classify_document(c: Column) -> Column:
-    """The first matching type of the priority list; null if nothing matches or an excluded word stands in the text."""
+    """The first type of the priority list with a term in the text; null if none has or an excluded term stands in it."""
     t = norm_text(c, "fold")
-    found = F.coalesce(*[F.when(t.rlike(p), F.lit(n)) for n, p in DOCUMENT_TYPES])
-    return F.when(~t.rlike(EXCLUDED_DOCUMENTS), found)
+    has = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda x: t.contains(x))
+    return F.when(~has(EXCLUDED_DOCUMENTS), F.coalesce(*[F.when(has(terms), F.lit(name)) for name, terms in DOCUMENT_TYPES]))

@@ -59,29 +59,39 @@ def derive_q4(facts: DataFrame, by: list[str], value: str = "value") -> DataFram
 
 
 def isolate_quarters(facts: DataFrame, by: list[str], metric: str) -> DataFrame:
-    """Isolated value of a flow: year-to-date less that of the quarter before (null if it is missing), or as filed; and its source."""
-    before = facts.select(*[F.col(b).alias(f"p_{b}") for b in by], F.col("year").alias("p_year"), (F.col("q") + 1).alias("p_q"), F.col(metric).alias("p_value"))
-    on = [F.col(b) == F.col(f"p_{b}") for b in by] + [F.col("year") == F.col("p_year"), F.col("q") == F.col("p_q")]
-    j = facts.join(before, on, "left")
+    """Isolated value of a flow: year-to-date less that of the quarter before (null if it is missing), or as filed; and its source.
+
+    A quarter may have an isolated and a year-to-date row; only year-to-date rows and first quarters are subtracted.
+    """
+    sums = facts.filter(F.col("is_ytd") | (F.col("q") == 1)).groupBy(*by, "year", "q").agg(F.max_by(metric, F.struct("is_ytd", metric)).alias("p_value"))
+    before = sums.select(*[F.col(b).alias(f"p_{b}") for b in by], F.col("year").alias("p_year"), (F.col("q") + 1).alias("p_q"), "p_value")
     ytd = F.col("is_ytd") & (F.col("q") > 1)
+    on = [F.col(b) == F.col(f"p_{b}") for b in by] + [F.col("year") == F.col("p_year"), F.col("q") == F.col("p_q"), ytd]
+    j = facts.join(before, on, "left")
     return j.select(*by, "year", "q", F.when(ytd, F.col(metric) - F.col("p_value")).otherwise(F.col(metric)).alias(metric), F.when(ytd, "ytd_menos_ytd_anterior").otherwise("periodo_isolado").alias("source"))
 
 
 def pick_periods(df: DataFrame, view: str, by: list[str]) -> DataFrame:
-    """One row for each year (annual: year-to-date fourth quarters) or quarter (isolated ones and first quarters)."""
+    """One row for each year (annual: year-to-date fourth quarters) or quarter (isolated ones and first quarters).
+
+    Rows of the same reference year come first (column same_reference_year, if there is one), then full years, then the later
+    reference, then the later end, then the higher ordinal.
+    """
     if view == "annual":
         rows, key = df.filter("q = 4 and is_ytd"), by + ["year"]
     else:
         rows, key = df.filter("not is_ytd or q = 1"), by + ["year", "q"]
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.col("ref_date").desc(), F.col("end_date").desc(), F.col("ordinal").desc()))
+    same = [F.col("same_reference_year").desc()] if "same_reference_year" in df.columns else []
+    full = (F.col("is_ytd") & (F.col("q") == 4)).desc()
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(*same, full, F.col("ref_date").desc(), F.col("end_date").desc(), F.col("ordinal").desc()))
     return rows.withColumn("__r", rank).filter("__r = 1").drop("__r")
 
 
 def balance_check(facts: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Assets against liabilities by company and date: difference and OK or VERIFY, also when a side is missing."""
-    side = F.substring_index("code", ".", 1)
-    g = facts.groupBy("company", "ref_date").agg(F.sum(F.when(side == "1", F.col("value"))).alias("assets"), F.sum(F.when(side == "2", F.col("value"))).alias("liabilities"))
+    """Account 1 (assets) against account 2 (liabilities and equity) by company and date: difference and OK or VERIFY, also when one is missing."""
+    g = facts.groupBy("company", "ref_date").agg(*[F.max(F.when(F.col("code") == c, F.col("value"))).alias(n) for c, n in (("1", "assets"), ("2", "liabilities"))])
     diff = F.col("assets") - F.col("liabilities")
+    g = g.filter("assets is not null or liabilities is not null")
     return g.withColumns({"difference": diff, "status": F.when(F.abs(diff) <= tolerance, "OK").otherwise("VERIFY")})
 
 
@@ -89,5 +99,5 @@ def verify_coverage(facts: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows and dates of every registered company and whether its rows equal the greatest number."""
     g = facts.groupBy("company").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ref_date").alias("n_dates"))
     j = registry.select("company").join(g, "company", "left").fillna(0, ["n_rows", "n_dates"])
-    most = F.max("n_rows").over(W.partitionBy(F.lit(1)))  # one row for each company
-    return j.withColumn("status", F.when(F.col("n_rows") == 0, "missing").when(F.col("n_rows") == most, "OK").otherwise("incomplete"))
+    j = j.crossJoin(g.agg(F.coalesce(F.max("n_rows"), F.lit(0)).alias("__most")))  # one row, one number
+    return j.withColumn("status", F.when(F.col("n_rows") == 0, "missing").when(F.col("n_rows") == F.col("__most"), "OK").otherwise("incomplete")).drop("__most")

@@ -80,24 +80,69 @@ def derive_ratio(obs: DataFrame, numerator: str, denominator: str, name: str) ->
     return g.select("ticker", "year", "q", "scope", F.lit(name).alias("metric"), F.when(reason.isNull(), F.try_divide(F.col("a").cast("double"), F.nullif(F.col("b").cast("double"), F.lit(0.0)))).alias("value"), reason.alias("reason"))
 
 
-def check_observations(obs: DataFrame, metrics: list[str], key: list[str]) -> DataFrame:
-    """Array of contract errors for every row: unknown metric, missing value, bad period, duplicate key."""
-    dup = F.count(F.lit(1)).over(W.partitionBy(*key)) > 1
-    errors = F.array(F.when(~F.col("metric").isin(*metrics), F.lit("unknown_metric")), F.when(F.col("value").isNull(), F.lit("missing_value")), F.when(~F.col("q").between(1, 4), F.lit("bad_period")), F.when(dup, F.lit("duplicate_key")))
-    return obs.withColumn("errors", F.filter(errors, lambda e: e.isNotNull()))
-
-
-def vso(obs: DataFrame, require_adjacent: bool = False) -> DataFrame:
-    """Net sales over (opening inventory + launches) by ticker, basis and quarter. Opening = closing inventory of the latest earlier quarter."""
+def check_observations(obs: DataFrame, metrics: DataFrame | list[str], key: list[str], ticker: str | None = None) -> DataFrame:
+    """Array of contract errors for every row.
+
+    unknown_metric ends the checks of its row. Else: ticker_mismatch (``ticker`` given), missing_value (null or not finite),
+    bad_period, unit_mismatch (``metrics`` as rule rows metric, unit), duplicate_key (all but the first of a key by ordinal,
+    or all where there is none), and by ``nature``: missing_<field> of a reported row (source_document, source_type,
+    row_label, raw_value), missing_formula of a derived one, missing_nature of others. Checks whose columns the table lacks
+    are left out.
+    """
+    has = set(obs.columns)
+    rules = None if isinstance(metrics, list) else metrics.select(F.col("metric").alias("__m"), F.col("unit").alias("__unit")).distinct()
+    rows = obs if rules is None else obs.join(rules, F.col("metric") == F.col("__m"), "left")
+    unknown = ~F.col("metric").isin(*metrics) if rules is None else F.col("__m").isNull()
+    unknown = F.coalesce(unknown, F.lit(True))
+    w = W.partitionBy(*key)
+    dup = F.row_number().over(w.orderBy("ordinal")) > 1 if "ordinal" in has else F.count(F.lit(1)).over(w) > 1
+    number = F.col("value").cast("double")
+    period = F.coalesce(~F.col("period").rlike(r"^([1-4]T[0-9]{2}|20[0-9]{2})$"), F.lit(True)) if "period" in has else ~F.col("q").between(1, 4)
+    checks = [("missing_value", number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))), ("bad_period", period), ("duplicate_key", dup)]
+    if ticker is not None:
+        checks.insert(0, ("ticker_mismatch", ~F.upper("ticker").eqNullSafe(F.lit(ticker.upper()))))
+    if rules is not None and "unit" in has:
+        checks.append(("unit_mismatch", ~F.col("unit").eqNullSafe(F.col("__unit"))))
+    if "nature" in has:
+        nature = F.coalesce("nature", F.lit(""))
+        for f in ("source_document", "source_type", "row_label", "raw_value"):
+            if f in has:
+                checks.append((f"missing_{f}", (nature == "reported") & (F.coalesce(F.col(f).cast("string"), F.lit("")) == "")))
+        if "formula" in has:
+            checks.append(("missing_formula", (nature == "derived") & (F.coalesce("formula", F.lit("")) == "")))
+        checks.append(("missing_nature", ~nature.isin("reported", "derived")))
+    errors = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda e: e.isNotNull())
+    return rows.withColumn("errors", F.when(unknown, F.array(F.lit("unknown_metric"))).otherwise(errors)).drop("__m", "__unit")
+
+
+def vso(obs: DataFrame, require_adjacent: bool = False, materiality: float = 0.05) -> DataFrame:
+    """Net sales over (opening inventory + launches) by ticker, basis and quarter.
+
+    Opening = closing inventory, on the same basis, of the latest earlier quarter in which the ticker has any observation; if
+    that quarter lacks it, it is missing. Bases null or ``unknown`` are incompatible. ``reconciliation`` compares the closing
+    inventory with base - net sales, relative to the base; ``confidence`` is medium for material differences.
+    """
     part = {m: F.max(F.when(F.col("metric") == m, F.col("value"))) for m in ("net_sales", "launches", "inventory")}
     g = obs.groupBy("ticker", "basis", "year", "q").agg(*[v.alias(k) for k, v in part.items()]).withColumn("i", F.col("year") * 4 + F.col("q"))
-    w = W.partitionBy("ticker", "basis").orderBy("i")
-    frame = w.rangeBetween(-1, -1) if require_adjacent else w.rowsBetween(W.unboundedPreceding, -1)
-    g = g.withColumn("opening", F.last("inventory", ignorenulls=True).over(frame))
+    earlier = F.max("i").over(W.partitionBy("ticker").orderBy("i").rangeBetween(W.unboundedPreceding, -1))
+    own = F.last(F.struct("i", "inventory")).over(W.partitionBy("ticker", "basis").orderBy("i").rowsBetween(W.unboundedPreceding, -1))
+    g = g.withColumns({"before": earlier, "own": own})
+    here = (F.col("own.i") == F.col("before")) & ((F.col("before") == F.col("i") - 1) | F.lit(not require_adjacent))
+    g = g.withColumn("opening", F.when(here, F.col("own.inventory")))
     base = F.col("opening") + F.col("launches")
-    status = F.when(F.col("net_sales").isNull() | F.col("launches").isNull() | F.col("opening").isNull(), "missing").when(base <= 0, "non_positive_base").otherwise("ok")
-    gap = F.try_divide(F.abs(F.col("opening") + F.col("launches") - F.col("net_sales") - F.col("inventory")).cast("double"), F.nullif(F.col("inventory").cast("double"), F.lit(0.0)))
-    return g.select("ticker", "basis", "year", "q", F.when(status == "ok", F.try_divide(F.col("net_sales").cast("double"), F.nullif(base.cast("double"), F.lit(0.0)))).alias("vso"), status.alias("status"), (gap <= 0.05).alias("reconciled"))
+    missing = F.col("net_sales").isNull() | F.col("launches").isNull() | F.col("opening").isNull()
+    bad_basis = F.coalesce(F.col("basis") == "unknown", F.lit(True))
+    status = F.when(missing, "missing").when(bad_basis, "incompatible").when(base <= 0, "non_positive_base").otherwise("ok")
+    name = F.when(missing, "missing_components").when(bad_basis, "incompatible_basis").when(base <= 0, "invalid_denominator").otherwise("derived")
+    gap = F.abs(F.col("inventory") - (base - F.col("net_sales"))).cast("double")
+    rec = (
+        F.when((status != "ok") | gap.isNull(), "not_calculable").when(gap <= 1e-9, "reconciled")
+        .when(gap / F.greatest(F.abs(base.cast("double")), F.lit(1.0)) <= materiality, "immaterial_difference").otherwise("material_difference")
+    )
+    value = F.when(status == "ok", F.try_divide(F.col("net_sales").cast("double"), F.nullif(base.cast("double"), F.lit(0.0))))
+    out = g.select("ticker", "basis", "year", "q", value.alias("vso"), status.alias("status"), name.alias("calculation_status"), rec.alias("reconciliation"))
+    near = F.when(~F.col("reconciliation").isin("not_calculable"), F.col("reconciliation") != "material_difference")
+    return out.withColumns({"reconciled": near, "confidence": F.when(F.col("status") == "ok", F.when(F.col("reconciliation") == "material_difference", "medium").otherwise("high"))})
 
 
 def roe(df: DataFrame) -> DataFrame:
@@ -122,11 +167,25 @@ def annualize(obs: DataFrame, by: list[str]) -> DataFrame:
     return fill_missing(reported, made, by + ["year"])
 
 
+# Labels of a breakdown.
+BREAKDOWNS = ("por regiao", "por produto", "by region", "by product")
+
+
 def quarantine(obs: DataFrame) -> DataFrame:
-    """A breakdown label as a total, or evidence whose numbers are all over 100 times the value, is rejected."""
-    numbers = F.transform(F.regexp_extract_all(F.col("evidence"), F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), F.lit(1)), lambda n: F.regexp_replace(n, "[.,]", "").try_cast("double"))
-    far = (F.size(numbers) > 0) & (F.col("value") != 0) & (F.array_min(numbers) / F.nullif(F.abs(F.col("value").cast("double")), F.lit(0.0)) > 100)
-    reason = F.when(norm_text(F.col("label"), "token").rlike(r"^por (regiao|segmento|faixa|padrao)"), "breakdown_as_total").when(far, "scale_incompatible_with_evidence")
+    """A breakdown label that is no total, or evidence whose first four bold numbers are all over 100 times the value, is rejected.
+
+    ``obs``: label, evidence, value, and unit (of the evidence; null or no such column: millions). Zero and unreadable
+    numbers of the evidence do not count.
+    """
+    from fundamentals_spark.functions.text import norm_unit, parse_number
+
+    unit = F.coalesce(F.col("unit"), F.lit("R$ MM")) if "unit" in obs.columns else F.lit("R$ MM")
+    bold = F.slice(F.regexp_extract_all(F.col("evidence"), F.lit(r"\*\*([0-9][0-9.,]*)\*\*"), F.lit(1)), 1, 4)
+    numbers = F.transform(bold, lambda n: norm_unit(parse_number(n, "operational").cast("double"), unit)["value"])
+    ratios = F.transform(F.filter(numbers, lambda n: n != 0), lambda n: F.abs(n / F.nullif(F.col("value").cast("double"), F.lit(0.0))))
+    label = norm_text(F.col("label"), "fold")
+    breakdown = F.exists(F.array(*map(F.lit, BREAKDOWNS)), lambda x: label.contains(x)) & ~label.contains("total")
+    reason = F.when(breakdown, "breakdown_as_total").when((F.size(ratios) > 0) & (F.array_min(ratios) > 100), "scale_incompatible_with_evidence")
     return obs.withColumns({"rejection_reason": reason, "kept_value": F.when(reason.isNull(), F.col("value"))})
 
 
@@ -171,8 +230,8 @@ def preserve_snapshot(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def latest_metric(obs: DataFrame) -> DataFrame:
-    """Latest value of each ticker and metric without low confidence."""
-    return best_row(obs.filter("confidence <> 'low'"), ["ticker", "metric"], [F.col("year").desc(), F.col("q").desc(), F.col("ordinal").desc()])
+    """Latest value of each ticker and metric without low confidence; an annual row (null quarter) ranks after the fourth quarter."""
+    return best_row(obs.filter("confidence <> 'low'"), ["ticker", "metric"], [F.col("year").desc(), F.coalesce("q", F.lit(5)).desc(), F.col("ordinal").desc()])
 
 
 def resolve_by_priority(obs: DataFrame, key: list[str]) -> DataFrame:

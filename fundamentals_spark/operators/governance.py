@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 from fundamentals_spark.operators.asof import best_row
 
 KEY = ["ticker", "metric", "year", "q"]
-#: Lifecycle states and the states that may follow each.
-TRANSITIONS = {"discovered": ("downloaded", "error"), "downloaded": ("extracted", "error"), "extracted": ("published", "error"), "published": (), "error": ()}
-TERMINAL = ("published", "error")
+# Events of a document's life, the ones that may follow each (``discovered`` may follow any), those that end it, and reserved field names.
+TRANSITIONS = {
+    "discovered": ("discovered", "accepted", "rejected", "extraction_error"),
+    "accepted": ("accepted", "downloaded", "imported", "converted", "read", "published", "rejected", "extraction_error"),
+    "downloaded": ("imported", "converted", "read", "extraction_error"),
+    "imported": ("converted", "read", "extraction_error"),
+    "converted": ("read", "extraction_error"),
+    "read": ("company_resolved", "parsed", "validated", "unresolved", "extraction_error"),
+    "company_resolved": ("parsed", "validated", "unresolved", "extraction_error"),
+    "parsed": ("validated", "published", "rejected", "extraction_error"),
+    "validated": ("published", "preserved_existing", "rejected", "extraction_error"),
+}
+TERMINAL = ("published", "preserved_existing", "rejected", "unresolved", "extraction_error")
+PROCESSED = ("read", "company_resolved", "parsed", "validated", "published")
+RESERVED = ("run_id", "document_id", "state", "at")
 
 
 def normalize_overrides(df: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -37,19 +49,29 @@ def resolve_overrides(obs: DataFrame, overrides: DataFrame, key: list[str] = KEY
 
 
 def check_transitions(events: DataFrame) -> DataFrame:
-    """Events with an error where a state may not follow the one before it, or follows a terminal one."""
+    """Events with an error: unknown_state, reserved_fields (keys of an optional map column ``fields``), after_terminal_state, or
+    illegal_transition, where a state may not follow the one before it in the log."""
     w = W.partitionBy("document").orderBy("at", "ordinal")
     allowed = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
     e = events.withColumns({"previous": F.lag("state").over(w), "ended": F.coalesce(F.max(F.col("state").isin(*TERMINAL)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))})
-    legal = F.when(F.col("previous").isNull(), F.col("state") == "discovered").otherwise(F.array_contains(F.element_at(allowed, F.col("previous")), F.col("state")))
-    return e.withColumn("error", F.when(F.col("ended"), "after_terminal_state").when(~legal, "illegal_transition"))
+    known = F.coalesce(F.col("state").isin(*TRANSITIONS, *TERMINAL), F.lit(False))
+    legal = (F.col("state") == "discovered") | F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("previous")), F.col("state")), F.lit(False))
+    reserved = F.coalesce(F.arrays_overlap(F.map_keys("fields"), F.array(*map(F.lit, RESERVED))), F.lit(False)) if "fields" in events.columns else F.lit(False)
+    return e.withColumn("error", F.when(~known, "unknown_state").when(reserved, "reserved_fields").when(F.col("ended"), "after_terminal_state").when(~legal, "illegal_transition"))
 
 
 def run_summary(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per group: documents, with extraction, published, errors, events and coverage complete / partial / none."""
+    """Per group: documents found, accepted, processed (by the last state), with observations (last observations_count over 0,
+    where there is such a column), unresolved, with errors, rejected, published; events; coverage complete / partial / none."""
     by = by or []
-    last = events.groupBy(*by, "document").agg(F.max_by("state", F.struct("at", "ordinal")).alias("last"), F.max(F.col("state") == "extracted").alias("extracted"), F.count(F.lit(1)).alias("n"))
-    g = last.groupBy(*by).agg(F.count(F.lit(1)).alias("found"), F.count_if("extracted").alias("processed"), F.count_if(F.col("last") == "published").alias("published"), F.count_if(F.col("last") == "error").alias("errors"), F.sum("n").alias("events"))
+    order = F.struct("at", "ordinal")
+    seen = F.max_by("observations_count", F.when(F.col("observations_count").isNotNull(), order)) if "observations_count" in events.columns else F.lit(None).cast("long")
+    last = events.groupBy(*by, "document").agg(F.max_by("state", order).alias("last"), F.max(F.col("state") == "accepted").alias("accepted"), seen.alias("observations"), F.count(F.lit(1)).alias("n"))
+    ends = {"unresolved": "unresolved", "errors": "extraction_error", "rejected": "rejected", "published": "published"}
+    g = last.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("found"), F.count_if("accepted").alias("accepted"), F.count_if(F.col("last").isin(*PROCESSED)).alias("processed"), F.count_if(F.col("observations") > 0).alias("with_observations"),
+        *[F.count_if(F.col("last") == s).alias(n) for n, s in ends.items()], F.sum("n").alias("events"),
+    )
     return g.withColumn("coverage", F.when(F.col("processed") == 0, "none").when(F.col("processed") == F.col("found"), "complete").otherwise("partial"))
 
 

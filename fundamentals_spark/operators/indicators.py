@@ -46,11 +46,21 @@ def ltm(df: DataFrame, metric: str, by: list[str], n: int = 4) -> DataFrame:
     return df.withColumns({f"{metric}_ltm": F.when(full, F.sum(metric).over(w)), "complete": full})
 
 
-def margins(df: DataFrame) -> DataFrame:
-    """EBITDA = EBIT + D&A and margins in percent of revenue."""
+def margins(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """EBITDA = EBIT + D&A and margins in percent of revenue; the net margin where there is a column net_income.
+
+    ``rules``: company, ifrs17. Companies under IFRS 17 have no comparable revenue: their margins are null and the flag says so.
+    """
     out = df.withColumns({"ebitda": F.col("ebit") + F.col("da"), "gross": F.col("revenue") + F.col("cost")})
-    pct = lambda x: F.try_divide(F.col(x).cast("double") * 100, F.nullif(F.col("revenue").cast("double"), F.lit(0.0)))
-    return out.withColumns({"gross_margin": pct("gross"), "operating_margin": pct("ebit"), "ebitda_margin": pct("ebitda")})
+    ifrs17 = F.lit(False)
+    if rules is not None:
+        out = out.join(rules.select("company", F.col("ifrs17").alias("__ifrs17")).distinct(), "company", "left")
+        ifrs17 = F.coalesce("__ifrs17", F.lit(False))
+    pct = lambda x: F.when(~ifrs17, F.try_divide(F.col(x).cast("double") * 100, F.nullif(F.col("revenue").cast("double"), F.lit(0.0))))
+    made = {"gross_margin": pct("gross"), "operating_margin": pct("ebit"), "ebitda_margin": pct("ebitda"), "margin_flag": F.when(ifrs17, "not_comparable")}
+    if "net_income" in df.columns:
+        made["net_margin"] = pct("net_income")
+    return out.withColumns(made).drop("__ifrs17")
 
 
 def cagr(df: DataFrame, value: str, by: list[str], n: int = 5) -> DataFrame:
@@ -62,10 +72,15 @@ def cagr(df: DataFrame, value: str, by: list[str], n: int = 5) -> DataFrame:
     return g.select(*by, "points", F.when(ok, (F.pow(F.try_divide(F.col("b"), F.nullif(F.col("a"), F.lit(0.0))), F.try_divide(F.lit(1.0), F.nullif(F.col("points") - 1, F.lit(0)))) - 1) * 100).alias("cagr"))
 
 
-def working_capital(bp: DataFrame) -> DataFrame:
-    """Current assets less current liabilities on dates that have both."""
-    g = bp.groupBy("company", "ref_date").agg(F.sum(F.when(F.col("code").startswith("1.01"), F.col("value"))).alias("assets"), F.sum(F.when(F.col("code").startswith("2.01"), F.col("value"))).alias("liabilities"))
-    return g.filter("assets is not null and liabilities is not null").withColumn("working_capital", F.col("assets") - F.col("liabilities"))
+def working_capital(bp: DataFrame, revenue: DataFrame | None = None) -> DataFrame:
+    """Current assets (1.01) less current liabilities (2.01) on dates that have both; in percent of ``revenue`` (company, ref_date, revenue) if given."""
+    part = lambda c: F.max(F.when(F.col("code") == c, F.col("value")))
+    g = bp.filter("code in ('1.01', '2.01')").groupBy("company", "ref_date").agg(part("1.01").alias("assets"), part("2.01").alias("liabilities"))
+    out = g.filter("assets is not null and liabilities is not null").withColumn("working_capital", F.col("assets") - F.col("liabilities"))
+    if revenue is None:
+        return out
+    j = out.join(revenue.select("company", "ref_date", "revenue"), ["company", "ref_date"], "left")
+    return j.withColumn("pct_of_revenue", F.try_divide(F.col("working_capital").cast("double") * 100, F.nullif(F.col("revenue").cast("double"), F.lit(0.0))))
 
 
 def enterprise_value(caps: DataFrame, debt: DataFrame) -> DataFrame:
@@ -102,20 +117,37 @@ def cash_cycle(bp: DataFrame, flows: DataFrame) -> DataFrame:
     return out.withColumn("cycle", F.round(F.col("pmr") + F.col("pme") - F.col("pmp"), 4))
 
 
-def horizontal(facts: DataFrame, by: list[str], period: str, value: str) -> DataFrame:
-    """Change against the same account in the period before (of all periods of the company); null at zero or absent bases."""
-    rank = F.dense_rank().over(W.partitionBy(by[0]).orderBy(period))
-    r = facts.withColumn("__n", rank)
-    before = r.select(*[F.col(b).alias(f"__{b}") for b in by], (F.col("__n") + 1).alias("__m"), F.col(value).alias("__v"))
-    j = r.join(before, [F.col(b) == F.col(f"__{b}") for b in by] + [F.col("__n") == F.col("__m")], "left")
-    base = F.nullif(F.col("__v").cast("double"), F.lit(0.0))
-    return j.select(*facts.columns, F.try_divide(F.col(value).cast("double") - base, F.abs(base)).alias("horizontal"))
-
+def horizontal(facts: DataFrame, by: list[str], period: str, value: str, mode: str = "adjacent") -> DataFrame:
+    """Change in percent against the same account, (current / base - 1) * 100; null at zero or absent bases.
 
-def vertical(facts: DataFrame, by: list[str], group: Column, value: str) -> DataFrame:
-    """Share of the total of its group (balance side, or the revenue account) in the same period."""
-    total = F.sum(value).over(W.partitionBy(*by, group))
-    return facts.withColumn("vertical", F.try_divide(F.col(value).cast("double"), F.nullif(total.cast("double"), F.lit(0.0))))
+    The base is the account's value in the period before (of all periods of the company) in mode ``adjacent``, in the last
+    period that has the account in mode ``last_seen``. One row for each key and period.
+    """
+    own = W.partitionBy(*by).orderBy(period)
+    if mode == "adjacent":
+        r = facts.withColumn("__n", F.dense_rank().over(W.partitionBy(by[0]).orderBy(period)))
+        base = F.when(F.lag("__n").over(own) == F.col("__n") - 1, F.lag(value).over(own))
+    else:
+        r, base = facts, F.lag(value).over(own)
+    base = F.nullif(base.cast("double"), F.lit(0.0))
+    return r.withColumn("horizontal", (F.try_divide(F.col(value).cast("double"), base) - 1) * 100).drop("__n")
+
+
+def vertical(facts: DataFrame, by: list[str], value: str, code: str = "code", description: str | None = None) -> DataFrame:
+    """Percent of the total of its side in the same period: account 1 for assets, 2 for liabilities, 3.01 (revenue) for income
+    accounts; null at zero or absent totals. Without a row of code 1 or 2 a row described as that total serves."""
+    w = W.partitionBy(*by)
+    side = F.substring_index(F.col(code), ".", 1)
+
+    def total(root: str, names: tuple[str, ...]) -> Column:
+        own = F.max(F.when(F.col(code) == root, F.col(value))).over(w)
+        if description is None or not names:
+            return own
+        return F.coalesce(own, F.max(F.when(norm_text(F.col(description), "fold").isin(*names), F.col(value))).over(w))
+
+    # fixed values: descriptions of the totals
+    base = F.when(side == "1", total("1", ("ativo total",))).when(side == "2", total("2", ("passivo total", "passivo e patrimonio liquido"))).when(side == "3", total("3.01", ()))
+    return facts.withColumn("vertical", F.try_divide(F.col(value).cast("double") * 100, F.nullif(base.cast("double"), F.lit(0.0))))
 
 
 def reconcile(df: DataFrame, match: float = 0.01, review: float = 0.05) -> DataFrame:

@@ -31,15 +31,30 @@ def b01(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.md5(T.norm_text(t)).alias("fold"), F.md5(T.norm_text(t, "token")).alias("token"))
 
 
+# the minus of a range or a date is no sign, so these are no numbers
 @query("b03_parse_number", """WITH s AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) s FROM orders)
-SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN CAST(s AS DECIMAL(38,6)) WHEN 1 THEN CAST(s AS DECIMAL(38,6)) WHEN 2 THEN -CAST(s AS DECIMAL(38,6)) WHEN 3 THEN NULL ELSE CAST(split_part(s, '.', 1) || '000' AS DECIMAL(38,6)) END AS DOUBLE) AS value FROM s""")
+SELECT o_orderkey, CAST(CASE o_orderkey % 9 WHEN 0 THEN CAST(s AS DECIMAL(38,6)) WHEN 1 THEN CAST(s AS DECIMAL(38,6)) WHEN 2 THEN -CAST(s AS DECIMAL(38,6)) WHEN 4 THEN CAST(split_part(s, '.', 1) || '000' AS DECIMAL(38,6)) WHEN 5 THEN -CAST(s AS DECIMAL(38,6)) END AS DOUBLE) AS value FROM s""")
 def b03(spark, sf):
     s = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    k = F.col("o_orderkey") % 5
-    shown = F.when(k == 0, s).when(k == 1, F.replace(s, F.lit("."), F.lit(","))).when(k == 2, F.concat(F.lit("("), F.replace(s, F.lit("."), F.lit(",")), F.lit(")"))).when(k == 3, F.concat(s, F.lit("%"))).otherwise(F.concat(F.substring_index(s, ".", 1), F.lit("000,00")))
+    k = F.col("o_orderkey") % 9
+    comma = F.replace(s, F.lit("."), F.lit(","))
+    shown = (
+        F.when(k == 0, s).when(k == 1, comma).when(k == 2, F.concat(F.lit("("), comma, F.lit(")"))).when(k == 3, F.concat(s, F.lit("%"))).when(k == 4, F.concat(F.substring_index(s, ".", 1), F.lit("000,00")))
+        .when(k == 5, F.concat(F.lit("R$ -"), comma)).when(k == 6, F.concat(F.substring_index(s, ".", 1), F.lit("-05"))).when(k == 7, F.concat(s, F.lit("-"))).otherwise(F.concat(F.lit("-("), s, F.lit(")")))
+    )
     return read(spark, sf, "orders").select("o_orderkey", T.parse_number(shown).cast("double").alias("value"))
 
 
+_BASIS_TERMS = ("VGV participação da Companhia", "Participação de mercado", "100% dos projetos", "VGV (cem por cento)", "Total projects", "Vendas ex permuta 100%", "Vendas % Even", "% companhia 100%", "Vendas totais")
+
+
+@query("b09_ownership_basis", """WITH t AS (SELECT p_partkey, lower(strip_accents(p_type || ' ' || ([""" + ", ".join(f"'{t}'" for t in _BASIS_TERMS) + """])[p_partkey % 9 + 1])) AS t FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(t, 'participacao da companhia|company share|% companhia|%avll|% cal|%ez|% even|%cbr|ex permuta') THEN 'company_share' WHEN regexp_matches(t, '100%|cem por cento|total projects') THEN 'one_hundred_percent' ELSE 'unknown' END AS basis FROM t""")
+def b09(spark, sf):
+    term = F.element_at(F.array(*map(F.lit, _BASIS_TERMS)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", T.ownership_basis(F.concat_ws(" ", "p_type", term)).alias("basis"))
+
+
 @query("b04_norm_codes", """SELECT c_custkey, CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 6 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END AS cvm, lpad(regexp_replace(c_name, '[^0-9]', '', 'g'), 14, '0') AS cnpj FROM customer""")
 def b04(spark, sf):
     c = read(spark, sf, "customer")
@@ -166,13 +181,14 @@ def d07(spark, sf):
     return accounts.derive_q4(rows.unionByName(fy), ["company"]).withColumn("value", F.col("value").cast("double"))
 
 
-@query("d08_isolate_quarters", f"""WITH {S.YTD} SELECT a.company, a.year, a.q, CAST(CASE WHEN a.is_ytd THEN a.revenue - b.revenue ELSE a.revenue END AS DOUBLE) AS revenue, CASE WHEN a.is_ytd THEN 'ytd_menos_ytd_anterior' ELSE 'periodo_isolado' END AS source FROM ytd_facts a LEFT JOIN ytd_facts b ON a.company = b.company AND a.year = b.year AND a.q = b.q + 1""")
+@query("d08_isolate_quarters", f"""WITH {S.MIXED}, y AS (SELECT company, year, q, revenue FROM mixed_facts WHERE is_ytd OR q = 1)
+SELECT a.company, a.year, a.q, CAST(CASE WHEN a.is_ytd AND a.q > 1 THEN a.revenue - y.revenue ELSE a.revenue END AS DOUBLE) AS revenue, CASE WHEN a.is_ytd AND a.q > 1 THEN 'ytd_menos_ytd_anterior' ELSE 'periodo_isolado' END AS source FROM mixed_facts a LEFT JOIN y ON a.company = y.company AND a.year = y.year AND a.q = y.q + 1""")
 def d08(spark, sf):
-    return accounts.isolate_quarters(S.ytd_facts(spark, sf), ["company"], "revenue").withColumn("revenue", F.col("revenue").cast("double"))
+    return accounts.isolate_quarters(S.mixed_facts(spark, sf), ["company"], "revenue").withColumn("revenue", F.col("revenue").cast("double"))
 
 
-@query("d10_balance_check", f"""WITH {S.BALANCES}, g AS (SELECT company, ref_date, sum(value) FILTER (code LIKE '1%') a, sum(value) FILTER (code LIKE '2%') l FROM balances GROUP BY 1, 2)
-SELECT company, ref_date, CAST(a AS DOUBLE) AS assets, CAST(l AS DOUBLE) AS liabilities, CASE WHEN abs(a - l) <= 1 THEN 'OK' ELSE 'VERIFY' END AS status FROM g""")
+@query("d10_balance_check", f"""WITH {S.BALANCES}, a AS (SELECT company, ref_date, value FROM balances WHERE code = '1'), l AS (SELECT company, ref_date, value FROM balances WHERE code = '2')
+SELECT company, ref_date, CAST(a.value AS DOUBLE) AS assets, CAST(l.value AS DOUBLE) AS liabilities, CASE WHEN abs(a.value - l.value) <= 1 THEN 'OK' ELSE 'VERIFY' END AS status FROM a FULL JOIN l USING (company, ref_date)""")
 def d10(spark, sf):
     return accounts.balance_check(S.balances(spark, sf)).select("company", "ref_date", F.col("assets").cast("double").alias("assets"), F.col("liabilities").cast("double").alias("liabilities"), "status")
 
@@ -197,10 +213,13 @@ def e02(spark, sf):
     return indicators.lease_accounts(S.balances(spark, sf), ["company", "ref_date"]).select("company", "ref_date", "code", F.col("value").cast("double").alias("value"))
 
 
-@query("e06_margins", f"""WITH {S.QUARTERS} SELECT company, year, q, CAST(ebit + da AS DOUBLE) AS ebitda, round(CAST(revenue + cost AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) AS gross_margin, round(CAST(ebit AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) AS operating_margin, round(CAST(ebit + da AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) AS ebitda_margin FROM quarter_facts""")
+@query("e06_margins", f"""WITH {S.QUARTERS}, t AS (SELECT *, ebit - da AS net, company % 9 = 4 AS ifrs FROM quarter_facts)
+SELECT company, year, q, CAST(ebit + da AS DOUBLE) AS ebitda, CASE WHEN NOT ifrs THEN round(CAST(revenue + cost AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) END AS gross_margin, CASE WHEN NOT ifrs THEN round(CAST(ebit AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) END AS operating_margin,
+CASE WHEN NOT ifrs THEN round(CAST(ebit + da AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) END AS ebitda_margin, CASE WHEN NOT ifrs THEN round(CAST(net AS DOUBLE) * 100 / CAST(revenue AS DOUBLE), 6) END AS net_margin, CASE WHEN ifrs THEN 'not_comparable' END AS margin_flag FROM t""")
 def e06(spark, sf):
-    m = indicators.margins(S.quarter_facts(spark, sf))
-    return m.select("company", "year", "q", F.col("ebitda").cast("double").alias("ebitda"), *[F.round(c, 6).alias(c) for c in ("gross_margin", "operating_margin", "ebitda_margin")])
+    rules = S.registry(spark, sf).select("company", (F.col("company") % 9 == 4).alias("ifrs17"))
+    m = indicators.margins(S.quarter_facts(spark, sf).withColumn("net_income", F.col("ebit") - F.col("da")), rules)
+    return m.select("company", "year", "q", F.col("ebitda").cast("double").alias("ebitda"), *[F.round(c, 6).alias(c) for c in ("gross_margin", "operating_margin", "ebitda_margin", "net_margin")], "margin_flag")
 
 
 _LTM = """w AS (SELECT company, year, q, sum(ebit + da) OVER f AS s, count(ebit + da) OVER f AS n FROM quarter_facts WINDOW f AS (PARTITION BY company ORDER BY year * 4 + q RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)),
@@ -213,9 +232,11 @@ def e07(spark, sf):
     return indicators.ltm(m, "ebitda", ["company"]).select("company", "year", "q", F.col("ebitda_ltm").cast("double").alias("ebitda_ltm"), "complete")
 
 
-@query("e08_working_capital", f"""WITH {S.BALANCES}, g AS (SELECT company, ref_date, sum(value) FILTER (code LIKE '1.01%') a, sum(value) FILTER (code LIKE '2.01%') l FROM balances GROUP BY 1, 2) SELECT company, ref_date, CAST(a - l AS DOUBLE) AS working_capital FROM g WHERE a IS NOT NULL AND l IS NOT NULL""")
+@query("e08_working_capital", f"""WITH {S.BALANCES}, {S.QUARTERS.replace(S._SALES + ', ', '')}, r AS (SELECT company, last_day(make_date(year, q * 3, 1)) ref_date, revenue FROM quarter_facts), a AS (SELECT company, ref_date, value FROM balances WHERE code = '1.01'), l AS (SELECT company, ref_date, value FROM balances WHERE code = '2.01')
+SELECT company, ref_date, CAST(a.value - l.value AS DOUBLE) AS working_capital, round(CAST(a.value - l.value AS DOUBLE) * 100 / nullif(CAST(revenue AS DOUBLE), 0), 6) AS pct_of_revenue FROM a JOIN l USING (company, ref_date) LEFT JOIN r USING (company, ref_date)""")
 def e08(spark, sf):
-    return indicators.working_capital(S.balances(spark, sf)).select("company", "ref_date", F.col("working_capital").cast("double").alias("working_capital"))
+    revenue = S.quarter_facts(spark, sf).select("company", F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1))).alias("ref_date"), "revenue")
+    return indicators.working_capital(S.balances(spark, sf), revenue).select("company", "ref_date", F.col("working_capital").cast("double").alias("working_capital"), F.round("pct_of_revenue", 6).alias("pct_of_revenue"))
 
 
 _EV = f"""WITH {S.BALANCES}, {_DEBT}, {S.MARKET_CAPS.replace(S._SALES + ', ', '')}, ev AS (SELECT company, ref_date, market_cap + net_debt AS ev FROM market_caps JOIN net USING (company, ref_date) WHERE market_cap IS NOT NULL AND status = 'validated' AND net_debt IS NOT NULL AND error IS NULL)"""
@@ -264,14 +285,24 @@ def e12(spark, sf):
     return indicators.cash_cycle(*_cycle_inputs(spark, sf)).select("company", "start", "end", "pmr", "pme", "pmp", "error")
 
 
-@query("e15_horizontal", f"""WITH {S.BALANCES}, r AS (SELECT *, dense_rank() OVER (PARTITION BY company ORDER BY ref_date) n FROM balances) SELECT a.company, a.ref_date, a.code, round((CAST(a.value AS DOUBLE) - nullif(CAST(b.value AS DOUBLE), 0)) / abs(nullif(CAST(b.value AS DOUBLE), 0)), 6) AS horizontal FROM r a LEFT JOIN r b ON a.company = b.company AND a.code = b.code AND a.n = b.n + 1""")
+# every third account changes its sign, so bases are negative too; fourth quarters of some companies lack their first account
+@query("e15_horizontal", f"""WITH {S.BALANCES}, t AS (SELECT company, ref_date, code, CASE WHEN code LIKE '%.02' THEN -value ELSE value END AS value FROM balances WHERE NOT (company % 4 = 1 AND code = '1.01.01' AND month(ref_date) = 12)),
+d AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY ref_date) n FROM (SELECT DISTINCT company, ref_date FROM t)), r AS (SELECT t.*, n FROM t JOIN d USING (company, ref_date)), s AS (SELECT *, lag(value) OVER (PARTITION BY company, code ORDER BY ref_date) seen FROM r)
+SELECT a.company, a.ref_date, a.code, round((CAST(a.value AS DOUBLE) / nullif(CAST(b.value AS DOUBLE), 0) - 1) * 100, 4) AS horizontal, round((CAST(a.value AS DOUBLE) / nullif(CAST(seen AS DOUBLE), 0) - 1) * 100, 4) AS last_seen FROM s a LEFT JOIN r b ON a.company = b.company AND a.code = b.code AND a.n = b.n + 1""")
 def e15(spark, sf):
-    return indicators.horizontal(S.balances(spark, sf), ["company", "code"], "ref_date", "value").select("company", "ref_date", "code", F.round("horizontal", 6).alias("horizontal"))
+    b = S.balances(spark, sf).filter("not (company % 4 = 1 and code = '1.01.01' and month(ref_date) = 12)").withColumn("value", F.when(F.col("code").endswith(".02"), -F.col("value")).otherwise(F.col("value")))
+    h = indicators.horizontal(b, ["company", "code"], "ref_date", "value").withColumnRenamed("horizontal", "adjacent")
+    h = indicators.horizontal(h, ["company", "code"], "ref_date", "value", mode="last_seen")
+    return h.select("company", "ref_date", "code", F.round("adjacent", 4).alias("horizontal"), F.round("horizontal", 4).alias("last_seen"))
 
 
-@query("e16_vertical", f"""WITH {S.BALANCES} SELECT company, ref_date, code, round(CAST(value AS DOUBLE) / nullif(CAST(sum(value) OVER (PARTITION BY company, ref_date, substr(code, 1, 1)) AS DOUBLE), 0), 6) AS vertical FROM balances""")
+@query("e16_vertical", f"""WITH {S.BALANCES}, i AS (SELECT company, ref_date, code, CAST(sum(value) AS DECIMAL(38,4)) AS value FROM filings WHERE statement = 'DRE' GROUP BY 1, 2, 3), a AS (SELECT company, ref_date, code, value FROM balances UNION ALL SELECT company, ref_date, CASE code WHEN '3.01.01' THEN '3.01' ELSE code END, value FROM i)
+SELECT a.company, a.ref_date, a.code, round(CAST(a.value AS DOUBLE) * 100 / nullif(CAST(t.value AS DOUBLE), 0), 4) AS vertical FROM a LEFT JOIN a t ON a.company = t.company AND a.ref_date = t.ref_date AND t.code = CASE substr(a.code, 1, 1) WHEN '1' THEN '1' WHEN '2' THEN '2' ELSE '3.01' END""")
 def e16(spark, sf):
-    return indicators.vertical(S.balances(spark, sf), ["company", "ref_date"], T.balance_side(F.col("code")), "value").select("company", "ref_date", "code", F.round("vertical", 6).alias("vertical"))
+    income = S.filings(spark, sf).filter("statement = 'DRE'").groupBy("company", "ref_date", "code").agg(F.sum("value").cast("decimal(38,4)").alias("value"))
+    income = income.withColumn("code", F.when(F.col("code") == "3.01.01", "3.01").otherwise(F.col("code")))
+    rows = S.balances(spark, sf).select("company", "ref_date", "code", "value").unionByName(income)
+    return indicators.vertical(rows, ["company", "ref_date"], "value").select("company", "ref_date", "code", F.round("vertical", 4).alias("vertical"))
 
 
 @query("e17_reconcile", f"""WITH {S.QUARTERS}, t AS (SELECT company, year, q, revenue AS o, CASE WHEN (company + q) % 5 = 0 THEN NULL ELSE CAST(revenue * (1000 + (company * 7 + q * 3 + year) % 80) / 1000 AS DECIMAL(38,4)) END AS d, (company + year) % 13 = 0 AS m FROM quarter_facts), x AS (SELECT *, abs(CAST(d - o AS DOUBLE)) / abs(CAST(o AS DOUBLE)) AS diff FROM t)
@@ -308,16 +339,23 @@ def f03(spark, sf):
 
 
 def _two_sources(spark, sf):
+    """Counts of two sources; company % 3 = 1 has pairs just inside and outside the tolerance."""
     p = S.prices(spark, sf)
     k = F.datediff("date", F.lit("1995-01-01").cast("date"))
     m = F.floor(F.col("close") * 100).cast("long")
-    o = F.when(k % 17 == 0, None).when(F.col("company") % 3 == 0, F.floor(m / 1000).cast("long")).when(k % 5 == 0, F.floor(m * 1.2).cast("long")).otherwise(m)
+    o = (
+        F.when(k % 17 == 0, None).when(F.col("company") % 3 == 0, F.floor(m / 1000).cast("long")).when(k % 5 == 0, F.floor(m * 1.2).cast("long"))
+        .when((F.col("company") % 3 == 1) & (k % 4 == 0), F.floor(m * 0.952).cast("long")).when((F.col("company") % 3 == 1) & (k % 4 == 1), F.floor(m * 1.0515).cast("long")).otherwise(m)
+    )
     return p.select("company", "date", F.when(k % 11 == 0, None).otherwise(m).alias("market"), o.alias("official"))
 
 
-_TWO = f"""WITH {S.PRICES}, b AS (SELECT company, date, date_diff('day', DATE '1995-01-01', date) k, CAST(floor(close * 100) AS BIGINT) m FROM prices), t AS (SELECT company, date, CASE WHEN k % 11 = 0 THEN NULL ELSE m END AS market, CASE WHEN k % 17 = 0 THEN NULL WHEN company % 3 = 0 THEN CAST(floor(m / 1000) AS BIGINT) WHEN k % 5 = 0 THEN CAST(floor(m * CAST(1.2 AS DOUBLE)) AS BIGINT) ELSE m END AS official FROM b),
-g AS (SELECT *, abs(official - market) / CAST(market AS DOUBLE) g1, abs(official * 1000 - market) / CAST(market AS DOUBLE) g2 FROM t), s AS (SELECT *, CASE WHEN least(g1, g2) <= 0.05 THEN CASE WHEN g1 <= g2 THEN 1 ELSE 1000 END END AS scale FROM g),
+_TWO = f"""WITH {S.PRICES}, b AS (SELECT company, date, date_diff('day', DATE '1995-01-01', date) k, CAST(floor(close * 100) AS BIGINT) m FROM prices), t AS (SELECT company, date, CASE WHEN k % 11 = 0 THEN NULL ELSE m END AS market,
+CASE WHEN k % 17 = 0 THEN NULL WHEN company % 3 = 0 THEN CAST(floor(m / 1000) AS BIGINT) WHEN k % 5 = 0 THEN CAST(floor(m * CAST(1.2 AS DOUBLE)) AS BIGINT) WHEN company % 3 = 1 AND k % 4 = 0 THEN CAST(floor(m * CAST(0.952 AS DOUBLE)) AS BIGINT) WHEN company % 3 = 1 AND k % 4 = 1 THEN CAST(floor(m * CAST(1.0515 AS DOUBLE)) AS BIGINT) ELSE m END AS official FROM b),
+g AS (SELECT *, CASE WHEN market > 0 AND official > 0 THEN abs(market - CAST(official AS DOUBLE)) / official END g1, CASE WHEN market > 0 AND official > 0 THEN abs(market - CAST(official * 1000 AS DOUBLE)) / (official * 1000) END g2 FROM t), s AS (SELECT *, least(g1, g2) AS gap, CASE WHEN least(g1, g2) <= 0.05 THEN CASE WHEN g1 <= g2 THEN 1 ELSE 1000 END END AS scale FROM g),
 v AS (SELECT *, CASE WHEN min(scale) OVER (PARTITION BY company) = max(scale) OVER (PARTITION BY company) THEN min(scale) OVER (PARTITION BY company) END AS proven FROM s)"""
+_VALIDATED = """st AS (SELECT *, CASE WHEN market > 0 AND official > 0 THEN CASE WHEN gap <= 0.05 THEN 'validated' ELSE 'shares_discrepancy' END WHEN market > 0 THEN 'yahoo_only' WHEN official > 0 AND proven IS NOT NULL THEN 'cvm_fallback_validated_scale' WHEN official > 0 THEN 'cvm_scale_ambiguous' ELSE 'missing' END AS status FROM v),
+sq AS (SELECT *, CASE WHEN status IN ('validated', 'yahoo_only') THEN market WHEN status = 'cvm_fallback_validated_scale' THEN official * proven END AS quantity FROM st)"""
 
 
 @query("f04_share_scale", f"{_TWO} SELECT company, date, scale, proven FROM v")
@@ -325,10 +363,9 @@ def f04(spark, sf):
     return market.infer_share_scale(_two_sources(spark, sf)).select("company", "date", "scale", "proven")
 
 
-@query("f05_validate_shares", f"""{_TWO}, z AS (SELECT *, official * coalesce(scale, proven, 1) AS sc FROM v), st AS (SELECT *, CASE WHEN market > 0 AND official > 0 THEN CASE WHEN scale IS NOT NULL AND abs(sc - market) / CAST(market AS DOUBLE) <= 0.05 THEN 'validated' ELSE 'shares_discrepancy' END WHEN market > 0 THEN 'yahoo_only' WHEN official > 0 AND proven IS NOT NULL THEN 'cvm_fallback_validated_scale' WHEN official > 0 THEN 'cvm_scale_ambiguous' ELSE 'missing' END AS status FROM z)
-SELECT company, date, status, CASE WHEN status IN ('validated', 'yahoo_only') THEN market WHEN status = 'cvm_fallback_validated_scale' THEN official * proven END AS quantity FROM st""")
+@query("f05_validate_shares", f"""{_TWO}, {_VALIDATED} SELECT company, date, status, quantity, CASE WHEN status IN ('validated', 'yahoo_only') THEN 'market' WHEN status = 'cvm_fallback_validated_scale' THEN 'filed' END AS quantity_source, round(gap * 100, 6) AS difference_pct FROM sq""")
 def f05(spark, sf):
-    return market.validate_shares(market.infer_share_scale(_two_sources(spark, sf))).select("company", "date", "status", "quantity")
+    return market.validate_shares(market.infer_share_scale(_two_sources(spark, sf))).select("company", "date", "status", "quantity", "quantity_source", "difference_pct")
 
 
 @query("f06_class_market_cap", """WITH c AS (SELECT CAST(c_nationkey AS INTEGER) company, c_mktsegment seg, CASE WHEN c_custkey % 301 = 0 THEN NULL ELSE CAST(c_acctbal AS DECIMAL(18,2)) END AS price, c_custkey AS quantity, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS weight FROM customer)
@@ -351,41 +388,61 @@ def f09(spark, sf):
     return market.price_variation(S.prices(spark, sf)).withColumn("change_pct", F.round("change_pct", 6))
 
 
-_SECTOR_CAPS = f"WITH {S.MARKET_CAPS}, {S.REGISTRY}, c AS (SELECT *, market_cap > 0 AND status <> 'shares_discrepancy' AS ok FROM market_caps JOIN registry USING (company))"
+_SECTOR_CAPS = f"WITH {S.MARKET_CAPS}, {S.REGISTRY}, c AS (SELECT *, {S.VALID_CAP} AS ok FROM market_caps JOIN registry USING (company))"
 
 
 def _sector_caps(spark, sf):
     return S.market_caps(spark, sf).join(S.registry(spark, sf), "company")
 
 
-@query("f11_market_cap_share", f"{_SECTOR_CAPS} SELECT sector, ref_date, company, CASE WHEN ok THEN round(market_cap / sum(CASE WHEN ok THEN market_cap END) OVER w * 100, 6) END AS share_pct, CASE WHEN NOT coalesce(ok, false) THEN CASE WHEN market_cap IS NULL THEN 'missing' WHEN market_cap <= 0 THEN 'not_positive' ELSE status END END AS reason FROM c WINDOW w AS (PARTITION BY sector, ref_date)")
+@query("f11_market_cap_share", f"""{_SECTOR_CAPS}, d AS (SELECT DISTINCT sector, ref_date FROM c), sp AS (SELECT d.sector, d.ref_date, company FROM d JOIN registry USING (sector)), j AS (SELECT sp.*, market_cap, status, status_market_cap, coalesce(ok, false) AS ok FROM sp LEFT JOIN c USING (sector, ref_date, company))
+SELECT sector, ref_date, company, CASE WHEN ok THEN round(market_cap / sum(CASE WHEN ok THEN market_cap END) OVER w * 100, 6) END AS share_pct, CASE WHEN NOT ok THEN CASE WHEN market_cap IS NULL THEN 'missing' WHEN market_cap <= 0 THEN 'not_positive' WHEN lower(trim(status)) IN ({S._STOP}) THEN lower(trim(status)) ELSE lower(trim(status_market_cap)) END END AS reason,
+round((count(*) FILTER (ok) OVER w) / count(*) OVER w, 6) AS coverage FROM j WINDOW w AS (PARTITION BY sector, ref_date)""")
 def f11(spark, sf):
-    return market.market_cap_share(_sector_caps(spark, sf)).select("sector", "ref_date", "company", F.round("share_pct", 6).alias("share_pct"), "reason")
+    caps = _sector_caps(spark, sf).drop("name")
+    return market.market_cap_share(caps, S.registry(spark, sf)).select("sector", "ref_date", "company", F.round("share_pct", 6).alias("share_pct"), "reason", F.round("coverage", 6).alias("coverage"))
 
 
-@query("f12_sector_ev_ebitda", f"""{_EV}, {_LTM}, {S.REGISTRY}, l AS (SELECT company, last_day(make_date(year, q * 3, 1)) ref_date, ebitda_ltm FROM ltm), j AS (SELECT sector, ref_date, ev, ebitda_ltm FROM ev LEFT JOIN l USING (company, ref_date) JOIN registry USING (company)), g AS (SELECT sector, ref_date, sum(ev) FILTER (ebitda_ltm IS NOT NULL) e, sum(ebitda_ltm) b, count(ebitda_ltm) AS included, count(*) - count(ebitda_ltm) AS excluded FROM j GROUP BY 1, 2)
-SELECT sector, ref_date, included, excluded, CASE WHEN b > 0 THEN round(e / b, 6) END AS ev_ebitda FROM g""")
+@query("f12_sector_ev_ebitda", f"""{_EV}, {_LTM}, {S.REGISTRY}, l AS (SELECT company, last_day(make_date(year, q * 3, 1)) ref_date, ebitda_ltm FROM ltm), j AS (SELECT sector, company, ref_date, ev, ebitda_ltm FROM ev FULL JOIN l USING (company, ref_date) JOIN registry USING (company)),
+g AS (SELECT sector, ref_date, sum(ev) FILTER (ebitda_ltm IS NOT NULL) e, sum(ebitda_ltm) FILTER (ev IS NOT NULL) b, count(*) FILTER (ev IS NOT NULL AND ebitda_ltm IS NOT NULL) AS included, count(*) FILTER (ev IS NULL OR ebitda_ltm IS NULL) AS excluded,
+  string_agg(company || ':' || CASE WHEN ev IS NULL THEN 'missing_enterprise_value' ELSE 'missing_ebitda_ltm' END, ',' ORDER BY company) FILTER (ev IS NULL OR ebitda_ltm IS NULL) AS reasons FROM j GROUP BY 1, 2)
+SELECT sector, ref_date, included, excluded, coalesce(reasons, '') AS reasons, CASE WHEN b > 0 THEN round(e / b, 6) END AS ev_ebitda, CASE WHEN included = 0 THEN 'no_valid_company' WHEN b <= 0 THEN 'non_positive_ebitda' END AS diagnostics FROM g""")
 def f12(spark, sf):
-    j = _ev(spark, sf).join(_ebitda(spark, sf), ["company", "ref_date"], "left").join(S.registry(spark, sf), "company")
-    return market.sector_ev_ebitda(j).select("sector", "ref_date", "included", "excluded", F.round("ev_ebitda", 6).alias("ev_ebitda"))
+    j = _ev(spark, sf).join(_ebitda(spark, sf), ["company", "ref_date"], "full").join(S.registry(spark, sf), "company")
+    reasons = F.array_join(F.transform("excluded_reasons", lambda r: F.concat_ws(":", r["company"].cast("string"), r["reason"])), ",")
+    return market.sector_ev_ebitda(j).select("sector", "ref_date", "included", "excluded", reasons.alias("reasons"), F.round("ev_ebitda", 6).alias("ev_ebitda"), "diagnostics")
 
 
-@query("f13_sector_returns", f"""WITH {S.MARKET_CAPS}, {S.PRICES}, {S.REGISTRY}, d AS (SELECT DISTINCT last_day(make_date(year, q * 3, 1)) ref_date FROM quarter_facts),
+_RETURNS = f"""WITH {S.MARKET_CAPS}, {S.PRICES}, {S.REGISTRY}, d AS (SELECT DISTINCT last_day(make_date(year, q * 3, 1)) ref_date FROM quarter_facts),
 sp AS (SELECT sector, company, ref_date, horizon, ref_date - horizon AS start FROM d CROSS JOIN registry CROSS JOIN (SELECT unnest([30, 90, 360]) AS horizon)),
-caps AS (SELECT company, ref_date cap_date, market_cap FROM market_caps WHERE market_cap > 0 AND status <> 'shares_discrepancy'),
-a AS (SELECT sp.*, CASE WHEN date_diff('day', cap_date, start) <= 120 THEN market_cap END AS cap FROM sp ASOF LEFT JOIN caps ON sp.company = caps.company AND sp.start >= caps.cap_date),
-b AS (SELECT a.*, CASE WHEN date_diff('day', p.date, start) <= 7 THEN adj_close END AS p0 FROM a ASOF LEFT JOIN prices p ON a.company = p.company AND a.start >= p.date),
-c AS (SELECT b.*, CASE WHEN date_diff('day', p.date, ref_date) <= 7 THEN adj_close END AS p1 FROM b ASOF LEFT JOIN prices p ON b.company = p.company AND b.ref_date >= p.date),
+caps AS (SELECT company, ref_date cap_date, market_cap FROM market_caps WHERE {S.VALID_CAP}),
+a AS (SELECT sp.*, cap_date, CASE WHEN date_diff('day', cap_date, start) <= 120 THEN market_cap END AS cap FROM sp ASOF LEFT JOIN caps ON sp.company = caps.company AND sp.start >= caps.cap_date),
+b AS (SELECT a.*, p.date AS d0, CASE WHEN date_diff('day', p.date, start) <= 7 THEN adj_close END AS p0 FROM a ASOF LEFT JOIN prices p ON a.company = p.company AND a.start >= p.date),
+c AS (SELECT b.*, p.date AS d1, CASE WHEN date_diff('day', p.date, ref_date) <= 7 THEN adj_close END AS p1 FROM b ASOF LEFT JOIN prices p ON b.company = p.company AND b.ref_date >= p.date),
 r AS (SELECT *, CASE WHEN cap IS NOT NULL THEN p1 / p0 - 1 END AS r FROM c),
-g AS (SELECT sector, ref_date, horizon, count(*) registered, count(r) included, sum(CASE WHEN r IS NOT NULL THEN cap END) used, sum(cap) alls, count(*) - count(cap) unknown, sum(cap * r) wr FROM r GROUP BY 1, 2, 3),
-h AS (SELECT *, included / registered AS cc, CASE WHEN unknown = 0 THEN used / alls END AS vc FROM g)
-SELECT sector, ref_date, CAST(horizon AS INTEGER) AS horizon, registered, included, round(vc, 6) AS value_coverage, CASE WHEN cc >= 0.7 AND (vc IS NULL OR vc >= 0.7) THEN round(wr / used, 6) END AS weighted_return FROM h""")
-def f13(spark, sf):
+g AS (SELECT sector, ref_date, horizon, count(*) registered, count(r) included, sum(CASE WHEN r IS NOT NULL THEN cap END) used, sum(cap) alls, count(*) - count(cap) unknown, sum(cap * r) wr, max(cap) FILTER (r IS NOT NULL) top, max_by(company, cap) FILTER (r IS NOT NULL) top_company,
+  coalesce(string_agg(company || ':' || CASE WHEN cap IS NULL THEN 'no_valid_market_cap' ELSE 'no_recent_price' END, ',' ORDER BY company) FILTER (r IS NULL), '') AS excluded, max(date_diff('day', d0, start)) FILTER (r IS NOT NULL) AS start_gap, max(date_diff('day', d1, ref_date)) FILTER (r IS NOT NULL) AS end_gap, max(date_diff('day', cap_date, start)) FILTER (r IS NOT NULL) AS cap_gap FROM r GROUP BY 1, 2, 3),
+h AS (SELECT *, included / registered AS cc, CASE WHEN unknown = 0 THEN used / alls END AS vc FROM g)"""
+
+
+def _returns(spark, sf):
     dates = S.quarter_facts(spark, sf).select(F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1))).alias("ref_date")).distinct()
     reg = S.registry(spark, sf)
-    spine = reg.select("sector").distinct().join(dates, how="cross")
-    out = market.sector_returns(S.market_caps(spark, sf), S.prices(spark, sf), reg, spine)
-    return out.select("sector", "ref_date", "horizon", "registered", "included", F.round("value_coverage", 6).alias("value_coverage"), F.round("weighted_return", 6).alias("weighted_return"))
+    return market.sector_returns(S.market_caps(spark, sf), S.prices(spark, sf), reg, reg.select("sector").distinct().join(dates, how="cross"))
+
+
+@query("f13_sector_returns", f"{_RETURNS} SELECT sector, ref_date, CAST(horizon AS INTEGER) AS horizon, registered, included, round(vc, 6) AS value_coverage, CASE WHEN cc >= 0.7 AND (vc IS NULL OR vc >= 0.7) THEN round(wr / used, 6) END AS weighted_return, excluded FROM h")
+def f13(spark, sf):
+    excluded = F.array_join(F.transform("excluded", lambda r: F.concat_ws(":", r["company"].cast("string"), r["reason"])), ",")
+    return _returns(spark, sf).select("sector", "ref_date", "horizon", "registered", "included", F.round("value_coverage", 6).alias("value_coverage"), F.round("weighted_return", 6).alias("weighted_return"), excluded.alias("excluded"))
+
+
+@query("f14_return_diagnostics", f"""{_RETURNS}, k AS (SELECT *, lag(nullif(used, 0) IGNORE NULLS) OVER (PARTITION BY sector, horizon ORDER BY ref_date) AS prev FROM h), z AS (SELECT *, CASE WHEN used IS NOT NULL AND prev IS NOT NULL THEN greatest(used, prev) / nullif(least(used, prev), 0) END AS ratio FROM k)
+SELECT sector, ref_date, CAST(horizon AS INTEGER) AS horizon, round(top / used, 6) AS top_weight, top_company, round(ratio, 6) AS cap_change, CAST(start_gap AS INTEGER) AS start_gap_days, CAST(end_gap AS INTEGER) AS end_gap_days, CAST(cap_gap AS INTEGER) AS cap_gap_days,
+concat_ws(',', CASE WHEN cc < 0.7 THEN 'low_count_coverage' END, CASE WHEN unknown > 0 THEN 'unknown_value_coverage' END, CASE WHEN vc < 0.7 THEN 'low_value_coverage' END, CASE WHEN top / used > 0.8 THEN 'concentrated' END, CASE WHEN ratio >= 10 THEN 'cap_change_10x' END) AS messages FROM z""")
+def f14(spark, sf):
+    d = market.return_diagnostics(_returns(spark, sf))
+    return d.select("sector", "ref_date", "horizon", F.round("top_weight", 6).alias("top_weight"), "top_company", F.round("cap_change", 6).alias("cap_change"), "start_gap_days", "end_gap_days", "cap_gap_days", F.array_join("messages", ",").alias("messages"))
 
 
 @query("f16_top_k", f"{_SECTOR_CAPS}, r AS (SELECT sector, ref_date, company, round(market_cap, 4) AS market_cap, CAST(row_number() OVER (PARTITION BY sector, ref_date ORDER BY market_cap DESC, company) AS INTEGER) AS rank FROM c WHERE ok) SELECT * FROM r WHERE rank <= 5")

@@ -42,12 +42,12 @@ def a10(spark, sf):
     return links.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n")).withColumn("looks_like_document", F.lower("url").rlike(r"\.pdf|release|resultado"))
 
 
-@query("a12_manifest_merge", f"""{_O}, o AS (SELECT ticker, metric, year, q, value, ordinal, 0 AS g FROM observations WHERE ordinal % 2 = 0 UNION ALL SELECT ticker, metric, year, q, value * 2, ordinal, 1 FROM observations WHERE ordinal % 6 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY g DESC, ordinal DESC) k FROM o)
+@query("a12_manifest_merge", f"""{_O}, o AS (SELECT ticker, metric, year, q, CASE WHEN ordinal % 6 = 1 THEN value * 2 ELSE value END AS value, ordinal, CASE WHEN ordinal % 6 = 1 THEN 1 ELSE 0 END AS g FROM observations), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY g DESC, ordinal DESC) k FROM o)
 SELECT ticker, metric, year, q, CAST(value AS DOUBLE) AS value, ordinal FROM r WHERE k = 1""")
 def a12(spark, sf):
-    o = S.observations(spark, sf).select(*_KEY, "value", "ordinal")
-    new = o.filter("ordinal % 6 = 1").withColumn("value", (F.col("value") * 2).cast("decimal(18,4)"))
-    return _dbl(governance.merge_manifest(o.filter("ordinal % 2 = 0"), new, _KEY), "value")
+    o = S.observations(spark, sf).select(*_KEY, "value", "ordinal").withColumn("renewed", F.col("ordinal") % 6 == 1)  # every row is on one side
+    new = o.filter("renewed").drop("renewed").withColumn("value", (F.col("value") * 2).cast("decimal(18,4)"))
+    return _dbl(governance.merge_manifest(o.filter("not renewed").drop("renewed"), new, _KEY), "value")
 
 
 @query("g01_attach_period", """WITH c AS (SELECT o_custkey % 50 AS doc, o_custkey % 7 AS col, o_orderkey AS row, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS hp FROM orders)
@@ -113,18 +113,34 @@ def g10(spark, sf):
     return evidence.derive_ratio(S.observations(spark, sf), "purchase", "view", "ratio").select("ticker", "year", "q", "scope", F.round("value", 6).alias("value"), "reason")
 
 
-@query("g11_contract", f"""{_O} SELECT ordinal, concat_ws(',', CASE WHEN metric NOT IN ('view', 'click', 'purchase') THEN 'unknown_metric' END, CASE WHEN value IS NULL THEN 'missing_value' END, CASE WHEN count(*) OVER (PARTITION BY ticker, metric, year, q, scope) > 1 THEN 'duplicate_key' END) AS errors FROM observations""")
-def g11(spark, sf):
-    return evidence.check_observations(S.observations(spark, sf), ["view", "click", "purchase"], [*_KEY, "scope"]).select("ordinal", F.array_join("errors", ",").alias("errors"))
+_UNITS = [("view", "n"), ("click", "n"), ("purchase", "BRL")]
 
 
-@query("g12_vso", f"""{_O}, g AS (SELECT ticker, source AS basis, year, q, max(value) FILTER (metric = 'purchase') s, max(value) FILTER (metric = 'click') l, max(value) FILTER (metric = 'view') i FROM observations GROUP BY 1, 2, 3, 4),
-w AS (SELECT *, last_value(i IGNORE NULLS) OVER (PARTITION BY ticker, basis ORDER BY year * 4 + q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) o FROM g), t AS (SELECT *, CASE WHEN s IS NULL OR l IS NULL OR o IS NULL THEN 'missing' WHEN o + l <= 0 THEN 'non_positive_base' ELSE 'ok' END AS status FROM w)
-SELECT ticker, basis, year, q, CASE WHEN status = 'ok' THEN round(CAST(s AS DOUBLE) / CAST(o + l AS DOUBLE), 6) END AS vso, status FROM t""")
+@query("g11_contract", f"""{_O}, t AS (SELECT ordinal, ticker, metric, scope, CASE WHEN ordinal % 13 = 0 THEN '1T2x' WHEN ordinal % 7 = 0 THEN CAST(year AS VARCHAR) ELSE q || 'T' || CAST(year % 100 AS VARCHAR) END AS period, CASE WHEN ordinal % 17 = 0 THEN CAST('NaN' AS DOUBLE) WHEN ordinal % 19 = 0 THEN NULL ELSE CAST(value AS DOUBLE) END AS v,
+  CASE WHEN ordinal % 6 = 0 THEN 'BRL' ELSE 'n' END AS unit, CASE ordinal % 3 WHEN 0 THEN 'reported' WHEN 1 THEN 'derived' END AS nature, CASE WHEN ordinal % 5 = 0 THEN '' ELSE 'd' END AS doc, CASE WHEN ordinal % 4 <> 0 THEN 'a / b' END AS formula FROM observations)
+SELECT ordinal, CASE WHEN metric NOT IN ('view', 'click', 'purchase') THEN 'unknown_metric' ELSE concat_ws(',', CASE WHEN ticker <> 'T1' THEN 'ticker_mismatch' END, CASE WHEN v IS NULL OR isnan(v) THEN 'missing_value' END, CASE WHEN period = '1T2x' THEN 'bad_period' END,
+CASE WHEN row_number() OVER (PARTITION BY ticker, metric, period, scope ORDER BY ordinal) > 1 THEN 'duplicate_key' END, CASE WHEN unit <> CASE metric WHEN 'purchase' THEN 'BRL' ELSE 'n' END THEN 'unit_mismatch' END, CASE WHEN nature = 'reported' AND doc = '' THEN 'missing_source_document' END, CASE WHEN nature = 'derived' AND formula IS NULL THEN 'missing_formula' END, CASE WHEN nature IS NULL THEN 'missing_nature' END) END AS errors FROM t""")
+def g11(spark, sf):
+    k = F.col("ordinal")
+    label = F.concat(F.col("q").cast("string"), F.lit("T"), (F.col("year") % 100).cast("string"))
+    o = S.observations(spark, sf).select(
+        "ordinal", "ticker", "metric", "scope", F.when(k % 13 == 0, "1T2x").when(k % 7 == 0, F.col("year").cast("string")).otherwise(label).alias("period"), F.when(k % 17 == 0, float("nan")).when(k % 19 == 0, None).otherwise(F.col("value").cast("double")).alias("value"),
+        F.when(k % 6 == 0, "BRL").otherwise("n").alias("unit"), F.when(k % 3 == 0, "reported").when(k % 3 == 1, "derived").alias("nature"), F.when(k % 5 == 0, "").otherwise("d").alias("source_document"), F.when(k % 4 != 0, "a / b").alias("formula"),
+    )
+    rules = spark.createDataFrame(_UNITS, "metric string, unit string")
+    return evidence.check_observations(o, rules, ["ticker", "metric", "period", "scope"], "t1").select("ordinal", F.array_join("errors", ",").alias("errors"))
+
+
+@query("g12_vso", f"""{_O}, g AS (SELECT ticker, CASE WHEN ordinal % 11 = 0 THEN 'unknown' ELSE source END AS basis, year, q, year * 4 + q AS i, max(value) FILTER (metric = 'purchase') s, max(value) FILTER (metric = 'click') l, max(value) FILTER (metric = 'view') inv FROM observations WHERE (CAST(substr(ticker, 2) AS INTEGER) + year + q) % 5 <> 0 GROUP BY 1, 2, 3, 4, 5),
+e AS (SELECT a.ticker, a.i, max(b.i) AS before FROM (SELECT DISTINCT ticker, i FROM g) a LEFT JOIN (SELECT DISTINCT ticker, i FROM g) b ON a.ticker = b.ticker AND b.i < a.i GROUP BY 1, 2),
+w AS (SELECT g.*, o.inv AS o FROM g JOIN e USING (ticker, i) LEFT JOIN g o ON o.ticker = g.ticker AND o.basis = g.basis AND o.i = e.before), t AS (SELECT *, CASE WHEN s IS NULL OR l IS NULL OR o IS NULL THEN 'missing_components' WHEN basis = 'unknown' THEN 'incompatible_basis' WHEN o + l <= 0 THEN 'invalid_denominator' ELSE 'derived' END AS calculation_status FROM w),
+r AS (SELECT *, abs(CAST(inv - (o + l - s) AS DOUBLE)) AS gap FROM t)
+SELECT ticker, basis, year, q, CASE WHEN calculation_status = 'derived' THEN round(CAST(s AS DOUBLE) / CAST(o + l AS DOUBLE), 6) END AS vso, calculation_status, CASE WHEN calculation_status <> 'derived' OR gap IS NULL THEN 'not_calculable' WHEN gap <= 1e-9 THEN 'reconciled' WHEN gap / greatest(abs(CAST(o + l AS DOUBLE)), 1) <= 0.05 THEN 'immaterial_difference' ELSE 'material_difference' END AS reconciliation FROM r""")
 def g12(spark, sf):
     m = F.when(F.col("metric") == "purchase", "net_sales").when(F.col("metric") == "click", "launches").when(F.col("metric") == "view", "inventory").otherwise("none")
-    o = S.observations(spark, sf).withColumns({"metric": m, "basis": F.col("source")})
-    return evidence.vso(o).select("ticker", "basis", "year", "q", F.round("vso", 6).alias("vso"), "status")
+    o = S.observations(spark, sf).filter("(cast(substr(ticker, 2) as int) + year + q) % 5 <> 0")
+    o = o.withColumns({"metric": m, "basis": F.when(F.col("ordinal") % 11 == 0, "unknown").otherwise(F.col("source"))})
+    return evidence.vso(o).select("ticker", "basis", "year", "q", F.round("vso", 6).alias("vso"), "calculation_status", "reconciliation")
 
 
 @query("g15_annualize", f"""{_O}, b AS (SELECT ticker, metric, CASE WHEN metric IN ('view', 'error') THEN 'stock' WHEN metric = 'signup' THEN 'ratio' ELSE 'flow' END nature, year, q, max(value) v FROM observations WHERE ticker <> 'T1' GROUP BY 1, 2, 3, 4, 5), g AS (SELECT ticker, metric, nature, year, count(*) n, sum(v) s, max(v) FILTER (q = 4) l FROM b GROUP BY 1, 2, 3, 4),
@@ -138,12 +154,21 @@ def g15(spark, sf):
     return _dbl(evidence.annualize(quarters.unionByName(annual), ["ticker", "metric"]).select("ticker", "metric", "year", "value", "origin"), "value")
 
 
-@query("g16_quarantine", f"""{_O}, t AS (SELECT ordinal, value, ordinal % 9 = 0 AS brk, CASE WHEN ordinal % 4 = 0 THEN CAST(value AS DOUBLE) * 10000 * 1000 ELSE CAST(value AS DOUBLE) * 10000 END AS ev FROM observations)
-SELECT ordinal, CASE WHEN brk THEN 'breakdown_as_total' WHEN value <> 0 AND floor(ev) / abs(CAST(value AS DOUBLE)) > 20000 THEN 'scale_incompatible_with_evidence' END AS rejection_reason FROM t""")
+_LABELS = ("Por Região - Sul", "Total by product", "By Region", "Vendas por produto", "Região Sul", "Total")
+
+
+@query("g16_quarantine", f"""{_O}, t AS (SELECT ordinal, CAST(value AS DOUBLE) AS v, CAST(floor(value) AS BIGINT) + 1 AS n, (ordinal % 6) IN (0, 2, 3) AS brk, ordinal % 5 AS k FROM observations),
+e AS (SELECT *, CASE k WHEN 0 THEN [n * 1000.0, n * 500.0] WHEN 1 THEN [n * 1000.0, n] WHEN 2 THEN [n * 1000.0, n * 1000.0, n * 1000.0, n * 1000.0] WHEN 3 THEN [n] END AS x FROM t)
+SELECT ordinal, CASE WHEN brk THEN 'breakdown_as_total' WHEN v <> 0 AND list_min(x) / abs(v) > 100 THEN 'scale_incompatible_with_evidence' END AS rejection_reason FROM e""")
 def g16(spark, sf):
     o = S.observations(spark, sf)
-    ev = F.floor(F.when(F.col("ordinal") % 4 == 0, F.col("value").cast("double") * 10000 * 1000).otherwise(F.col("value").cast("double") * 10000)).cast("string")
-    rows = o.withColumns({"label": F.when(F.col("ordinal") % 9 == 0, "Por Região - Sul").otherwise("Total"), "evidence": F.concat(F.lit("valor "), ev), "value": (F.col("value") * 200).cast("decimal(18,4)")})
+    n = F.floor("value").cast("long") + 1
+    bold = lambda *xs: F.concat(*[F.concat(F.lit("| **"), x.cast("string"), F.lit("** ")) for x in xs])
+    k = F.col("ordinal") % 5
+    # the fifth bold number does not count; numbers that are not bold do not either; thousands of the unit are scaled
+    text = F.when(k == 0, bold(n * 1000, n * 500)).when(k == 1, bold(n * 1000, n)).when(k == 2, bold(n * 1000, n * 1000, n * 1000, n * 1000, n)).when(k == 3, bold(n * 1000)).otherwise(F.concat((n * 1000).cast("string"), F.lit(" mil")))
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("ordinal") % 6 + 1).cast("int"))
+    rows = o.withColumns({"label": label, "evidence": text, "unit": F.when(k == 3, "R$ mil")})
     return evidence.quarantine(rows).select("ordinal", "rejection_reason")
 
 
@@ -186,9 +211,11 @@ def g22(spark, sf):
     return evidence.preserve_snapshot(o.filter("year = 2023").filter(~third), o.filter("year = 2022")).select("ordinal", "status")
 
 
-@query("g24_latest_metric", f"{_O}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric ORDER BY year DESC, q DESC, ordinal DESC) k FROM observations WHERE confidence <> 'low') SELECT ticker, metric, year, q, CAST(value AS DOUBLE) AS value FROM r WHERE k = 1")
+# first quarters stand in for annual rows, which rank after the fourth quarter
+@query("g24_latest_metric", f"{_O}, t AS (SELECT *, CASE WHEN q > 1 THEN q END AS p FROM observations WHERE confidence <> 'low'), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric ORDER BY year DESC, coalesce(p, 5) DESC, ordinal DESC) k FROM t) SELECT ticker, metric, year, p AS q, CAST(value AS DOUBLE) AS value FROM r WHERE k = 1")
 def g24(spark, sf):
-    return _dbl(evidence.latest_metric(S.observations(spark, sf)).select(*_KEY, "value"), "value")
+    o = S.observations(spark, sf).withColumn("q", F.when(F.col("q") > 1, F.col("q")))
+    return _dbl(evidence.latest_metric(o).select(*_KEY, "value"), "value")
 
 
 @query("g25_priority", f"{_O}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker, year, q ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 3 END, ordinal) k FROM observations) SELECT ticker, year, q, ordinal, confidence FROM r WHERE k = 1")
@@ -206,11 +233,11 @@ def g26(spark, sf):
     return evidence.benchmark(e, o.filter("source = 'spreadsheet'"))
 
 
-_OVR = "ovr AS (SELECT *, CASE WHEN ordinal % 4 = 3 THEN 'deleted' ELSE 'active' END AS status FROM observations WHERE ordinal % 11 < 4)"
+_OVR = "ovr AS (SELECT *, CASE WHEN ordinal % 4 = 3 THEN 'deleted' ELSE 'active' END AS status FROM observations)"
 
 
 def _overrides(spark, sf):
-    return S.observations(spark, sf).filter("ordinal % 11 < 4").withColumn("status", F.when(F.col("ordinal") % 4 == 3, "deleted").otherwise("active"))
+    return S.observations(spark, sf).withColumn("status", F.when(F.col("ordinal") % 4 == 3, "deleted").otherwise("active"))
 
 
 @query("h02_one_active", f"{_O}, {_OVR} SELECT ordinal, CASE WHEN status = 'active' AND row_number() OVER (PARTITION BY ticker, metric, year, q, status ORDER BY ordinal DESC) > 1 THEN 'superseded' ELSE status END AS status FROM ovr")
@@ -218,34 +245,41 @@ def h02(spark, sf):
     return governance.normalize_overrides(_overrides(spark, sf)).select("ordinal", "status")
 
 
-@query("h03_upsert", f"""{_O}, b AS (SELECT ticker, metric, year, q, max(value) v FROM observations WHERE ordinal % 3 = 0 GROUP BY 1, 2, 3, 4), c AS (SELECT ticker, metric, year, q, max(value) n, CASE WHEN year % 2 = 0 THEN 'upsert' ELSE 'delete' END op FROM observations WHERE ordinal % 5 = 0 GROUP BY 1, 2, 3, 4)
+# every row is a base row or a change
+@query("h03_upsert", f"""{_O}, b AS (SELECT ticker, metric, year, q, max(value) v FROM observations WHERE ordinal % 3 <> 1 GROUP BY 1, 2, 3, 4), c AS (SELECT ticker, metric, year, q, max(value) n, CASE WHEN year % 2 = 0 THEN 'upsert' ELSE 'delete' END op FROM observations WHERE ordinal % 3 = 1 GROUP BY 1, 2, 3, 4)
 SELECT ticker, metric, year, q, CAST(CASE WHEN op = 'upsert' THEN n ELSE coalesce(v, n) END AS DOUBLE) AS value, CASE WHEN op = 'delete' THEN 'deleted' ELSE 'active' END AS status FROM b FULL JOIN c USING (ticker, metric, year, q)""")
 def h03(spark, sf):
-    o = S.observations(spark, sf)
-    b = o.filter("ordinal % 3 = 0").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("status", F.lit("active"))
-    c = o.filter("ordinal % 5 = 0").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("op", F.when(F.col("year") % 2 == 0, "upsert").otherwise("delete"))
+    o = S.observations(spark, sf).withColumn("change", F.col("ordinal") % 3 == 1)
+    b = o.filter("not change").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("status", F.lit("active"))
+    c = o.filter("change").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("op", F.when(F.col("year") % 2 == 0, "upsert").otherwise("delete"))
     return _dbl(governance.upsert_overrides(b, c), "value")
 
 
-@query("h04_supersession", f"""{_O}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY CASE confidence WHEN 'high' THEN 0 ELSE 1 END, ordinal DESC) k FROM observations WHERE confidence IN ('high', 'medium') AND ordinal % 3 = 0), m AS (SELECT ordinal, ticker, metric, year, q, value * 3 AS value FROM observations WHERE ordinal % 11 = 0)
+# every row is an automatic observation or an override
+@query("h04_supersession", f"""{_O}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY CASE confidence WHEN 'high' THEN 0 ELSE 1 END, ordinal DESC) k FROM observations WHERE confidence IN ('high', 'medium') AND ordinal % 11 <> 0), m AS (SELECT ordinal, ticker, metric, year, q, value * 3 AS value FROM observations WHERE ordinal % 11 = 0)
 SELECT m.ordinal, CASE WHEN a.confidence IS NULL THEN 'active' ELSE 'superseded' END AS status, CAST(coalesce(a.value, m.value) AS DOUBLE) AS used_value FROM m LEFT JOIN a ON k = 1 AND m.ticker = a.ticker AND m.metric = a.metric AND m.year = a.year AND m.q = a.q""")
 def h04(spark, sf):
-    o = S.observations(spark, sf)
-    m = o.filter("ordinal % 11 = 0").select("ordinal", *_KEY, (F.col("value") * 3).cast("decimal(18,4)").alias("value"))
-    return _dbl(governance.resolve_overrides(o.filter("ordinal % 3 = 0"), m).select("ordinal", "status", "used_value"), "used_value")
+    o = S.observations(spark, sf).withColumn("manual", F.col("ordinal") % 11 == 0)
+    m = o.filter("manual").select("ordinal", *_KEY, (F.col("value") * 3).cast("decimal(18,4)").alias("value"))
+    return _dbl(governance.resolve_overrides(o.filter("not manual").drop("manual"), m).select("ordinal", "status", "used_value"), "used_value")
 
 
 _L = f"WITH {S.LIFECYCLE}"
 
 
-@query("i01_transitions", f"""{_L}, w AS (SELECT *, lag(state) OVER v AS p, coalesce(max(CASE WHEN state IN ('published', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY at_ts, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM lifecycle WINDOW v AS (PARTITION BY document ORDER BY at_ts, ordinal))
-SELECT ordinal, CASE WHEN ended = 1 THEN 'after_terminal_state' WHEN p IS NULL AND state <> 'discovered' THEN 'illegal_transition' WHEN p = 'discovered' AND state NOT IN ('downloaded', 'error') THEN 'illegal_transition' WHEN p = 'downloaded' AND state NOT IN ('extracted', 'error') THEN 'illegal_transition' WHEN p = 'extracted' AND state NOT IN ('published', 'error') THEN 'illegal_transition' END AS error FROM w""")
+_NEXT = ", ".join(f"('{a}', '{b}')" for a, bs in governance.TRANSITIONS.items() for b in bs)
+_END = "'published', 'preserved_existing', 'rejected', 'unresolved', 'extraction_error'"
+
+
+@query("i01_transitions", f"""{_L}, nx(a, b) AS (VALUES {_NEXT}), w AS (SELECT *, lag(state) OVER v AS p, coalesce(max(CASE WHEN state IN ({_END}) THEN 1 ELSE 0 END) OVER (PARTITION BY document ORDER BY at_ts, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM lifecycle WINDOW v AS (PARTITION BY document ORDER BY at_ts, ordinal))
+SELECT ordinal, CASE WHEN state = 'archived' THEN 'unknown_state' WHEN ended = 1 THEN 'after_terminal_state' WHEN state <> 'discovered' AND NOT EXISTS (SELECT 1 FROM nx WHERE a = p AND b = state) THEN 'illegal_transition' END AS error FROM w""")
 def i01(spark, sf):
     return governance.check_transitions(S.lifecycle(spark, sf)).select("ordinal", "error")
 
 
-@query("i02_run_summary", f"""{_L}, r AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY at_ts DESC, ordinal DESC) k FROM lifecycle), d AS (SELECT document % 10 AS run, document, max(state) FILTER (k = 1) l, bool_or(state = 'extracted') x, count(*) n FROM r GROUP BY 1, 2)
-SELECT run, count(*) AS found, count(*) FILTER (x) AS processed, count(*) FILTER (l = 'published') AS published, count(*) FILTER (l = 'error') AS errors, CAST(sum(n) AS BIGINT) AS events, CASE WHEN count(*) FILTER (x) = 0 THEN 'none' WHEN count(*) FILTER (x) = count(*) THEN 'complete' ELSE 'partial' END AS coverage FROM d GROUP BY 1""")
+@query("i02_run_summary", f"""{_L}, r AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY at_ts DESC, ordinal DESC) k FROM lifecycle), d AS (SELECT document % 10 AS run, document, max(state) FILTER (k = 1) l, bool_or(state = 'accepted') x, max_by(observations_count, ordinal) FILTER (observations_count IS NOT NULL) o, count(*) n FROM r GROUP BY 1, 2)
+SELECT run, count(*) AS found, count(*) FILTER (x) AS accepted, count(*) FILTER (l IN ('read', 'company_resolved', 'parsed', 'validated', 'published')) AS processed, count(*) FILTER (o > 0) AS with_observations, count(*) FILTER (l = 'unresolved') AS unresolved, count(*) FILTER (l = 'extraction_error') AS errors, count(*) FILTER (l = 'rejected') AS rejected, count(*) FILTER (l = 'published') AS published,
+CAST(sum(n) AS BIGINT) AS events, CASE WHEN count(*) FILTER (l IN ('read', 'company_resolved', 'parsed', 'validated', 'published')) = 0 THEN 'none' WHEN count(*) FILTER (l IN ('read', 'company_resolved', 'parsed', 'validated', 'published')) = count(*) THEN 'complete' ELSE 'partial' END AS coverage FROM d GROUP BY 1""")
 def i02(spark, sf):
     return governance.run_summary(S.lifecycle(spark, sf).withColumn("run", F.col("document") % 10), ["run"])
 

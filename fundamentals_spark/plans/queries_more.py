@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fundamentals_spark.functions import text as T
 from fundamentals_spark.operators import accounts, evidence, filings, governance, indicators, market
 from fundamentals_spark.plans import standins as S
-from fundamentals_spark.plans.queries_core import _DEBT, _TWO, _two_sources
+from fundamentals_spark.plans.queries_core import _DEBT, _TWO, _VALIDATED, _two_sources
 from fundamentals_spark.sources import files
 
 QUERIES, SQL = {}, {}
@@ -65,11 +65,18 @@ def b10(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", T.parse_doc_name(name).alias("n")).select("o_orderkey", "n.ticker", "n.period", "n.type")
 
 
-@query("b11_document_type", """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 'RELEASE_RESULTADOS' WHEN page_id % 5 = 2 THEN 'APRESENTACAO' WHEN page_id % 5 = 3 THEN 'DFP' END AS type FROM pages""")
+_TITLES = (
+    "Vídeo do release de resultados", "Release de resultados e apresentação de resultados", "Apresentação de resultados", "DFP anual", "Transcrição da teleconferência", "Planilha de fundamentos", "Prévia operacional (Excel)",
+    "Webcast ao vivo", "Webcast", "Informações trimestrais", "Relatório de resultados", "Calendário de eventos", "Operational preview", "Earnings presentation", "Outros",
+)
+_KINDS = (None, "RELEASE_RESULTADOS", "APRESENTACAO_RESULTADOS", "DEMONSTRACOES_FINANCEIRAS", "TRANSCRICAO_WEBCAST", "PLANILHA_RESULTADOS", "PLANILHA_RESULTADOS", None, None, "DEMONSTRACOES_FINANCEIRAS", "RELEASE_RESULTADOS", None, "PREVIA_OPERACIONAL", "APRESENTACAO_RESULTADOS", None)
+
+
+# the path of the page's address stands before the title, so that the terms are found inside a longer text
+@query("b11_document_type", """SELECT page_id, CASE WHEN regexp_matches(lower(url), 'audio|video|calendar') THEN NULL WHEN regexp_matches(lower(url), 'xlsx|excel|spreadsheet|itr|dfp|transcript') THEN '?' ELSE ([""" + ", ".join("NULL" if k is None else f"'{k}'" for k in _KINDS) + """])[CAST(length(html) % 15 AS INTEGER) + 1] END AS type FROM pages""")
 def b11(spark, sf):
-    k = F.col("page_id") % 5
-    title = F.when(k == 0, "Vídeo do release").when(k == 1, "Release e apresentação").when(k == 2, "Apresentação da DFP").when(k == 3, "dfp anual").otherwise("Outros")
-    return read(spark, sf, "pages").select("page_id", T.classify_document(title).alias("type"))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.length("html") % 15 + 1).cast("int"))
+    return read(spark, sf, "pages").select("page_id", T.classify_document(F.concat_ws(" ", "url", title)).alias("type"))
 
 
 @query("c01_identity", """WITH r AS (SELECT c_custkey AS company, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, 'N' || c_custkey AS cnpj FROM customer WHERE c_custkey % 10 <> 9), f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS code, 'N' || CASE WHEN o_orderkey % 25 = 1 THEN o_custkey + 1 ELSE o_custkey END AS cnpj FROM orders),
@@ -106,10 +113,19 @@ def c10(spark, sf):
     return filings.canonicalize_ticker(S.observations(spark, sf), a).select("ordinal", "ticker")
 
 
-@query("d09_pick_periods", f"""WITH {S.YTD} SELECT company, year, q, CAST(revenue AS DOUBLE) AS revenue FROM ytd_facts WHERE q = 4 AND is_ytd""")
+# three rows a key: the filed one, one of a later reference year that must lose, and a later restatement that must win
+@query("d09_pick_periods", f"""WITH {S.MIXED}, f AS (SELECT *, last_day(make_date(year, q * 3, 1)) AS e FROM mixed_facts), p AS (SELECT company, year, q, is_ytd, revenue, e AS ref_date, true AS same FROM f UNION ALL SELECT company, year, q, is_ytd, revenue + 1, e + 365, false FROM f WHERE company % 3 = 0 UNION ALL SELECT company, year, q, is_ytd, revenue + 2, e + 10, true FROM f WHERE company % 4 = 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY company, year ORDER BY same DESC, ref_date DESC) k FROM p WHERE q = 4 AND is_ytd), b AS (SELECT *, row_number() OVER (PARTITION BY company, year, q ORDER BY same DESC, is_ytd AND q = 4 DESC, ref_date DESC) k FROM p WHERE NOT is_ytd OR q = 1)
+SELECT 'annual' AS view, company, year, q, CAST(revenue AS DOUBLE) AS revenue FROM a WHERE k = 1 UNION ALL SELECT 'quarterly', company, year, q, CAST(revenue AS DOUBLE) FROM b WHERE k = 1""")
 def d09(spark, sf):
-    y = S.ytd_facts(spark, sf).withColumns({"ref_date": F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1))), "end_date": F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1))), "ordinal": F.col("q")})
-    return accounts.pick_periods(y, "annual", ["company"]).select("company", "year", "q", F.col("revenue").cast("double").alias("revenue"))
+    f = S.mixed_facts(spark, sf).withColumns({"end_date": F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1))), "ordinal": F.col("q")})
+    money = lambda n: (F.col("revenue") + n).cast("decimal(38,4)")
+    filed = f.withColumns({"ref_date": F.col("end_date"), "same_reference_year": F.lit(True), "revenue": money(0)})
+    other = f.filter("company % 3 = 0").withColumns({"ref_date": F.date_add("end_date", 365), "same_reference_year": F.lit(False), "revenue": money(1)})
+    later = f.filter("company % 4 = 1").withColumns({"ref_date": F.date_add("end_date", 10), "same_reference_year": F.lit(True), "revenue": money(2)})
+    rows = filed.unionByName(other).unionByName(later)
+    views = [accounts.pick_periods(rows, v, ["company"]).select(F.lit(v).alias("view"), "company", "year", "q", F.col("revenue").cast("double").alias("revenue")) for v in ("annual", "quarterly")]
+    return views[0].unionByName(views[1])
 
 
 @query("e03_depreciation", f"""WITH {S.YTD}, d AS (SELECT company, year, q, is_ytd, revenue v FROM ytd_facts WHERE company % 2 = 0 OR q <> 2), i AS (SELECT company, year, q, v FROM d WHERE NOT is_ytd), y AS (SELECT company, year, q, v FROM d WHERE is_ytd)
@@ -146,25 +162,31 @@ def e20(spark, sf):
     return out.select("company", "net_debt", F.round("ev_ebitda_last_annual", 6).alias("ev_ebitda_last_annual"))
 
 
-@query("f07_historic_market_cap", f"""{_TWO}, z AS (SELECT *, official * coalesce(scale, proven, 1) AS sc FROM v), st AS (SELECT *, CASE WHEN market > 0 AND official > 0 THEN CASE WHEN scale IS NOT NULL AND abs(sc - market) / CAST(market AS DOUBLE) <= 0.05 THEN market END WHEN market > 0 THEN market WHEN official > 0 AND proven IS NOT NULL THEN official * proven END AS qty FROM z),
-p AS (SELECT *, coalesce(product(CASE WHEN split_factor > 0 THEN split_factor ELSE 1 END) OVER (PARTITION BY company ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) fut FROM prices)
-SELECT st.company, st.date, round(round(close * fut, 6) * qty, 2) AS market_cap FROM st JOIN p ON st.company = p.company AND st.date = p.date""")
+@query("f07_historic_market_cap", f"""{_TWO}, {_VALIDATED}, p AS (SELECT *, coalesce(product(CASE WHEN split_factor > 0 THEN split_factor ELSE 1 END) OVER (PARTITION BY company ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) fut FROM prices)
+SELECT sq.company, sq.date, round(round(close * fut, 6) * quantity / 1e6, 3) AS market_cap_millions FROM sq JOIN p ON sq.company = p.company AND sq.date = p.date""")
 def f07(spark, sf):
     s = _two_sources(spark, sf).withColumnRenamed("date", "at")
-    return market.historic_market_cap(S.prices(spark, sf), s).select("company", F.col("at").alias("date"), F.round("market_cap", 2).alias("market_cap"))
+    return market.historic_market_cap(S.prices(spark, sf), s).select("company", F.col("at").alias("date"), F.round(F.col("market_cap") / 1e6, 3).alias("market_cap_millions"))
 
 
-@query("f10_current_market_cap", f"""WITH {S.PRICES}, p AS (SELECT company, max_by(close, date) price, max_by(CAST(floor(close) AS BIGINT), date) sh FROM prices GROUP BY 1), c AS (SELECT CAST(c_nationkey AS INTEGER) company, sum(c_custkey) q FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1)
-SELECT p.company, CASE WHEN coalesce(abs(q - sh) / CAST(q AS DOUBLE) <= 0.05, true) THEN round(price * sh, 2) END AS market_cap, CASE WHEN coalesce(abs(q - sh) / CAST(q AS DOUBLE) <= 0.05, true) THEN 'ok' ELSE 'class_divergence' END AS status FROM p LEFT JOIN c USING (company)""")
+# two classes for even companies; the second one's quantity is what the last shares leave, times a company's factor, and lacks for company 6
+@query("f10_current_market_cap", f"""WITH {S.PRICES}, p AS (SELECT company, max_by(close, date) price, max_by(CAST(floor(close) AS BIGINT) * 3, date) sh FROM prices GROUP BY 1),
+c AS (SELECT company, sh AS quantity, 1.0 AS weight, price AS cp FROM p WHERE company % 2 = 0 UNION ALL SELECT company, CASE WHEN company <> 6 THEN CAST(floor(sh * (company % 5) / 100) AS BIGINT) END, 2.0, price / 2 FROM p WHERE company % 2 = 0),
+g AS (SELECT company, CAST(sum(quantity * weight) AS DOUBLE) eq, CAST(sum(quantity * weight * cp) AS DOUBLE) v, count(*) FILTER (quantity IS NULL) bad FROM c GROUP BY 1)
+SELECT p.company, CASE WHEN eq IS NULL THEN round(price * sh, 2) WHEN bad = 0 AND abs(sh - eq) / eq <= 0.05 THEN round(v, 2) END AS market_cap, CASE WHEN eq IS NULL THEN 'single_class' WHEN bad > 0 THEN 'missing_share_class_data' WHEN abs(sh - eq) / eq <= 0.05 THEN 'validated_class_sum' ELSE 'shares_discrepancy' END AS status FROM p LEFT JOIN g USING (company)""")
 def f10(spark, sf):
     p = S.prices(spark, sf)
-    c = read(spark, sf, "customer").filter("c_nationkey % 2 = 0").select(F.col("c_nationkey").cast("int").alias("company"), F.col("c_custkey").alias("quantity"))
-    return market.current_market_cap(p, p.select("company", "date", F.floor("close").cast("long").alias("shares")), c).select("company", F.round("market_cap", 2).alias("market_cap"), "status")
+    shares = p.select("company", "date", (F.floor("close").cast("long") * 3).alias("shares"))
+    last = p.groupBy("company").agg(F.max_by("close", "date").alias("price"), F.max_by(F.floor("close").cast("long") * 3, "date").alias("sh")).filter("company % 2 = 0")
+    ordinary = last.select("company", F.col("sh").alias("quantity"), F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("price"))
+    preferred = last.select("company", F.when(F.col("company") != 6, F.floor(F.col("sh") * (F.col("company") % 5) / 100).cast("long")).alias("quantity"), F.lit(2.0).alias("weight"), (F.col("price") / 2).alias("price"))
+    return market.current_market_cap(p, shares, ordinary.unionByName(preferred)).select("company", F.round("market_cap", 2).alias("market_cap"), "status")
 
 
-@query("f15_valid_caps", f"WITH {S.MARKET_CAPS} SELECT company, ref_date, coalesce(market_cap > 0 AND status <> 'shares_discrepancy', false) AS valid FROM market_caps")
+@query("f15_valid_caps", f"WITH {S.MARKET_CAPS} SELECT company, ref_date, {S.VALID_CAP} AS valid FROM market_caps")
 def f15(spark, sf):
-    return S.market_caps(spark, sf).select("company", "ref_date", market.is_valid_market_cap(F.col("market_cap"), F.col("status")).alias("valid"))
+    caps = S.market_caps(spark, sf)
+    return caps.select("company", "ref_date", market.valid_cap(caps).alias("valid"))
 
 
 @query("g13_roe", f"WITH {S.QUARTERS}, w AS (SELECT company, year, q, CAST(ebit AS DOUBLE) AS i, CAST(revenue AS DOUBLE) AS c, lag(CAST(revenue AS DOUBLE)) OVER (PARTITION BY company ORDER BY year, q) AS o FROM quarter_facts) SELECT company, year, q, CASE WHEN (o + c) / 2 > 0 THEN round(i / ((o + c) / 2), 6) END AS roe, CASE WHEN o IS NULL THEN 'missing' WHEN (o + c) / 2 <= 0 THEN 'non_positive_equity' ELSE 'ok' END AS status FROM w")

@@ -6,6 +6,7 @@ Company = nation key, sector = region key. Each view has a DataFrame form and th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -68,13 +69,21 @@ QUARTERS = (
 
 def ytd_facts(spark: SparkSession, sf: str) -> DataFrame:
     """The first quarter isolated and year-to-date sums after it: company, year, q, is_ytd, revenue."""
-    a, b = quarter_facts(spark, sf).alias("a"), quarter_facts(spark, sf).alias("b")
-    j = a.join(b, (F.col("a.company") == F.col("b.company")) & (F.col("a.year") == F.col("b.year")) & (F.col("b.q") <= F.col("a.q")))
-    return j.groupBy("a.company", "a.year", "a.q").agg(F.sum("b.revenue").cast("decimal(38,4)").alias("revenue")).withColumn("is_ytd", F.col("q") > 1)
+    so_far = W.partitionBy("company", "year").orderBy("q").rowsBetween(W.unboundedPreceding, 0)
+    q = quarter_facts(spark, sf)
+    return q.select("company", "year", "q", F.sum("revenue").over(so_far).cast("decimal(38,4)").alias("revenue"), (F.col("q") > 1).alias("is_ytd"))
+
+
+def mixed_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """``ytd_facts``, and the isolated row beside the year-to-date one for every other company, as quarterly filings have them."""
+    q = quarter_facts(spark, sf).filter("q > 1 and company % 2 = 0").select("company", "year", "q", F.col("revenue"), F.lit(False).alias("is_ytd"))
+    return ytd_facts(spark, sf).unionByName(q)
 
 
 YTD = QUARTERS + """, ytd_facts AS (SELECT a.company, a.year, a.q, a.q > 1 is_ytd, CAST(sum(b.revenue) AS DECIMAL(38,4)) revenue FROM quarter_facts a JOIN quarter_facts b ON a.company = b.company AND a.year = b.year AND b.q <= a.q GROUP BY 1, 2, 3)"""
 
+MIXED = YTD + """, mixed_facts AS (SELECT company, year, q, is_ytd, revenue FROM ytd_facts UNION ALL SELECT company, year, q, false, revenue FROM quarter_facts WHERE q > 1 AND company % 2 = 0)"""
+
 
 def prices(spark: SparkSession, sf: str) -> DataFrame:
     """company, date, close, adj_close, split_factor (0 = none)."""
@@ -88,16 +97,31 @@ PRICES = """prices AS (SELECT company, date, close, close * 0.5 AS adj_close, CA
   SELECT CAST(c_nationkey AS INTEGER) company, CAST(o_orderdate AS DATE) AS date, max(o_totalprice) AS close, min(o_orderkey) k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2))"""
 
 
+_BLOCKED = ("shares_discrepancy", " Missing ", "UNRESOLVED", "blocked", "excluded", "Invalid", "missing_share_class_data", "cvm_scale_ambiguous")
+
+
 def market_caps(spark: SparkSession, sf: str) -> DataFrame:
-    """company, ref_date (quarter ends), market_cap, status: some blocked, some missing."""
+    """company, ref_date (quarter ends), market_cap, status, status_market_cap: some blocked by either status, some missing."""
     f = quarter_facts(spark, sf)
     ref = F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1)))
     h = F.col("company") * 13 + F.col("year") + F.col("q") * 5
-    return f.select("company", ref.alias("ref_date"), F.when(h % 9 == 0, None).otherwise((F.col("revenue") / 10).cast("double")).alias("market_cap"), F.when(h % 7 == 0, "shares_discrepancy").otherwise("validated").alias("status"))
+    blocked = F.element_at(F.array(*map(F.lit, _BLOCKED)), F.col("company") % 8 + 1)
+    return f.select(
+        "company", ref.alias("ref_date"), F.when(h % 9 == 0, None).otherwise((F.col("revenue") / 10).cast("double")).alias("market_cap"), F.when(h % 7 == 0, blocked).otherwise("validated").alias("status"),
+        F.when(h % 11 == 0, " Excluded").alias("status_market_cap"),
+    )
 
 
-MARKET_CAPS = QUARTERS + """, market_caps AS (SELECT company, last_day(make_date(year, q * 3, 1)) ref_date, CASE WHEN (company * 13 + year + q * 5) % 9 = 0 THEN NULL ELSE CAST(revenue AS DOUBLE) / 10 END AS market_cap,
-  CASE WHEN (company * 13 + year + q * 5) % 7 = 0 THEN 'shares_discrepancy' ELSE 'validated' END AS status FROM quarter_facts)"""
+MARKET_CAPS = (
+    QUARTERS
+    + """, market_caps AS (SELECT company, last_day(make_date(year, q * 3, 1)) ref_date, CASE WHEN (company * 13 + year + q * 5) % 9 = 0 THEN NULL ELSE CAST(revenue AS DOUBLE) / 10 END AS market_cap,
+  CASE WHEN (company * 13 + year + q * 5) % 7 = 0 THEN (["""
+    + ", ".join(f"'{b}'" for b in _BLOCKED)
+    + """])[company % 8 + 1] ELSE 'validated' END AS status, CASE WHEN (company * 13 + year + q * 5) % 11 = 0 THEN ' Excluded' END AS status_market_cap FROM quarter_facts)"""
+)
+#: SQL of the rule for a valid value: positive, and no blocked status in either column.
+_STOP = ", ".join(f"'{b.strip().lower()}'" for b in _BLOCKED)
+VALID_CAP = f"coalesce(market_cap > 0 AND lower(trim(coalesce(status, ''))) NOT IN ({_STOP}) AND lower(trim(coalesce(status_market_cap, ''))) NOT IN ({_STOP}), false)"
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,20 +133,43 @@ REGISTRY = "registry AS (SELECT CAST(n_nationkey AS INTEGER) company, CAST(n_reg
 
 
 def balances(spark: SparkSession, sf: str) -> DataFrame:
-    """company, ref_date, code, description, value: a small account tree by quarter end."""
-    f = filings(spark, sf).filter("statement = 'BP'").groupBy("company", "ref_date", "code").agg(F.sum("value").cast("decimal(38,4)").alias("value"))
-    leaf = f.select("company", "ref_date", F.when(F.col("code").startswith("1"), F.col("code")).otherwise(F.concat(F.lit("2.01.04"), F.substring("code", 5, 3))).alias("code"), F.lit("Conta").alias("description"), "value")
-    parents = leaf.filter(F.col("company") % 3 != 0).groupBy("company", "ref_date", F.when(F.col("code").startswith("1"), F.lit("1.01")).otherwise("2.01.04").alias("code")).agg(F.sum("value").cast("decimal(38,4)").alias("value"))
-    lease = leaf.filter("code = '2.01.04.01'").select("company", "ref_date", F.lit("2.02.09").alias("code"), F.lit("Passivo de Arrendamento").alias("description"), (F.col("value") / 10).cast("decimal(38,4)").alias("value"))
-    return leaf.unionByName(parents.select("company", "ref_date", "code", F.lit("Grupo").alias("description"), "value")).unionByName(lease)
-
-
+    """company, ref_date, code, description, value: a small account tree by quarter end, with leaves, parents and (for most companies) both totals.
+
+    One aggregation; the rows come from an explode. The totals of even companies differ by 0, 1, 1.0001 or -0.5.
+    """
+    leaf = lambda code: F.sum(F.when(F.col("code") == code, F.col("value"))).cast("decimal(38,4)")
+    g = filings(spark, sf).filter("statement = 'BP'").groupBy("company", "ref_date").agg(leaf("1.01.01").alias("a1"), leaf("1.01.02").alias("a2"), leaf("2.01.01").alias("b1"), leaf("2.01.02").alias("b2"))
+    zero = F.lit(0).cast("decimal(38,4)")
+    money = lambda x: x.cast("decimal(38,4)")
+    both = lambda x, y: F.when(F.coalesce(x, y).isNotNull(), money(F.coalesce(x, zero) + F.coalesce(y, zero)))
+    g = g.withColumns({"a": both(F.col("a1"), F.col("a2")), "b": both(F.col("b1"), F.col("b2"))})
+    k, month = F.col("company"), F.month("ref_date")
+    gap = F.when(month == 3, F.lit("0")).when(month == 6, F.lit("1")).when(month == 9, F.lit("1.0001")).otherwise("-0.5").cast("decimal(38,4)")
+    rows = [
+        ("1.01.01", "Conta", F.col("a1")), ("1.01.02", "Conta", F.col("a2")), ("2.01.04.01", "Conta", F.col("b1")), ("2.01.04.02", "Conta", F.col("b2")),
+        ("1.01", "Grupo", F.when(k % 3 != 0, F.col("a"))), ("2.01.04", "Grupo", F.when(k % 3 != 0, F.col("b"))), ("2.01", "Grupo", F.when(k % 3 != 1, money(F.col("b") + 7))),
+        ("1", "Ativo Total", F.when(k % 7 != 3, money(F.col("a") + 100))), ("2", "Passivo Total", F.when(k % 5 != 4, F.when(k % 2 == 0, money(F.col("a") + 100 + gap)).otherwise(money(F.col("b") + 50)))),
+        ("2.02.09", "Passivo de Arrendamento", money(F.col("b1") / 10)),
+    ]
+    made = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(d).alias("description"), v.alias("value")) for c, d, v in rows])
+    return g.select("company", "ref_date", F.explode(made).alias("r")).select("company", "ref_date", "r.*").filter("value is not null")
+
+
+_ROWS = (
+    ("1.01.01", "Conta", "a1"), ("1.01.02", "Conta", "a2"), ("2.01.04.01", "Conta", "b1"), ("2.01.04.02", "Conta", "b2"), ("1.01", "Grupo", "CASE WHEN company % 3 <> 0 THEN a END"),
+    ("2.01.04", "Grupo", "CASE WHEN company % 3 <> 0 THEN b END"), ("2.01", "Grupo", "CASE WHEN company % 3 <> 1 THEN b + 7 END"), ("1", "Ativo Total", "CASE WHEN company % 7 <> 3 THEN a + 100 END"),
+    ("2", "Passivo Total", "CASE WHEN company % 5 <> 4 THEN CASE WHEN company % 2 = 0 THEN a + 100 + CAST(CASE month(ref_date) WHEN 3 THEN '0' WHEN 6 THEN '1' WHEN 9 THEN '1.0001' ELSE '-0.5' END AS DECIMAL(38,4)) ELSE b + 50 END END"),
+    ("2.02.09", "Passivo de Arrendamento", "CAST(b1 / 10 AS DECIMAL(38,4))"),
+)
 BALANCES = (
     FILINGS
-    + """, bp AS (SELECT company, ref_date, code, CAST(sum(value) AS DECIMAL(38,4)) AS value FROM filings WHERE statement = 'BP' GROUP BY 1, 2, 3),
-leaf AS (SELECT company, ref_date, CASE WHEN code LIKE '1%' THEN code ELSE '2.01.04' || substr(code, 5, 3) END code, 'Conta' description, value FROM bp),
-balances AS (SELECT * FROM leaf UNION ALL SELECT company, ref_date, CASE WHEN code LIKE '1%' THEN '1.01' ELSE '2.01.04' END, 'Grupo', CAST(sum(value) AS DECIMAL(38,4)) FROM leaf WHERE company % 3 <> 0 GROUP BY 1, 2, 3
-  UNION ALL SELECT company, ref_date, '2.02.09', 'Passivo de Arrendamento', CAST(value / 10 AS DECIMAL(38,4)) FROM leaf WHERE code = '2.01.04.01')"""
+    + """, bp AS (SELECT company, ref_date, """
+    + ", ".join(f"CAST(sum(value) FILTER (code = '{c}') AS DECIMAL(38,4)) {n}" for c, n in (("1.01.01", "a1"), ("1.01.02", "a2"), ("2.01.01", "b1"), ("2.01.02", "b2")))
+    + """ FROM filings WHERE statement = 'BP' GROUP BY 1, 2),
+bs AS (SELECT *, CASE WHEN a1 IS NOT NULL OR a2 IS NOT NULL THEN coalesce(a1, 0) + coalesce(a2, 0) END a, CASE WHEN b1 IS NOT NULL OR b2 IS NOT NULL THEN coalesce(b1, 0) + coalesce(b2, 0) END b FROM bp),
+balances AS (SELECT * FROM ("""
+    + " UNION ALL ".join(f"SELECT company, ref_date, '{c}' AS code, '{d}' AS description, CAST({v} AS DECIMAL(38,4)) AS value FROM bs" for c, d, v in _ROWS)
+    + """) WHERE value IS NOT NULL)"""
 )
 
 
@@ -142,14 +189,30 @@ OBSERVATIONS = """observations AS (SELECT 'T' || CAST(user_id % 40 AS VARCHAR) t
   CASE WHEN event_id % 3 = 0 THEN 'spreadsheet' ELSE 'pdf' END AS source, CASE WHEN event_id % 7 = 0 THEN 'segment' ELSE 'consolidated' END AS scope, event_id ordinal FROM events)"""
 
 
-# the five event types as lifecycle states
-_STATES = (("signup", "discovered"), ("view", "downloaded"), ("click", "extracted"), ("purchase", "published"), ("error", "error"))
+# states of a document's six events: what each event type stands for at each place
+_PLACES = (
+    ("discovered", "discovered", "discovered", "accepted", "discovered"),
+    ("accepted", "accepted", "accepted", "discovered", "rejected"),
+    ("downloaded", "read", "imported", "accepted", "extraction_error"),
+    ("converted", "company_resolved", "read", "read", "parsed"),
+    ("validated", "parsed", "validated", "archived", "unresolved"),
+    ("published", "preserved_existing", "rejected", "published", "read"),
+)
+_TYPES = ("signup", "view", "click", "purchase", "error")
 
 
 def lifecycle(spark: SparkSession, sf: str) -> DataFrame:
-    """document, state, at, ordinal from events."""
-    state = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in _STATES])
-    return _t(spark, sf, "events").select((F.col("user_id") % 200).alias("document"), state.alias("state"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"))
+    """document (six events each), state, at, ordinal, observations_count from events."""
+    e = _t(spark, sf, "events")
+    kind = F.array_position(F.array(*map(F.lit, _TYPES)), F.col("event_type")).cast("int")
+    names = F.array(*[F.array(*map(F.lit, p)) for p in _PLACES])
+    place = (F.col("event_id") % 6).cast("int")
+    state = F.element_at(F.element_at(names, place + 1), kind)
+    return e.select(F.floor(F.col("event_id") / 6).alias("document"), state.alias("state"), F.floor(F.col("event_id") / 2).alias("at"), F.col("event_id").alias("ordinal"), F.when(place == 4, F.floor("value").cast("long") % 3).alias("observations_count"))
 
 
-LIFECYCLE = "lifecycle AS (SELECT user_id % 200 AS document, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES) + " END state, ts AS at_ts, event_id ordinal FROM events)"
+LIFECYCLE = (
+    "lifecycle AS (SELECT CAST(floor(event_id / 6) AS BIGINT) AS document, CASE event_id % 6 "
+    + " ".join(f"WHEN {i} THEN CASE event_type " + " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in zip(_TYPES, p)) + " END" for i, p in enumerate(_PLACES))
+    + " END AS state, CAST(floor(event_id / 2) AS BIGINT) AS at_ts, event_id AS ordinal, CASE WHEN event_id % 6 = 4 THEN CAST(floor(value) AS BIGINT) % 3 END AS observations_count FROM events)"
+)

@@ -138,8 +138,113 @@ def test_annualize_and_quarantine(spark):
     o = [("f", "flow", 2025, q, float(q)) for q in (1, 2, 3, 4)] + [("g", "flow", 2025, 1, 1.0), ("s", "stock", 2025, 4, 9.0), ("r", "ratio", 2025, 4, 1.0)]
     got = {r.metric: r.value for r in evidence.annualize(spark.createDataFrame(o, "metric string, nature string, year int, q int, value double"), ["metric"]).collect()}
     assert got == {"f": 10.0, "s": 9.0}
-    x = spark.createDataFrame([("Por Região", "1", 1.0), ("Vendas", "814.000", 0.000814), ("Vendas", "814", 814.0)], "label string, evidence string, value double")
-    assert [r.rejection_reason for r in evidence.quarantine(x).collect()] == ["breakdown_as_total", "scale_incompatible_with_evidence", None]
+    x = [
+        ("Por Região", "| Total | **7.395** | R$ MM |", 0.626625, None, "breakdown_as_total"), ("Total consolidado", "| Total consolidado | **814.000** |", 0.000814, "R$ mil", "scale_incompatible_with_evidence"),
+        ("Vendas", "**814**", 814.0, None, None), ("Total por região", "**7**", 7.0, None, None), ("Vendas", "814.000 sem negrito", 0.1, None, None), ("By product", "", 1.0, None, "breakdown_as_total"),
+        ("Vendas", "**9000** **8000** **7000** **6000** **1**", 1.0, None, "scale_incompatible_with_evidence"), ("Vendas", "**9000** **1**", 1.0, None, None), ("Vendas", "**9**", 0.0, None, None), (None, None, None, None, None),
+    ]
+    got = evidence.quarantine(spark.createDataFrame(x, "label string, evidence string, value double, unit string, want string")).collect()
+    assert [r.rejection_reason for r in got] == [r.want for r in got]
+
+
+def test_mixed_filings_are_isolated_once(spark):
+    rows = [(1, 2025, 1, 10.0, True), (1, 2025, 2, 25.0, True), (1, 2025, 2, 15.0, False), (1, 2025, 3, 55.0, True), (1, 2025, 3, 30.0, False), (2, 2025, 3, 9.0, True)]
+    got = accounts.isolate_quarters(spark.createDataFrame(rows, "company int, year int, q int, v double, is_ytd boolean"), ["company"], "v")
+    assert sorted((r.company, r.q, r.v, r.source) for r in got.filter("company = 1").collect()) == [
+        (1, 1, 10.0, "periodo_isolado"), (1, 2, 15.0, "periodo_isolado"), (1, 2, 15.0, "ytd_menos_ytd_anterior"), (1, 3, 30.0, "periodo_isolado"), (1, 3, 30.0, "ytd_menos_ytd_anterior"),
+    ]
+    assert one(got.filter("company = 2")).v is None
+
+
+def test_totals_are_single_accounts(spark):
+    d = day("2025-12-31")
+    rows = [("1", 100.0), ("1.01", 60.0), ("1.01.01", 60.0), ("1.010", 5.0), ("2", 100.0), ("2.01", 30.0), ("2.01.04", 30.0), ("3.01", 200.0), ("3.05", 50.0)]
+    bp = spark.createDataFrame([(1, d, c, v) for c, v in rows], "company int, ref_date date, code string, value double")
+    r = one(accounts.balance_check(bp))
+    assert (r.assets, r.liabilities, r.status) == (100.0, 100.0, "OK")
+    assert one(accounts.balance_check(bp.filter("code <> '2'"))).status == "VERIFY"
+    w = one(indicators.working_capital(bp, bp.filter("code = '3.01'").select("company", "ref_date", F.col("value").alias("revenue"))))
+    assert (w.working_capital, w.pct_of_revenue) == (30.0, 15.0)
+    v = {r.code: r.vertical for r in indicators.vertical(bp, ["company", "ref_date"], "value").collect()}
+    assert (v["1"], v["1.01"], v["2.01.04"], v["3.05"]) == (100.0, 60.0, 30.0, 25.0)
+    named = spark.createDataFrame([(1, "1.9", "Ativo Total", 50.0), (1, "1.01", "Caixa", 5.0)], "company int, code string, description string, value double")
+    assert {r.code: r.vertical for r in indicators.vertical(named, ["company"], "value", description="description").collect()} == {"1.9": 100.0, "1.01": 10.0}
+
+
+def test_horizontal_signs_and_gaps(spark):
+    rows = [(1, "a", 1, -100.0), (1, "a", 2, -150.0), (1, "b", 1, 10.0), (1, "b", 3, 15.0), (1, "a", 3, 0.0), (1, "a", 4, 5.0)]
+    df = spark.createDataFrame(rows, "company int, code string, p int, v double")
+    assert {(r.code, r.p): r.horizontal for r in indicators.horizontal(df, ["company", "code"], "p", "v").collect()} == {("a", 1): None, ("a", 2): 50.0, ("a", 3): -100.0, ("a", 4): None, ("b", 1): None, ("b", 3): None}
+    assert {(r.code, r.p): r.horizontal for r in indicators.horizontal(df, ["company", "code"], "p", "v", "last_seen").collect()}["b", 3] == 50.0
+
+
+def test_share_tolerance_is_of_the_filed_count(spark):
+    df = spark.createDataFrame([(1, 1051, 1000), (2, 951, 1000), (3, 195434352, 1954343520)], "company int, market long, official long")
+    got = {r.company: (r.status, r.difference_pct, r.quantity_source) for r in market.validate_shares(market.infer_share_scale(df)).collect()}
+    assert got == {1: ("shares_discrepancy", 5.1, None), 2: ("validated", 4.9, "market"), 3: ("shares_discrepancy", 90.0, None)}
+
+
+def test_current_cap_of_several_classes(spark):
+    d = day("2026-06-30")
+    p = spark.createDataFrame([(c, d, 20.0) for c in (1, 2, 3, 4)], "company int, date date, close double")
+    s = spark.createDataFrame([(1, d, 100), (2, d, 30), (3, d, 7), (4, d, 9)], "company int, date date, shares long")
+    c = spark.createDataFrame([(1, 10, 1.0, 20.0), (1, 20, 1.0, 20.0), (2, 10, 1.0, 30.0), (2, 20, 1.0, None), (4, None, 1.0, 1.0)], "company int, quantity long, weight double, price double")
+    got = {r.company: (r.market_cap, r.status, r.components) for r in market.current_market_cap(p, s, c).collect()}
+    assert got == {1: (None, "shares_discrepancy", 2), 2: (700.0, "validated_class_sum", 2), 3: (140.0, "single_class", None), 4: (None, "missing_share_class_data", 1)}
+
+
+def test_blocked_statuses(spark):
+    rows = [(1.0, None, None), (1.0, " Blocked ", None), (1.0, "validated", "UNRESOLVED"), (-1.0, None, None), (None, None, None), (float("inf"), None, None)]
+    df = spark.createDataFrame(rows, "market_cap double, status string, status_market_cap string")
+    assert [r[0] for r in df.select(market.valid_cap(df)).collect()] == [True, False, False, False, False, False]
+
+
+def test_vso_opening_and_status(spark):
+    o = [
+        ("A", "s", 2025, 2, "inventory", 100.0), ("A", "s", 2025, 3, "net_sales", 10.0), ("A", "s", 2025, 4, "net_sales", 10.0), ("A", "s", 2025, 4, "launches", 10.0), ("A", "s", 2025, 4, "inventory", 50.0),
+        ("A", "unknown", 2025, 4, "inventory", 50.0), ("A", "unknown", 2026, 1, "net_sales", 1.0), ("A", "unknown", 2026, 1, "launches", 1.0), ("A", "s", 2026, 1, "net_sales", 30.0), ("A", "s", 2026, 1, "launches", 50.0), ("A", "s", 2026, 1, "inventory", 60.0),
+    ]
+    got = {(r.basis, r.year, r.q): r for r in evidence.vso(spark.createDataFrame(o, "ticker string, basis string, year int, q int, metric string, value double")).collect()}
+    assert got["s", 2025, 4].calculation_status == "missing_components"  # the quarter before has observations but no inventory
+    assert got["unknown", 2026, 1].calculation_status == "incompatible_basis"
+    r = got["s", 2026, 1]
+    assert (r.vso, r.reconciliation, r.confidence) == (0.3, "material_difference", "medium")
+
+
+def test_numbers_basis_and_types(spark):
+    nums = spark.createDataFrame([("1-2",), ("2024-05",), ("-5",), ("(-5)",), ("5-",), ("-(5)",), ("+7,5",)], "n string")
+    for mode in ("statement", "operational"):
+        assert [None if r[0] is None else float(r[0]) for r in nums.select(T.parse_number(F.col("n"), mode)).collect()] == [None, None, -5.0, 5.0, None, None, 7.5]
+    b = {"participação de mercado": "unknown", "ex permuta": "company_share", "total projects": "one_hundred_percent", "% companhia 100%": "company_share", "Cem por cento": "one_hundred_percent", "%EZ": "company_share"}
+    assert {r.t: r.b for r in spark.createDataFrame([(k,) for k in b], "t string").select("t", T.ownership_basis(F.col("t")).alias("b")).collect()} == b
+    d = {"Transcrição do webcast 2T26": "TRANSCRICAO_WEBCAST", "webcast ao vivo": None, "Planilha de fundamentos 2T26 Excel": "PLANILHA_RESULTADOS", "Previa operacional": "PREVIA_OPERACIONAL", "Release de resultados 2T26": "RELEASE_RESULTADOS", "Vídeo": None, "x": None}
+    assert {r.t: r.d for r in spark.createDataFrame([(k,) for k in d], "t string").select("t", T.classify_document(F.col("t")).alias("d")).collect()} == d
+
+
+def test_sector_reasons_and_messages(spark):
+    d = day("2026-03-31")
+    ev = spark.createDataFrame([(1, d, "A", 1000.0, 100.0), (1, d, "B", None, 5.0), (1, d, "C", 3.0, None), (2, d, "D", None, None)], "sector int, ref_date date, company string, ev double, ebitda_ltm double")
+    got = {r.sector: r for r in market.sector_ev_ebitda(ev).collect()}
+    assert [tuple(x) for x in got[1].excluded_reasons] == [("B", "missing_enterprise_value"), ("C", "missing_ebitda_ltm")] and got[2].diagnostics == "no_valid_company"
+    caps = spark.createDataFrame([(1, d, "A", 100.0, "validated")], "sector int, ref_date date, company string, market_cap double, status string")
+    reg = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C")], "sector int, company string")
+    assert sorted((r.company, r.reason, r.coverage) for r in market.market_cap_share(caps, reg).collect()) == [("A", None, 0.5), ("B", "missing", 0.5)]
+
+
+def test_contract_and_latest(spark):
+    rows = [("T", "m", 1.0, "1T26", "u", "reported", "d", None, 1), ("T", "m", 1.0, "1T26", "u", "derived", "d", None, 2), ("X", "m", float("nan"), "5T26", "v", None, None, None, 3), ("T", "?", None, None, None, None, None, None, 4)]
+    o = spark.createDataFrame(rows, "ticker string, metric string, value double, period string, unit string, nature string, source_document string, formula string, ordinal int")
+    rules = spark.createDataFrame([("m", "u")], "metric string, unit string")
+    got = {r.ordinal: r.errors for r in evidence.check_observations(o, rules, ["metric", "period"], "t").collect()}
+    assert got == {1: [], 2: ["duplicate_key", "missing_formula"], 3: ["ticker_mismatch", "missing_value", "bad_period", "unit_mismatch", "missing_nature"], 4: ["unknown_metric"]}
+    latest = spark.createDataFrame([("T", "m", 2025, 4, 1.0, "high", 1), ("T", "m", 2025, None, 2.0, "high", 2)], "ticker string, metric string, year int, q int, value double, confidence string, ordinal int")
+    assert one(evidence.latest_metric(latest)).value == 2.0
+
+
+def test_margins_of_ifrs17_companies(spark):
+    df = spark.createDataFrame([(1, 1000.0, -400.0, 100.0, 25.0, 50.0), (2, 1000.0, -400.0, 100.0, 25.0, 50.0)], "company int, revenue double, cost double, ebit double, da double, net_income double")
+    got = {r.company: r for r in indicators.margins(df, spark.createDataFrame([(2, True)], "company int, ifrs17 boolean")).collect()}
+    assert (got[1].net_margin, got[1].margin_flag, got[2].gross_margin, got[2].ebitda, got[2].margin_flag) == (5.0, None, None, 125.0, "not_comparable")
 
 
 def test_leaves_and_roots(spark):
@@ -159,8 +264,16 @@ def test_overrides_and_tracking(spark):
     obs = spark.createDataFrame([("T", "m", 2026, 1, 5.0, "low", 1), ("T", "n", 2026, 1, 91250.0, "medium", 2)], "ticker string, metric string, year int, q int, value double, confidence string, ordinal int")
     man = spark.createDataFrame([("T", "m", 2026, 1, 82575.0), ("T", "n", 2026, 1, 1.0)], "ticker string, metric string, year int, q int, value double")
     assert {r.metric: (r.status, r.used_value) for r in governance.resolve_overrides(obs, man).collect()} == {"m": ("active", 82575.0), "n": ("superseded", 91250.0)}
-    ev = spark.createDataFrame([(1, "discovered", 1), (1, "published", 2), (2, "discovered", 1), (2, "downloaded", 2), (2, "extracted", 3), (2, "published", 4), (2, "error", 5)], "document int, state string, at int").withColumn("ordinal", F.col("at"))
-    assert {(r.document, r["at"]): r.error for r in governance.check_transitions(ev).collect() if r.error} == {(1, 2): "illegal_transition", (2, 5): "after_terminal_state"}
+    events = {
+        1: ["discovered", "published"], 2: ["discovered", "accepted", "accepted", "downloaded", "converted", "read", "parsed", "published", "extraction_error"], 3: ["discovered", "discovered", "rejected"], 4: ["accepted"], 5: ["discovered", "lost"],
+    }
+    rows = [(d, s, i, None) for d, states in events.items() for i, s in enumerate(states)] + [(6, "discovered", 0, None), (6, "accepted", 1, {"run_id": "another"})]
+    ev = spark.createDataFrame(rows, "document int, state string, at int, fields map<string, string>").withColumn("ordinal", F.col("at"))
+    errors = {(r.document, r["at"]): r.error for r in governance.check_transitions(ev).collect() if r.error}
+    assert errors == {(1, 1): "illegal_transition", (2, 8): "after_terminal_state", (4, 0): "illegal_transition", (5, 1): "unknown_state", (6, 1): "reserved_fields"}
+    run = spark.createDataFrame([(1, "discovered", 1, None), (1, "accepted", 2, None), (1, "read", 3, None), (1, "validated", 4, 0)], "document int, state string, at int, observations_count long").withColumn("ordinal", F.col("at"))
+    s = one(governance.run_summary(run))
+    assert (s.found, s.accepted, s.processed, s.with_observations, s.events, s.coverage) == (1, 1, 1, 0, 4, "complete")
 
 
 def test_asof_edges(spark):
