@@ -1,7 +1,8 @@
 """Licence scan: a generalised suffix automaton over the word sequences of licence templates.
 
 A document streams through the automaton, which gives at every word the longest template substring that ends there
-(matching statistics). Long matches are chained, template by template, into covered spans.
+(matching statistics). Long matches are chained, template by template, into covered spans; of templates that share the
+words of a span the best covered one gives its label.
 """
 
 from __future__ import annotations
@@ -18,18 +19,53 @@ from fundamentals_spark.llm import bytehash
 
 #: Phrases whose words, standing consecutively, give a label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Opening texts and notices of public licences, by label.
+# The texts of short public licences, and the notices that files carry for longer ones, by label.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_TOP = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT
+OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+#: GNU notices differ in what is licensed, the licence's name and its version.
+_GNU = (
+    ("gpl-2", "program", "GNU General Public License", "2"), ("gpl-3", "program", "GNU General Public License", "3"), ("lgpl-2.1", "library", "GNU Lesser General Public License", "2.1"),
+    ("lgpl-3", "library", "GNU Lesser General Public License", "3"), ("agpl-3", "program", "GNU Affero General Public License", "3"),
+)
+#: Creative Commons licences by their elements.
+_CC = (
+    ("cc-by", "Attribution"), ("cc-by-sa", "Attribution-ShareAlike"), ("cc-by-nd", "Attribution-NoDerivatives"), ("cc-by-nc", "Attribution-NonCommercial"), ("cc-by-nc-sa", "Attribution-NonCommercial-ShareAlike"),
+    ("cc-by-nc-nd", "Attribution-NonCommercial-NoDerivatives"),
+)
 TEMPLATES = (
-    ("mit", "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("mit", _MIT), ("mit", "Released under the MIT License."), ("bsd-2", f"{_BSD_TOP} {_BSD_END}"), ("bsd-3", f"{_BSD_TOP} {_BSD_NAMES} {_BSD_END}"), ("isc", _ISC), ("apache-2", _APACHE), ("apache-2", "Licensed under the Apache License, Version 2.0."), ("mpl-2", _MPL),
+    *(
+        (label, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. "
+        f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.")
+        for label, what, name, v in _GNU
+    ),
+    *((label, f"This work is licensed under the {name}, version {v}.") for label, _, name, v in _GNU),
+    *((label, f"This work is licensed under a Creative Commons {name} 4.0 International License.") for label, name in _CC),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
 )
-#: Shortest match that takes part in a chain, the gap a chain may step over, and the words a chain must cover for a label.
-MIN_MATCH, MAX_GAP, MIN_COVER = 5, 6, 8
+#: Shortest match that takes part in a chain, the gap a chain may step over, and what a chain must cover for a label: this
+#: share of its template and this many words (or the whole of a shorter template).
+MIN_MATCH, MAX_GAP, MIN_SHARE, MIN_COVER = 5, 6, 0.6, 12
 CHUNK = 1 << 20
 
 
@@ -123,30 +159,44 @@ class SuffixAutomaton:
         return out
 
 
-def chains(found: list[tuple[int, int, int]], max_gap: int = MAX_GAP) -> int:
-    """Most words covered by a chain of matches (end in text, length, end in template) in order in both, with small gaps."""
-    found = sorted(found)
-    best = []
-    for j, (e, n, t) in enumerate(found):
-        b = n
-        for i in range(j - 1, -1, -1):
-            e0, _, t0 = found[i]
-            if e - n - e0 > max_gap:
-                break  # earlier ones end further back still
-            over = max(0, e0 - (e - n), t0 - (t - n))
-            if e0 < e and t0 < t and over < n and t - n - t0 <= max_gap:
-                b = max(b, best[i] + n - over)
-        best.append(b)
-    return max(best, default=0)
+def chains(found: list[tuple[int, int, int]], least: int, max_gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
+    """(words covered, first word, end) of chains that cover at least ``least`` words, none over another, the best first.
+
+    A chain is a row of matches (last word in text, length, last word in template) in order in both, with small gaps.
+    """
+    rest, out = sorted(set(found)), []
+    while rest:
+        best: list[tuple[int, int]] = []  # covered, and minus the first word: of equal covers the latest start
+        for j, (e, n, t) in enumerate(rest):
+            b = (n, e - n + 1)
+            for i in range(j - 1, -1, -1):
+                e0, _, t0 = rest[i]
+                if e - n - e0 > max_gap:
+                    break  # earlier ones end further back still
+                over = max(0, e0 - (e - n), t0 - (t - n))
+                if e0 < e and t0 < t and over < n and t - n - t0 <= max_gap:
+                    b = max(b, (best[i][0] + n - over, best[i][1]))
+            best.append(b)
+        j = max(range(len(rest)), key=lambda k: (best[k][0], -rest[k][0]))
+        cover, first = best[j]
+        if cover < least:
+            break
+        out.append((cover, first, rest[j][0] + 1))
+        rest = [(e, n, t) for e, n, t in rest if e < first or e - n + 1 >= out[-1][2]]
+    return out
+
+
+_SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
 
 
 class Scanner:
-    def __init__(self, templates, phrases, min_match: int, min_cover: int):
-        self.min_match, self.min_cover = min_match, min_cover
+    def __init__(self, templates, phrases, min_match: int, min_share: float, min_cover: int):
+        self.min_match = min_match
         self.labels = [label for label, _ in templates]
         hashed = [_hash_text(text) for _, text in templates]
         self.vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, dtype=np.uint64)
         self.lengths = [len(h) for h in hashed]
+        self.needed = [max(int(np.ceil(min_share * n)), min(n, min_cover)) for n in self.lengths]
         self.automaton = SuffixAutomaton([np.searchsorted(self.vocabulary, h).tolist() for h in hashed])
         self.phrases = [(_hash_text(p), label) for p, label in phrases]
 
@@ -161,8 +211,8 @@ class Scanner:
         n_base = np.zeros(n, dtype=np.int64)
         first, last = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
         labels: list[set[str]] = [set() for _ in range(n)]
-        own: list[set[str]] = [set() for _ in range(n)]
-        score = np.zeros(n)
+        own: list[list[dict]] = [[] for _ in range(n)]
+        cover = np.zeros(n)
         for words, label in self.phrases:
             k = len(words)
             if len(h) < k:
@@ -187,36 +237,45 @@ class Scanner:
                 for end, length, state in self.automaton.matches(ids[a:b].tolist(), self.min_match):
                     for t, e in self.automaton.ends[state]:
                         found[(int(rows[a]), t)].append((int(a) + end, length, e))
+            spans = defaultdict(list)
             for (r, t), each in found.items():
-                cover = chains(each)
-                score[r] = max(score[r], min(1.0, cover / self.lengths[t]))
-                if cover >= min(self.min_cover, self.lengths[t]):
-                    own[r].add(self.labels[t])
+                for covered, lo, hi in chains(each, self.needed[t]):
+                    spans[r].append((-covered, -covered / self.lengths[t], self.labels[t], lo, hi))
+            for r, each in spans.items():
+                for covered, share, label, lo, hi in sorted(each):  # of templates that claim the same words the best covered one stands
+                    lo, hi = lo - int(first_word[r]), hi - int(first_word[r])
+                    if all(hi <= x["start"] or lo >= x["end"] for x in own[r]):
+                        own[r].append({"label": label, "start": lo, "end": hi, "words": -covered})
+                        cover[r] = max(cover[r], min(1.0, -share))
+                own[r].sort(key=lambda x: x["start"])
         some = n_base > 0
         return {
             "n_words": pa.array(np.diff(first_word)), "n_base": pa.array(n_base), "first_word": pa.array(first, mask=~some), "last_word": pa.array(last, mask=~some),
-            "base_labels": pa.array([",".join(sorted(x)) for x in labels], type=pa.string()), "labels": pa.array([",".join(sorted(x | y)) for x, y in zip(labels, own, strict=True)], type=pa.string()),
-            "score": pa.array(np.maximum(score, some.astype(float))),
+            "base_labels": pa.array([",".join(sorted(x)) for x in labels], type=pa.string()), "labels": pa.array([",".join(sorted(x | {s["label"] for s in y})) for x, y in zip(labels, own, strict=True)], type=pa.string()),
+            "score": pa.array(np.maximum(cover, some.astype(float))), "cover": pa.array(cover), "spans": pa.array(own, type=_SPANS),
         }
 
 
 _scanners: dict[str, Scanner] = {}
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, min_match: int = MIN_MATCH, min_cover: int = MIN_COVER) -> DataFrame:
-    """Per row: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, phrases=PHRASES, min_match: int = MIN_MATCH, min_share: float = MIN_SHARE, min_cover: int = MIN_COVER) -> DataFrame:
+    """Per row: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, cover, spans.
 
     n_base counts the places of phrases; first_word and last_word are their smallest and largest start, null without any.
-    ``labels`` adds those of templates of which a chain covers ``min_cover`` words. ``score`` is the largest covered share
-    of a template, 1 with a phrase. A null text counts as empty; rows are treated alone; an empty table gives an empty one.
+    spans are the parts of the text that chains of matches with a template cover (label, start and end in words, words
+    covered): a chain must cover ``min_share`` of its template and ``min_cover`` words or the whole of a shorter template; of
+    spans that overlap the best covered one stands. ``labels`` adds their labels. cover is the largest covered share of a
+    template among the spans, ``score`` the same, or 1 with a phrase. ``templates`` may be any (label, text) pairs, whole
+    licences too. A null text counts as empty; rows are treated alone; an empty table gives an empty one.
     """
     source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    key = hashlib.sha256(repr((templates, phrases, min_match, min_cover)).encode()).hexdigest()
+    key = hashlib.sha256(repr((templates, phrases, min_match, min_share, min_cover)).encode()).hexdigest()
 
     def run(batches):
         if key not in _scanners:
             _scanners.clear()
-            _scanners[key] = Scanner(templates, phrases, min_match, min_cover)
+            _scanners[key] = Scanner(templates, phrases, min_match, min_share, min_cover)
         scanner = _scanners[key]
         for batch in batches:
             buf, offsets = bytehash.text_buffer(batch.column("text"))
@@ -225,4 +284,5 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").withColumnRenamed("doc_id", id_col)
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, cover double, spans array<struct<label: string, start: long, end: long, words: long>>"
+    return source.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)

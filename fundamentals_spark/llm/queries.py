@@ -68,7 +68,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+    found = license_scan.scan_licenses(read(spark, sf_dir, "documents"))
+    spans = F.expr("array_join(transform(spans, s -> concat_ws(':', s.label, s.start, s.end)), ',')")
+    return found.withColumn("n_spans", F.size("spans").cast("long")).withColumn("spans", spans)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
