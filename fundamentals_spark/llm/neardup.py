@@ -224,7 +224,7 @@ def _met(nodes: DataFrame, trees: int, depth: int, shortest: int, similarity: fl
                 b.append(k1[lo + root[moved]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    sent = _in_blocks(met, "prefix", "size", max(8, met.count() // 20_000)).select("g", "i", "j", "k1", "tree", "prefix", "sketch")
+    sent = _in_blocks(met, "prefix", "size", max(8, met.count() // 2000)).select("g", "i", "j", "k1", "tree", "prefix", "sketch")
     edges = materialize(sent.groupBy("g", "i", "j").applyInPandas(match, "a long, b long").distinct())
     discard(met)
     return edges
@@ -270,7 +270,7 @@ def _verified(docs: DataFrame, candidate: DataFrame, similarity: float, n: int)
     sizes = candidate.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     plan = candidate.join(sizes, "comp")
     sent = texts.join(plan, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
-    sent = _in_blocks(sent, "comp", "size", max(1, candidate.count() // 4000)).select("g", "i", "j", "comp", "k1", "k2", "copies", "b", "shingles")
+    sent = _in_blocks(sent, "comp", "size", max(1, candidate.count() // 500)).select("g", "i", "j", "comp", "k1", "k2", "copies", "b", "shingles")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
