@@ -81,15 +81,18 @@ def slot_plan(targets: DataFrame, block_words: int, shard_slots: int, seed: int,
     s = s.withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
     s = s.withColumn("need", F.col("passes") * F.col("blocks") + F.least(F.col("blocks"), F.when(F.col("rest") > 0, F.ceil(F.col("rest") / block_words) + 1).otherwise(F.lit(0)).cast("long")))
     s = s.filter("need > 0").withColumn("name", F.struct("source"))
-    plan = s.agg(F.sort_array(F.collect_list(F.struct("need", "name"))).alias("parts"), F.sum("need").alias("slots"))
-    plan = plan.withColumn("ends", F.expr("transform(sequence(1, size(parts)), i -> aggregate(slice(parts, 1, i), 0L, (a, p) -> a + p.need))"))
-    shards = plan.filter("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))).alias("shard"))
+    # every source owns a range of the numbers below the sum of all needs; a number finds its source through buckets of
+    # equal width, as many as there are sources, each with the ranges that touch it
+    ranges = s.select("name", (F.sum("need").over(W.orderBy("need", "name").rowsBetween(W.unboundedPreceding, 0)) - F.col("need")).alias("lo"), "need")
+    plan = s.agg(F.sum("need").alias("slots"), F.count(F.lit(1)).alias("sources")).filter("slots > 0")
+    plan = plan.withColumn("width", F.ceil(F.col("slots") / F.col("sources")).cast("long")).drop("sources")
+    ranges = ranges.crossJoin(F.broadcast(plan)).select("name", "lo", (F.col("lo") + F.col("need")).alias("hi"), F.explode(F.sequence(F.expr("lo div width"), F.expr("(lo + need - 1) div width"))).alias("bucket"))
+    shards = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))).alias("shard"))
     # the multinomial: every slot of a shard draws its source
     n_here = F.least(F.lit(shard_slots).cast("long"), F.col("slots") - F.col("shard") * shard_slots)
-    drawn = shards.repartition("shard").select("shard", "parts", "ends", "slots", F.explode(F.sequence(F.lit(1).cast("long"), n_here)).alias("slot"))
-    u = F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.col("slots")).alias("u")
-    drawn = drawn.select("shard", "parts", "ends", u)
-    drawn = drawn.select("shard", F.expr("element_at(parts, 1 + size(filter(ends, e -> e <= u))).name").alias("name"))
+    drawn = shards.repartition("shard").select("shard", "width", "slots", F.explode(F.sequence(F.lit(1).cast("long"), n_here)).alias("slot"))
+    drawn = drawn.select("shard", "width", F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.col("slots")).alias("u")).withColumn("bucket", F.expr("u div width"))
+    drawn = drawn.join(_beside(ranges, few), "bucket").filter("lo <= u and u < hi")
     counts = drawn.groupBy("name", "shard").agg(F.count(F.lit(1)).alias("c"))
     run = W.partitionBy("name").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("off", F.coalesce(F.sum("c").over(run), F.lit(0)))
@@ -113,7 +116,7 @@ def _mixed(df, id_col, text_col, source_col, block_words, shard_slots, seed, cap
     d = materialize(word_counts(df, id_col, text_col, source_col))
     targets = materialize(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), cap))
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    d = d.withColumns({"name": F.struct("source"), "p1": F.pmod(F.xxhash64("doc_id"), F.lit(FAN)), "p2": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FAN))})
+    d = d.withColumns({"name": F.struct("source"), "p1": F.pmod(F.xxhash64("doc_id"), F.lit(FAN)), "p2": F.pmod(F.xxhash64("doc_id", "size"), F.lit(FAN))})  # rows of one hot id differ in size
     # running word offsets in a source, on three levels, so that no source passes through one task
     parts = d.groupBy("name", "p1", "p2").agg(F.sum("size").alias("words"))
     before = W.unboundedPreceding, -1
