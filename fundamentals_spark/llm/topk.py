@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from fundamentals_spark.llm.common import materialize
 
-#: Ratio of lengths inside a bucket, rows of a bucket's part, queries of a block.
-RATIO, PART_ROWS, BLOCK = 1.05, 8192, 1024
+#: Ratio of lengths inside a bucket, rows of a bucket's part, bytes of the query vectors of a block. A candidate is copied at
+#: most once for each block, so blocks are as large as a task can hold.
+RATIO, PART_ROWS, BLOCK_BYTES = 1.05, 8192, 32 << 20
 #: Local cosine threshold from which coordinates prune.
 COORDINATE_FROM = 0.6
 #: Rows, of the longest, that give the first bounds.
@@ -61,7 +62,7 @@ def _best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, bound:
         wide = int(counts.max(initial=0))
         if not wide:
             continue
-        alive = np.arange(wide)[None, :] < counts[:, None]
+        chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         sharp = cosine[rows] >= COORDINATE_FROM
         if sharp.any():
             # coordinate pruning: a vector within angle arccos(t) of the query lies, seen from an axis, between the query's
@@ -71,21 +72,27 @@ def _best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, bound:
             for r in np.flatnonzero(sharp):
                 within = np.arccos(min(1.0, cosine[rows[r]]))
                 g = q[rows[r]] / q_norm[rows[r]]
+                at = np.arange(counts[r])
                 for f in np.argsort(-np.abs(g))[:3]:
                     angle = np.arccos(np.clip(g[f], -1, 1))
                     least, most = np.cos(min(np.pi, angle + within)), np.cos(max(0.0, angle - within))
-                    alive[r] &= (unit[:wide, f] >= least - 1e-9) & (unit[:wide, f] <= most + 1e-9)
-        score = _products(q[rows], c[:wide])
-        alive &= (score >= bound[rows][:, None]) & (cid[None, :wide] != qid[rows][:, None])
+                    at = at[(unit[at, f] >= least - 1e-9) & (unit[at, f] <= most + 1e-9)]
+                chosen[r] = at, _products(q[rows[r]][None, :], c[at])[0]  # only what the coordinates leave is multiplied
+        dense = np.flatnonzero(~sharp)
+        score = _products(q[rows[dense]], c[: int(counts[dense].max(initial=0))])
+        for n, r in enumerate(dense):
+            chosen[r] = np.arange(counts[r]), score[n, : counts[r]]
         for r, x in enumerate(rows):
-            at = np.flatnonzero(alive[r])
+            at, s = chosen[r]
+            keep = (s >= bound[x]) & (cid[at] != qid[x])
+            at, s = at[keep], s[keep]
             if len(at) > k:
-                s = score[r, at]
-                at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
-            best = at[np.lexsort((cid[at], -score[r, at]))][:k]
+                top = s >= np.partition(s, len(s) - k)[len(s) - k]
+                at, s = at[top], s[top]
+            best = np.lexsort((cid[at], -s))[:k]
             out_q += [qid[x]] * len(best)
-            out_c += cid[best].tolist()
-            out_s += score[r, best].tolist()
+            out_c += cid[at[best]].tolist()
+            out_s += s[best].tolist()
     return out_q, out_c, out_s
 
 
@@ -111,18 +118,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str =
     sizes = c.groupBy("dim", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"))
     sizes = sizes.withColumn("parts", F.ceil(F.col("n") / PART_ROWS).cast("long"))
     c = c.join(sizes.select("dim", "bucket", "parts"), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    n_blocks = max(1, -(-q.count() // BLOCK))
+    n_blocks = max(1, -(-(q.agg(F.sum(F.col("dim") * 8)).first()[0] or 0) // BLOCK_BYTES))
     q = q.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n_blocks)))
 
     seeds = c.orderBy(F.col("norm").desc(), "vec_id").limit(SEED_ROWS)  # a fixed number of rows
     first = _joined(q.withColumn("bound", F.lit(None).cast("long")), seeds.withColumns({"bucket": F.lit(0).cast("long"), "part": F.lit(0).cast("long")}), q.select("dim", "block").distinct().withColumns({"bucket": F.lit(0).cast("long"), "part": F.lit(0).cast("long")}), k)
     ranked = first.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     bounds = ranked.filter(f"r = {k}").select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
-    q = materialize(q.join(bounds, "vec_id", "left"))
-
     # a block goes to the parts that one of its queries needs: bound <= |q| * longest of the bucket
     # a query without a bound, or of length 0, whose scores are all 0, needs every part
     least = F.coalesce(F.try_divide(F.col("bound").cast("double"), "norm"), F.lit(float("-inf")))
+    q = q.join(bounds, "vec_id", "left")
+    if n_blocks > 1:  # queries of similar need share a block, so that few blocks need the short buckets; one number a block
+        cuts = q.agg(F.percentile_approx(least, [i / n_blocks for i in range(1, n_blocks)])).first()[0] or []
+        q = q.withColumn("block", F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < least)).cast("long"))
+        at_most = F.floor((F.count(F.lit(1)) - 1) * F.max("dim") * 8 / (2 * BLOCK_BYTES)) + 1  # many equal needs: split by hash
+        split = q.groupBy("dim", "block").agg(at_most.alias("splits"))
+        q = q.join(split, ["dim", "block"]).withColumn("block", F.col("block") + n_blocks * F.pmod(F.xxhash64("vec_id"), F.col("splits"))).drop("splits")
+    q = materialize(q)
     blocks = q.groupBy("dim", "block").agg(F.max("norm").alias("most"), F.min(least).alias("least"))
     pairs = blocks.join(sizes, "dim").filter(F.coalesce(F.col("top") * (1 + 1e-9) >= F.col("least"), F.lit(True)))
     pairs = pairs.select("dim", "block", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
