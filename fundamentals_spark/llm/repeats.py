@@ -1,14 +1,17 @@
 """Suffix-array deduplication: every byte in a string of LENGTH bytes that also starts earlier goes.
 
 Two equal strings of LENGTH bytes select equal anchors: a position whose GRAM-byte hash is lowest in some window of that
-length. So anchors, about one for 35 bytes, find all repeats. Anchors travel with a hash of their whole context, everything
-that a window around them can hold. Equal contexts need no look at the text: all but the earliest go. Where one gram has
+length. So anchors, about one for 35 bytes, find all repeats. Anchors travel with a digest of the bytes of their whole context,
+everything that a window around them can hold. Contexts of one gram with equal digests (64 bits of SHA-256, beside the 64
+bits of the gram's polynomial hash) are equal: all but the earliest go, without moving the text. Where one gram has
 several contexts, their suffixes (and prefixes, read backwards) are sorted by mergesort; two suffixes are compared at their
 common extension, which a binary search over polynomial prefix hashes finds; bytes then confirm the extensions.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +42,12 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(a[:n], a[width - have : width - have + n])
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 64 bits of the SHA-256 of byte ranges."""
+    raw, sha = memoryview(buf), hashlib.sha256
+    return np.frombuffer(b"".join([sha(raw[a:b]).digest()[:8] for a, b in zip(start.tolist(), end.tolist(), strict=True)]), dtype=np.uint64)
+
+
 def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions of anchors in a buffer of rows, their gram and context hashes, and the context's reach to the left and right."""
     none = np.zeros(0, dtype=np.int64)
@@ -58,9 +67,7 @@ def anchors(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     right = np.minimum(REACH, offsets[row + 1] - p - GRAM)
     fits = right >= 0
     p, left, right = p[fits], left[fits], right[fits]
-    second = bytehash.prefix_hash(buf, _TABLE2, _BASE2)
-    context = bytehash.substring_hash(second, p - left, p + GRAM + right, _INVERSE2)
-    context = bytehash.mix(context + (left * 256 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    context = bytehash.mix(digests(buf, p - left, p + GRAM + right) + (left * 256 + right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return p, gram[p], context, left, right
 
 
