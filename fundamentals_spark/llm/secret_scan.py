@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from fundamentals_spark.llm import bytehash
 
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
-#: Documents in the training sample: those lowest in hash order of their id.
-SAMPLE = 3000
-WINDOW = 12
+#: Documents in the training sample: those lowest in hash order of their id. Windows of the sample that the fit takes at
+#: most, lowest in hash order of their features. Tokens of a window. One token of so many begins a window without a hit.
+SAMPLE, WINDOWS = 3000, 12_000
+WINDOW, OTHER_RATE = 12, 512
 HASH_BITS = 10
 CHUNK = 1 << 20
 KINDS = ("assign", "access", "hex")
@@ -60,7 +61,12 @@ _LOWER = bytehash.lower_table()
 #: Binary features of a token by group; then hashed words before it. One column of ids for each group.
 GROUPS = (8, 32, 32, 8, 16, 16, 8, 8, 8)
 STARTS = np.concatenate([[0], np.cumsum(GROUPS)])
-N_FEATURES = int(STARTS[-1]) + 2 * (1 << HASH_BITS)
+#: Two more ids: of tokens beyond the end of a short row, and of masked features, whose weights stay 0.
+PAD = int(STARTS[-1]) + 2 * (1 << HASH_BITS)
+MASKED = PAD + 1
+N_FEATURES = MASKED + 1
+#: Columns of features that tell a pattern's cue: a token's size and the two words before it.
+CUES = (0, len(GROUPS), len(GROUPS) + 1)
 
 
 @dataclass
@@ -195,6 +201,8 @@ def fit_crf(feats: np.ndarray, tags: np.ndarray, steps: int = 150, l2: float = 1
         gw = np.stack([np.bincount(flat.ravel(), weights=np.repeat(diff[:, c], flat.shape[1]), minlength=N_FEATURES) for c in range(3)], axis=1) + l2 * w
         gt = (pairs - gold_moves) / n + 10 * l2 * t
         for x, g, i in ((w, gw, 0), (t, gt, 2)):
+            if i == 0:
+                g[MASKED] = 0.0
             state[i] = 0.9 * state[i] + 0.1 * g
             state[i + 1] = 0.999 * state[i + 1] + 0.001 * g * g
             x -= 0.1 * (state[i] / (1 - 0.9**k)) / (np.sqrt(state[i + 1] / (1 - 0.999**k)) + 1e-8)
@@ -221,15 +229,50 @@ def _flagged(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def train_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Crf:
-    """Fit on windows of at most ``sample`` documents: around tokens in pattern hits, and as many windows at other places."""
+def _windows(tok: Tokens, tag: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows around hits and around places that a hash of (row, place in the row) picks: features and tags.
+
+    A window stays in its row; a row with fewer tokens is padded. In every other window, by hash, the cues of the
+    patterns are masked, so that the field also learns shape and what stands between tokens. What a row gives depends on
+    the row alone.
+    """
+    none = np.zeros((0, WINDOW, len(GROUPS) + 2), dtype=np.int32), np.zeros((0, WINDOW), dtype=np.int8)
+    if not len(tag):
+        return none
+    first = np.searchsorted(tok.row, np.arange(len(salt) + 1))
+    place = np.arange(len(tag)) - first[tok.row]
+    drawn = bytehash.mix(salt[tok.row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    centre = np.flatnonzero((tag == BEGIN) | (drawn % np.uint64(OTHER_RATE) == 0))
+    row = tok.row[centre]
+    at = np.maximum(np.minimum(centre - WINDOW // 2, first[row + 1] - WINDOW), first[row])
+    at, keep = np.unique(at, return_index=True)
+    if not len(at):
+        return none
+    row = row[keep]
+    idx = at[:, None] + np.arange(WINDOW)
+    inside = idx < first[row + 1][:, None]
+    idx = np.minimum(idx, len(tag) - 1)
+    feats = np.where(inside[:, :, None], tok.feats[idx], PAD).astype(np.int32)
+    masked = (drawn[at] >> np.uint64(40)) & np.uint64(1) == 1
+    for c in CUES:
+        feats[:, :, c] = np.where(masked[:, None] & inside, MASKED, feats[:, :, c])
+    return feats, np.where(inside, tag[idx], OUTSIDE).astype(np.int8)
+
+
+def train_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, windows: int = WINDOWS) -> Crf:
+    """Fit on at most ``windows`` windows of at most ``sample`` documents: around tokens in pattern hits, and at other places.
+
+    The windows depend on ids and texts alone, so partitions and batches do not change the model. Null ids are left out; rows
+    that share an id all take part, and equal windows count once. Without a window every token is outside.
+    """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = docs.join(F.broadcast(ids), "doc_id")  # at most ``sample`` ids
+    some = docs.join(F.broadcast(ids), "doc_id").select("text", F.xxhash64("doc_id").alias("salt"))  # at most ``sample`` ids
 
     def run(batches):
         for batch in batches:
             buf, offsets = bytehash.text_buffer(batch.column("text"))
+            salts = batch.column("salt").to_numpy().view(np.uint64)
             for i, j in bytehash.row_chunks(offsets, CHUNK):
                 part, off = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 tok = tokens_of(part, off)
@@ -237,29 +280,22 @@ def train_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for r in np.flatnonzero(_flagged(part, off)):
                     raw = part[off[r] : off[r + 1]]
                     places = _char_places(raw)
-                    for a, kind, b in base_spans(raw.tobytes().decode()):
+                    text = raw.tobytes().decode()
+                    for a, kind, b in base_spans(text):
                         if kind == 0:
-                            a = b - len(ASSIGN.fullmatch(raw.tobytes().decode()[a:b])[1])
+                            a = b - len(ASSIGN.fullmatch(text[a:b])[1])
                         lo, hi = off[r] + np.searchsorted(places, a), off[r] + np.searchsorted(places, b)
                         inside = np.flatnonzero((tok.start < hi) & (tok.end > lo))
                         tag[inside] = INSIDE
                         tag[inside[:1]] = BEGIN
-                hit = np.flatnonzero(tag == BEGIN)
-                rng = np.random.default_rng(int(off[-1]))
-                other = rng.integers(0, max(1, len(tag)), 2 * len(hit) + 20)
-                at = np.concatenate([hit - WINDOW // 2, other])
-                at = np.unique(at[(at >= 0) & (at + WINDOW <= len(tag))])
-                if len(at):
-                    idx = at[:, None] + np.arange(WINDOW)
-                    one = tok.row[idx[:, 0]] == tok.row[idx[:, -1]]
-                    idx = idx[one]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(tok.feats[idx].reshape(len(idx), -1)), type=pa.list_(pa.int32())), pa.array(list(tag[idx].astype(np.int32)), type=pa.list_(pa.int32()))], names=["feats", "tags"])
-
-    windows = some.mapInArrow(run, "feats array<int>, tags array<int>").orderBy(F.xxhash64("feats"), "feats").limit(4 * sample).toPandas()
-    if not len(windows):
+                feats, tags = _windows(tok, tag, salts[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(list(feats.reshape(len(feats), -1)), type=pa.list_(pa.int32())), pa.array(list(tags.astype(np.int32)), type=pa.list_(pa.int32()))], names=["feats", "tags"])
+
+    found = some.mapInArrow(run, "feats array<int>, tags array<int>").distinct().orderBy(F.xxhash64("feats"), "feats", "tags").limit(windows).toPandas()
+    if not len(found):
         return fit_crf(np.zeros((0, WINDOW, len(GROUPS) + 2), dtype=np.int32), np.zeros((0, WINDOW), dtype=np.int64))
-    feats = np.stack(windows["feats"].to_list()).reshape(len(windows), WINDOW, -1).astype(np.int64)
-    return fit_crf(feats, np.stack(windows["tags"].to_list()).astype(np.int64))
+    feats = np.stack(found["feats"].to_list()).reshape(len(found), WINDOW, -1).astype(np.int64)
+    return fit_crf(feats, np.stack(found["tags"].to_list()).astype(np.int64))
 
 
 def scan_secrets(df: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
