@@ -32,7 +32,7 @@ RULES = (
     Rule("mean_word_chars", 1.5, 25.0),
     Rule("symbol_ratio", None, 0.3),
     Rule("dup_line_ratio", None, 0.6),
-    Rule("stop_word_ratio", 0.0, 0.9),
+    Rule("stop_word_ratio", None, 0.9),
     Rule("long_word_ratio", None, 0.5),
     Rule("echo_ratio", None, 0.3),
 )
@@ -71,7 +71,10 @@ def with_quality(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     def paired(source: str, shift: int, lost: int) -> Column:
         return F.expr(f"if({size} >= 8, zip_with(slice({source}, 1, {size} - {lost}), slice({source}, {shift + 1}, {size} - {lost}), (a, b) -> xxhash64(a, b)), array())")
 
-    out = out.withColumn(n["h2"], paired(n["h"], 1, 1)).withColumn(n["h4"], paired(n["h2"], 2, 3)).withColumn(n["h8"], paired(n["h4"], 4, 7))
+    out = out.withColumn(n["h2"], paired(n["h"], 1, 1)).withColumn(n["h4"], paired(n["h2"], 2, 3))
+    # a window of 8 words that repeats begins with 4 that do, so texts without such need no windows of 8
+    again = F.expr(f"size(array_distinct({n['h4']})) < size({n['h4']})")
+    out = out.withColumn(n["h8"], F.when(again, paired(n["h4"], 4, 7)).otherwise(F.array().cast("array<bigint>")))
     h8 = n["h8"]
     # positions of windows whose hash has an equal neighbour in hash order, in text order
     at = f"sort_array(filter(transform(sequence(0, size(s) - 1), j -> if(get(s, j).h <=> get(s, j - 1).h or get(s, j).h <=> get(s, j + 1).h, get(s, j).i, null)), x -> x is not null))"
