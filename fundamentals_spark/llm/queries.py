@@ -37,7 +37,7 @@ def _digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """doc_id, a count for each base kind, the digest of the base spans and all spans as text."""
     base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in kinds))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,8 +62,8 @@ def _pii() -> str:
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t FROM documents),
 {parts},
-u AS ({union}), g AS (SELECT k, {counts}, {text} FILTER (kind IN ({base})) AS b, {text} AS spans FROM u GROUP BY k)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (k)"""
+u AS ({union}), g AS (SELECT k, {counts}, count(*) AS n, {text} FILTER (kind IN ({base})) AS b, {text} AS spans FROM u GROUP BY k)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_spans FROM d LEFT JOIN g USING (k)"""
 
 
 PII = _pii()
