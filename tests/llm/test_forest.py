@@ -1,4 +1,4 @@
-"""The LSH forest's subtries, stars of near copies, hot keys in components, and recall at the threshold."""
+"""The LSH forest's subtries, stars of near copies, hubs in components, and recall at the threshold."""
 
 import random
 from collections import Counter
@@ -58,8 +58,7 @@ def test_recall_at_the_threshold(spark):
     assert sum(got[2 * k + 1] == 2 * k for k in range(300)) == 300
 
 
-def test_hot_keys_in_components(spark, monkeypatch):
-    monkeypatch.setattr(comp, "HOT_SHARE", 4)
+def test_hubs_in_components(spark):
     edges = [(5, i) for i in range(3000, 6500)] + [(i, 6500) for i in range(6501, 8000)] + [(6499, 6500)]
     got = dict(map(tuple, comp.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert set(got.values()) == {5} and len(got) == len({x for e in edges for x in e})
