@@ -24,9 +24,9 @@ from fundamentals_spark.llm.common import materialize
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
 CHUNK = 1 << 20
-#: Contexts that one sorting task holds on average; a gram with more is split by its windows. Parts that a class of equal windows is dealt to.
-SORT_ROWS = 10_000
-SALT = 64
+#: Contexts that a sorting task gets on average, and contexts of one gram (about 3 KB of arrays each) that it can hold; a gram
+#: with more is split by its windows.
+TASK_ROWS, SORT_ROWS = 10_000, 50_000
 _LAST = np.iinfo(np.int64).max
 _TABLE2 = np.random.default_rng(77).integers(1, 2**64, 256, dtype=np.uint64)
 _BASE2 = bytehash.BASE ^ 0x5555555555555554
@@ -243,8 +243,26 @@ def _settle(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cols[0])) < len(opened[0])), *map(pa.array, cols)], names=["open", "g", "c", "doc", "pos", "reach"])
 
 
+#: Open rows: a window that begins d bytes before the gram of an anchor, with two hashes. Others: an anchor whose windows from d to h1 are covered.
+WINDOW = "open boolean, doc long, pos long, d int, h1 long, h2 long"
+
+
+def _window_rows(is_open: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = (np.int64, np.int64, np.int32, np.int64, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(is_open), *(pa.array(x.astype(k)) for x, k in zip(cols, kinds))], names=["open", "doc", "pos", "d", "h1", "h2"])
+
+
+def _ranges(doc: np.ndarray, pos: np.ndarray, d: np.ndarray) -> list[np.ndarray]:
+    """doc, pos, smallest and greatest d of each anchor."""
+    order = np.lexsort((d, pos, doc))
+    doc, pos, d = doc[order], pos[order], d[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])[: len(doc)]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)[: int(new.sum())]
+    return [doc[new], pos[new], d[new], d[last], np.zeros(int(new.sum()), dtype=np.int64)]
+
+
 def _windows(batches):
-    """doc, pos, d and two hashes of every window of LENGTH bytes in an anchor's context, beginning d bytes before the gram."""
+    """Every window of LENGTH bytes in the anchors' contexts; of equal ones in a batch the earliest stays open, the others are covered."""
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
@@ -252,21 +270,46 @@ def _windows(batches):
             left = part.column("reach").to_numpy().astype(np.int64) // 256
             row = np.repeat(np.arange(part.num_rows), np.maximum(np.diff(offsets) - LENGTH + 1, 0))
             start = offsets[row] + np.arange(len(row)) - np.searchsorted(row, row)
-            one = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf), start, start + LENGTH))
-            two = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf, _TABLE2, _BASE2), start, start + LENGTH, _INVERSE2))
-            cols = [part.column("doc").to_numpy()[row], part.column("pos").to_numpy()[row], (left[row] - start + offsets[row]).astype(np.int32), one.view(np.int64), two.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc", "pos", "d", "h1", "h2"])
+            one = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf), start, start + LENGTH)).view(np.int64)
+            two = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf, _TABLE2, _BASE2), start, start + LENGTH, _INVERSE2)).view(np.int64)
+            doc, pos, d = part.column("doc").to_numpy()[row], part.column("pos").to_numpy()[row], left[row] - start + offsets[row]
+            order = np.lexsort((pos, doc, d, two, one))
+            doc, pos, d, one, two = (x[order] for x in (doc, pos, d, one, two))
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (d[1:] != d[:-1])])[: len(one)]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            gone = ~new & ((doc != doc[first]) | (pos != pos[first]))
+            closed = _ranges(doc[gone], pos[gone], d[gone])
+            cols = [np.append(x[new], y) for x, y in zip((doc, pos, d, one, two), closed)]
+            yield _window_rows(np.arange(len(cols[0])) < int(new.sum()), cols)
+
+
+def _later_windows(batches):
+    """Streams open windows in order of (h1, h2, d, doc, pos): all but the earliest of a class are covered. Keeps one row between batches."""
+    held = None
+    for batch in batches:
+        is_open = batch.column("open").to_numpy(zero_copy_only=False)
+        doc, pos, d, one, two = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("doc", "pos", "d", "h1", "h2"))
+        passed = [x[~is_open] for x in (doc, pos, d, one, two)]
+        doc, pos, d, one, two = (x[is_open] for x in (doc, pos, d, one, two))
+        cols = passed
+        if len(doc):
+            if held is not None:
+                doc, pos, d, one, two = (np.append(h, x) for h, x in zip(held, (doc, pos, d, one, two)))
+            new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (d[1:] != d[:-1])])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            gone = ~new & ((doc != doc[first]) | (pos != pos[first]))
+            cols = [np.append(x, y) for x, y in zip(passed, _ranges(doc[gone], pos[gone], d[gone]))]
+            k = first[-1]
+            held = [x[k : k + 1] for x in (doc, pos, d, one, two)]
+        yield _window_rows(np.zeros(len(cols[0]), dtype=bool), cols)
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """Spans as ``covered`` finds them, for grams with more contexts than a sorting task holds: equal windows meet by
-    hash, so that a task gets classes of windows instead of all contexts of a gram."""
-    key = ["d", "h1", "h2"]
-    w = materialize(contexts.mapInArrow(_windows, "doc long, pos long, d int, h1 long, h2 long"))
-    first = w.groupBy(*key).agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last"))
-    first = first.filter("first != last").select(*key, "first", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    later = w.withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALT)).cast("int")).join(first, [*key, "salt"])
-    later = later.filter("struct(doc, pos) != first").groupBy("doc", "pos").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    """Spans as ``covered`` finds them, for grams with more contexts than a sorting task holds: equal windows meet by their
+    hashes in one shuffle and stream in order, so that no task holds all contexts of a gram, nor a class of windows."""
+    w = contexts.mapInArrow(_windows, WINDOW).repartition(F.when(F.col("open"), F.col("h1")).otherwise(F.xxhash64("doc", "pos")))
+    w = w.sortWithinPartitions("h1", "h2", "d", "doc", "pos").mapInArrow(_later_windows, WINDOW)
+    later = w.groupBy("doc", "pos").agg(F.min("d").alias("lo"), F.max("h1").alias("hi"))
     return later.select("doc", (F.col("pos") - F.col("hi")).alias("a"), (F.col("pos") - F.col("lo") + LENGTH).alias("b"))
 
 
@@ -326,7 +369,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.DataFrame({"doc": pdf["doc"].to_numpy()[i], "a": a, "b": b})
 
     opened = settled.filter("open")
-    tasks = max(1, opened.count() // SORT_ROWS)
+    tasks = max(1, opened.count() // TASK_ROWS)
     texts = docs.select("doc", "doc_id", "version", "text")
 
     def contexts(of: DataFrame) -> DataFrame:
