@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fundamentals_spark.operators import evidence, governance
 from fundamentals_spark.plans import standins as S
+from fundamentals_spark.sources import links as L
 
 QUERIES, SQL = {}, {}
 _O = f"WITH {S.OBSERVATIONS}"
@@ -42,6 +43,24 @@ def a10(spark, sf):
     return links.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n")).withColumn("looks_like_document", F.lower("url").rlike(r"\.pdf|release|resultado"))
 
 
+# links of investor documents stand after each page's markup, far enough that its words do not tell their period or type
+@query("a10_discover", """WITH p AS (SELECT page_id, page_id % 7 AS company, url, page_id % 4 + 1 AS q, 20 + page_id % 6 AS y, page_id % 5 AS k FROM pages),
+l AS (SELECT *, 1 AS n, 'https://docs.example.net/' || CASE WHEN k = 4 THEN 'audio' ELSE 'r' END || page_id || '.pdf?a=1&b=2' AS u, CASE WHEN k = 4 THEN NULL ELSE 'RELEASE_RESULTADOS' END AS type FROM p
+UNION ALL SELECT *, 2, 'http://cdn.docs.example.net/download?id=' || page_id, 'DEMONSTRACOES_FINANCEIRAS' FROM p WHERE k <> 1 UNION ALL SELECT *, 3, 'https://docs.example.net/x' || page_id || '.xlsx', 'PLANILHA_RESULTADOS' FROM p WHERE k < 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY company, q, y, type ORDER BY page_id, n) AS i FROM l WHERE type IS NOT NULL AND y >= 22)
+SELECT company, url AS page_url, u AS document_url, q || 'T' || y AS period, CAST(2000 + y AS INTEGER) AS year, type FROM r WHERE i = 1""")
+def a10_discover(spark, sf):
+    k, n = F.col("page_id") % 5, F.col("page_id").cast("string")
+    label = F.concat((F.col("page_id") % 4 + 1).cast("string"), F.lit("T"), (F.col("page_id") % 6 + 20).cast("string"))
+    far = lambda text: F.concat(F.lit(" " * (L.REACH + 200)), text)
+    release = F.concat(F.lit('<a href="https://docs.example.net/'), F.when(k == 4, "audio").otherwise("r"), n, F.lit('.pdf?a=1&amp;b=2">Release de resultados '), label, F.lit("</a>"))
+    script = F.concat(F.lit('<script>{"title": "Demonstrações financeiras '), label, F.lit('", "url": "http:\\/\\/'), F.when(k == 1, "mydocs.example.net").otherwise("cdn.docs.example.net"), F.lit("\\/download?id="), n, F.lit('"}</script>'))
+    sheet = F.concat(F.lit("<button data-url='https://docs.example.net/x"), n, F.when(k < 2, ".xlsx").otherwise(".html"), F.lit("'>Planilha de fundamentos "), label, F.lit("</button>"))
+    pages = read(spark, sf, "pages").select("page_id", (F.col("page_id") % 7).alias("company"), "url", F.concat("html", far(release), far(script), far(sheet)).alias("html"))
+    domains = spark.createDataFrame([("docs.example.net",)], "domain string")
+    return L.discover_links(pages, domains, first_year=2022, company="company").drop("title")
+
+
 @query("a12_manifest_merge", f"""{_O}, o AS (SELECT ticker, metric, year, q, CASE WHEN ordinal % 6 = 1 THEN value * 2 ELSE value END AS value, ordinal, CASE WHEN ordinal % 6 = 1 THEN 1 ELSE 0 END AS g FROM observations), r AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY g DESC, ordinal DESC) k FROM o)
 SELECT ticker, metric, year, q, CAST(value AS DOUBLE) AS value, ordinal FROM r WHERE k = 1""")
 def a12(spark, sf):
