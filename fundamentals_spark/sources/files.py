@@ -28,12 +28,18 @@ def read_statement_csv(spark: SparkSession, path: str, doc: str, statement: str)
     return df.withColumns({"DOCUMENTO": F.lit(doc), "DEMONSTRACAO": F.lit(statement), "ANO_ARQUIVO": F.nullif(year, F.lit("")).cast("int")})
 
 
-def expand_filing_archives(spark: SparkSession, glob: str, members: str, least_bytes: int = 1024) -> DataFrame:
+def expand_filing_archives(spark: SparkSession, glob: str, members: str, least_bytes: int = 1024, expected: tuple[str, ...] = ()) -> DataFrame:
     """(path, member, line_no, line, error) of the members of ZIP archives whose name matches the pattern; one archive at a time in a task.
 
-    An archive under ``least_bytes``, with a failing checksum or without a matching member gives one row with an error and no line.
+    An archive under ``least_bytes``, with a failing checksum, without a matching member or without one of the ``expected``
+    member names gives one row with an error and no line. ``{year}`` in an expected name is the last year 19xx or 20xx in the
+    archive's file name; an archive without a year there lacks such members.
     """
 
+    def complete(path: str, names: list[str]) -> bool:
+        years = re.findall(r"(?<!\d)(?:19|20)\d{2}(?!\d)", path.rsplit("/", 1)[-1])
+        return {e.replace("{year}", years[-1] if years else "") for e in expected} <= set(names)
+
     def rows(path: str, content: bytes):
         if len(content) < least_bytes:
             return [(path, None, None, None, "too_small")]
@@ -42,7 +48,7 @@ def expand_filing_archives(spark: SparkSession, glob: str, members: str, least_b
                 if z.testzip():
                     return [(path, None, None, None, "bad_checksum")]
                 names = [n for n in z.namelist() if re.search(members, n)]
-                if not names:
+                if not names or not complete(path, z.namelist()):
                     return [(path, None, None, None, "members_missing")]
                 return [(path, n, i, line, None) for n in names for i, line in enumerate(z.read(n).decode("iso-8859-1").splitlines())]
         except zipfile.BadZipFile:

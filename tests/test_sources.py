@@ -62,3 +62,13 @@ def test_publish_keeps_other_partitions(spark, tmp_path):
     files.publish(spark.createDataFrame(rows, "v int, sector string, component string"), path)
     files.publish(spark.createDataFrame([(9, "retail", "financial")], "v int, sector string, component string"), path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("v", "sector", "component").collect()) == [(2, "retail", "operational"), (3, "health", "financial"), (9, "retail", "financial")]
+
+
+def test_archives_need_every_expected_member(spark, tmp_path):
+    for name, members in {"itr_2025.zip": ("con", "ind"), "itr_2026.zip": ("con",), "itr.zip": ("con", "ind")}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for m in members:
+                z.writestr(f"itr_cia_aberta_DRE_{m}_{name[4:8] if name != 'itr.zip' else 2025}.csv", HEAD + "\n" + "x" * 2000)
+    want = ("itr_cia_aberta_DRE_con_{year}.csv", "itr_cia_aberta_DRE_ind_{year}.csv")
+    got = files.expand_filing_archives(spark, f"{tmp_path}/*.zip", "DRE", expected=want).groupBy("path", "error").count().collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.error, r["count"]) for r in got) == [("itr.zip", "members_missing", 1), ("itr_2025.zip", None, 4), ("itr_2026.zip", "members_missing", 1)]
