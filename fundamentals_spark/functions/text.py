@@ -90,6 +90,20 @@ def parse_period(c: Column, as_of_year: int) -> Column:
     return F.when(kind.isNotNull() & (year <= as_of_year), F.struct(label.alias("label"), kind.alias("kind"), year.cast("int").alias("year"), q.alias("quarter")))
 
 
+def parse_period_text(c: Column) -> Column:
+    """struct<reference, start, end> of the dates in a free text: three or more ISO dates are reference, start and end; two
+    are start and end, one is both; the end is then the reference. Without ISO dates the first and last dd/mm/yyyy date are start
+    and end. No date, or an end that is no day of the calendar, gives null."""
+    iso = F.transform(F.regexp_extract_all(c, F.lit(r"(20[0-9]{2}-[0-9]{2}-[0-9]{2})"), F.lit(1)), lambda x: F.try_to_date(x, "yyyy-MM-dd"))
+    local = F.transform(F.regexp_extract_all(c, F.lit(r"([0-9]{2}/[0-9]{2}/20[0-9]{2})"), F.lit(1)), lambda x: F.try_to_date(x, "dd/MM/yyyy"))
+    dates = F.when(F.size(iso) > 0, iso).otherwise(local)
+    at = lambda i: F.try_element_at(dates, F.lit(i))
+    three = F.size(iso) >= 3
+    end = F.when(three, at(3)).otherwise(at(-1))
+    made = F.struct(F.when(three, at(1)).otherwise(end).alias("reference"), F.when(three, at(2)).otherwise(at(1)).alias("start"), end.alias("end"))
+    return F.when(end.isNotNull(), made)
+
+
 def norm_unit(value: Column, unit: Column, family: str = "construction") -> Column:
     """struct<value, unit, multiplier, raw_value, raw_unit, converted>.
 

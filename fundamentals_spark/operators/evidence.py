@@ -57,6 +57,70 @@ def score_observations(obs: DataFrame) -> DataFrame:
     return obs.withColumns({"score": score, "confidence": confidence_label(score)})
 
 
+# Further contexts that a metric's label or surroundings may not have.
+_VARIATION = r"\b(?:var\.?|variacao|yoy|qoq|a/a|t/t)\b"
+
+
+def judge_observations(obs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Nature, proxy, rejection, score and confidence of candidate values.
+
+    ``obs``: metric, label, context, value, unit, source, calculated. ``definitions``: metric, allowed_proxies and
+    forbidden_contexts (arrays of terms in order), proxy_score (null: 74) - one rule row a metric, joined by it. Terms are
+    sought without case and accents in label and context. A forbidden term rejects unless it is an allowed proxy; so do
+    variations beside an average ticket, patient-days as patients, net revenue as gross revenue, and gross revenue in money
+    under 10. ``plausible`` tests patient-days: over 100 and no year. Null texts count as empty.
+    """
+    terms = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda t: norm_text(t, "fold"))
+    rules = definitions.select(F.col("metric").alias("__m"), "allowed_proxies", "forbidden_contexts", "proxy_score")
+    j = obs.join(rules, F.col("metric") == F.col("__m"), "left").withColumn("__hay", norm_text(F.concat_ws(" ", "label", "context"), "fold"))
+    j = j.withColumns({"__ok": terms("allowed_proxies"), "__no": terms("forbidden_contexts")})
+    hay, label = F.col("__hay"), norm_text(F.coalesce("label", F.lit("")), "fold")
+    has = lambda *ts: F.exists(F.array(*map(F.lit, ts)), lambda t: hay.contains(t))
+    calculated = F.coalesce("calculated", F.lit(False))
+    place = F.array_position(F.transform("__ok", lambda t: hay.contains(t)), True).cast("int")
+    proxy = F.when(calculated, "formula").when(place > 0, F.try_element_at("allowed_proxies", F.nullif(place, F.lit(0))))
+    nature = F.when(calculated, "calculated").when(proxy.isNotNull(), "proxy").otherwise("reported")
+    stop = F.array_position(F.transform("__no", lambda t: (t != "") & hay.contains(t) & ~F.array_contains("__ok", t)), True).cast("int")
+    days = has("pacientes-dia", "paciente-dia")
+    number, money = F.col("value").cast("double"), F.coalesce(norm_text(F.col("unit"), "fold").contains("r$"), F.lit(True))
+    rejection = (
+        F.when(stop > 0, F.try_element_at("forbidden_contexts", F.nullif(stop, F.lit(0))))
+        .when((F.col("metric") == "Ticket Médio") & hay.rlike(_VARIATION), "variation_context")
+        .when((F.col("metric") == "N. Pacientes") & days & (place.isNull() | (place == 0)), "pacientes-dia_is_not_unique_patients")
+        .when((F.col("metric") == "Receita Bruta") & has("receita liquida", "net revenue"), "net_revenue_is_not_gross_revenue")
+        .when((F.col("metric") == "Receita Bruta") & (number < 10) & money, "gross_revenue_value_incompatible_with_unit")
+    )
+    source = F.when(F.col("source").startswith("spreadsheet"), 90).when(F.col("source") == "release_table", 86).otherwise(76)
+    score = F.when(rejection.isNotNull(), 35).when(nature == "proxy", F.coalesce("proxy_score", F.lit(74))).when(calculated, 82).otherwise(source)
+    by_day = label.contains("pacientes-dia") | label.contains("paciente-dia")
+    # fixed values: years that stand in headers
+    plausible = F.coalesce(~by_day | ((number > 100) & ~F.floor(number).isin(2025, 2026)), F.lit(False)) & number.isNotNull()
+    out = j.withColumns({"nature": nature, "proxy_for": proxy, "rejection_reason": rejection, "source_score": source, "score": score, "confidence": confidence_label(score), "plausible": plausible})
+    review = (F.col("confidence") == "low") | F.col("rejection_reason").isNotNull()
+    return out.withColumn("requires_review", review).drop("__m", "__hay", "__ok", "__no", "allowed_proxies", "forbidden_contexts", "proxy_score")
+
+
+# Fields that evidence needs, and beginnings of flags that quarantine it.
+EVIDENCE_FIELDS = ("ticker", "metric", "period", "value", "unit", "source_document")
+_QUARANTINE = ("profile_publication:", "ownership_basis_expected:", "unexpected_")
+
+
+def evidence_status(obs: DataFrame) -> DataFrame:
+    """validation_status and the missing fields: null, empty or zero fields and low confidence give low_confidence; the flag
+    breakdown_without_explicit_total gives quarantined_scope, flags of the profile's expectations quarantined. ``obs``: the
+    fields, confidence, validation_flags (null: none)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    absent = lambda c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) == 0) if c == "value" else text(c) == ""
+    missing = F.filter(F.array(*[F.when(absent(c), F.lit(c)) for c in EVIDENCE_FIELDS]), lambda x: x.isNotNull())
+    flags = F.coalesce("validation_flags", F.array().cast("array<string>"))
+    bad = F.exists(flags, lambda f: F.exists(F.array(*map(F.lit, _QUARANTINE)), lambda p: F.startswith(f, p)))
+    status = (
+        F.when(F.array_contains(flags, "breakdown_without_explicit_total"), "quarantined_scope").when(bad, "quarantined")
+        .when((F.size(missing) == 0) & F.coalesce(F.col("confidence").isin("high", "medium"), F.lit(False)), "valid").otherwise("low_confidence")
+    )
+    return obs.withColumns({"validation_status": status, "validation_missing_fields": missing})
+
+
 def validation_status(obs: DataFrame, required: tuple[str, ...] = ("value", "period", "source")) -> DataFrame:
     """valid, low_confidence, quarantined (a required field is missing or flagged) or quarantined_scope."""
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull())
@@ -80,6 +144,38 @@ def derive_ratio(obs: DataFrame, numerator: str, denominator: str, name: str) ->
     return g.select("ticker", "year", "q", "scope", F.lit(name).alias("metric"), F.when(reason.isNull(), F.try_divide(F.col("a").cast("double"), F.nullif(F.col("b").cast("double"), F.lit(0.0)))).alias("value"), reason.alias("reason"))
 
 
+# Derived retail metrics as (metric, numerator, denominator, unit, reason when it cannot be computed).
+RETAIL_RATIOS = (
+    ("digital_revenue_share", "digital_revenue_brl", "comparable_total_revenue_brl", "%", "missing_or_incompatible_comparable_revenue_base"),
+    ("physical_revenue_per_sqm", "physical_revenue_brl", "sales_area_sqm", "R$/m²", "missing_or_incompatible_physical_revenue_or_area"),
+)
+
+
+def derive_retail(obs: DataFrame) -> DataFrame:
+    """Digital share and physical revenue per area of each ticker and period; rows that cannot be computed carry a reason.
+
+    ``obs``: ticker, period, metric, value, scope, status, segment (consolidated or breakdown), area_basis, ordinal. Only valid
+    consolidated rows count, of several the last by ordinal. Both parts must have the same scope (two nulls are the same). A
+    closing (or unstated) area lowers confidence to medium, with a flag.
+    """
+    rows = obs.filter("status = 'valid' and segment = 'consolidated'")
+    names = [n for r in RETAIL_RATIOS for n in r[1:3]]
+    last = [F.max_by(F.struct("value", "scope", "area_basis"), F.when(F.col("metric") == n, F.col("ordinal"))).alias(n) for n in names]
+    g = rows.groupBy("ticker", "period").agg(*last)
+
+    def ratio(metric: str, top: str, base: str, unit: str, reason: str) -> Column:
+        a, b = F.col(f"{top}.value").cast("double"), F.nullif(F.col(f"{base}.value").cast("double"), F.lit(0.0))
+        ok = F.coalesce(a.isNotNull() & b.isNotNull() & F.col(f"{top}.scope").eqNullSafe(F.col(f"{base}.scope")), F.lit(False))
+        closing = F.lit(base == "sales_area_sqm") & (F.coalesce(F.nullif(F.col(f"{base}.area_basis"), F.lit("")), F.lit("closing")) == "closing")
+        flag = F.when(ok & closing, "closing_area_used_instead_of_average_area")
+        return F.struct(
+            F.lit(metric).alias("metric"), F.when(ok, F.try_divide(a, b)).alias("value"), F.lit(unit).alias("unit"), F.col(f"{top}.scope").alias("scope"), F.when(ok, F.when(closing, "medium").otherwise("high")).alias("confidence"),
+            flag.alias("validation_flag"), F.when(ok, "derived").otherwise("not_calculated").alias("status"), F.when(~ok, reason).alias("reason"),
+        )
+
+    return g.select("ticker", "period", F.explode(F.array(*[ratio(*r) for r in RETAIL_RATIOS])).alias("r")).select("ticker", "period", "r.*")
+
+
 def check_observations(obs: DataFrame, metrics: DataFrame | list[str], key: list[str], ticker: str | None = None) -> DataFrame:
     """Array of contract errors for every row.
 
@@ -159,6 +255,23 @@ def credit_loss_proxy(df: DataFrame) -> DataFrame:
     return df.withColumns({"gross_used": gross, "proxy": F.when(gross > 0, F.try_divide(loss.cast("double"), F.nullif(gross.cast("double"), F.lit(0.0))))})
 
 
+def roe_by_scope(df: DataFrame) -> DataFrame:
+    """``roe`` with the status of incompatible scopes. ``df``: income, equity_open, equity_close, scopes_match (null: they do)."""
+    avg = (F.col("equity_open").cast("double") + F.col("equity_close").cast("double")) / 2
+    match = F.coalesce("scopes_match", F.lit(True))
+    status = F.when(F.col("income").isNull() | avg.isNull(), "missing_components").when(~match, "incompatible_basis").when(avg <= 0, "invalid_denominator").otherwise("derived")
+    return df.withColumns({"average_equity": F.when(status.isin("derived", "invalid_denominator"), avg), "value": F.when(status == "derived", F.try_divide(F.col("income").cast("double"), F.nullif(avg, F.lit(0.0)))), "calculation_status": status})
+
+
+def credit_loss_by_scope(df: DataFrame) -> DataFrame:
+    """``credit_loss_proxy`` with its status and whether gross was rebuilt. ``df``: allowance, gross, net, same_scope (null: it is)."""
+    loss = F.abs(F.col("allowance").cast("double"))
+    rebuilt = F.col("gross").isNull() & F.col("net").isNotNull() & loss.isNotNull()
+    gross = F.coalesce(F.col("gross").cast("double"), F.col("net").cast("double") + loss)
+    status = F.when(loss.isNull() | gross.isNull(), "missing_components").when(~F.coalesce("same_scope", F.lit(True)), "incompatible_basis").when(gross <= 0, "invalid_denominator").otherwise("derived")
+    return df.withColumns({"gross_used": gross, "gross_rebuilt": rebuilt, "value": F.when(status == "derived", F.try_divide(loss, F.nullif(gross, F.lit(0.0)))), "calculation_status": status})
+
+
 def annualize(obs: DataFrame, by: list[str]) -> DataFrame:
     """Annual rows: stock = fourth quarter, flow = sum of four quarters (all needed), ratio never; a reported year wins. ``obs``: by, nature, year, q (null = annual), value."""
     g = obs.filter("q is not null").groupBy(*by, "nature", "year").agg(F.countDistinct("q").alias("n"), F.sum("value").alias("s"), F.max(F.when(F.col("q") == 4, F.col("value"))).alias("last"))
@@ -250,6 +363,42 @@ def benchmark(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return j.select("id", F.when(F.col("protected") & ~has, "protected_state").when(F.col("protected"), "false_positive").when(~has, "not_found").when(v.isNull(), "found_without_expected_value").when(near, "match").otherwise("mismatch").alias("outcome"))
 
 
+# States of an expected row that should have no extracted counterpart.
+_PROTECTED = ("não divulgado", "nao divulgado", "não aplicável", "nao aplicavel", "ambíguo", "ambiguo")
+
+
+def benchmark_matrix(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Outcome of every expected row (id, ticker, state, indicator, value, period, unit) against the ticker's extracted rows
+    (ticker, metric, name, value, period, unit): protected_state or false_positive for protected states, not_found,
+    found_without_expected_value, match or mismatch.
+
+    An extracted row is a candidate if its name or metric contains the indicator, without case. A match is within
+    max(0.01, 1 %) of the value and has the period (Q counts as T) and contains the unit, where the row states them. Indicators
+    meet the ticker's distinct names (as many as a dictionary has), values meet in neighbouring cells of a scale on which the
+    tolerance is at most one cell; so the rows of a ticker never meet all against all.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))))
+    cell = lambda v: F.floor(F.signum(v) * F.asinh(F.abs(v)) / 0.0125)
+    a = actual.select("ticker", low("metric").alias("a_metric"), low("name").alias("a_name"), F.col("value").cast("double").alias("a_value"), F.upper(F.coalesce("period", F.lit(""))).alias("a_period"), low("unit").alias("a_unit")).distinct()
+    any_row = a.select("ticker", F.lit(True).alias("any_row")).distinct()
+    e = expected.withColumns({"e_name": low("indicator"), "e_period": F.translate(F.upper(F.trim(F.coalesce("period", F.lit("")))), "Q", "T"), "e_unit": low("unit"), "e_value": F.col("value").cast("double"), "guarded": low("state").isin(*_PROTECTED)})
+    e = e.select("id", "ticker", "e_name", "e_period", "e_unit", "e_value", "guarded")
+    named = lambda: F.col("a_name").contains(F.col("e_name")) | F.col("a_metric").contains(F.col("e_name"))
+    asked = e.select("ticker", "e_name").distinct()
+    known = asked.join(a.select("ticker", "a_name", "a_metric").distinct(), "ticker").filter(named()).select("ticker", "e_name", F.lit(True).alias("found")).distinct()
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    near_e = e.filter(finite(F.col("e_value"))).withColumn("cell", F.explode(F.array(*[cell(F.col("e_value")) + i for i in (-1, 0, 1)])))
+    near_a = a.filter(finite(F.col("a_value"))).withColumn("cell", cell(F.col("a_value")))
+    fits = (F.abs(F.col("a_value") - F.col("e_value")) <= F.greatest(F.lit(0.01), F.abs("e_value") * 0.01)) & ((F.col("e_period") == "") | (F.col("a_period") == F.col("e_period"))) & ((F.col("e_unit") == "") | F.col("a_unit").contains(F.col("e_unit")))
+    hits = near_e.join(near_a, ["ticker", "cell"]).filter(named() & fits).select("id", F.lit(True).alias("fits")).distinct()
+    j = e.join(hits, "id", "left").join(known, ["ticker", "e_name"], "left").join(any_row, "ticker", "left")
+    outcome = (
+        F.when(F.col("guarded") & F.col("any_row").isNull(), "protected_state").when(F.col("guarded"), "false_positive").when(F.col("found").isNull(), "not_found")
+        .when(F.col("e_value").isNull(), "found_without_expected_value").when(F.col("fits"), "match").otherwise("mismatch")
+    )
+    return j.select("id", "ticker", outcome.alias("outcome"))
+
+
 def build_observations(cells: DataFrame, profile: DataFrame) -> DataFrame:
     """Observations with evidence from classified cells: value, unit, period, basis, nature and flags from the profile's expectations.
 

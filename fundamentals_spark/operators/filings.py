@@ -59,6 +59,21 @@ def select_scope(df: DataFrame, scope: str = "scope") -> DataFrame:
     return df.withColumn("__c", is_con).withColumn("__any", F.max("__c").over(W.partitionBy("company", "ref_date"))).filter("__c or not __any").drop("__c", "__any")
 
 
+def select_registered_scope(df: DataFrame, registry: DataFrame, scope: str = "scope") -> DataFrame:
+    """Rows in the scope that the company's registry entry asks for (company, statement_scope: consolidado, individual or
+    auto; null or absent: auto, which is ``select_scope``). A company without rows in its scope on a date keeps one row there, with error scope_not_found and no value."""
+    wanted = registry.groupBy("company").agg(F.max(F.lower(F.trim("statement_scope"))).alias("__want"))
+    j = df.join(wanted, "company", "left").withColumns({"__con": norm_text(F.col(scope), "fold").contains("consolid"), "__ind": norm_text(F.col(scope), "fold").contains("individual")})
+    at = W.partitionBy("company", "ref_date")
+    auto = F.coalesce(~F.col("__want").isin("consolidado", "individual"), F.lit(True))
+    fits = F.coalesce(F.when(auto, F.col("__con") | ~F.coalesce(F.max("__con").over(at), F.lit(False))).when(F.col("__want") == "consolidado", F.col("__con")).otherwise(F.col("__ind")), F.lit(False))
+    j = j.withColumn("__fits", fits)
+    none = ~F.max("__fits").over(at)
+    j = j.withColumns({"__none": none, "__row": F.row_number().over(at.orderBy(*[c for c in ("code", "ordinal") if c in df.columns], scope))})
+    out = j.filter("__fits or (__none and __row = 1)").withColumn("scope_error", F.when(F.col("__none"), "scope_not_found"))
+    return out.withColumn("value", F.when(F.col("scope_error").isNull(), F.col("value"))).drop("__want", "__con", "__ind", "__fits", "__none", "__row")
+
+
 def quarter_spine(df: DataFrame, start: Column, end: Column) -> DataFrame:
     """One row for each row of ``df`` and quarter end between two dates."""
     first = F.trunc(start, "quarter")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundamentals_spark.operators.asof import best_row
+from fundamentals_spark.operators.indicators import cagr_years
 
 KEY = ["ticker", "metric", "year", "q"]
 # Events of a document's life, the ones that may follow each (``discovered`` may follow any), those that end it, and reserved field names.
@@ -82,6 +83,38 @@ def quality_report(obs: DataFrame, companies: DataFrame) -> DataFrame:
     return j.withColumn("class", F.when(F.col("valid") > 0, "valid").when(F.col("quarantined") > 0, "quarantined_only").otherwise("not_found"))
 
 
+def sector_quality_report(obs: DataFrame, companies: DataFrame, sector: list[str] | None = None) -> DataFrame:
+    """One row for each sector: companies requested, with valid observations, not found, quarantined only; valid,
+    quarantined and zero observations; number of valid observations by unit (scales); status and warnings.
+
+    ``companies``: sector, ticker, snapshot_status (null: none). ``obs``: ticker, validation_status (null: valid), confidence,
+    value, unit, raw_unit. Valid rows have high or medium confidence. A sector without a company that has one fails the gate.
+    """
+    key = sector or ["sector"]
+    valid = (F.coalesce("validation_status", F.lit("valid")) == "valid") & F.coalesce(F.col("confidence").isin("high", "medium"), F.lit(False))
+    held = F.coalesce(F.col("validation_status").startswith("quarantined"), F.lit(False))
+    unit = F.coalesce(F.nullif(F.col("raw_unit"), F.lit("")), F.nullif(F.col("unit"), F.lit("")), F.lit("unknown"))
+    rows = companies.select(*key, "ticker").distinct().join(obs, "ticker").withColumns({"__v": valid, "__q": held, "__u": unit})
+    per = rows.groupBy(*key, "ticker").agg(F.count_if("__v").alias("v"), F.count_if("__q").alias("h"), F.count_if(F.col("__v") & (F.col("value") == 0)).alias("z"))
+    scales = rows.filter("__v").groupBy(*key, "__u").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__u", "n")))).alias("scales_detected"))
+    asked = companies.groupBy(*key, "ticker").agg(F.max(F.coalesce(F.col("snapshot_status") == "not_found", F.lit(False))).alias("lost"))
+    j = asked.join(per, key + ["ticker"], "left").fillna(0, ["v", "h", "z"])
+    lost = F.col("lost")
+    g = j.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("companies_requested"), F.count_if(~lost & (F.col("v") > 0)).alias("companies_with_valid_observations"), F.count_if(lost).alias("companies_not_found"),
+        F.count_if(~lost & (F.col("v") == 0) & (F.col("h") > 0)).alias("companies_quarantined_only"), F.sum("v").alias("valid_observations"), F.sum("h").alias("quarantined_observations"), F.sum("z").alias("zero_observations"),
+    )
+    partial = F.when(F.col("companies_with_valid_observations") < F.col("companies_requested"), "partial_coverage")
+    status = F.when(F.col("companies_with_valid_observations") == 0, "failed_quality_gate").otherwise("success")
+    return g.join(scales, key, "left").withColumns({"warning": partial, "status": status})
+
+
+def observation_coverage(obs: DataFrame) -> DataFrame:
+    """Sorted periods and metrics of each ticker's valid observations of high or medium confidence. ``obs``: ticker, metric, period, validation_status, confidence."""
+    valid = obs.filter((F.coalesce("validation_status", F.lit("valid")) == "valid") & F.col("confidence").isin("high", "medium"))
+    return valid.groupBy("ticker").agg(F.array_sort(F.collect_set(F.nullif(F.col("period"), F.lit("")))).alias("periods"), F.array_sort(F.collect_set(F.nullif(F.col("metric"), F.lit("")))).alias("metrics"))
+
+
 def reconcile_manifest(listed: DataFrame, physical: DataFrame, key: str, digest: str) -> DataFrame:
     """missing, unlisted, mismatch or ok for every listed or physical file."""
     a, b = listed.select(key, F.col(digest).alias("__a")), physical.select(key, F.col(digest).alias("__b"))
@@ -150,6 +183,63 @@ def comparison_table(indicators: DataFrame, metrics: list[str]) -> DataFrame:
     return top.select("company", "metric", "t.year", "t.q", "t.value")
 
 
+# Margins of the comparison, and states of a quality flag that take their value away.
+COMPARED_MARGINS = ("margem_bruta", "margem_operacional", "margem_ebitda", "margem_liquida")
+_NO_VALUE = ("incomplete", "not_comparable")
+
+
+def comparison_payload(registry: DataFrame, records: DataFrame, cycles: DataFrame, variations: DataFrame, units: DataFrame) -> DataFrame:
+    """The twelve compared metrics of every company, each with its own latest valid period.
+
+    ``registry``: company. ``records``: company, year, q, is_ytd, receita_liquida, lucro_liquido, the four margins,
+    ev_ebitda_ltm, quality_flags (array of metric, status, message). ``cycles``: company, start, end, cycle.
+    ``variations``: company, horizon (30, 90, 360), change_pct. ``units``: company, period, value, confidence, year, q.
+    Growth runs from the first to the last annual record by calendar years; margins come from the last annual record and go
+    where its flag is incomplete or not comparable; EV/EBITDA is the last record with a value; the cycle is that of the last
+    whole calendar year. Result: company, metric, value, period, quality, confidence.
+    """
+    annual = records.filter("is_ytd and q = 4")
+    growth = cagr_years(annual, ["receita_liquida", "lucro_liquido"], ["company"])
+    span = F.when(F.col("last_year") > F.col("first_year"), F.concat_ws("–", F.col("first_year").cast("string"), F.col("last_year").cast("string")))
+    cell = lambda m, v, p, q=None, c=None: F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value"), p.alias("period"), (F.lit(None).cast("string") if q is None else q).alias("quality"), (F.lit(None).cast("string") if c is None else c).alias("confidence"))
+    last = annual.groupBy("company").agg(F.max_by(F.struct("year", "quality_flags", *COMPARED_MARGINS), "year").alias("r"))
+    valued = records.filter("ev_ebitda_ltm is not null")
+    ev = valued.groupBy("company").agg(F.max_by(F.struct("year", "q", "ev_ebitda_ltm"), F.struct("year", "q", "is_ytd")).alias("e"))
+    whole = cycles.filter((F.date_format("start", "MM-dd") == "01-01") & (F.date_format("end", "MM-dd") == "12-31"))
+    cyc = whole.groupBy("company").agg(F.max_by(F.struct("end", "cycle"), "end").alias("c"))
+    var = variations.groupBy("company").agg(*[F.max(F.when(F.col("horizon") == h, F.col("change_pct"))).alias(f"d{h}") for h in (30, 90, 360)])
+    kept = units.filter("value is not null and coalesce(confidence, '') <> 'low'")
+    unit = kept.groupBy("company").agg(F.max_by(F.struct("value", "period", "confidence"), F.struct("year", F.coalesce("q", F.lit(5)))).alias("u"))
+    j = registry.select("company").distinct()
+    for side in (growth, last, ev, cyc, var, unit):
+        j = j.join(side, "company", "left")
+    fy = F.when(F.col("r.year").isNotNull(), F.concat(F.lit("FY"), F.col("r.year").cast("string")))
+
+    def margin(m: str) -> Column:
+        flag = F.try_element_at(F.filter("r.quality_flags", lambda f: f["metric"] == m), F.lit(1))["status"]
+        return cell(m, F.when(~F.coalesce(flag.isin(*_NO_VALUE), F.lit(False)), F.col(f"r.{m}")), fy, flag)
+
+    cells = [
+        cell("cagr_receita", F.col("cagr_receita_liquida"), span), cell("cagr_lucros", F.col("cagr_lucro_liquido"), span),
+        cell("ciclo_financeiro", F.col("c.cycle"), F.when(F.col("c.end").isNotNull(), F.concat(F.lit("FY"), F.year("c.end").cast("string")))), *[margin(m) for m in COMPARED_MARGINS],
+        cell("ev_ebitda", F.col("e.ev_ebitda_ltm"), F.when(F.col("e.year").isNotNull(), F.concat(F.lit("LTM "), F.col("e.q").cast("string"), F.lit("T"), F.lpad((F.col("e.year") % 100).cast("string"), 2, "0")))),
+        *[cell(f"delta_preco_{h}d", F.col(f"d{h}"), F.lit("Atual")) for h in (30, 90, 360)],
+        cell("n_unidades", F.col("u.value"), F.col("u.period"), c=F.when(F.col("u").isNull(), "not_found").otherwise(F.col("u.confidence"))),
+    ]
+    return j.select("company", F.explode(F.array(*cells)).alias("m")).select("company", "m.*")
+
+
+def comparison_charts(records: DataFrame, cycles: DataFrame) -> DataFrame:
+    """The five annual series of the comparison: company, chart, period (FY and year), value, quality. Inputs as in ``comparison_payload``."""
+    annual = records.filter("is_ytd and q = 4")
+    flag = lambda m: F.try_element_at(F.filter("quality_flags", lambda f: f["metric"] == m), F.lit(1))["status"]
+    rows = F.array(*[F.struct(F.lit(m).alias("chart"), F.col(m).cast("double").alias("value"), flag(m).alias("quality")) for m in COMPARED_MARGINS])
+    margins = annual.select("company", F.concat(F.lit("FY"), F.col("year").cast("string")).alias("period"), F.explode(rows).alias("m")).select("company", "m.chart", "period", "m.value", "m.quality")
+    whole = cycles.filter((F.date_format("start", "MM-dd") == "01-01") & (F.date_format("end", "MM-dd") == "12-31"))
+    cyc = whole.select("company", F.lit("ciclo_financeiro").alias("chart"), F.concat(F.lit("FY"), F.year("end").cast("string")).alias("period"), F.col("cycle").cast("double").alias("value"), F.lit(None).cast("string").alias("quality"))
+    return margins.unionByName(cyc)
+
+
 def chart_series(indicators: DataFrame, value: str) -> DataFrame:
     """company, year, value in millions and place in the display order."""
     place = F.row_number().over(W.partitionBy("company").orderBy("year"))

@@ -39,6 +39,70 @@ def net_debt(bp: DataFrame, deduct_investments: bool = True, include_leases: boo
     return g.withColumns({"deducted": deducted, "error": error, "net_debt": F.when(error.isNull(), value)}).drop("dup")
 
 
+# Accounts of each part of the net debt where a company has no rule of its own.
+DEBT_CODES = {"short": (SHORT_DEBT,), "long": (LONG_DEBT,), "cash": (CASH,), "investments": (INVESTMENTS,)}
+
+
+def _debt_rows(bp: DataFrame, codes: DataFrame | None) -> DataFrame:
+    """Counted rows of ``bp`` with their part: of every (part, code) of the company the account itself, else its leaves.
+
+    ``codes``: company, part, code. A company's codes of a part replace the default ones of that part.
+    """
+    default = F.create_map(*[x for k, v in DEBT_CODES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    by = ["company", "ref_date", "part", "root"]
+    rows = bp.select("company", "ref_date", "code", "description", "value")
+    if codes is None:
+        rows = rows.withColumn("__own", F.lit(None).cast("map<string,array<string>>"))
+    else:
+        lists = codes.dropna(subset=["company", "part", "code"]).groupBy("company", "part").agg(F.array_sort(F.collect_set(F.trim("code"))).alias("c"))
+        own = lists.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("__own"))
+        rows = rows.join(own, "company", "left")
+
+    def of(part: str) -> Column:
+        codes = F.coalesce(F.try_element_at("__own", F.lit(part)), F.element_at(default, F.lit(part)))
+        return F.transform(codes, lambda c: F.struct(F.lit(part).alias("part"), c.alias("root")))
+
+    wanted = F.flatten(F.array(*[of(k) for k in DEBT_CODES]))
+    near = F.filter(wanted, lambda w: (F.col("code") == w["root"]) | F.col("code").startswith(F.concat(w["root"], F.lit("."))))
+    at = rows.withColumn("__w", F.explode(near)).select("company", "ref_date", "code", "description", "value", "__w.part", "__w.root")
+    has_root = F.max(F.col("code") == F.col("root")).over(W.partitionBy(*by))
+    at = at.withColumn("__has", has_root)
+    exact = at.filter("code = root")
+    below = leaves_only(at.filter("not __has"), by)
+    return exact.unionByName(below).drop("__has")
+
+
+def net_debt_by_company(bp: DataFrame, codes: DataFrame | None = None, options: DataFrame | None = None, deduct_investments: bool = True, include_leases: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(net debt, audit rows) by company and date under rules of each company.
+
+    ``codes``: company, part (short, long, cash, investments), code - several codes of a part are added up. ``options``:
+    company, deduct_investments, include_leases; one row a company, null or absent: the given default. The first table has
+    every component, the options applied and an error (duplicate_root, no_debt_account, no_cash_account) in place of a value;
+    the second the counted accounts: company, ref_date, part, code, description, value. Leases are leaves outside counted debt accounts.
+    """
+    key = ["company", "ref_date"]
+    rows = _debt_rows(bp, codes)
+    flags = {"deduct_investments": deduct_investments, "include_leases": include_leases}
+    chosen = bp.select("company").distinct()
+    if options is not None:
+        chosen = chosen.join(options.groupBy("company").agg(*[F.max(f).alias(f) for f in flags]), "company", "left")
+    chosen = chosen.select("company", *[(F.coalesce(f, F.lit(v)) if options is not None else F.lit(v)).alias(f) for f, v in flags.items()])
+    lease = bp.filter(F.col("code").startswith("2.") & norm_text(F.col("description"), "fold").rlike(r"\b(arrendamentos?|leasing)\b"))
+    lease = lease.join(rows.filter("part in ('short', 'long')").select(*key, "code").distinct(), key + ["code"], "left_anti")
+    lease = leaves_only(lease, key).join(chosen.filter("include_leases").select("company"), "company", "left_semi")
+    audit = rows.select(*key, "part", "code", "description", "value").unionByName(lease.select(*key, F.lit("leases").alias("part"), "code", "description", "value"))
+    twice = rows.filter("code = root").groupBy(*key, "part", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg((F.max("n") > 1).alias("dup"))
+    parts = [*DEBT_CODES, "leases"]
+    sums = audit.groupBy(*key).agg(*[F.sum(F.when(F.col("part") == p, F.col("value"))).cast("decimal(38,4)").alias(p) for p in parts])
+    g = bp.select(*key).distinct().join(sums, key, "left").join(twice, key, "left").join(chosen, "company")
+    zero = F.lit(0).cast("decimal(38,4)")
+    error = F.when(F.col("dup"), "duplicate_root").when(F.col("short").isNull() & F.col("long").isNull(), "no_debt_account").when(F.col("cash").isNull(), "no_cash_account")
+    gross = F.coalesce("short", zero) + F.coalesce("long", zero) + F.coalesce("leases", zero)
+    deducted = F.when(F.col("deduct_investments"), F.coalesce("investments", zero)).otherwise(zero)
+    out = g.withColumns({"gross_debt": gross, "deducted": deducted, "error": error, "net_debt": F.when(error.isNull(), gross - F.col("cash") - deducted)}).drop("dup")
+    return out, audit
+
+
 def ltm(df: DataFrame, metric: str, by: list[str], n: int = 4) -> DataFrame:
     """Sum of n consecutive quarters that end at the row; null unless all are there. One row for each key and quarter."""
     w = W.partitionBy(*by).orderBy(F.col("year") * 4 + F.col("q")).rangeBetween(-(n - 1), 0)
@@ -72,6 +136,41 @@ def cagr(df: DataFrame, value: str, by: list[str], n: int = 5) -> DataFrame:
     return g.select(*by, "points", F.when(ok, (F.pow(F.try_divide(F.col("b"), F.nullif(F.col("a"), F.lit(0.0))), F.try_divide(F.lit(1.0), F.nullif(F.col("points") - 1, F.lit(0)))) - 1) * 100).alias("cagr"))
 
 
+def cagr_periods(df: DataFrame, values: list[str], by: list[str], n: int = 5) -> DataFrame:
+    """Growth of several values over the last n annual rows, or over the last n rows where fewer than two are annual.
+
+    ``df``: by, year, q, is_ytd (annual: year-to-date fourth quarters). Every row counts as one interval. Null with fewer than
+    two rows, an end of 0 or less, or - but for the first value - a missing value in between.
+    """
+    annual = F.coalesce(F.col("is_ytd") & (F.col("q") == 4), F.lit(False))
+    rows = df.withColumn("__annual", annual).withColumn("__many", F.count_if("__annual").over(W.partitionBy(*by)) >= 2).filter("__annual or not __many")
+    order = [F.col("year"), F.col("q"), F.col("is_ytd")]
+    rows = rows.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*[c.desc() for c in order]))).filter(F.col("__r") <= n)
+    ends = [F.min_by(v, F.struct(*order)).cast("double").alias(f"a_{v}") for v in values] + [F.max_by(v, F.struct(*order)).cast("double").alias(f"b_{v}") for v in values]
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("points"), F.max("__many").alias("annual"), *ends, *[F.count(v).alias(f"n_{v}") for v in values])
+
+    def rate(v: str, gaps: bool) -> Column:
+        ok = (F.col("points") >= 2) & (F.col(f"a_{v}") > 0) & (F.col(f"b_{v}") > 0)
+        ok = ok if gaps else ok & (F.col(f"n_{v}") == F.col("points"))
+        ratio, years = F.try_divide(F.col(f"b_{v}"), F.nullif(F.col(f"a_{v}"), F.lit(0.0))), F.nullif(F.col("points") - 1, F.lit(0))
+        return F.when(ok, (F.pow(ratio, F.try_divide(F.lit(1.0), years)) - 1) * 100)
+
+    return g.select(*by, "points", "annual", *[rate(v, i == 0).alias(f"cagr_{v}") for i, v in enumerate(values)])
+
+
+def cagr_years(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """Growth from the first to the last row by their distance in calendar years; null with a distance or an end of 0 or less. ``df``: by, year, one row a year."""
+    ends = [f(v, "year").cast("double").alias(f"{p}_{v}") for v in values for f, p in ((F.min_by, "a"), (F.max_by, "b"))]
+    g = df.groupBy(*by).agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), *ends)
+    years = F.nullif(F.col("last_year") - F.col("first_year"), F.lit(0))
+
+    def rate(v: str) -> Column:
+        ok = (F.col(f"a_{v}") > 0) & (F.col(f"b_{v}") > 0) & years.isNotNull()
+        return F.when(ok, (F.pow(F.try_divide(F.col(f"b_{v}"), F.nullif(F.col(f"a_{v}"), F.lit(0.0))), F.try_divide(F.lit(1.0), years)) - 1) * 100)
+
+    return g.select(*by, "first_year", "last_year", *[rate(v).alias(f"cagr_{v}") for v in values])
+
+
 def working_capital(bp: DataFrame, revenue: DataFrame | None = None) -> DataFrame:
     """Current assets (1.01) less current liabilities (2.01) on dates that have both; in percent of ``revenue`` (company, ref_date, revenue) if given."""
     part = lambda c: F.max(F.when(F.col("code") == c, F.col("value")))
@@ -160,6 +259,26 @@ def reconcile(df: DataFrame, match: float = 0.01, review: float = 0.05) -> DataF
     return df.withColumns({"difference": diff, "status": status})
 
 
+# Metrics that every period's reconciliation lists.
+CRITICAL_METRICS = (
+    "receita_contabil_cvm", "receita_operacional_divulgada", "ebitda_contabil", "ebitda_ajustado_divulgado", "lucro_liquido", "divida_liquida_padronizada", "divida_liquida_divulgada", "market_cap_historico",
+    "enterprise_value", "ev_ebitda_ltm",
+)
+
+
+def reconciliation_rows(periods: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each key and critical metric (value, validated or MISSING_DATA), and one of accounting against disclosed
+    adjusted EBITDA: METHODOLOGY_DIFFERENCE, NOT_COMPARABLE at zero, MISSING_DATA. Metrics that ``periods`` lacks are missing."""
+    have = lambda m: F.col(m).cast("double") if m in periods.columns else F.lit(None).cast("double")
+    official, disclosed = have("ebitda_contabil"), have("ebitda_ajustado_divulgado")
+    none = F.lit(None).cast("double")
+    row = lambda m, v, d, c: F.struct(F.lit(m).alias("metric"), v.alias("value"), d.alias("difference"), c.alias("classification"))
+    rows = [row(m, have(m), none, F.when(have(m).isNull(), "MISSING_DATA").otherwise("validated")) for m in CRITICAL_METRICS]
+    both = F.when(official.isNull() | disclosed.isNull(), "MISSING_DATA").when(official == 0, "NOT_COMPARABLE").otherwise("METHODOLOGY_DIFFERENCE")
+    rows.append(row("ebitda_contabil_vs_ajustado", disclosed, disclosed - official, both))
+    return periods.select(*by, F.explode(F.array(*rows)).alias("m")).select(*by, "m.*")
+
+
 def depreciation(dfc: DataFrame, periods: DataFrame) -> DataFrame:
     """|D&A| per period: synthetic rows where the company has any, else all candidate rows; a missing isolated quarter is
     year-to-date less the quarters before (a missing one counts as 0). ``dfc``: company, year, q, is_ytd, synthetic, value; ``periods``: company, year, q."""

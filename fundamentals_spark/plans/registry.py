@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fundamentals_spark.plans import queries_core, queries_evidence, queries_more
+from fundamentals_spark.plans import queries_core, queries_evidence, queries_more, queries_rules
 
-_MODULES = (queries_core, queries_evidence, queries_more)
+_MODULES = (queries_core, queries_evidence, queries_more, queries_rules)
 
 
 def queries():
