@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from fundamentals_spark.llm.bytehash import mix
 
-#: Pre-tokens that a worker keeps with their ids, in two generations; only speed depends on it.
-MEMO = 300_000
+#: Pre-tokens that a worker keeps with their ids, in two generations, and the longest it keeps; only speed depends on them.
+MEMO, MEMO_BYTES = 300_000, 64
 _MASK = 2**64 - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,6 +158,8 @@ class Memo(dict):
             piece = text.encode()
             i = self.perfect.find(piece)
             ids = (i,) if self.tokens[i] == piece else tuple(merge_bytes(piece, self.ranks))
+            if len(piece) > MEMO_BYTES:
+                return ids
         self[text] = ids
         return ids
 
