@@ -342,6 +342,22 @@ def preserve_snapshot(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.withColumn("status", F.lit("updated")).unionByName(kept.withColumn("status", F.lit("preserved_existing_data")))
 
 
+def snapshot_outcome(companies: DataFrame, new: DataFrame, old: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, status) after a run. A company's new rows replace its old ones; without new rows the old ones stay.
+
+    ``companies``: ticker. ``documents``: ticker, status (null or error) of the documents of this run. Status by ticker:
+    found_new_data, preserved_existing_data, else extraction_failed (a document has an error), unsupported_document (there were
+    documents) or source_unavailable. Rows of tickers outside ``companies`` stay out.
+    """
+    asked = companies.select("ticker").distinct()
+    fresh, past = new.join(asked, "ticker", "left_semi"), old.join(asked, "ticker", "left_semi")
+    has = lambda df, name: df.select("ticker").distinct().withColumn(name, F.lit(True))
+    docs = documents.groupBy("ticker").agg(F.max(F.coalesce(F.col("status") == "error", F.lit(False))).alias("failed"))
+    j = asked.join(has(fresh, "__new"), "ticker", "left").join(has(past, "__old"), "ticker", "left").join(docs, "ticker", "left")
+    status = F.when(F.col("__new"), "found_new_data").when(F.col("__old"), "preserved_existing_data").when(F.col("failed"), "extraction_failed").when(F.col("failed").isNotNull(), "unsupported_document").otherwise("source_unavailable")
+    return fill_missing(fresh, past, ["ticker"]), j.select("ticker", status.alias("status"), F.when(F.col("__new").isNotNull() | F.col("__old").isNotNull(), "found").otherwise("not_found").alias("coverage_status"))
+
+
 def latest_metric(obs: DataFrame) -> DataFrame:
     """Latest value of each ticker and metric without low confidence; an annual row (null quarter) ranks after the fourth quarter."""
     return best_row(obs.filter("confidence <> 'low'"), ["ticker", "metric"], [F.col("year").desc(), F.coalesce("q", F.lit(5)).desc(), F.col("ordinal").desc()])

@@ -167,6 +167,35 @@ def validate_overrides(df: DataFrame, registry: DataFrame, metrics: list[str]) -
     return df.filter(ok).join(registry.select("ticker", "sector").distinct(), ["ticker", "sector"], "left_semi")
 
 
+def parse_overrides(df: DataFrame, registry: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Raw manual records with canonical ticker, metric, period and number; ``error`` names the first thing that is wrong.
+
+    ``df``: ticker, sector (null: the company's), metric, period, value (text). ``registry``: ticker, alias, sector, with one row
+    for every spelling (the ticker itself included). ``metrics``: sector, metric, alias. Spellings compare without case; periods
+    are 1T26 / 1Q2026, FY26 / FY2026 or 2026; numbers have digits, points and commas - with a comma, points are thousands.
+    Errors: unknown_ticker, sector_mismatch, unknown_metric, bad_period, bad_value. Both rule tables have a fixed size.
+    """
+    fold = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    names = registry.select(fold(F.col("alias")).alias("__alias"), F.col("ticker").alias("__ticker"), F.lower("sector").alias("__sector")).dropDuplicates(["__alias"])
+    kinds = metrics.select(F.lower("sector").alias("__ms"), fold(F.col("alias")).alias("__ma"), F.col("metric").alias("__metric")).dropDuplicates(["__ms", "__ma"])
+    own = F.coalesce(F.nullif(F.lower(F.trim("sector")), F.lit("")), F.col("__sector"))
+    j = df.join(names, fold(F.col("ticker")) == F.col("__alias"), "left").withColumn("__own", own)
+    j = j.join(kinds, (F.col("__own") == F.col("__ms")) & (fold(F.col("metric")) == F.col("__ma")), "left")
+    p = F.regexp_replace(fold(F.col("period")), " ", "")
+    q, fy = r"^([1-4])[TQ]([0-9]{2})?([0-9]{2})$", r"^FY(20)?([0-9]{2})$"
+    period = F.when(p.rlike(q), F.concat(F.regexp_extract(p, q, 1), F.lit("T"), F.regexp_extract(p, q, 3))).when(p.rlike(fy), F.concat(F.lit("FY20"), F.regexp_extract(p, fy, 2))).when(p.rlike("^20[0-9]{2}$"), p)
+    t = F.trim(F.col("value").cast("string"))
+    local = F.when(F.contains(t, F.lit(",")), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(t)
+    number = F.when(t.rlike(r"^-?[0-9.,]+$"), local.try_cast("double"))
+    error = (
+        F.when(F.col("__ticker").isNull(), "unknown_ticker").when(F.col("__own") != F.col("__sector"), "sector_mismatch").when(F.col("__metric").isNull(), "unknown_metric")
+        .when(period.isNull(), "bad_period").when(number.isNull() | (F.abs(number) == float("inf")), "bad_value")
+    )
+    made = {"ticker": F.coalesce("__ticker", "ticker"), "sector": F.col("__own"), "metric": F.coalesce("__metric", "metric"), "period": F.coalesce(period, F.col("period")), "value": number, "error": error}
+    out = j.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *[v.alias(f"__out_{k}") for k, v in made.items()])
+    return out.withColumnsRenamed({f"__out_{k}": k for k in made})
+
+
 def merge_manifest_scope(previous: DataFrame, current: DataFrame, scope: str) -> DataFrame:
     """``all``: the current rows and old overrides; ``financial``: current financial rows over old others; ``operational``: the union. Rows: component, path."""
     if scope == "all":

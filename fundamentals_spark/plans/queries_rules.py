@@ -252,3 +252,40 @@ def i08_payload(spark, sf):
 UNION ALL SELECT company, 'margem_ebitda', 'FY' || year, me, fm FROM an UNION ALL SELECT company, 'margem_liquida', 'FY' || year, ml, NULL FROM an""")
 def i08_charts(spark, sf):
     return governance.comparison_charts(*_records(spark, sf)).withColumn("value", F.round("value", 6))
+
+
+_TICKERS = [("T1", "t1", "saude"), ("T1", "OLD1 ", "saude"), ("T2", "T2", "Varejo"), ("T3", "T3", "saude"), ("T4", "T4", "varejo")]
+_NAMES = [(s, m, a) for s in ("saude", "varejo") for m, a in (("Views", "view"), ("Views", "Views"), ("Clicks", " click "))] + [("varejo", "Buys", "purchase")]
+
+
+@query("h01_parse_overrides", f"""{_O}, t AS (SELECT ordinal, CASE WHEN ticker = 'T1' AND ordinal % 2 = 0 THEN 'old1' ELSE lower(ticker) END AS raw, CASE WHEN ordinal % 3 = 0 THEN 'varejo' END AS sec, metric, ordinal % 6 AS k, year, q, CAST(floor(value) AS BIGINT) AS v FROM observations),
+n AS (SELECT *, CASE WHEN raw IN ('t1', 'old1') THEN 'T1' WHEN raw IN ('t2', 't3', 't4') THEN upper(raw) END AS tk, CASE WHEN raw IN ('t1', 'old1', 't3') THEN 'saude' WHEN raw IN ('t2', 't4') THEN 'varejo' END AS home FROM t), o AS (SELECT *, coalesce(sec, home) AS own FROM n),
+m AS (SELECT *, CASE WHEN own IN ('saude', 'varejo') THEN CASE WHEN metric = 'view' THEN 'Views' WHEN metric = 'click' THEN 'Clicks' WHEN metric = 'purchase' AND own = 'varejo' THEN 'Buys' END END AS name, CASE k WHEN 0 THEN q || 'T' || year % 100 WHEN 1 THEN q || 'T' || year % 100 WHEN 2 THEN 'FY' || year WHEN 3 THEN CAST(year AS VARCHAR) WHEN 4 THEN q || 'T' || year % 100 END AS p, CASE k WHEN 0 THEN CAST(v AS DOUBLE) WHEN 1 THEN -v - 0.5 WHEN 2 THEN 1000 + v % 10 / 10.0 WHEN 3 THEN CAST(v AS DOUBLE) WHEN 5 THEN CAST(v AS DOUBLE) END AS x FROM o)
+SELECT ordinal, CASE WHEN tk IS NOT NULL AND own = home AND name IS NOT NULL AND p IS NOT NULL AND x IS NOT NULL THEN tk || '/' || own || '/' || name || '/' || p END AS key, CASE WHEN tk IS NOT NULL AND own = home AND name IS NOT NULL AND p IS NOT NULL THEN round(x, 4) END AS value,
+CASE WHEN tk IS NULL THEN 'unknown_ticker' WHEN own <> home THEN 'sector_mismatch' WHEN name IS NULL THEN 'unknown_metric' WHEN p IS NULL THEN 'bad_period' WHEN x IS NULL THEN 'bad_value' END AS error FROM m""")
+def h01(spark, sf):
+    k, q, y, v = F.col("ordinal") % 6, F.col("q").cast("string"), F.col("year").cast("string"), F.floor("value").cast("long")
+    yy = F.substring(y, 3, 2)
+    period = F.when(k == 0, F.concat(q, F.lit("t"), yy)).when(k == 1, F.concat(q, F.lit(" Q "), y)).when(k == 2, F.concat(F.lit("fy"), yy)).when(k == 3, y).when(k == 4, F.concat(q, F.lit("T"), yy)).otherwise("5T24")
+    value = F.when(k == 1, F.concat(F.lit("-"), v.cast("string"), F.lit(",5"))).when(k == 2, F.concat(F.lit("1.00"), F.lit("0,"), (v % 10).cast("string"))).when(k == 4, F.concat(v.cast("string"), F.lit("%"))).otherwise(v.cast("string"))
+    o = S.observations(spark, sf).select("ordinal", F.when((F.col("ticker") == "T1") & (F.col("ordinal") % 2 == 0), "old1").otherwise(F.lower("ticker")).alias("ticker"), F.when(F.col("ordinal") % 3 == 0, "Varejo").alias("sector"), "metric", period.alias("period"), value.alias("value"))
+    r = governance.parse_overrides(o, spark.createDataFrame(_TICKERS, "ticker string, alias string, sector string"), spark.createDataFrame(_NAMES, "sector string, metric string, alias string"))
+    good = F.col("error").isNull()
+    usable = good | (F.col("error") == "bad_value")
+    return r.select("ordinal", F.when(good, F.concat_ws("/", "ticker", "sector", "metric", "period")).alias("key"), F.when(usable, F.round("value", 4)).alias("value"), "error")
+
+
+_NEW = "CAST(substr(ticker, 2) AS INTEGER) % 4 = 0 AND year = 2023"
+
+
+@query("g22_snapshot_outcome", f"""{_O}, c AS (SELECT DISTINCT ticker, CAST(substr(ticker, 2) AS INTEGER) AS k FROM observations WHERE ticker <> 'T8'), n AS (SELECT * FROM observations WHERE {_NEW}), o AS (SELECT * FROM observations WHERE CAST(substr(ticker, 2) AS INTEGER) % 4 < 2 AND year = 2022),
+r AS (SELECT ticker, ordinal FROM n UNION ALL SELECT ticker, ordinal FROM o WHERE ticker NOT IN (SELECT ticker FROM n)), g AS (SELECT ticker, count(*) AS n_rows, min(ordinal) AS first_row FROM r GROUP BY 1)
+SELECT c.ticker, coalesce(n_rows, 0) AS n_rows, first_row, CASE WHEN c.ticker IN (SELECT ticker FROM n) THEN 'found_new_data' WHEN c.ticker IN (SELECT ticker FROM o) THEN 'preserved_existing_data' WHEN k % 5 = 0 THEN 'extraction_failed' WHEN k % 5 < 3 THEN 'unsupported_document' ELSE 'source_unavailable' END AS status, CASE WHEN n_rows IS NULL THEN 'not_found' ELSE 'found' END AS coverage_status FROM c LEFT JOIN g USING (ticker)""")
+def g22_outcome(spark, sf):
+    o = S.observations(spark, sf)
+    c = o.filter("ticker <> 'T8'").select("ticker").distinct()
+    k = F.substring("ticker", 2, 9).cast("int")
+    docs = c.filter(k % 5 < 3).select("ticker", F.explode(F.array(F.lit(None).cast("string"), F.when(k % 5 == 0, "error"))).alias("status"))
+    rows, status = evidence.snapshot_outcome(c, o.filter((k % 4 == 0) & (F.col("year") == 2023)), o.filter((k % 4 < 2) & (F.col("year") == 2022)), docs)
+    g = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ordinal").alias("first_row"))
+    return status.join(g, "ticker", "left").select("ticker", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_row", "status", "coverage_status")

@@ -65,12 +65,16 @@ def expand_filing_archives(spark: SparkSession, glob: str, members: str, least_b
 
 
 def read_share_capital(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
-    """cnpj, ref_date, version and three share counts of registered companies; blank counts are 0; dates outside the file's year go."""
+    """cnpj, ref_date, version and three share counts of registered companies; dates outside the file's year go.
+
+    Counts may have decimals after a point or comma, which go; blank and unreadable ones are 0. The columns read are plain
+    ASCII, so files in Windows-1252 and in UTF-8 give the same rows.
+    """
     df = spark.read.options(sep=";", header=True, encoding="UTF-8").csv(path)
     counts = {"total": "QT_ACAO_TOTAL_CAP_INTEGR", "common": "QT_ACAO_ORDIN_CAP_INTEGR", "preferred": "QT_ACAO_PREF_CAP_INTEGR"}
     out = df.select(
         norm_cnpj(F.col("CNPJ_CIA")).alias("cnpj"), F.try_to_date("DT_REFER").alias("ref_date"), F.col("VERSAO").try_cast("int").alias("version"),
-        *[F.coalesce(F.regexp_replace(F.col(c), "[^0-9]", "").try_cast("long"), F.lit(0).cast("long")).alias(n) for n, c in counts.items()], F.regexp_extract(F.input_file_name(), r"_(\d{4})\.csv", 1).alias("y"),
+        *[F.coalesce(F.replace(F.trim(c), F.lit(","), F.lit(".")).try_cast("decimal(38,6)").cast("long"), F.lit(0).cast("long")).alias(n) for n, c in counts.items()], F.regexp_extract(F.input_file_name(), r"_(\d{4})\.csv", 1).alias("y"),
     )
     inside = (F.col("y") == "") | (F.year("ref_date").cast("string") == F.col("y"))
     return out.filter(inside).drop("y").join(registry.select("cnpj").distinct(), "cnpj", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fundamentals_spark.functions import text as T
 from fundamentals_spark.operators import evidence, filings, governance, indicators
+from fundamentals_spark.sources import files
 
 day = dt.date.fromisoformat
 
@@ -169,3 +170,30 @@ def test_comparison_payload(spark):
     assert got["A", "ev_ebitda"][:2] == (7.0, "LTM 1T23") and got["A", "ciclo_financeiro"][:2] == (40.0, "FY2022")
     assert got["A", "n_unidades"] == (4.0, "2023", None, "medium") and got["B", "n_unidades"] == (None, None, None, "not_found")
     assert got["A", "delta_preco_30d"][:2] == (1.5, "Atual") and got["A", "delta_preco_90d"][0] is None
+
+
+def test_parsed_overrides(spark):
+    reg = spark.createDataFrame([("ABCD3", "ABCD3", "saude"), ("ABCD3", "OLD3", "saude")], "ticker string, alias string, sector string")
+    met = spark.createDataFrame([("saude", "Ticket Médio", "ticket medio"), ("saude", "Ticket Médio", "Ticket Médio")], "sector string, metric string, alias string")
+    rows = [(" old3", None, "TICKET MÉDIO", "1q2026", "1.234,5"), ("abcd3", "SAUDE", "ticket medio", "fy26", "-2.5"), ("abcd3", "varejo", "ticket medio", "2026", "1"), ("x", None, "ticket medio", "2026", "1"), ("abcd3", None, "?", "2026", "1"), ("abcd3", "", "ticket medio", "26", "1"), ("abcd3", None, "ticket medio", "2026", "1,2,3"), (None, None, None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, ticker string, sector string, metric string, period string, value string")
+    got = governance.parse_overrides(df, reg, met).orderBy("i").collect()
+    assert [r.error for r in got] == [None, None, "sector_mismatch", "unknown_ticker", "unknown_metric", "bad_period", "bad_value", "unknown_ticker"]
+    assert (got[0].ticker, got[0].metric, got[0].period, got[0].value) == ("ABCD3", "Ticket Médio", "1T26", 1234.5) and (got[1].period, got[1].value) == ("FY2026", -2.5)
+
+
+def test_share_counts_with_decimals_and_windows_text(spark, tmp_path):
+    p = tmp_path / "capital_2026.csv"
+    head = "CNPJ_CIA;DT_REFER;VERSAO;DENOM_CIA;QT_ACAO_TOTAL_CAP_INTEGR;QT_ACAO_ORDIN_CAP_INTEGR;QT_ACAO_PREF_CAP_INTEGR\n"
+    p.write_bytes((head + "73.178.600/0001-18;2026-03-31;1;SAÚDE AÇÃO;123.0;1000;7,0\n").encode("cp1252"))
+    reg = spark.createDataFrame([("73178600000118",)], "cnpj string")
+    assert [tuple(r)[2:] for r in files.read_share_capital(spark, str(p), reg).collect()] == [(1, 123, 1000, 7)]
+
+
+def test_snapshot_outcome(spark):
+    c = spark.createDataFrame([(t,) for t in "ABCDE"], "ticker string")
+    new, old = spark.createDataFrame([("A", 1)], "ticker string, v int"), spark.createDataFrame([("A", 0), ("B", 0), ("Z", 0)], "ticker string, v int")
+    docs = spark.createDataFrame([("C", "error"), ("C", None), ("D", None)], "ticker string, status string")
+    rows, status = evidence.snapshot_outcome(c, new, old, docs)
+    assert sorted(map(tuple, rows.collect())) == [("A", 1), ("B", 0)]
+    assert {r.ticker: r.status for r in status.collect()} == {"A": "found_new_data", "B": "preserved_existing_data", "C": "extraction_failed", "D": "unsupported_document", "E": "source_unavailable"}
