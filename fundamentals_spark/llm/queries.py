@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, each over its whole table, with SQL where SQL can say it."""
+"""The registered queries of the operators and of the pipeline, each over its whole table, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, sql, topk, toxicity
+from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, spelling, sql, topk, toxicity
 from fundamentals_spark.llm.common import read
 
 
@@ -73,6 +73,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_spans", F.size("spans").cast("long")).withColumn("spans", spans)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_jaccard": op9_jaccard,
     "op10_licenses": op10_licenses,
+    "op11_spelling": op11_spelling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_pii": sql.PII,
