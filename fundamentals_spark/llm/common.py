@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the five control characters from tab to carriage return.
@@ -51,6 +51,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key that holds a thousandth of the rows is hot; there are at most so many of them.
+HOT_SHARE = 1000
+
+
+def look_up(left: DataFrame, table: DataFrame, keys: list[str], values: list[str], held: str, total: int, spread: Column) -> DataFrame:
+    """``left`` with ``values`` of the row of ``table`` that has the same (not null) ``keys``, null where there is none.
+
+    ``table`` has a row for each key and in ``held`` the number of its rows in ``left``, ``total`` in all. The rows of hot
+    keys, at most ``HOT_SHARE``, are broadcast by a digest of the key; the rest is joined by key, and rows of ``left`` that
+    are already served are dealt out by ``spread``.
+    """
+    k, hit = fresh(left, "look_up_key"), fresh(left, "look_up_hit")
+    digest = F.sha2(F.concat_ws("\x01", *keys), 256)
+    lines = table.select(digest.alias(k), F.struct(*values).alias(hit), F.expr(f"{held} * {HOT_SHARE} >= {total}").alias("_hot"))
+    hot, cold = lines.filter("_hot").drop("_hot"), lines.filter("not _hot").drop("_hot")
+    out = left.withColumn(k, digest).join(F.broadcast(hot), k, "left")
+    own, late = fresh(out, "look_up_own"), fresh(out, "look_up_late")
+    out = out.withColumn(own, F.when(F.col(hit).isNull(), F.col(k)).otherwise(F.concat(F.lit("-"), F.xxhash64(spread).cast("string"))))
+    out = out.join(cold.select(F.col(k).alias(own), F.col(hit).alias(late)), own, "left")
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.coalesce(F.col(f"{hit}.{v}"), F.col(f"{late}.{v}")).alias(v) for v in values])
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column, to size partitions with; one scan, two numbers to the driver."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")).first()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from fundamentals_spark.llm import bpe, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, spelling, sql, topk, toxicity
+from fundamentals_spark.llm import bpe, collocations, license_scan, mixing, neardup, privacy, quality, repeats, secret_scan, spelling, sql, topk, toxicity, url_filter
 from fundamentals_spark.llm.common import read
 
 
@@ -77,6 +77,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spelling.vocabulary(read(spark, sf_dir, "documents")))
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(read(spark, sf_dir, "pages"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_licenses": op10_licenses,
     "op11_spelling": op11_spelling,
+    "op12_urls": op12_urls,
+    "op13_phrases": op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_pii": sql.PII,
