@@ -19,8 +19,9 @@ from pyspark.sql import Window as W
 from fundamentals_spark.llm import bytehash
 from fundamentals_spark.llm.common import HOT_SHARE, look_up, materialize, text_bytes
 
-#: Bytes of text whose suffixes one bucket, and one packing step, takes on average.
+#: Bytes of text that one packing step takes, and whose suffixes one task sorts on average, in so many buckets.
 CHUNK = 8 << 20
+BUCKETS = 8
 #: A pair of words is split if it holds so small a part of all words, and noticed if it holds that of a chunk.
 SPLIT, NOTICED = 8192, 16384
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -95,7 +96,7 @@ def _packed(words: pa.Array, ids: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def _numbers(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64) * 8), pa.py_buffer(np.ascontiguousarray(values, dtype=np.int64))])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64) * 4), pa.py_buffer(np.ascontiguousarray(values, dtype=np.int32))])
 
 
 def _pack(buckets: int, hot: list[tuple[str, str, str]]):
@@ -204,7 +205,7 @@ def _opened(cells: list[bytes]) -> pa.Array:
 
 def _phrases(lang: str, cells: list[list[bytes]], least: int, hot: list[tuple[str, str, str]]) -> pa.RecordBatch:
     w1, w2, w3 = (_opened([c[k] for c in cells]) for k in (0, 2, 4))
-    n1, n2, n = (np.frombuffer(b"".join(c[k] for c in cells), dtype=np.int64) for k in (1, 3, 5))
+    n1, n2, n = (np.frombuffer(b"".join(c[k] for c in cells), dtype=np.int32).astype(np.int64) for k in (1, 3, 5))
     words = pa.concat_arrays([w1, w2, w3]).dictionary_encode()
     ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     names = words.dictionary
@@ -254,9 +255,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = [(r["lang"], r["w1"], r["w2"]) for r in counted.filter((F.col("w2").isNotNull()) & (F.col("n") * SPLIT >= total)).collect()]  # at most SPLIT pairs
     _, size = text_bytes(texts, "text")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK))
-    packed = texts.mapInArrow(_pack(buckets, hot), "bucket long, lang string, w1 binary, n1 binary, w2 binary, n2 binary, w3 binary, n3 binary")
-    sorted_ = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_sort_buckets(least, hot), "lang string, w1 string, w2 string, w3 string, n long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK))
+    packed = texts.mapInArrow(_pack(BUCKETS * tasks, hot), "bucket long, lang string, w1 binary, n1 binary, w2 binary, n2 binary, w3 binary, n3 binary")
+    sorted_ = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_sort_buckets(least, hot), "lang string, w1 string, w2 string, w3 string, n long")
     longer = sorted_.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
     every = counted.filter("w2 is null").withColumn("w3", F.lit(None).cast("string")).select("lang", "w1", "w2", "w3", "n").union(longer).filter(F.col("n") >= least)
     frequent = every.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.expr("1 + int(w2 is not null) + int(w3 is not null)").alias("size"), F.col("n").alias("f"))
