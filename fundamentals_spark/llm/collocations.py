@@ -24,6 +24,8 @@ CHUNK = 8 << 20
 BUCKETS = 8
 #: A pair of words is split if it holds so small a part of all words, and noticed if it holds that of a chunk.
 SPLIT, NOTICED = 8192, 16384
+#: Parts of a language that are ranked before the language.
+SHARES = 64
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _is_word = np.ones(256, dtype=bool)
 _is_word[list(_SEPARATORS + b" \t")] = False
@@ -292,5 +294,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     scored = scored.select("lang", "phrase", "size", "a", F.array_min(F.array_compact(F.array(*cuts))).alias("c"))
     longer = candidates.filter("size = 3").select("lang", F.explode(F.array(_words(1, 2), _words(2, 2))).alias("phrase"), F.col("a").alias("held")).groupBy("lang", "phrase").agg(F.max("held").alias("held"))
     alone = scored.join(longer, ["lang", "phrase"], "left").filter((F.col("size") == 3) | F.col("held").isNull() | (100 * F.col("held") < share * F.col("a")))
-    ranked = alone.select("lang", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")).cast("long").alias("rank"), "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"))
+    # a phrase must be among the first of its share of the language before it meets all others
+    order = (F.desc("c.score"), F.desc("a"), "phrase")
+    first = alone.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("at", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).filter(F.col("at") <= top)
+    ranked = first.select("lang", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long").alias("rank"), "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"))
     return ranked.filter(F.col("rank") <= top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
