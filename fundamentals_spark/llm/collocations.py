@@ -19,7 +19,9 @@ from pyspark.sql import Window as W
 from fundamentals_spark.llm import bytehash
 from fundamentals_spark.llm.common import HOT_SHARE, look_up, materialize, text_bytes
 
-#: Bytes of text that one packing step takes, and whose suffixes one task sorts on average, in so many buckets.
+#: Bytes of text that one packing step takes.
+STEP = 3 << 20
+#: Bytes of text whose suffixes one task sorts on average, in so many buckets.
 CHUNK = 8 << 20
 BUCKETS = 8
 #: A pair of words is split if it holds so small a part of all words, and noticed if it holds that of a chunk.
@@ -59,7 +61,7 @@ class Tokens:
 def _chunks(batches):
     for batch in batches:
         buf, offsets = bytehash.text_buffer(batch.column("text"))
-        for a, b in bytehash.row_chunks(offsets, CHUNK):
+        for a, b in bytehash.row_chunks(offsets, STEP):
             if offsets[b] > offsets[a]:
                 yield Tokens(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column("lang").slice(a, b - a))
 
