@@ -105,6 +105,8 @@ ORACLE_SQL: dict[str, str] = {
     "op6_repeats": sql.REPEATS,
     "op9_jaccard": sql.JACCARD,
     "op8_quality": sql.QUALITY,
+    "op11_spelling": sql.SPELLING,
+    "op13_phrases": sql.PHRASES,
     "op5_topk": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

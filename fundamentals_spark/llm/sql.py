@@ -88,3 +88,33 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT k, k AS t FROM d UNION SELECT r.k, e.b FROM r JOIN e ON r.t = e.a),
 c AS (SELECT r.k, min(d.doc_id) AS class_id FROM r JOIN d ON d.k = r.t GROUP BY 1)
 SELECT d.doc_id, c.class_id, (SELECT count(*) FROM e WHERE e.a = d.k) AS n_links FROM d JOIN c USING (k)"""
+
+_BYTES = "flatten(list_transform(string_split(id || ':' || r, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+_CRC = f"xor(4294967295, list_reduce({_BYTES}, lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]), CAST(4294967295 AS BIGINT)))"
+SPELLING = f"""WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS crc),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+u AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM d GROUP BY 1, 2),
+h AS (SELECT r, n, {_CRC} AS h FROM u, t WHERE length(r) >= 5),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS INTEGER)) || substr(r, CAST(h % length(r) AS INTEGER) + 2) ELSE r END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS near, b.n AS m FROM k a JOIN k b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT k.word, w.word, w.n FROM k JOIN w ON k.p || k.s = w.word UNION SELECT w.word, k.word, k.n FROM k JOIN w ON k.p || k.s = w.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS best, max(m) AS m FROM e GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN best END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN b USING (word)),
+r AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+z AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(z.root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON z.word = f.word"""
+
+PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS k, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d)),
+g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+x AS (SELECT lang, ws[i : i + m - 1] AS w FROM g, (VALUES (1), (2), (3)) s(m) WHERE i + m - 1 <= len(ws)),
+f AS (SELECT lang, w, count(*) AS a FROM x GROUP BY 1, 2 HAVING count(*) >= 10), t AS (SELECT lang, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
+s AS (SELECT c.lang, c.w, c.a, k, l.a AS l, r.a AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS score FROM c JOIN f l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN f r ON r.lang = c.lang AND r.w = c.w[k + 1:]),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS o FROM s),
+h AS (SELECT lang, w, max(a) AS held FROM (SELECT lang, a, unnest([w[1:2], w[2:3]]) AS w FROM f WHERE len(w) = 3) GROUP BY 1, 2),
+o AS (SELECT m.lang, array_to_string(m.w, ' ') AS phrase, m.a, m.l, m.r, m.score FROM m LEFT JOIN h ON h.lang = m.lang AND h.w = m.w WHERE o = 1 AND coalesce(100 * held < 50 * m.a, true)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM q JOIN t USING (lang) WHERE rank <= 2000"""
