@@ -1,7 +1,9 @@
 """Secret scan: patterns, and a linear-chain conditional random field that tags tokens as secret begin, inside or outside.
 
 The field's features are a token's shape, its neighbours and what stands between them, and figures of the whole file. It is
-trained here, on windows around the patterns' hits in a bounded sample of documents.
+trained here, on windows of a bounded sample of documents: around the patterns' hits, at other places, and around strings
+that are put into copies of the sampled texts. Some of these are made as secrets are made (random characters of many alphabets,
+with and without prefix, name or marks); others only look alike (addresses, dates, numbers, names of things) and stay outside.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from fundamentals_spark.llm import bytehash
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 #: Documents in the training sample: those lowest in hash order of their id. Windows of the sample that the fit takes at
 #: most, lowest in hash order of their features. Tokens of a window. One token of so many begins a window without a hit.
-SAMPLE, WINDOWS = 3000, 12_000
+SAMPLE, WINDOWS = 3000, 9000
 WINDOW, OTHER_RATE = 12, 512
+#: Strings put into the copy of a sampled text.
+MADE = 3
 HASH_BITS = 10
 CHUNK = 1 << 20
 KINDS = ("assign", "access", "hex")
@@ -102,7 +106,8 @@ def tokens_of(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     for i, t in enumerate(_SEPS):
         c = count(t)
         seps |= (c[start] - c[before] > 0).astype(np.int64) << i
-    seps_after = np.append(seps[1:], 0)
+    joined = row[1:] == row[:-1]  # nothing of a token depends on another row
+    seps_after = np.append(np.where(joined, seps[1:], 0), 0)
     h = bytehash.mix(bytehash.substring_hash(bytehash.prefix_hash(buf, _LOWER), start, end)) >> np.uint64(64 - HASH_BITS)
     word = np.where(row == np.append([-1], row[:-1]), np.append([0], h[:-1].astype(np.int64)), 0)
     word2 = np.where(row == np.append([-1], row[:-1]), np.append([0], word[:-1]), 0)
@@ -113,7 +118,7 @@ def tokens_of(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     shape = (inside["u"] > 0) + 2 * (inside["l"] > 0) + 4 * (inside["d"] > 0) + 8 * (inside["m"] > 0) + 16 * (inside["h"] == length)
     turned = np.minimum(7, turns * 8 // np.maximum(length, 1)) + 8 * np.minimum(3, inside["d"] * 4 // np.maximum(length, 1))
     strong = np.minimum(7, ((length >= 16).astype(np.int64) + 2 * ((inside["d"] > 1) & (inside["u"] + inside["l"] > 1)) + 4 * (turns >= 5)))
-    groups = (size, shape, turned, strong, seps, seps_after, np.append([0], strong[:-1]), np.minimum(7, (digit_row[row] * 16).astype(np.int64)), np.minimum(7, (sign_row[row] * 16).astype(np.int64)))
+    groups = (size, shape, turned, strong, seps, seps_after, np.append([0], np.where(joined, strong[:-1], 0)), np.minimum(7, (digit_row[row] * 16).astype(np.int64)), np.minimum(7, (sign_row[row] * 16).astype(np.int64)))
     feats = np.empty((n, len(GROUPS) + 2), dtype=np.int32)
     for g, values in enumerate(groups):
         feats[:, g] = STARTS[g] + values
@@ -145,32 +150,30 @@ class Crf:
         if not len(open_):
             return tags
         cut = np.flatnonzero((np.diff(open_) > 1) | first[open_[1:]]) + 1
-        moves = self.moves.tolist()
-        for part in np.split(open_, cut):
-            a, b = int(part[0]), int(part[-1]) + 1
-            score = e[a].tolist()
-            if not first[a]:  # the token before is outside
-                score = [score[t] + moves[OUTSIDE][t] for t in range(3)]
-            back = []
-            for k in range(a + 1, b):
-                row, step, nxt = e[k], [], []
-                for t in range(3):
-                    p = max(range(3), key=lambda q: (score[q] + moves[q][t], q))  # noqa: B023
-                    step.append(p)
-                    nxt.append(score[p] + moves[p][t] + row[t])
-                back.append(step)
-                score = nxt
-            if b < len(e) and not first[b]:
-                score = [score[t] + moves[t][OUTSIDE] for t in range(3)]
-            t = max(range(3), key=lambda q: (score[q], q))
-            for k in range(b - 1, a - 1, -1):
-                tags[k] = t
-                if k > a:
-                    t = back[k - a - 1][t]
+        start = open_[np.concatenate([[0], cut])]
+        size = np.diff(np.concatenate([[0], cut, [len(open_)]]))
+        order = np.argsort(-size, kind="stable")  # all paths take a step at once, the longest first
+        start, size = start[order], size[order]
+        live = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left")  # paths of more than k tokens
+        score = e[start] + np.where(first[start][:, None], 0.0, self.moves[OUTSIDE])  # the token before is outside
+        back = np.zeros((len(e), 3), dtype=np.int8)
+        for k in range(1, int(size[0])):
+            m, at = live[k], start[: live[k]] + k
+            come = (score[:m, :, None] + self.moves)[:, ::-1]
+            best = come.argmax(axis=1)
+            back[at] = 2 - best
+            score[:m] = np.take_along_axis(come, best[:, None], axis=1)[:, 0] + e[at]
+        end = start + size
+        score += np.where((end < len(e)) & ~first[np.minimum(end, len(e) - 1)], 1.0, 0.0)[:, None] * self.moves[:, OUTSIDE]
+        tag = 2 - score[:, ::-1].argmax(axis=1)
+        for k in range(int(size[0]) - 1, -1, -1):
+            m, at = live[k], start[: live[k]] + k
+            tags[at] = tag[:m]
+            tag[:m] = back[at, tag[:m]] if k else tag[:m]
         return tags
 
 
-def fit_crf(feats: np.ndarray, tags: np.ndarray, steps: int = 150, l2: float = 1e-3) -> Crf:
+def fit_crf(feats: np.ndarray, tags: np.ndarray, steps: int = 120, l2: float = 1e-3) -> Crf:
     """Maximum likelihood on windows of equal length (windows x WINDOW x groups), forward-backward over all at once, Adam."""
     w, t = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     if not len(feats):
@@ -229,8 +232,8 @@ def _flagged(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(tok: Tokens, tag: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around hits and around places that a hash of (row, place in the row) picks: features and tags.
+def _windows(tok: Tokens, tag: np.ndarray, salt: np.ndarray, around: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows around hits and, unless places are given by ``around``, around places that a hash of (row, place in the row) picks: features and tags.
 
     A window stays in its row; a row with fewer tokens is padded. In every other window, by hash, the cues of the
     patterns are masked, so that the field also learns shape and what stands between tokens. What a row gives depends on
@@ -242,7 +245,7 @@ def _windows(tok: Tokens, tag: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray
     first = np.searchsorted(tok.row, np.arange(len(salt) + 1))
     place = np.arange(len(tag)) - first[tok.row]
     drawn = bytehash.mix(salt[tok.row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    centre = np.flatnonzero((tag == BEGIN) | (drawn % np.uint64(OTHER_RATE) == 0))
+    centre = np.flatnonzero((tag == BEGIN) | (drawn % np.uint64(OTHER_RATE) == 0) if around is None else around)
     row = tok.row[centre]
     at = np.maximum(np.minimum(centre - WINDOW // 2, first[row + 1] - WINDOW), first[row])
     at, keep = np.unique(at, return_index=True)
@@ -259,8 +262,85 @@ def _windows(tok: Tokens, tag: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray
     return feats, np.where(inside, tag[idx], OUTSIDE).astype(np.int8)
 
 
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_ALPHABETS = (_ALNUM, _ALNUM + "+/", _ALNUM + "-_", "0123456789abcdef", "0123456789ABCDEF", _ALNUM[26:], _ALNUM[:26] + _ALNUM[52:])
+_SIGNS = "!#$%&*@^~?"
+_CALLED = ("pass", "pwd", "key", "auth", "credential", "private", "login", "cert", "signing", "access", "bearer", "admin", "db", "client", "service", "user")
+_AROUND = ("{}", "{}", "{}", "({})", '"{}"', "{},", "{}.", "is {}", "with {}", "key {}", "bearer {}", '{n} = "{}"', "{n}={}", "{n}: {}", "'{n}': '{}'", "{n} {}", "--{n} {}", "{n} -> {}", "login with {} today")
+
+
+def _secret(rng: np.random.Generator) -> str:
+    """A random string as keys, tokens and passwords are made."""
+    pick = lambda chars, n: "".join(chars[k] for k in rng.integers(0, len(chars), n))
+    kind = rng.integers(0, 6)
+    alphabet = _ALPHABETS[rng.integers(0, len(_ALPHABETS))]
+    if kind == 0:  # sections with dots or dashes
+        join = ".-_"[rng.integers(0, 3)]
+        return join.join(pick(alphabet, int(rng.integers(8, 44))) for _ in range(rng.integers(2, 5)))
+    if kind == 1:  # a short prefix
+        return pick(_ALNUM[26:52], int(rng.integers(2, 6))) + "_-"[rng.integers(0, 2)] + pick(alphabet, int(rng.integers(16, 48)))
+    if kind == 2:  # a password with marks
+        return pick(_ALNUM, int(rng.integers(3, 6))) + pick(_SIGNS, 1) + pick(_ALNUM, int(rng.integers(3, 8))) + pick(_SIGNS, int(rng.integers(0, 2))) + pick(_ALNUM, int(rng.integers(3, 6)))
+    return pick(alphabet, int(rng.integers(14, 32) if alphabet in _ALPHABETS[3:5] else rng.integers(12, 64)))
+
+
+def _lookalike(rng: np.random.Generator, words: list[str]) -> str:
+    """A string with digits, marks or mixed case that is no secret."""
+    word = lambda: words[rng.integers(0, len(words))]
+    n = lambda k: str(rng.integers(10 ** (k - 1), 10**k))
+    return (
+        lambda: f"https://{word()}.example.com/{word()}/{n(5)}?{word()}={n(2)}", lambda: f"{word()}.{word()}{n(2)}@{word()}.example", lambda: f"2{n(3)}-0{n(1)}-{n(2)}T1{n(1)}:{n(2)}:{n(2)}Z", lambda: f"+{n(2)} {n(3)} {n(4)}-{n(3)}",
+        lambda: "_".join(word() for _ in range(rng.integers(2, 5))), lambda: word() + word().capitalize() + word().capitalize(), lambda: f"v{n(1)}.{n(2)}.{n(1)}-rc{n(1)}", lambda: f"{n(3)}.{n(3)},{n(2)}", lambda: " ".join(n(4) for _ in range(4)),
+        lambda: f"/usr/{word()}/{word()}_{n(4)}.tar.gz", lambda: f"{n(3)}.{n(2)}.{n(3)}.{n(1)}", lambda: f"{word().upper()}-{n(4)}", lambda: n(int(rng.integers(6, 17))), lambda: f"{word()}-{word()}-{word()}", lambda: "-" * int(rng.integers(3, 40)),
+        lambda: f"DE{n(2)} {n(4)} {n(4)} {n(4)} {n(4)} {n(2)}", lambda: f"{word()}({word()}[{n(1)}], {word()})", lambda: f"{word()}{n(2)}", lambda: word() * 3, lambda: f"{word()} = {word()}", lambda: f"{word()}: {n(3)}", lambda: "".join(word() for _ in range(3)).upper(),
+        lambda: " ".join([word()] * int(rng.integers(4, 30))), lambda: " ".join([word().capitalize()] * int(rng.integers(4, 30))),
+    )[rng.integers(0, 24)]()
+
+
+def _planted(text: str, salt: int) -> tuple[str, list[tuple[int, int, bool]]]:
+    """``text``, whole or a part of it, with made strings put between its words: the new text, and place and kind (true: secret) of each."""
+    rng = np.random.default_rng(int(salt))
+    words = [w for w in re.findall(r"[^\W\d_]{2,12}", text[:4000])] or ["a"]
+    if rng.random() < 0.5:
+        at = int(rng.integers(0, len(text) + 1))
+        text = text[at : at + int(rng.integers(0, 500))]
+    gaps = [m.start() for m in re.finditer("[ \n]", text)] or [0]
+    out, spans, last, size = [], [], 0, 0
+    for at in sorted({gaps[k] for k in rng.integers(0, len(gaps), MADE)}):
+        secret = bool(rng.random() < 0.5)
+        body = _secret(rng) if secret else _lookalike(rng, words)
+        named = _CALLED[rng.integers(0, len(_CALLED))]
+        named = (named, f"{words[0].lower()}_{named}", named.upper())[rng.integers(0, 3)]
+        around = _AROUND[rng.integers(0, len(_AROUND) if secret else 10)].replace("{n}", named)
+        before, _, after = around.partition("{}")
+        piece = text[last:at] + " " + before
+        spans.append((size + len(piece), size + len(piece) + len(body), secret))
+        out += [piece, body, after]
+        size += len(piece) + len(body) + len(after)
+        last = at
+    return "".join(out) + text[last:], spans
+
+
+def _planted_windows(texts: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows around the made strings of a copy of each text."""
+    made = [_planted(t, s) for t, s in zip(texts, salts)]
+    buf, off = bytehash.text_buffer(pa.array([m[0] for m in made], pa.large_string()))
+    tok = tokens_of(buf, off)
+    tag, centre = np.full(len(tok.start), OUTSIDE, dtype=np.int8), np.zeros(len(tok.start), dtype=bool)
+    for r, (_, spans) in enumerate(made):
+        places = _char_places(buf[off[r] : off[r + 1]])
+        for a, b, secret in spans:
+            lo, hi = off[r] + np.searchsorted(places, a), off[r] + np.searchsorted(places, b)
+            inside = np.arange(np.searchsorted(tok.end, lo, side="right"), np.searchsorted(tok.start, hi))
+            centre[inside[: 1 if secret else None : WINDOW // 2]] = True
+            if secret:
+                tag[inside] = INSIDE
+                tag[inside[:1]] = BEGIN
+    return _windows(tok, tag, salts, centre)
+
+
 def train_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, windows: int = WINDOWS) -> Crf:
-    """Fit on at most ``windows`` windows of at most ``sample`` documents: around tokens in pattern hits, and at other places.
+    """Fit on at most ``windows`` windows of at most ``sample`` documents: around tokens in pattern hits, at other places, and around made strings in copies.
 
     The windows depend on ids and texts alone, so partitions and batches do not change the model. Null ids are left out; rows
     that share an id all take part, and equal windows count once. Without a window every token is outside.
@@ -288,7 +368,8 @@ def train_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         inside = np.flatnonzero((tok.start < hi) & (tok.end > lo))
                         tag[inside] = INSIDE
                         tag[inside[:1]] = BEGIN
-                feats, tags = _windows(tok, tag, salts[i:j])
+                found = [_windows(tok, tag, salts[i:j]), _planted_windows([part[off[r] : off[r + 1]].tobytes().decode() for r in range(j - i)], salts[i:j])]
+                feats, tags = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(list(feats.reshape(len(feats), -1)), type=pa.list_(pa.int32())), pa.array(list(tags.astype(np.int32)), type=pa.list_(pa.int32()))], names=["feats", "tags"])
 
     found = some.mapInArrow(run, "feats array<int>, tags array<int>").distinct().orderBy(F.xxhash64("feats"), "feats", "tags").limit(windows).toPandas()
