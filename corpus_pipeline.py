@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundamentals_spark.llm import bpe, mixing, neardup, privacy, quality
-from fundamentals_spark.llm.common import fresh, materialize, read
+from fundamentals_spark.llm.common import discard, fresh, materialize, read
 
 
 def _repeated_ids(docs: DataFrame) -> bool:
@@ -43,8 +43,8 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in whole copies."""
-    taken = mixing.apply_mix(docs).select("doc_id", "size", "copies")
+    """Every document as often as the mix takes it, in whole copies that meet the words its source takes to its longest document."""
+    taken = mixing.apply_mix(docs, rounding="even").select("doc_id", "size", "copies")
     names = {k: fresh(docs, f"mix_{k}") for k in ("id", "size", "copies", "row", "own_row", "own_size", "copy")}
     taken = taken.select(F.col("doc_id").alias(names["id"]), F.col("size").alias(names["size"]), F.col("copies").alias(names["copies"]))
     left, on = docs, docs["doc_id"].eqNullSafe(taken[names["id"]])
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = before = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if before is not docs and hasattr(before, "scratch_path"):
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ words of a span the best covered one gives its label.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -42,6 +43,13 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
 OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be
+appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software
+to the public domain."""
 #: GNU notices differ in what is licensed, the licence's name and its version.
 _GNU = (
     ("gpl-2", "program", "GNU General Public License", "2"), ("gpl-3", "program", "GNU General Public License", "3"), ("lgpl-2.1", "library", "GNU Lesser General Public License", "2.1"),
@@ -59,8 +67,11 @@ TEMPLATES = (
         f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.")
         for label, what, name, v in _GNU
     ),
+    *((label, f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for label, what, name, v in _GNU),
+    *((label, f"This {what} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; version {v} of the License.") for label, what, name, v in _GNU),
     *((label, f"This work is licensed under the {name}, version {v}.") for label, _, name, v in _GNU),
-    *((label, f"This work is licensed under a Creative Commons {name} 4.0 International License.") for label, name in _CC),
+    *((label, f"This work is licensed under a Creative Commons {name} {v} License.") for label, name in _CC for v in ("2.0 Generic", "2.5 Generic", "3.0 Unported", "4.0 International")),
+    ("zlib", _ZLIB), ("unlicense", _UNLICENSE),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
 )
 #: Shortest match that takes part in a chain, the gap a chain may step over, and what a chain must cover for a label: this
@@ -162,9 +173,33 @@ class SuffixAutomaton:
 def chains(found: list[tuple[int, int, int]], least: int, max_gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
     """(words covered, first word, end) of chains that cover at least ``least`` words, none over another, the best first.
 
-    A chain is a row of matches (last word in text, length, last word in template) in order in both, with small gaps.
+    A chain is a row of matches (last word in text, length, last word in template) in order in both, with small gaps. Matches
+    that neither overlap nor follow one another in a chain, directly or through others, are searched apart.
     """
-    rest, out = sorted(set(found)), []
+    rest = sorted(set(found))
+    root = list(range(len(rest)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for j, (e, n, t) in enumerate(rest):
+        for i in range(j - 1, -1, -1):
+            e0, _, t0 = rest[i]
+            if e - n - e0 > max_gap:
+                break
+            if e0 > e - n or (t0 < t and t - n - t0 <= max_gap):
+                root[top(i)] = top(j)
+    parts = defaultdict(list)
+    for j, match in enumerate(rest):
+        parts[top(j)].append(match)
+    return sorted((c for part in parts.values() for c in _chains(part, least, max_gap)), key=lambda c: (-c[0], c[2]))
+
+
+def _chains(rest: list[tuple[int, int, int]], least: int, max_gap: int) -> list[tuple[int, int, int]]:
+    out = []
     while rest:
         best: list[tuple[int, int]] = []  # covered, and minus the first word: of equal covers the latest start
         for j, (e, n, t) in enumerate(rest):
@@ -244,10 +279,10 @@ class Scanner:
             for r, each in spans.items():
                 for covered, share, label, lo, hi in sorted(each):  # of templates that claim the same words the best covered one stands
                     lo, hi = lo - int(first_word[r]), hi - int(first_word[r])
-                    if all(hi <= x["start"] or lo >= x["end"] for x in own[r]):
-                        own[r].append({"label": label, "start": lo, "end": hi, "words": -covered})
+                    at = bisect_left(own[r], hi, key=lambda x: x["start"])  # spans lie apart, so only the one before can reach in
+                    if at == 0 or own[r][at - 1]["end"] <= lo:
+                        own[r].insert(at, {"label": label, "start": lo, "end": hi, "words": -covered})
                         cover[r] = max(cover[r], min(1.0, -share))
-                own[r].sort(key=lambda x: x["start"])
         some = n_base > 0
         return {
             "n_words": pa.array(np.diff(first_word)), "n_base": pa.array(n_base), "first_word": pa.array(first, mask=~some), "last_word": pa.array(last, mask=~some),

@@ -54,6 +54,8 @@ KINDS = (
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "substring(m, 1, 3) not in ('000', '666') and substring(m, 1, 1) <> '9' and substring(m, 5, 2) <> '00' and substring(m, 8, 4) <> '0000'", "contains({t}, '-')", 0.3, r"ssn|social security"),
 )
 BASE = ("email", "ip", "card", "phone")
+#: Matches that one array is grown by.
+BLOCK = 128
 
 
 def _lit(s: str) -> str:
@@ -64,10 +66,13 @@ def kind_spans(text: str, kind: Kind, ordinal: int) -> Column:
     """array<struct<start, ord, end, score>> of a kind's confirmed spans in text column ``text``, places in code points."""
     t = f"`{text}`"
     p = _lit(kind.pattern)
-    placed = (
-        f"aggregate(zip_with(split({t}, {p}, -1), regexp_extract_all({t}, {p}, 0), (b, m) -> struct(b, m)), struct(0 as at, cast(array() as array<struct<start: int, m: string, b: string>>) as found),"
-        f" (a, x) -> if(x.m is null, a, struct(a.at + length(x.b) + length(x.m) as at, concat(a.found, array(struct(a.at + length(x.b) as start, x.m as m, right(x.b, {CONTEXT}) as b))) as found)), a -> a.found)"
-    )
+    # places are running sums over blocks of BLOCK pieces, so no long array is copied for every match
+    step = f"(a, x) -> if(x.m is null, a, struct(a.at + length(x.b) + length(x.m) as at, concat(a.found, array(struct(a.at + length(x.b) as start, x.m as m, right(x.b, {CONTEXT}) as b))) as found))"
+    block = f"aggregate(slice(z, k * {BLOCK} + 1, {BLOCK}), struct(element_at(o, k + 1) as at, cast(array() as array<struct<start: int, m: string, b: string>>) as found), {step}, a -> a.found)"
+    blocks = f"sequence(0, cast((size(z) - 1) div {BLOCK} as int))"
+    sums = f"aggregate(transform({blocks}, k -> aggregate(slice(z, k * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> a + length(x.b) + coalesce(length(x.m), 0))), array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    pieces = f"zip_with(split({t}, {p}, -1), regexp_extract_all({t}, {p}, 0), (b, m) -> struct(b, m))"
+    placed = f"flatten(flatten(transform(array({pieces}), z -> transform(array({sums}), o -> flatten(transform({blocks}, k -> {block}))))))"
     valid = f"filter({placed}, x -> element_at(transform(array(x.m), m -> {kind.valid}), 1))"
     scored = f"transform({valid}, x -> struct(x.start as start, {ordinal} as ord, x.start + length(x.m) as end, cast({kind.score} as double) + if(rlike(lower(x.b), {_lit(kind.context)}), 0.2D, 0D) as score))"
     kept = f"filter({scored}, x -> x.score >= {THRESHOLD})"
@@ -99,10 +104,14 @@ def with_spans(df: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
 def redacted(text: str, spans: str) -> Column:
     """The text with every span replaced by its kind in angle brackets; a span that begins inside an earlier one joins it."""
     t = f"coalesce(`{text}`, '')"
-    step = (
-        f"if(s.start >= a.at, struct(s.end as at, concat(a.out, substring({t}, a.at + 1, s.start - a.at), '<', upper(s.kind), '>') as out), struct(greatest(a.at, s.end) as at, a.out as out))"
-    )
-    return F.expr(f"if(size(`{spans}`) = 0, `{text}`, aggregate(`{spans}`, struct(0 as at, '' as out), (a, s) -> {step}, a -> concat(a.out, substring({t}, a.at + 1))))")
+    step = "if(s.start >= a.at, struct(s.end as at, concat(a.out, substring(w, a.at - f + 1, s.start - a.at), '<', upper(s.kind), '>') as out), struct(greatest(a.at, s.end) as at, a.out as out))"
+    blocks = f"sequence(0, cast((size(`{spans}`) - 1) div {BLOCK} as int))"
+    ends = f"aggregate(transform({blocks}, k -> array_max(transform(slice(`{spans}`, k * {BLOCK} + 1, {BLOCK}), s -> s.end))), array(0), (a, x) -> concat(a, array(greatest(element_at(a, -1), x))))"
+    part = f"aggregate(slice(`{spans}`, k * {BLOCK} + 1, {BLOCK}), struct(f as at, '' as out), (a, s) -> {step}, a -> a.out)"
+    # a block of spans looks at its own stretch of the text only: from where the spans before it end (f) to where its own end
+    own = f"element_at(transform(array(element_at(o, k + 1)), f -> element_at(transform(array(substring({t}, f + 1, element_at(o, k + 2) - f)), w -> {part}), 1)), 1)"
+    whole = f"element_at(transform(array({ends}), o -> concat(array_join(transform({blocks}, k -> {own}), ''), substring({t}, element_at(o, -1) + 1))), 1)"
+    return F.expr(f"if(size(`{spans}`) = 0, `{text}`, {whole})")
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:

@@ -41,11 +41,17 @@ def test_stages(spark, tmp_path):
     found = {r.doc_id: r.spans for r in privacy.find_personal_data(docs_from(spark, before)).collect()}
     assert all(text[r.doc_id] == r.text for r in before if not found[r.doc_id])
     assert all(r.n_chars == len(r.text) for r in after)
-    # mixing: copies are what the mix takes of a document
+    # mixing: copies are what the mix takes of a document, up or down to whole ones, and each source's words meet its target to its longest row
     before, after = outs[3]
-    copies = {r.doc_id: r.taken / r.size for r in mixing.mix_sources(docs_from(spark, before)).collect()}
-    n = Counter(r.doc_id for r in after)
-    assert all(abs(n[d] - c) <= 0.5 for d, c in copies.items())
+    mixed = {r.doc_id: r for r in mixing.mix_sources(docs_from(spark, before)).collect()}
+    n, source = Counter(r.doc_id for r in after), {r.doc_id: r.source for r in before}
+    assert all(abs(n[d] - r.taken / r.size) < 1 for d, r in mixed.items() if r.size)
+    words, longest, target = Counter(), Counter(), {}
+    for d, r in mixed.items():
+        words[source[d]] += n[d] * r.size
+        longest[source[d]] = max(longest[source[d]], r.size)
+        target[source[d]] = r.target
+    assert all(abs(words[s] - t) <= longest[s] + 1 for s, t in target.items())
     assert Counter(map(tuple, set(map(tuple, after)))) <= Counter(map(tuple, before))
     # tokens
     before, after = outs[4]
