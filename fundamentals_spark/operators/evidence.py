@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -303,9 +304,11 @@ def quarantine(obs: DataFrame) -> DataFrame:
 
 
 def prune_trailing_zeros(obs: DataFrame, by: list[str]) -> DataFrame:
-    """Rows after the last period with a non-zero value go."""
-    last = F.max(F.when(F.col("value") != 0, F.col("year") * 4 + F.col("q"))).over(W.partitionBy(*by))
-    return obs.withColumn("__l", last).filter("year * 4 + q <= __l").drop("__l")
+    """Rows after the last period with a non-zero value go; low confidence neither counts nor goes, and without a non-zero value all stay."""
+    low = F.col("confidence").eqNullSafe("low") if "confidence" in obs.columns else F.lit(False)
+    at = F.col("year") * 4 + F.col("q")
+    last = F.max(F.when((F.col("value") != 0) & ~low, at)).over(W.partitionBy(*by))
+    return obs.withColumn("__l", last).filter(low | F.col("__l").isNull() | (at <= F.col("__l"))).drop("__l")
 
 
 def ratio_on_common_periods(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
@@ -329,6 +332,65 @@ def resolve_documents(docs: DataFrame, names: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(top, "doc_id", "left").select("doc_id", F.when(F.col("c") == 1, F.col("company")).alias("company"), F.when(F.col("c") == 1, F.col("method")).when(F.col("c") > 1, "tie").otherwise("none").alias("method"))
 
 
+#: Names and tickers that one automaton holds; more are an error.
+MOST_NAMES = 200_000
+
+
+def _names_in(names: list[tuple[int, str]]):
+    """Rows of (doc_id, ids of the names that stand anywhere in ``hay``), by one pass of an Aho-Corasick automaton over each text."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for at, name in names:
+            automaton.add_word(name, (*automaton.get(name, ()), at))
+        if names:
+            automaton.make_automaton()
+        for batch in batches:
+            hits = [sorted({at for _, ids in automaton.iter(text) for at in ids}) if text and names else [] for text in batch.column("hay").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hits, pa.list_(pa.int64()))], names=["doc_id", "hits"])
+
+    return run
+
+
+def company_of_document(docs: DataFrame, companies: DataFrame) -> DataFrame:
+    """company, method and evidence of every document, by its path, text and source address; null where nothing or a tie speaks.
+
+    ``docs``: doc_id, path, text, url; ``companies``: company, ticker, cnpj, names array<string> (legacy tickers and aliases), domains
+    array<string>. A company's evidence is its longest hit: a ticker or name anywhere in path or text (in any case), its CNPJ
+    within the text's digits, else its domain as the address's host. The company with the longest evidence wins, two of equal
+    length are a tie. method is filename_ticker, content_cnpj, official_domain or content_alias. Names are rule rows: at
+    most ``MOST_NAMES``, which one automaton matches; CNPJs and domains are equi joins.
+    """
+    named = companies.select("company", F.explode(F.array_distinct(F.concat(F.array("ticker"), F.coalesce("names", F.array().cast("array<string>"))))).alias("name")).filter("name <> ''")
+    rules = [(r["company"], r["name"]) for r in named.distinct().limit(MOST_NAMES + 1).collect()]
+    if len(rules) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    path, text = F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.upper(F.concat_ws(" ", path, text)).alias("hay")).mapInArrow(_names_in([(k, n.upper()) for k, (_, n) in enumerate(rules)]), f"doc_id {kind}, hits array<long>")
+    table = docs.sparkSession.createDataFrame([(k, c, n) for k, (c, n) in enumerate(rules)], f"hit long, company {companies.schema['company'].dataType.simpleString()}, evidence string")
+    by_name = found.select("doc_id", F.explode("hits").alias("hit")).join(F.broadcast(table), "hit").select("doc_id", "company", "evidence", F.lit("alias").alias("kind"))
+    digits = docs.select("doc_id", F.regexp_replace(text, "[^0-9]", "").alias("d")).filter(F.length("d") >= 14)
+    windows = digits.select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, length(d) - 13), i -> substring(d, i, 14))"))).alias("digits"))
+    ids = companies.select("company", "cnpj", F.regexp_replace("cnpj", "[^0-9]", "").alias("digits")).filter(F.length("digits") == 14)
+    by_cnpj = windows.join(ids, "digits").select("doc_id", "company", F.concat(F.lit("CNPJ:"), "cnpj").alias("evidence"), F.lit("cnpj").alias("kind"))
+    host = docs.select("doc_id", F.lower(F.try_element_at(F.split("url", "/"), F.lit(3))).alias("host")).filter("host <> ''")
+    domains = companies.select("company", F.explode("domains").alias("domain")).select("company", F.lower("domain").alias("host")).distinct()
+    by_host = host.join(domains, "host").select("doc_id", "company", F.concat(F.lit("DOMAIN:"), "host").alias("evidence"), F.lit("domain").alias("kind"))
+    by_host = by_host.join(by_cnpj.select("doc_id", "company").distinct(), ["doc_id", "company"], "left_anti")  # a CNPJ stands for the domain
+    every = by_name.unionByName(by_cnpj).unionByName(by_host)
+    best = every.groupBy("doc_id", "company").agg(F.max(F.struct(F.length("evidence").alias("n"), F.col("evidence").alias("e"))).alias("best"), F.max(F.col("kind") == "cnpj").alias("cnpj"), F.max(F.col("kind") == "domain").alias("domain"))
+    best = best.join(companies.select("company", "ticker"), "company")
+    lead = best.groupBy("doc_id").agg(F.max(F.struct("best.n", "company", "best.e", "cnpj", "domain", "ticker")).alias("top"), F.max("best.n").alias("n"), F.collect_list("best.n").alias("all"))
+    lead = lead.filter(F.size(F.filter("all", lambda x: x == F.col("n"))) == 1)
+    out = docs.select("doc_id", F.upper(path).alias("path")).join(lead, "doc_id", "left")
+    in_path = out["path"].contains(F.upper("top.ticker"))
+    method = F.when(F.col("top").isNull(), None).when(in_path, "filename_ticker").when(F.col("top.cnpj"), "content_cnpj").when(F.col("top.domain"), "official_domain").otherwise("content_alias")
+    return out.select("doc_id", F.col("top.company").alias("company"), method.alias("method"), F.col("top.e").alias("evidence"))
+
+
 def metric_series(obs: DataFrame) -> DataFrame:
     """ticker, metric, periods map, worst confidence and number of sources."""
     order = F.when(F.col("confidence") == "low", 0).when(F.col("confidence") == "medium", 1).otherwise(2)

@@ -53,6 +53,40 @@ def resolve_issuer(filings: DataFrame, registry: DataFrame) -> DataFrame:
     }).drop("by_code", "by_cnpj")
 
 
+def resolve_companies(filings: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(filing rows with company and match, report of every company of ``registry``: company, rows, match, error).
+
+    A company's rows are those of its code or its CNPJ. It is blocked as a whole, with all of its rows: identity_conflict, if it has rows
+    of both and one of its code has a foreign CNPJ or one of its CNPJ a foreign code; mixed_identities, if its rows hold more
+    than one pair of code and CNPJ; company_not_found, if it has none. match is cd_cvm where any row has the code, else cnpj_fallback.
+    """
+    reg = registry.select("company", F.col("cvm_code").alias("__code"), F.col("cnpj").alias("__cnpj"))
+    same_code, same_cnpj = F.col("cvm_code").eqNullSafe(F.col("__code")), F.col("cnpj").eqNullSafe(F.col("__cnpj"))
+    coded = filings.join(reg, F.col("cvm_code") == F.col("__code"))
+    rows = coded.unionByName(filings.join(reg, F.col("cnpj") == F.col("__cnpj")).filter(~same_code))
+    stats = rows.groupBy("company").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(same_code).alias("coded"), F.count_if(same_cnpj).alias("known"), F.count_if((same_code & F.col("cnpj").isNotNull() & ~same_cnpj) | (same_cnpj & F.col("cvm_code").isNotNull() & ~same_code)).alias("foreign"),
+        F.countDistinct(F.coalesce("cvm_code", F.lit("")), F.coalesce("cnpj", F.lit(""))).alias("pairs"),
+    )
+    error = F.when(F.col("rows").isNull(), "company_not_found").when((F.col("coded") > 0) & (F.col("known") > 0) & (F.col("foreign") > 0), "identity_conflict").when(F.col("pairs") > 1, "mixed_identities")
+    report = registry.select("company").join(stats, "company", "left").withColumn("error", error)
+    report = report.select("company", F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("error").isNull(), F.when(F.col("coded") > 0, "cd_cvm").otherwise("cnpj_fallback")).alias("match"), "error")
+    return rows.drop("__code", "__cnpj").join(report.filter("error is null").select("company", "match"), "company"), report
+
+
+def near_names(names: DataFrame, filings: DataFrame, most: int = 10) -> DataFrame:
+    """company, name, shared, rank: up to ``most`` filers whose names share a word of five letters or more with one of the company's.
+
+    ``names``: company, name; ``filings``: name (and more). An index of words on both sides, joined by word; more shared words come first.
+    """
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(norm_text(F.col(c), "token"), " "), lambda w: F.length(w) >= 5)))
+    own = names.select("company", words("name").alias("word")).distinct()
+    theirs = filings.select("name").distinct().select("name", words("name").alias("word"))
+    shared = own.join(theirs, "word").groupBy("company", "name").agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.row_number().over(W.partitionBy("company").orderBy(F.desc("shared"), "name"))
+    return shared.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def select_scope(df: DataFrame, scope: str = "scope") -> DataFrame:
     """Consolidated rows where a company and date have any, else all."""
     is_con = norm_text(F.col(scope), "fold").contains("consolid")

@@ -34,19 +34,44 @@ def normalize_overrides(df: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def upsert_overrides(base: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Changes (key, value, op) over base rows (key, value, status): update, append, or soft delete."""
-    c = changes.select(*key, F.col("value").alias("new"), "op")
-    j = base.join(c, key, "full")
-    status = F.when(F.col("op") == "delete", "deleted").when(F.col("op").isNotNull(), "active").otherwise(F.col("status"))
-    return j.select(*key, F.when(F.col("op") == "upsert", F.col("new")).otherwise(F.coalesce("value", "new")).alias("value"), status.alias("status"))
+    """Base rows (key, value, status, more) after changes (key, value, op), with ``error``; at most one change and one active row a key.
+
+    An upsert updates the key's active row and appends one where there is none; a delete turns the active row into a ``deleted``
+    one. Rows of any other status are history: nothing matches or revives them. A delete without an active row changes
+    nothing and gives a row with error ``no_active_row``. A null or empty status is active. Columns that only ``base`` has stay, null in appended rows.
+    """
+    rows = base.withColumn("status", F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("active")))
+    more = [c for c in base.columns if c not in (*key, "value", "status")]
+    c = changes.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("value").alias("__new"), F.col("op").alias("__op"))
+    match = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    j = rows.filter("status = 'active'").join(c, match, "full")
+    lost = (F.col("__op") == "delete") & F.col("status").isNull()
+    status = F.when(lost, None).when(F.col("__op") == "delete", "deleted").otherwise("active")
+    value = F.when(F.col("__op") == "upsert", F.col("__new")).when(~F.coalesce(lost, F.lit(False)), F.col("value"))
+    done = j.select(*[F.coalesce(k, f"__{k}").alias(k) for k in key], value.alias("value"), *more, status.alias("status"), F.when(lost, "no_active_row").alias("error"))
+    return done.unionByName(rows.filter("status <> 'active'").select(*key, "value", *more, "status", F.lit(None).cast("string").alias("error")))
 
 
 def resolve_overrides(obs: DataFrame, overrides: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """Each active override: superseded by an accepted (high or medium) automatic value, else applied with a warning."""
-    auto = best_row(obs.filter("confidence in ('high', 'medium')"), key, [F.when(F.col("confidence") == "high", 0).otherwise(1), F.col("ordinal").desc()])
-    j = overrides.join(auto.select(*key, F.col("value").alias("automatic_value"), F.col("confidence").alias("automatic_confidence")), key, "left")
-    hit = F.col("automatic_confidence").isNotNull()
-    return j.withColumns({"status": F.when(hit, "superseded").otherwise("active"), "used_value": F.coalesce("automatic_value", "value"), "warning": F.when(~hit, "manual_value_in_use")})
+    """Each active override: superseded by an accepted (high or medium) automatic value, else applied with a warning.
+
+    Rows of another status pass through as they are, without a used value or a warning. Without a ``status`` column all are active.
+    """
+    auto = best_row(obs.filter("confidence in ('high', 'medium') and value is not null"), key, [F.when(F.col("confidence") == "high", 0).otherwise(1), F.col("ordinal").desc()])
+    given = overrides.withColumn("status", F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("active"))) if "status" in overrides.columns else overrides.withColumn("status", F.lit("active"))
+    j = given.join(auto.select(*key, F.col("value").alias("automatic_value"), F.col("confidence").alias("automatic_confidence")), key, "left")
+    live = F.col("status") == "active"
+    hit = live & F.col("automatic_confidence").isNotNull()
+    return j.withColumns({
+        "automatic_value": F.when(live, F.col("automatic_value")), "automatic_confidence": F.when(live, F.col("automatic_confidence")), "status": F.when(hit, "superseded").otherwise(F.col("status")),
+        "used_value": F.when(live, F.coalesce("automatic_value", "value")), "warning": F.when(live & ~hit, "manual_value_in_use"),
+    })
+
+
+def merge_manual(obs: DataFrame, overrides: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """The observations, and behind them every override that stays active as an observation of confidence ``MANUAL`` and nature ``manual``."""
+    active = resolve_overrides(obs, overrides, key).filter("status = 'active'").select(*key, "value", F.lit("MANUAL").alias("confidence"), F.lit("manual").alias("nature"))
+    return obs.select(*key, "value", "confidence", F.lit("automatic").alias("nature")).unionByName(active)
 
 
 def check_transitions(events: DataFrame) -> DataFrame:

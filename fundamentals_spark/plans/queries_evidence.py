@@ -191,9 +191,11 @@ def g16(spark, sf):
     return evidence.quarantine(rows).select("ordinal", "rejection_reason")
 
 
-@query("g17_prune_zeros", f"{_O}, z AS (SELECT ticker, metric, year, q, ordinal, CASE WHEN year = 2023 AND q > 2 THEN 0 ELSE value END AS value FROM observations), w AS (SELECT *, max(CASE WHEN value <> 0 THEN year * 4 + q END) OVER (PARTITION BY ticker) l FROM z) SELECT ordinal FROM w WHERE year * 4 + q <= l")
+# two tickers have zeros only; low confidence neither counts nor goes
+@query("g17_prune_zeros", f"{_O}, z AS (SELECT ticker, year, q, ordinal, confidence, CASE WHEN (year = 2023 AND q > 2) OR ticker IN ('T5', 'T6') THEN 0 ELSE value END AS value FROM observations), w AS (SELECT *, max(CASE WHEN value <> 0 AND coalesce(confidence, '') <> 'low' THEN year * 4 + q END) OVER (PARTITION BY ticker) l FROM z) SELECT ordinal FROM w WHERE confidence = 'low' OR l IS NULL OR year * 4 + q <= l")
 def g17(spark, sf):
-    o = S.observations(spark, sf).withColumn("value", F.when((F.col("year") == 2023) & (F.col("q") > 2), F.lit(0).cast("decimal(18,4)")).otherwise(F.col("value")))
+    zero = ((F.col("year") == 2023) & (F.col("q") > 2)) | F.col("ticker").isin("T5", "T6")
+    o = S.observations(spark, sf).withColumn("value", F.when(zero, F.lit(0).cast("decimal(18,4)")).otherwise(F.col("value")))
     return evidence.prune_trailing_zeros(o, ["ticker"]).select("ordinal")
 
 
@@ -217,6 +219,28 @@ def g20(spark, sf):
     return evidence.resolve_documents(read(spark, sf, "documents"), names)
 
 
+_COMPANIES = [
+    (1, "MITX3", "12.345.678/0001-95", ["MIT License", "MITX11"], ["ri.mitx.example"]), (2, "APCH4", "98765432000110", ["Apache License"], ["ri.apch.example", "apch.example"]), (3, "LICN5", "11222333000144", ["Licensed under"], []),
+]
+
+
+# documents with a path, some with a CNPJ behind the text, some with an address
+@query("g20_company_of_document", f"""WITH c(company, ticker, cnpj, names, domains) AS (VALUES {", ".join(f"({a}, '{b}', '{c}', {d}, {e})" for a, b, c, d, e in _COMPANIES)}),
+d AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'dir/mitx3-' ELSE 'dir/' END || doc_id || '.pdf' AS path, coalesce(text, '') || CASE WHEN doc_id % 7 = 3 THEN ' CNPJ 12.345.678/0001-95' ELSE '' END AS text, CASE WHEN doc_id % 5 = 1 THEN 'https://RI.apch.example/x' WHEN doc_id % 5 = 2 THEN 'http://other.example/y' END AS url FROM documents),
+h AS (SELECT doc_id, company, ticker, cnpj, path, lower(split_part(url, '/', 3)) AS host, list_filter(list_concat([ticker], names), lambda n: contains(upper(path || ' ' || text), upper(n))) AS hits, contains(regexp_replace(text, '[^0-9]', '', 'g'), regexp_replace(cnpj, '[^0-9]', '', 'g')) AS k, coalesce(list_contains(domains, lower(split_part(url, '/', 3))), false) AS m FROM d, c),
+e AS (SELECT *, list_concat(hits, CASE WHEN k THEN ['CNPJ:' || cnpj] WHEN m THEN ['DOMAIN:' || host] ELSE [] END) AS ev FROM h), x AS (SELECT *, list_max(list_transform(ev, lambda v: length(v))) AS n FROM e WHERE len(ev) > 0),
+r AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n) AS same, max(n) OVER (PARTITION BY doc_id) AS top FROM x)
+SELECT d.doc_id, company, CASE WHEN company IS NULL THEN NULL WHEN contains(upper(d.path), ticker) THEN 'filename_ticker' WHEN k THEN 'content_cnpj' WHEN m THEN 'official_domain' ELSE 'content_alias' END AS method FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND n = top AND same = 1""")
+def g20_company(spark, sf):
+    k = F.col("doc_id")
+    companies = spark.createDataFrame(_COMPANIES, "company int, ticker string, cnpj string, names array<string>, domains array<string>")
+    docs = read(spark, sf, "documents").select(
+        "doc_id", F.concat(F.when(k % 9 == 0, "dir/mitx3-").otherwise("dir/"), k.cast("string"), F.lit(".pdf")).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.when(k % 7 == 3, " CNPJ 12.345.678/0001-95").otherwise("")).alias("text"),
+        F.when(k % 5 == 1, "https://RI.apch.example/x").when(k % 5 == 2, "http://other.example/y").alias("url"),
+    )
+    return evidence.company_of_document(docs, companies).select("doc_id", "company", "method")
+
+
 @query("g21_metric_series", f"""{_O}, {_BEST} SELECT ticker, metric, count(*) AS n_periods, CAST(sum(value) AS DOUBLE) AS total, min_by(confidence, CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS worst, count(DISTINCT source) AS sources FROM r WHERE k = 1 GROUP BY 1, 2""")
 def g21(spark, sf):
     s = evidence.metric_series(_best(spark, sf))
@@ -264,23 +288,40 @@ def h02(spark, sf):
     return governance.normalize_overrides(_overrides(spark, sf)).select("ordinal", "status")
 
 
-# every row is a base row or a change
-@query("h03_upsert", f"""{_O}, b AS (SELECT ticker, metric, year, q, max(value) v FROM observations WHERE ordinal % 3 <> 1 GROUP BY 1, 2, 3, 4), c AS (SELECT ticker, metric, year, q, max(value) n, CASE WHEN year % 2 = 0 THEN 'upsert' ELSE 'delete' END op FROM observations WHERE ordinal % 3 = 1 GROUP BY 1, 2, 3, 4)
-SELECT ticker, metric, year, q, CAST(CASE WHEN op = 'upsert' THEN n ELSE coalesce(v, n) END AS DOUBLE) AS value, CASE WHEN op = 'delete' THEN 'deleted' ELSE 'active' END AS status FROM b FULL JOIN c USING (ticker, metric, year, q)""")
+# every row is a base row (active, or history) or a change
+@query("h03_upsert", f"""{_O}, b AS (SELECT ticker, metric, year, q, CASE WHEN ordinal % 3 = 0 THEN 'active' WHEN year % 2 = 0 THEN 'superseded' ELSE 'deleted' END AS status, max(value) AS v FROM observations WHERE ordinal % 3 <> 1 GROUP BY ALL), c AS (SELECT ticker, metric, year, q, max(value) AS n, CASE WHEN q % 2 = 0 THEN 'upsert' ELSE 'delete' END AS op FROM observations WHERE ordinal % 3 = 1 GROUP BY ALL)
+SELECT ticker, metric, year, q, CAST(v AS DOUBLE) AS value, status, NULL AS error FROM b WHERE status <> 'active'
+UNION ALL SELECT ticker, metric, year, q, CAST(CASE WHEN op = 'upsert' THEN n ELSE v END AS DOUBLE), CASE WHEN op = 'delete' AND status IS NULL THEN NULL WHEN op = 'delete' THEN 'deleted' ELSE 'active' END, CASE WHEN op = 'delete' AND status IS NULL THEN 'no_active_row' END FROM (SELECT * FROM b WHERE status = 'active') FULL JOIN c USING (ticker, metric, year, q)""")
 def h03(spark, sf):
-    o = S.observations(spark, sf).withColumn("change", F.col("ordinal") % 3 == 1)
-    b = o.filter("not change").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("status", F.lit("active"))
-    c = o.filter("change").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("op", F.when(F.col("year") % 2 == 0, "upsert").otherwise("delete"))
+    o = S.observations(spark, sf).withColumn("side", F.col("ordinal") % 3)
+    status = F.when(F.col("side") == 0, "active").when(F.col("year") % 2 == 0, "superseded").otherwise("deleted")
+    b = o.filter("side <> 1").groupBy(*_KEY, status.alias("status")).agg(F.max("value").alias("value"))
+    c = o.filter("side = 1").groupBy(*_KEY).agg(F.max("value").alias("value")).withColumn("op", F.when(F.col("q") % 2 == 0, "upsert").otherwise("delete"))
     return _dbl(governance.upsert_overrides(b, c), "value")
 
 
+_MANUAL = "m AS (SELECT ordinal, ticker, metric, year, q, value * 3 AS value, CASE WHEN ordinal % 33 = 0 THEN 'deleted' WHEN ordinal % 55 = 0 THEN 'superseded' ELSE 'active' END AS status FROM observations WHERE ordinal % 11 = 0)"
+_AUTO = "a AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY CASE confidence WHEN 'high' THEN 0 ELSE 1 END, ordinal DESC) k FROM observations WHERE confidence IN ('high', 'medium') AND value IS NOT NULL AND ordinal % 11 <> 0)"
+_MEET = "m LEFT JOIN a ON k = 1 AND m.ticker = a.ticker AND m.metric = a.metric AND m.year = a.year AND m.q = a.q"
+
+
+def _manual(spark, sf):
+    """Automatic observations, and overrides of three states."""
+    o = S.observations(spark, sf).withColumn("manual", F.col("ordinal") % 11 == 0)
+    status = F.when(F.col("ordinal") % 33 == 0, "deleted").when(F.col("ordinal") % 55 == 0, "superseded").otherwise("active")
+    return o.filter("not manual").drop("manual"), o.filter("manual").select("ordinal", *_KEY, (F.col("value") * 3).cast("decimal(18,4)").alias("value"), status.alias("status"))
+
+
 # every row is an automatic observation or an override
-@query("h04_supersession", f"""{_O}, a AS (SELECT *, row_number() OVER (PARTITION BY ticker, metric, year, q ORDER BY CASE confidence WHEN 'high' THEN 0 ELSE 1 END, ordinal DESC) k FROM observations WHERE confidence IN ('high', 'medium') AND ordinal % 11 <> 0), m AS (SELECT ordinal, ticker, metric, year, q, value * 3 AS value FROM observations WHERE ordinal % 11 = 0)
-SELECT m.ordinal, CASE WHEN a.confidence IS NULL THEN 'active' ELSE 'superseded' END AS status, CAST(coalesce(a.value, m.value) AS DOUBLE) AS used_value FROM m LEFT JOIN a ON k = 1 AND m.ticker = a.ticker AND m.metric = a.metric AND m.year = a.year AND m.q = a.q""")
+@query("h04_supersession", f"""{_O}, {_AUTO}, {_MANUAL} SELECT m.ordinal, CASE WHEN m.status = 'active' AND a.confidence IS NOT NULL THEN 'superseded' ELSE m.status END AS status, CAST(CASE WHEN m.status = 'active' THEN coalesce(a.value, m.value) END AS DOUBLE) AS used_value, CASE WHEN m.status = 'active' AND a.confidence IS NULL THEN 'manual_value_in_use' END AS warning FROM {_MEET}""")
 def h04(spark, sf):
-    o = S.observations(spark, sf).withColumn("manual", F.col("ordinal") % 11 == 0)
-    m = o.filter("manual").select("ordinal", *_KEY, (F.col("value") * 3).cast("decimal(18,4)").alias("value"))
-    return _dbl(governance.resolve_overrides(o.filter("not manual").drop("manual"), m).select("ordinal", "status", "used_value"), "used_value")
+    return _dbl(governance.resolve_overrides(*_manual(spark, sf)).select("ordinal", "status", "used_value", "warning"), "used_value")
+
+
+@query("h04_merged_series", f"""{_O}, {_AUTO}, {_MANUAL} SELECT ticker, metric, year, q, CAST(value AS DOUBLE) AS value, confidence, 'automatic' AS nature FROM observations WHERE ordinal % 11 <> 0
+UNION ALL SELECT m.ticker, m.metric, m.year, m.q, CAST(m.value AS DOUBLE), 'MANUAL', 'manual' FROM {_MEET} WHERE m.status = 'active' AND a.confidence IS NULL""")
+def h04_merged(spark, sf):
+    return _dbl(governance.merge_manual(*_manual(spark, sf)), "value")
 
 
 _L = f"WITH {S.LIFECYCLE}"

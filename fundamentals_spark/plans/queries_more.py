@@ -90,6 +90,22 @@ def c01(spark, sf):
     return filings.resolve_issuer(f, reg).select("o_orderkey", "company", "match", "error")
 
 
+# companies with a clean identity, without codes, with foreign identities, with mixed ones, and without filings
+@query("c01_companies", """WITH r AS (SELECT c_custkey AS company, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, 'N' || c_custkey AS cnpj FROM customer), f AS (SELECT CASE WHEN o_custkey % 4 = 1 OR o_orderkey % 90 = 0 THEN NULL ELSE lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS code, 'N' || CASE WHEN o_custkey % 7 = 3 AND o_orderkey % 3 = 1 THEN o_custkey + 1 ELSE o_custkey END AS cnpj FROM orders WHERE o_custkey % 10 <> 9),
+j AS (SELECT r.company, f.code, f.cnpj, coalesce(f.code = r.code, false) AS a, f.cnpj = r.cnpj AS b FROM r JOIN f ON f.code = r.code OR f.cnpj = r.cnpj),
+s AS (SELECT company, count(*) AS n, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb, count(*) FILTER ((a AND NOT b) OR (b AND NOT a AND code IS NOT NULL)) AS x, count(DISTINCT coalesce(code, '') || '|' || cnpj) AS p FROM j GROUP BY 1),
+e AS (SELECT r.company, coalesce(n, 0) AS rows, na, CASE WHEN n IS NULL THEN 'company_not_found' WHEN na > 0 AND nb > 0 AND x > 0 THEN 'identity_conflict' WHEN p > 1 THEN 'mixed_identities' END AS error FROM r LEFT JOIN s USING (company))
+SELECT company, rows, CASE WHEN error IS NULL THEN CASE WHEN na > 0 THEN 'cd_cvm' ELSE 'cnpj_fallback' END END AS match, error, CASE WHEN error IS NULL THEN rows ELSE 0 END AS kept FROM e""")
+def c01_companies(spark, sf):
+    code = lambda c: F.lpad(F.col(c).cast("string"), 6, "0")
+    reg = read(spark, sf, "customer").select(F.col("c_custkey").alias("company"), code("c_custkey").alias("cvm_code"), F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("cnpj"))
+    o = read(spark, sf, "orders").filter("o_custkey % 10 <> 9")  # the others have no filings
+    foreign = (F.col("o_custkey") % 7 == 3) & (F.col("o_orderkey") % 3 == 1)
+    f = o.select(F.when(~((F.col("o_custkey") % 4 == 1) | (F.col("o_orderkey") % 90 == 0)), code("o_custkey")).alias("cvm_code"), F.concat(F.lit("N"), F.when(foreign, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).cast("string")).alias("cnpj"))
+    rows, report = filings.resolve_companies(f, reg)
+    return report.join(rows.groupBy("company").agg(F.count(F.lit(1)).alias("kept")), "company", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+
+
 @query("c02_scope", f"""WITH {S.FILINGS}, t AS (SELECT ordinal, company, ref_date, value, ordinal % 5 = 0 AND company % 2 = 0 AS c FROM filings), w AS (SELECT *, bool_or(c) OVER (PARTITION BY company, ref_date) a FROM t) SELECT ordinal, CAST(value AS DOUBLE) AS value FROM w WHERE c OR NOT a""")
 def c02(spark, sf):
     f = S.filings(spark, sf).withColumn("scope", F.when((F.col("ordinal") % 5 == 0) & (F.col("company") % 2 == 0), "DF Consolidado").otherwise("DF Individual"))
