@@ -44,7 +44,7 @@ def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, in whole copies that meet the words its source takes to its longest document."""
-    taken = mixing.apply_mix(docs, rounding="even").select("doc_id", "size", "copies")
+    taken = mixing.apply_mix(docs, rounding="even").select("doc_id", "size", "copies").hint("merge")  # a row for each document: one plan at every size
     names = {k: fresh(docs, f"mix_{k}") for k in ("id", "size", "copies", "row", "own_row", "own_size", "copy")}
     taken = taken.select(F.col("doc_id").alias(names["id"]), F.col("size").alias(names["size"]), F.col("copies").alias(names["copies"]))
     left, on = docs, docs["doc_id"].eqNullSafe(taken[names["id"]])
