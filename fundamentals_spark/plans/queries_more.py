@@ -8,7 +8,7 @@ from fundamentals_spark.functions import text as T
 from fundamentals_spark.operators import accounts, evidence, filings, governance, indicators, market
 from fundamentals_spark.plans import standins as S
 from fundamentals_spark.plans.queries_core import _DEBT, _TWO, _VALIDATED, _two_sources
-from fundamentals_spark.sources import files
+from fundamentals_spark.sources import files, records
 
 QUERIES, SQL = {}, {}
 
@@ -34,6 +34,23 @@ def a04(spark, sf):
     return files.read_prices(raw).withColumnRenamed("symbol", "company")
 
 
+# one document of JSON for each text: a flat list, groups by period around the text, a company with rows, or no JSON
+@query("a05_records", """WITH d AS (SELECT doc_id, doc_id % 4 AS shape, coalesce(lang, '-') AS l, coalesce(source, '-') AS s, coalesce(n_chars, 0) AS n FROM documents)
+SELECT doc_id, CAST(NULL AS VARCHAR) AS ticker, '1.' || l AS code, s AS description, '2024' AS period, CAST(n AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS error FROM d WHERE shape = 0
+UNION ALL SELECT doc_id, NULL, '2', NULL, NULL, -1234.5, 'no_period' FROM d WHERE shape = 0
+UNION ALL SELECT doc_id, NULL, '1', NULL, '2023', CAST(n AS DOUBLE), NULL FROM d WHERE shape = 1
+UNION ALL SELECT doc_id, NULL, NULL, s, '2024', n + 0.5, NULL FROM d WHERE shape = 1
+UNION ALL SELECT doc_id, 'T' || CAST(doc_id % 7 AS VARCHAR), '1.' || l, s, p, CAST(n AS DOUBLE) * f, NULL FROM d, (VALUES ('2024', 1), ('2026', 2)) AS v(p, f) WHERE shape = 2
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 'not_json' FROM d WHERE shape = 3""")
+def a05_records(spark, sf):
+    lang, source, n = "coalesce(lang, '-')", "coalesce(source, '-')", "coalesce(n_chars, 0)"
+    flat = f"""concat('[{{"codigo":"1.', {lang}, '","descricao":"', {source}, '","periodo":"2024","valor":', {n}, '}},{{"conta":"2","valor":"(1.234,5)"}}]')"""
+    grouped = f"""concat('{{"meta":', to_json(struct(text)), ',"periodos":[{{"data":"2023","contas":[{{"CD_CONTA":"1","VL_CONTA":', {n}, '}}]}},{{"data":"2024","x":{{"y":{{"ds_conta":"', {source}, '","vl_conta":"', {n}, ',5"}}}}}}]}}')"""
+    nested = f"""concat('{{"companies":{{"T', doc_id % 7, '":{{"scope":"con","rows":[{{"code":"1.', {lang}, '","description":"', {source}, '","values":{{"2024":', {n}, ',"2025":null,"2026":', 2 * {n}, '}}}}]}}}}}}')"""
+    docs = read(spark, sf, "documents").selectExpr("doc_id", f"""case doc_id % 4 when 0 then {flat} when 1 then {grouped} when 2 then {nested} else '{{"codigo":' end as json""")
+    return records.flatten_json_records(docs, "json", ["doc_id"]).select("doc_id", "ticker", "code", "description", "period", "value", "error")
+
+
 @query("a08_content_type", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN regexp_matches(lower(html), '^\\s*(<!doctype html|<html)') THEN 'html' ELSE 'unknown' END AS kind FROM pages""")
 def a08(spark, sf):
     p = read(spark, sf, "pages")
