@@ -10,11 +10,27 @@ from pyspark.sql import functions as F
 from fundamentals_spark.functions.text import norm_text
 from fundamentals_spark.operators.asof import best_row
 
+# How many rows above a cell may hold its header, in health sheets and in retail tables.
+HEALTH_REACH, RETAIL_REACH = 499, 99
 
-def attach_period(cells: DataFrame, lookback: int = 500) -> DataFrame:
-    """Nearest period header above each cell in its column: last header within ``lookback`` rows. ``cells``: doc, sheet, row, col, header_period."""
+
+def attach_period(cells: DataFrame, lookback: int = 500, least_periods: int = 1, default: str | None = None) -> DataFrame:
+    """Nearest period header above each cell in its column: last header within ``lookback`` rows, else the document's ``default`` column.
+
+    ``cells``: doc, sheet, row, col, header_period. A row is a header only with ``least_periods`` periods in it (2 keeps a number
+    like 2025 among values from being read as a year); its periods reach ``lookback`` rows down. Rows are counted by one
+    partial aggregation, so a wide or long sheet is never gathered; a window follows one column of one sheet. Null periods are
+    no headers, no header and no default is null.
+    """
+    kept = cells
+    header = F.col("header_period")
+    if least_periods > 1:
+        rows = cells.filter(header.isNotNull()).groupBy("doc", "sheet", "row").agg(F.count(F.lit(1)).alias("__periods")).filter(F.col("__periods") >= least_periods)
+        kept = cells.join(rows, ["doc", "sheet", "row"], "left")
+        header = F.when(F.col("__periods").isNotNull(), header)
     above = W.partitionBy("doc", "sheet", "col").orderBy("row").rangeBetween(-lookback, -1)
-    return cells.withColumn("period", F.last("header_period", ignorenulls=True).over(above))
+    found = F.last(header, ignorenulls=True).over(above)
+    return kept.withColumn("period", F.coalesce(found, F.col(default)) if default else found).drop("__periods")
 
 
 def classify_labels(labels: DataFrame, dictionary: DataFrame, label: str = "label") -> DataFrame:
@@ -133,6 +149,24 @@ def dedupe_observations(obs: DataFrame, key: list[str], rank: list[Column]) -> D
     return best_row(obs, key, rank)
 
 
+def drop_identical_series(obs: DataFrame, key: list[str], item: list[str], first: list[str]) -> DataFrame:
+    """Of the items of a key whose series (period to value) are equal, the first by ``first`` stays, with all of its rows.
+
+    ``obs``: key, item, period, value and the order columns, which are those of an item's smallest row. A period that repeats
+    within an item counts once if its values agree, else with each of them. Series are compared by their number of points and
+    two sums of 64-bit hashes of the points, so that no series is gathered; items without any point are equal to one another.
+    Null periods and values are points of their own. Null keys form a key.
+    """
+    point = F.struct("period", "value")
+    points = obs.groupBy(*key, *item, "period", "value").agg(F.min(F.struct(*first)).alias("__first"))
+    sums = [F.sum(F.xxhash64(F.lit(seed), point).cast("decimal(38,0)")).alias(name) for seed, name in ((1, "__a"), (2, "__b"))]
+    series = points.groupBy(*key, *item).agg(F.count(F.lit(1)).alias("__n"), *sums, F.min("__first").alias("__first"))
+    order = W.partitionBy(*key, "__n", "__a", "__b").orderBy("__first", *item)
+    gone = series.withColumn("__r", F.row_number().over(order)).filter("__r > 1").select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate([*key, *item])])
+    on = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate([*key, *item])]
+    return obs.join(gone, on, "left_anti")
+
+
 def fill_missing(primary: DataFrame, fallback: DataFrame, key: list[str]) -> DataFrame:
     """``primary`` and those rows of ``fallback`` whose key it lacks."""
     return primary.unionByName(fallback.join(primary.select(*key).distinct(), key, "left_anti"))

@@ -153,3 +153,23 @@ def filing_audit(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Per registered company: lines, dates, versions and status missing / OK."""
     a = df.groupBy("company").agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("ref_date").alias("dates"), F.array_join(F.array_sort(F.collect_set(F.col("version").cast("string"))), ",").alias("versions"))
     return registry.select("company").join(a, "company", "left").select("company", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("dates", F.lit(0)).alias("dates"), "versions", F.when(F.col("lines").isNull(), "missing").otherwise("OK").alias("status"))
+
+
+def method_audit(df: DataFrame, spine: DataFrame) -> DataFrame:
+    """company, file_year, methods, lines, ref_dates, versions and status for each row of ``spine`` (company, file_year).
+
+    ``df``: company, file_year, ref_date, version, method. ``methods`` names each method once, by its first date (methods of one
+    date by name), joined by arrows. Status is ``missing``, ``OK`` or ``OK_method_transition``; null dates and versions are not
+    listed, a null method counts for nothing. Lists hold the distinct values of one company and year; lines are counted
+    before that, so a company with many lines is no large group.
+    """
+    by = ["company", "file_year"]
+    lines = df.groupBy(*by, "method", "ref_date", "version").agg(F.count(F.lit(1)).alias("n"))
+    first = F.transform(F.array_sort(F.collect_set(F.when(F.col("method").isNotNull(), F.struct("since", "method")))), lambda x: x["method"])
+    since = F.min("ref_date").over(W.partitionBy(*by, "method"))
+    g = lines.withColumn("since", since).groupBy(*by).agg(
+        F.array_join(first, " -> ").alias("methods"), F.size(first).alias("__m"), F.sum("n").alias("lines"),
+        F.array_join(F.array_sort(F.collect_set("ref_date")).cast("array<string>"), ", ").alias("ref_dates"), F.array_join(F.array_sort(F.collect_set("version")).cast("array<string>"), ", ").alias("versions"),
+    )
+    status = F.when(F.col("lines").isNull(), "missing").when(F.col("__m") > 1, "OK_method_transition").otherwise("OK")
+    return spine.select(*by).join(g, by, "left").select(*by, "methods", F.coalesce("lines", F.lit(0)).alias("lines"), "ref_dates", "versions", status.alias("status"))

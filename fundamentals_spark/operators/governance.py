@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from fundamentals_spark.operators.asof import best_row
 from fundamentals_spark.operators.indicators import cagr_years
@@ -159,17 +160,40 @@ def leak_scan(df: DataFrame, terms: list[str], column: str = "text") -> DataFram
 
 
 def sanitize(df: DataFrame, replacements: dict[str, str]) -> DataFrame:
-    """Literal replacements in every string column, at any depth of arrays."""
-    out = {}
-    for f in df.schema.fields:
-        kind = f.dataType.simpleString()
-        for old, new in replacements.items():
-            c = out.get(f.name, F.col(f"`{f.name}`"))
-            if kind == "string":
-                out[f.name] = F.replace(c, F.lit(old), F.lit(new))
-            elif kind == "array<string>":
-                out[f.name] = F.transform(c, lambda x, old=old, new=new: F.replace(x, F.lit(old), F.lit(new)))
-    return df.withColumns(out) if out else df
+    """Literal replacements, in the order given, in every string at any depth of structs, arrays and map values; keys, names and other types stay.
+
+    Nulls stay null at every level, empty strings to be replaced are passed over. The columns are rewritten from the schema, so
+    there is no user function; columns without a string below them are not touched.
+    """
+
+    def rewrite(c: Column, kind: DataType) -> Column | None:
+        if isinstance(kind, StringType):
+            for old, new in replacements.items():
+                if old:
+                    c = F.replace(c, F.lit(old), F.lit(new))
+            return c
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: rewrite(x, kind.elementType)) if _holds_strings(kind) else None
+        if isinstance(kind, MapType):
+            return F.transform_values(c, lambda _, v: rewrite(v, kind.valueType)) if _holds_strings(kind) else None
+        if isinstance(kind, StructType) and _holds_strings(kind):
+            fields = [(rewrite(c.getField(f.name), f.dataType) if _holds_strings(f.dataType) else c.getField(f.name)).alias(f.name) for f in kind.fields]
+            return F.when(c.isNotNull(), F.struct(*fields))
+        return None
+
+    return df.select(*[(rewrite(F.col(_quoted(f.name)), f.dataType).alias(f.name) if _holds_strings(f.dataType) else F.col(_quoted(f.name))) for f in df.schema.fields])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _holds_strings(kind: DataType) -> bool:
+    """A string anywhere below, but for the keys of maps."""
+    if isinstance(kind, StructType):
+        return any(_holds_strings(f.dataType) for f in kind.fields)
+    inner = kind.elementType if isinstance(kind, ArrayType) else kind.valueType if isinstance(kind, MapType) else None
+    return isinstance(kind, StringType) if inner is None else _holds_strings(inner)
 
 
 def coverage(obs: DataFrame, companies: DataFrame) -> DataFrame:

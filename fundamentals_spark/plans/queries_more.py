@@ -253,3 +253,40 @@ def i09(spark, sf):
 SELECT r.company, 'accounts' AS block, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'missing' ELSE 'OK' END AS status FROM registry r LEFT JOIN a USING (company) UNION ALL SELECT r.company, 'calculations', coalesce(n, 0), CASE WHEN n IS NULL THEN 'missing' ELSE 'OK' END FROM registry r LEFT JOIN b USING (company)""")
 def i10(spark, sf):
     return governance.audit_rows(S.registry(spark, sf), accounts=S.balances(spark, sf).filter("company % 8 <> 3"), calculations=S.quarter_facts(spark, sf))
+
+
+@query("d12_method_audit", f"""WITH {S.FILINGS}, {S.REGISTRY}, m AS (SELECT company, year(ref_date) y, ref_date, version, CASE WHEN company % 5 = 1 THEN NULL WHEN company % 4 = 0 AND month(ref_date) > 6 THEN 'MD' WHEN company % 4 = 1 AND version > 5 THEN 'MD' ELSE 'MI' END AS method FROM filings WHERE company % 6 <> 2),
+f AS (SELECT company, y, method, min(ref_date) since FROM m WHERE method IS NOT NULL GROUP BY 1, 2, 3), n AS (SELECT company, y, string_agg(method, ' -> ' ORDER BY since, method) methods, count(*) k FROM f GROUP BY 1, 2),
+a AS (SELECT company, y, count(*) lines, string_agg(DISTINCT CAST(ref_date AS VARCHAR), ', ' ORDER BY CAST(ref_date AS VARCHAR)) ref_dates, string_agg(DISTINCT CAST(version AS VARCHAR), ', ' ORDER BY CAST(version AS VARCHAR)) versions FROM m GROUP BY 1, 2)
+SELECT r.company, CAST(v.y AS INTEGER) AS file_year, CASE WHEN lines IS NOT NULL THEN coalesce(methods, '') END AS methods, coalesce(lines, 0) AS lines, ref_dates, versions, CASE WHEN lines IS NULL THEN 'missing' WHEN k > 1 THEN 'OK_method_transition' ELSE 'OK' END AS status
+FROM registry r CROSS JOIN generate_series(1992, 2026) AS v(y) LEFT JOIN a ON r.company = a.company AND v.y = a.y LEFT JOIN n ON r.company = n.company AND v.y = n.y""")
+def d12_methods(spark, sf):
+    f = S.filings(spark, sf).filter("company % 6 <> 2").withColumns({"file_year": F.year("ref_date"), "method": F.expr("case when company % 5 = 1 then null when company % 4 = 0 and month(ref_date) > 6 then 'MD' when company % 4 = 1 and version > 5 then 'MD' else 'MI' end")})
+    spine = S.registry(spark, sf).select("company", F.explode(F.sequence(F.lit(1992), F.lit(2026))).alias("file_year"))
+    return filings.method_audit(f, spine)
+
+
+# a sheet of every 40th order: a line is a cell, small quantities stand for periods, even documents have a period of their own
+@query("g01_header_rows", f"""WITH c AS (SELECT l_orderkey % 40 AS doc, l_orderkey AS row, l_linenumber AS col, max(CASE WHEN l_quantity < 12 THEN 'P' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END) AS hp FROM lineitem GROUP BY 1, 2, 3),
+h AS (SELECT *, CASE WHEN count(hp) OVER (PARTITION BY doc, row) >= 2 THEN hp END AS header FROM c)
+SELECT doc, row, col, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY doc, col ORDER BY row RANGE BETWEEN {evidence.HEALTH_REACH} PRECEDING AND 1 PRECEDING), CASE WHEN doc % 2 = 0 THEN 'D' || CAST(doc AS VARCHAR) END) AS period FROM h""")
+def g01_headers(spark, sf):
+    period = F.when(F.col("l_quantity") < 12, F.concat(F.lit("P"), F.col("l_quantity").cast("int").cast("string")))
+    c = read(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 40).alias("doc"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col")).agg(F.max(period).alias("header_period"))
+    c = c.withColumns({"sheet": F.lit("s"), "own": F.when(F.col("doc") % 2 == 0, F.concat(F.lit("D"), F.col("doc").cast("string")))})
+    return evidence.attach_period(c, evidence.HEALTH_REACH, least_periods=2, default="own").select("doc", "row", "col", "period")
+
+
+# an item's value is its quarter, now and then one more, so that items with the same periods have equal series
+@query("g08_identical_series", f"""WITH {S.OBSERVATIONS}, o AS (SELECT ticker, metric, source, scope, year * 10 + q AS period, CAST(q + CASE WHEN ordinal % 97 = 0 THEN 1 ELSE 0 END AS INTEGER) AS value, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 9 END AS rank, ordinal FROM observations),
+s AS (SELECT ticker, metric, source, scope, string_agg(DISTINCT CAST(period AS VARCHAR) || '=' || CAST(value AS VARCHAR), ',' ORDER BY CAST(period AS VARCHAR) || '=' || CAST(value AS VARCHAR)) AS series, min(rank * 1000000000000 + ordinal) AS f FROM o GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY ticker, series ORDER BY f) AS n FROM s) SELECT o.ticker, o.metric, o.source, o.scope, o.period, o.value, o.ordinal FROM o JOIN k USING (ticker, metric, source, scope) WHERE n = 1""")
+def g08_series(spark, sf):
+    o = S.observations(spark, sf).selectExpr("ticker", "metric", "source", "scope", "year * 10 + q as period", "int(q + if(ordinal % 97 = 0, 1, 0)) as value", "case confidence when 'high' then 0 when 'medium' then 1 else 9 end as rank", "ordinal")
+    return evidence.drop_identical_series(o, ["ticker"], ["metric", "source", "scope"], ["rank", "ordinal"]).drop("rank")
+
+
+@query("i07_sanitize_nested", """SELECT doc_id, md5(replace(replace(text, 'the ', 'THE '), 'THE a', '')) AS inner_text, md5(replace(replace(text, 'the ', 'THE '), 'THE a', '')) AS mapped, replace(lang, 'the ', 'THE ') AS listed, 'the a' AS map_key, n_chars FROM documents""")
+def i07_nested(spark, sf):
+    d = read(spark, sf, "documents").selectExpr("doc_id", "named_struct('t', text, 'deep', array(named_struct('l', lang, 'm', map('the a', text), 'n', n_chars))) as nest")
+    return governance.sanitize(d, {"the ": "THE ", "THE a": ""}).selectExpr("doc_id", "md5(nest.t) as inner_text", "md5(nest.deep[0].m['the a']) as mapped", "nest.deep[0].l as listed", "map_keys(nest.deep[0].m)[0] as map_key", "nest.deep[0].n as n_chars")
