@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fundamentals_spark.functions import text as T
-from fundamentals_spark.operators import evidence, filings, governance, indicators
+from fundamentals_spark.operators import cycle, evidence, filings, governance, indicators
 from fundamentals_spark.plans import standins as S
 
 QUERIES, SQL = {}, {}
@@ -289,3 +289,49 @@ def g22_outcome(spark, sf):
     rows, status = evidence.snapshot_outcome(c, o.filter((k % 4 == 0) & (F.col("year") == 2023)), o.filter((k % 4 < 2) & (F.col("year") == 2022)), docs)
     g = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ordinal").alias("first_row"))
     return status.join(g, "ticker", "left").select("ticker", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_row", "status", "coverage_status")
+
+
+# filed account and description -> account of the cycle: coded and described ones, parents and leaves, excluded descriptions
+_CYCLE_ACCOUNTS = (
+    ("1.01.01", "Conta 0", "1.01.03", "Contas a Receber"), ("1.01.01", "Conta 1", "1.01.05", "Clientes diversos"), ("1.01.01", "Conta 2", "1.01.04", "Estoques"), ("1.01.01", "Conta 3", "1.02.01.08", "Direitos"),
+    ("1.01.01", "Conta 4", "1.02.03", "Estoques de longo prazo"), ("1.01.02", "Conta 0", "1.02.01.04", "Áreas"), ("1.01.02", "Conta 1", "1.02.04", "Imóveis a Comercializar"), ("1.01.02", "Conta 2", "1.02.05", "Clientes - Partes Relacionadas"),
+    ("1.01.02", "Conta 3", "1.02.04.01", "IMÓVEIS EM CONSTRUÇÃO"), ("1.01.02", "Conta 4", "1.03", "Conta a receber"), ("2.01.01", "Conta 0", "2.01.02", "Fornecedores"), ("2.01.01", "Conta 1", "2.02.03", "Terrenos a pagar"),
+    ("2.01.01", "Conta 2", "2.02.03.01", "Terreno a Pagar"), ("2.01.01", "Conta 3", "2.02.04", "Financiamentos de terrenos a pagar"), ("2.01.01", "Conta 4", "2.01.05", "Fornecedor externo"), ("2.01.02", "Conta 0", "2.02.01.01", "Obrigações"),
+    ("2.01.02", "Conta 1", "2.09", "Outros"),
+)
+
+# even companies have a long cycle; some companies lack a coded account, so that descriptions decide
+_CYCLE_SQL = f"""{S.FILINGS}, names(f, d, code, description) AS (VALUES {", ".join(map(str, _CYCLE_ACCOUNTS))}),
+a AS (SELECT company, ref_date, n.code, n.description, CAST(sum(value) AS DECIMAL(38,4)) AS value, min(ordinal) AS ordinal FROM filings t JOIN names n ON t.code = n.f AND t.description = n.d WHERE NOT (company % 4 = 1 AND n.code = '1.01.03') AND NOT (company % 4 = 3 AND n.code = '2.01.02') GROUP BY 1, 2, 3, 4),
+t AS (SELECT *, lower(strip_accents(description)) AS x FROM a),
+short AS (SELECT *, 'receivables' AS kind, code = '1.01.03' AS exact FROM t WHERE code = '1.01.03' OR regexp_matches(x, 'contas? a receber|clientes') UNION ALL SELECT *, 'inventories', code = '1.01.04' FROM t WHERE code = '1.01.04' OR x LIKE '%estoque%' UNION ALL SELECT *, 'payables', code = '2.01.02' FROM t WHERE code = '2.01.02' OR x LIKE '%fornecedore%'),
+long AS (SELECT *, 'receivables' AS kind FROM t WHERE code IN ('1.01.03', '1.02.01.08', '1.02.01.09') OR (code LIKE '1.02%' AND regexp_matches(x, 'clientes|contas? a receber|recebiveis imobiliarios') AND NOT regexp_matches(x, 'partes relacionadas|tribut|aplicac|valor justo'))
+  UNION ALL SELECT *, 'inventories' FROM t WHERE code IN ('1.01.04', '1.02.01.04', '1.02.01.05', '1.02.01.06') OR (code LIKE '1.02%' AND regexp_matches(x, 'estoque|imoveis a comercializar|(imoveis|unidades) em construcao|terrenos') AND NOT regexp_matches(x, 'investimento|imobilizado|intangivel|tribut'))
+  UNION ALL SELECT *, 'payables' FROM t WHERE code IN ('2.01.02', '2.02.01.01', '2.02.01.02') OR (code LIKE '2.02%' AND regexp_matches(x, 'fornecedore|terrenos? a pagar|aquisicao de (terreno|imoveis)') AND NOT regexp_matches(x, 'emprestimo|financiamento|debentures|provis|tribut|partes relacionadas'))),
+counted AS (SELECT company, ref_date, kind, code, description, value FROM (SELECT *, row_number() OVER (PARTITION BY company, ref_date, kind ORDER BY exact DESC, ordinal, code, description) AS i FROM short WHERE company % 2 = 1) WHERE i = 1
+  UNION ALL SELECT company, ref_date, kind, code, description, value FROM long l WHERE company % 2 = 0 AND NOT EXISTS (SELECT 1 FROM long o WHERE o.company = l.company AND o.ref_date = l.ref_date AND o.kind = l.kind AND starts_with(o.code, l.code || '.')))"""
+
+
+def _cycle_rows(spark, sf):
+    names = spark.createDataFrame(list(_CYCLE_ACCOUNTS), "f string, d string, to_code string, to_description string")
+    f = S.filings(spark, sf)
+    f = f.join(names, (f.code == names.f) & (f.description == names.d)).filter("not (company % 4 = 1 and to_code = '1.01.03') and not (company % 4 = 3 and to_code = '2.01.02')")
+    rows = f.groupBy("company", "ref_date", F.col("to_code").alias("code"), F.col("to_description").alias("description")).agg(F.sum("value").cast("decimal(38,4)").alias("value"), F.min("ordinal").alias("ordinal"))
+    return rows.withColumn("extended", F.col("company") % 2 == 0)
+
+
+@query("e14_cycle_accounts", f"""WITH {_CYCLE_SQL} SELECT company, ref_date, kind, code, description, CAST(value AS DOUBLE) AS value, code LIKE '1.01%' OR code LIKE '2.01%' AS current FROM counted""")
+def e14_cycle(spark, sf):
+    return cycle.cycle_accounts(_cycle_rows(spark, sf)).select("company", "ref_date", "kind", "code", "description", F.col("value").cast("double").alias("value"), "current")
+
+
+@query("e12_sector_cycle", f"""WITH {_CYCLE_SQL}, {S.QUARTERS.replace(S._SALES + ', ', '')},
+b AS MATERIALIZED (SELECT company, ref_date, sum(value) FILTER (kind = 'receivables') r, sum(value) FILTER (kind = 'inventories') i, sum(value) FILTER (kind = 'payables') p FROM (SELECT DISTINCT company, ref_date FROM a) LEFT JOIN counted USING (company, ref_date) GROUP BY 1, 2),
+f AS (SELECT company, make_date(year, q * 3 - 2, 1) AS s, last_day(make_date(year, q * 3, 1)) AS e, revenue, abs(cost) c FROM quarter_facts),
+j AS (SELECT f.*, o.r orr, o.i oi, o.p op, z.r zr, z.i zi, z.p zp, date_diff('day', s, e) + 1 AS days FROM (SELECT *, s - INTERVAL 1 DAY AS before FROM f) f ASOF LEFT JOIN b o ON f.company = o.company AND f.before >= o.ref_date ASOF LEFT JOIN b z ON f.company = z.company AND f.e >= z.ref_date),
+k AS (SELECT *, CAST(orr + zr AS DOUBLE) / 2 ar, CAST(oi + zi AS DOUBLE) / 2 ai, CAST(op + zp AS DOUBLE) / 2 ap, CAST(c + zi - oi AS DOUBLE) AS buy FROM j),
+m AS (SELECT *, CASE WHEN ar IS NULL OR ai IS NULL OR ap IS NULL THEN 'missing_balance' WHEN revenue <= 0 OR c <= 0 OR buy <= 0 THEN 'invalid_denominator' END AS error FROM k)
+SELECT company, CAST(s AS DATE) AS start, e AS "end", CASE WHEN error IS NULL THEN round(ar / CAST(revenue AS DOUBLE) * days, 4) END AS pmr, CASE WHEN error IS NULL THEN round(ai / CAST(c AS DOUBLE) * days, 4) END AS pme, CASE WHEN error IS NULL THEN round(ap / buy * days, 4) END AS pmp, error FROM m""")
+def e12_sector(spark, sf):
+    f = S.quarter_facts(spark, sf).select("company", F.make_date("year", F.col("q") * 3 - 2, F.lit(1)).alias("start"), F.last_day(F.make_date("year", F.col("q") * 3, F.lit(1))).alias("end"), "revenue", F.col("cost").alias("cogs"))
+    return indicators.cash_cycle(cycle.cycle_balances(_cycle_rows(spark, sf)), f).select("company", "start", "end", "pmr", "pme", "pmp", "error")
