@@ -51,6 +51,34 @@ def context_above(cells: DataFrame, k: int) -> DataFrame:
     return cells.withColumn("context", F.array_join(F.collect_list("text").over(w), " "))
 
 
+# Terms above a cell that put it outside of the hospital block, terms that must all stand there, how far and wide to look.
+OUTSIDE_BLOCK = ("sulamerica", "sul america", "seguros e previdencia")
+INSIDE_BLOCK = ("hospitais", "oncologia")
+BLOCK_REACH, BLOCK_COLUMNS = 17, 8
+
+
+def section_scope(cells: DataFrame, name: str, outside: tuple[str, ...] = OUTSIDE_BLOCK, inside: tuple[str, ...] = INSIDE_BLOCK, reach: int = BLOCK_REACH, columns: int = BLOCK_COLUMNS) -> DataFrame:
+    """``cells`` (doc, sheet, row, col from 1, text) with section: ``name`` where the rows above open that block, else null.
+
+    The ``reach`` rows above a cell (its own is not among them) are read in their first ``columns`` columns, folded: any term of
+    ``outside`` closes the block, else all terms of ``inside`` must occur. A term may run over cells of a row, not over rows. Each row
+    becomes one flag a term before the window, so no text is carried down a sheet. Null texts are empty; cells stay as they are.
+    """
+    key = ["doc", "sheet", "row"]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"])
+    rows = cells.filter((F.col("col") <= columns) & F.col("text").isNotNull()).groupBy(*key).agg(norm_text(F.array_join(ordered, " "), "fold").alias("__t"))
+    terms = [*outside, *inside]
+    flags = rows.select(*key, *[F.col("__t").contains(t).alias(f"__f{i}") for i, t in enumerate(terms)])
+    flags = cells.select(*key).distinct().join(flags, key, "left")
+    above = W.partitionBy("doc", "sheet").orderBy("row").rangeBetween(-reach, -1)
+    seen = [F.coalesce(F.max(f"__f{i}").over(above), F.lit(False)) for i in range(len(terms))]
+    open_, closed = F.lit(True), F.lit(False)
+    for i, s in enumerate(seen):
+        open_, closed = (open_, closed | s) if i < len(outside) else (open_ & s, closed)
+    decided = flags.select(*key, F.when(~closed & open_, name).alias("section"))
+    return cells.join(decided, key, "left")
+
+
 def explode_composite(cells: DataFrame) -> DataFrame:
     """Headers and values split at <br> or newlines into aligned (period, value) pairs; unequal lengths give none, variations and percentages go."""
     cut = lambda c: F.filter(F.split(c, r"<br\s*/?>|\n"), lambda x: F.trim(x) != "")
