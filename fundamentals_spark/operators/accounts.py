@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fundamentals_spark.functions.text import account_sort_key, ancestors
+from fundamentals_spark.operators.asof import best_row
 
 
-def master_accounts(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """All accounts with the description of the most recent row."""
-    return df.groupBy(*key).agg(F.max_by("description", F.struct(*order)).alias("description")).withColumn("sort_key", account_sort_key(F.col("code")))
+def master_accounts(df: DataFrame, key: list[str], order: list[str], first: tuple[str, ...] = ()) -> DataFrame:
+    """All accounts with the description of the most recent row; of rows equal by ``order`` the smallest by ``first`` stands."""
+    rows = best_row(df, key, [F.col(c).desc() for c in order] + [F.col(c).asc() for c in first])
+    return rows.select(*key, "description").withColumn("sort_key", account_sort_key(F.col("code")))
 
 
 def master_accounts_mode(df: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def c12(spark, sf):
 
 @query("d01_master_accounts", f"""WITH {S.FILINGS} SELECT statement, code, max_by(description, (epoch(ref_date) / 86400) * 1000000000000 + version * 10000000000 + ordinal) AS description FROM filings GROUP BY 1, 2""")
 def d01(spark, sf):
-    return accounts.master_accounts(S.filings(spark, sf), ["statement", "code"], ["ref_date", "version", "ordinal"]).select("statement", "code", "description")
+    return accounts.master_accounts(S.filings(spark, sf, place=True), ["statement", "code"], ["ref_date", "version", "ordinal"], ("place",)).select("statement", "code", "description")
 
 
 @query("d02_master_accounts_mode", f"""WITH {S.FILINGS}, c AS (SELECT code, description, count(*) n, max(ref_date) l FROM filings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, l DESC, description) k FROM c) SELECT code, description, n FROM r WHERE k = 1""")

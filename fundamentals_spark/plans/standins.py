@@ -14,10 +14,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _sales(spark: SparkSession, sf: str) -> DataFrame:
+def _sales(spark: SparkSession, sf: str, place: bool = False) -> DataFrame:
     c = _t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("int").alias("company"))
     o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"), "o_orderstatus")
-    items = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", *[F.col(x).cast("decimal(18,2)").alias(x) for x in ("l_extendedprice", "l_discount", "l_tax", "l_quantity")])
+    at = [F.struct("_metadata.file_path", "_metadata.row_index").alias("place")] if place else []
+    items = _t(spark, sf, "lineitem").select(*at, "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", *[F.col(x).cast("decimal(18,2)").alias(x) for x in ("l_extendedprice", "l_discount", "l_tax", "l_quantity")])
     # o_custkey joins a small table by its key; both joins are by key, so Spark chooses broadcast or sort-merge by size
     return items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
 
@@ -27,15 +28,18 @@ _SALES = """sales AS (SELECT CAST(c_nationkey AS INTEGER) company, CAST(o_orderd
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 
-def filings(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per filed account value: company, ref_date, version, statement, code, description, value, order_word, ordinal."""
-    s = _sales(spark, sf)
+def filings(spark: SparkSession, sf: str, place: bool = False) -> DataFrame:
+    """One row per filed account value: company, ref_date, version, statement, code, description, value, order_word, ordinal.
+
+    Lines of one order can share a number, so rows can share an ordinal; with ``place`` the row's place in the stored table follows.
+    """
+    s = _sales(spark, sf, place)
     code = F.concat(F.when(F.col("l_returnflag") == "A", "1.01").when(F.col("l_returnflag") == "N", "2.01").otherwise("3.01"), F.when(F.col("l_linestatus") == "F", ".01").otherwise(".02"))
     word = F.when(F.col("o_orderstatus") == "F", "ÚLTIMO").when(F.col("o_orderstatus") == "O", "PENÚLTIMO").otherwise("ultimo ")
     return s.select(
         "company", F.last_day(F.add_months(F.trunc("d", "quarter"), 2)).alias("ref_date"), F.col("l_linenumber").cast("int").alias("version"), F.when(F.col("l_returnflag") == "R", "DRE").otherwise("BP").alias("statement"),
         code.alias("code"), F.concat(F.lit("Conta "), (F.col("l_partkey") % 5).cast("string")).alias("description"), F.col("l_extendedprice").alias("value"), word.alias("order_word"),
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ordinal"), *(["place"] if place else []),
     )
 
 
