@@ -23,10 +23,9 @@ def latest_version(df: DataFrame, by: list[str], account: list[str], version: st
     return best_row(top, by + account, [F.col(c).desc() for c in tiebreak])
 
 
-def latest_restatement(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the greatest by ``order``; all columns in one aggregation, without a sort."""
-    rest = [c for c in df.columns if c not in key]
-    return df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+def latest_restatement(df: DataFrame, key: list[str], order: list[str], first: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each key: the greatest by ``order``, of equal ones the smallest by ``first``."""
+    return best_row(df, key, [F.col(c).desc() for c in order] + [F.col(c).asc() for c in first])
 
 
 def latest_cash_flow(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -111,8 +111,8 @@ def c04(spark, sf):
 
 @query("c05_latest_restatement", f"""WITH {S.FILINGS} SELECT company, code, max_by(CAST(value AS DOUBLE), ordinal + 1000000000000 * version) AS value, max(version) AS version FROM filings WHERE statement = 'DRE' GROUP BY 1, 2""")
 def c05(spark, sf):
-    f = S.filings(spark, sf).filter("statement = 'DRE'").select("company", "code", "version", "ordinal", F.col("value").cast("double").alias("value"))
-    return filings.latest_restatement(f, ["company", "code"], ["version", "ordinal"]).select("company", "code", "value", "version")
+    f = S.filings(spark, sf, place=True).filter("statement = 'DRE'").select("company", "code", "version", "ordinal", "place", F.col("value").cast("double").alias("value"))
+    return filings.latest_restatement(f, ["company", "code"], ["version", "ordinal"], ("place",)).select("company", "code", "value", "version")
 
 
 @query("c06_cash_flow_guard", f"""WITH {S.FILINGS}, f AS (SELECT company, ref_date, version, CASE WHEN ordinal % 211 = 0 THEN 'MD' ELSE 'MI' END AS m, max(version) OVER (PARTITION BY company, ref_date) v FROM filings),

@@ -32,3 +32,8 @@ def joins(spark, request):
 def test_master_accounts_of_equal_rows(spark, tables, joins):
     got = {(r.statement, r.code): r.description for r in registry.queries()["d01_master_accounts"](spark, tables).collect()}
     assert got == {("BP", "1.01.01"): "Conta 3", ("DRE", "3.01.01"): "Conta 3"}
+
+
+def test_latest_restatement_of_equal_rows(spark, tables, joins):
+    got = {(r.company, r.code): (r.value, r.version) for r in registry.queries()["c05_latest_restatement"](spark, tables).collect()}
+    assert got == {(5, "3.01.01"): (301.0, 7), (6, "3.01.01"): (303.0, 7)}
