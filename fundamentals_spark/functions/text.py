@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,6 +157,11 @@ COMPANY_SHARE = ("participacao da companhia", "company share", "% companhia", "%
 ONE_HUNDRED = ("100%", "cem por cento", "total projects")
 
 
+def has_any(t: Column, terms: tuple[str, ...]) -> Column:
+    """Whether one of the terms stands in the text."""
+    return reduce(or_, [t.contains(x) for x in terms])
+
+
 def ownership_basis(c: Column) -> Column:
     """company_share if a term of the company's part stands in the text, else one_hundred_percent for a term of the whole, else unknown."""
     t = norm_text(c, "fold")
@@ -218,6 +226,8 @@ EXCLUDED_DOCUMENTS = ("audio", "video", "webcast ao vivo", "calendar", "calendar
 
 def classify_document(c: Column) -> Column:
     """The first type of the priority list with a term in the text; null if none has or an excluded term stands in it."""
-    t = norm_text(c, "fold")
-    has = lambda terms: F.exists(F.array(*map(F.lit, terms)), lambda x: t.contains(x))
-    return F.when(~has(EXCLUDED_DOCUMENTS), F.coalesce(*[F.when(has(terms), F.lit(name)) for name, terms in DOCUMENT_TYPES]))
+
+    def first(t: Column) -> Column:
+        return F.when(~has_any(t, EXCLUDED_DOCUMENTS), F.coalesce(*[F.when(has_any(t, terms), F.lit(name)) for name, terms in DOCUMENT_TYPES]))
+
+    return F.get(F.transform(F.array(norm_text(c, "fold")), first), F.lit(0))  # the text is folded once for all terms

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundamentals_spark.functions.text import classify_document, norm_text
+from fundamentals_spark.functions.text import classify_document, has_any, norm_text
 
 # What a document's address or surroundings hold, endings of page assets, and hints of a spreadsheet download.
 DOCUMENT_TERMS = (".pdf", ".xlsx", ".xlsm", ".xls", "download", "documento", "arquivo", "file", "document")
@@ -33,20 +33,21 @@ def free_period(c: Column) -> Column:
         quarter = lambda x: x.isin("1", "2", "3", "4")
         beyond = lambda i, step: F.when(at(i).isin("-", "_", "/"), at(i + step)).otherwise(at(i))
         pair = lambda q, y: F.struct(q.alias("q"), y.alias("y"))
-        places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+        places = F.array_compact(F.transform(words, lambda x, i: F.when(x.isin("t", "q", "tri", "trimestre"), i)))
 
-        def first(units: tuple[str, ...], ahead: bool) -> Column:
+        def first(places: Column, units: tuple[str, ...], ahead: bool) -> Column:
             """The first quarter with one of the units, whose year stands behind it, or before the quarter's digit."""
             reach = lambda i: beyond(i + 1, 1) if ahead else beyond(i - 2, -1)
             hits = F.filter(places, lambda i: at(i).isin(*units) & quarter(at(i - 1)) & year(reach(i)))
             return F.get(F.transform(F.slice(hits, 1, 1), lambda i: pair(at(i - 1), reach(i))), F.lit(0))
 
         annual = F.get(F.filter(words, lambda x: (F.length(x) == 4) & x.between("2000", "2099")), F.lit(0))
-        hits = F.array_compact(F.array(*[F.when(F.size(words) > 0, first(*k)) for k in ((("t", "q"), True), (("tri", "trimestre"), True), (("t", "q"), False))], F.when(annual.isNotNull(), pair(F.lit("4"), annual))))
-        return F.get(hits, F.lit(0))
+        quarters = lambda at_units: F.coalesce(*[first(at_units, *k) for k in ((("t", "q"), True), (("tri", "trimestre"), True), (("t", "q"), False))])
+        return F.coalesce(F.get(F.transform(F.array(places), quarters), F.lit(0)), F.when(annual.isNotNull(), pair(F.lit("4"), annual)))
 
-    p = F.get(F.transform(F.array(_tokens(t)), found), F.lit(0))
-    return F.when(p.isNotNull(), F.struct(F.concat(p["q"], F.lit("T"), F.substring(p["y"], -2, 2)).alias("label"), (F.substring(p["y"], -2, 2).cast("int") + 2000).alias("year")))
+    named = lambda p: F.struct(F.concat(p["q"], F.lit("T"), F.substring(p["y"], -2, 2)).alias("label"), (F.substring(p["y"], -2, 2).cast("int") + 2000).alias("year"))
+    # arrays of one give names to what is used more than once
+    return F.get(F.transform(F.array_compact(F.transform(F.array(_tokens(t)), found)), named), F.lit(0))
 
 
 def absolute_url(base: Column, link: Column) -> Column:
@@ -67,14 +68,14 @@ def absolute_url(base: Column, link: Column) -> Column:
 def _links(html: Column) -> Column:
     """array<struct<raw, title, near>> of a page's different links: first those of attributes, then addresses anywhere in markup or script."""
     # start tags, then name = value pairs within them; a value stands in quotes of either kind or in none
-    tags = F.regexp_extract_all(html, F.lit(r"<[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    tags = F.regexp_extract_all(html, F.lit(r"<[A-Za-z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
     pairs = F.flatten(F.transform(tags, lambda tag: F.regexp_extract_all(tag, F.lit(r"""[\w:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0))))
     linking = F.filter(pairs, lambda p: F.lower(F.regexp_extract(p, r"^[\w:-]+", 0)).isin("href", "src") | F.lower(p).startswith("data"))
     attributes = F.transform(linking, lambda p: F.regexp_replace(p, r"^[^=]*=\s*", ""))
     # whatever stands between quotes, brackets and spaces and begins as an address or as a path to a document
     pieces = F.split(html, r"""["'<>\\\s]+""")
-    addresses = F.filter(F.transform(pieces, lambda x: F.regexp_extract(x, "https?:.*", 0)), lambda x: x.contains("://"))
-    paths = F.filter(pieces, lambda x: x.startswith("/") & ~x.startswith("//") & F.exists(F.array(*map(F.lit, PATH_HINTS)), lambda h: F.lower(x).contains(h)))
+    addresses = F.filter(F.transform(F.filter(pieces, lambda x: x.contains("://")), lambda x: F.regexp_extract(x, "https?:.*", 0)), lambda x: x.contains("://"))
+    paths = F.filter(pieces, lambda x: x.startswith("/") & ~x.startswith("//") & has_any(F.lower(x), PATH_HINTS))
     found = F.concat(attributes, addresses, paths)
     found = F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"""^[\s"'(\[{]+|[\s"'()\[\]{};,]+$""", "")))
     found = F.filter(found, lambda x: (x != "") & ~x.rlike(r"(?i)^(#|javascript:|mailto:|tel:|data:)"))
@@ -88,6 +89,12 @@ def _links(html: Column) -> Column:
     return F.transform(found, seen)
 
 
+def _judged(whole: Column) -> Column:
+    """struct<looks, type, p> of a link's texts: whether they look like a document's, its type, its period."""
+    looks = F.get(F.transform(F.array(norm_text(whole, "fold")), lambda t: has_any(t, DOCUMENT_TERMS)), F.lit(0))
+    return F.struct(looks.alias("looks"), classify_document(whole).alias("type"), free_period(whole).alias("p"))
+
+
 def discover_links(pages: DataFrame, domains: DataFrame | None = None, first_year: int = 2000, undated_sheet_year: int | None = None, company: str = "page_id") -> DataFrame:
     """company, page_url, document_url, title, period, year, type: one document for each company, period and type.
 
@@ -98,25 +105,26 @@ def discover_links(pages: DataFrame, domains: DataFrame | None = None, first_yea
     of ``undated_sheet_year`` where that is given. An address counts once in a page; the earliest page (by page_id) and the
     first link in it win. Null pages and pages without links give no rows; other columns are not read.
     """
-    html = F.replace(F.col("html"), F.lit("\\/"), F.lit("/"))
-    links = pages.select(F.col("page_id"), F.col(company).alias("company"), F.col("url").alias("page_url"), F.posexplode(_links(html)).alias("n", "link"))
+    # texts get a name of their own, or stand in an array of one that is exploded: each is then computed once, not for each use
+    # (outer, as Spark otherwise computes the array once more to drop rows without one)
+    pages = pages.select("page_id", F.col(company).alias("company"), F.col("url").alias("page_url"), F.replace("html", F.lit("\\/"), F.lit("/")).alias("__html"))
+    links = pages.select("page_id", "company", "page_url", F.posexplode_outer(_links(F.col("__html"))).alias("n", "link")).filter("n is not null")
     links = links.select("page_id", "company", "page_url", "n", "link.*").withColumn("raw", F.replace("raw", F.lit("&amp;"), F.lit("&")))
     links = links.withColumn("document_url", absolute_url(F.col("page_url"), F.col("raw")))
     path = F.lower(F.regexp_extract("document_url", r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1))
     ending = F.regexp_extract(path, r"\.([a-z0-9]+)$", 1)
-    if domains is not None:  # every suffix of the host meets the allowed ones by equality
+    if domains is not None:  # every suffix of the host meets the allowed ones by equality; these are rules and sent to the tasks, so no text is shuffled
         host = F.split(F.lower(F.regexp_extract("document_url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.")
         allowed = domains.select(F.lower("domain").alias("__d")).distinct()
-        links = links.withColumn("__d", F.explode(F.transform(F.sequence(F.lit(1), F.size(host)), lambda i: F.array_join(F.slice(host, i, F.size(host)), ".")))).join(allowed, "__d", "left_semi").drop("__d")
+        links = links.withColumn("__d", F.explode(F.transform(F.sequence(F.lit(1), F.size(host)), lambda i: F.array_join(F.slice(host, i, F.size(host)), ".")))).join(F.broadcast(allowed), "__d", "left_semi").drop("__d")
     whole = F.concat_ws(" ", "title", "raw", "document_url", "near")
-    looks = norm_text(whole, "fold")
-    links = links.withColumns({"type": classify_document(whole), "p": free_period(whole)})
+    links = links.select("page_id", "company", "page_url", "n", "document_url", "title", F.inline_outer(F.transform(F.array(whole), _judged)).alias("looks", "type", "p"))
     sheet = F.col("type") == "PLANILHA_RESULTADOS"
     hint = F.lower(F.concat(path, F.lit(" "), F.regexp_extract("document_url", r"\?([^#]*)", 1)))
-    is_sheet = ending.isin("xlsx", "xlsm", "xls") | F.exists(F.array(*map(F.lit, SHEET_HINTS)), lambda x: hint.contains(x))
+    is_sheet = ending.isin("xlsx", "xlsm", "xls") | has_any(hint, SHEET_HINTS)
     undated = F.when(sheet & F.lit(undated_sheet_year is not None), F.struct(F.lit("HISTORICO").alias("label"), F.lit(undated_sheet_year).cast("int").alias("year")))
     links = links.withColumn("p", F.coalesce("p", undated))
-    links = links.filter(F.col("type").isNotNull() & F.col("p").isNotNull() & (F.col("p.year") >= first_year) & ~ending.isin(*ASSETS) & (~sheet | is_sheet) & F.exists(F.array(*map(F.lit, DOCUMENT_TERMS)), lambda x: looks.contains(x)))
+    links = links.filter(F.col("type").isNotNull() & F.col("p").isNotNull() & (F.col("p.year") >= first_year) & ~ending.isin(*ASSETS) & (~sheet | is_sheet) & F.col("looks"))
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.regexp_extract("document_url", r"([^/?#]*)(?:[?#].*)?$", 1))
     kept = links.select("page_id", "company", "page_url", "n", "document_url", title.alias("title"), F.col("p.label").alias("period"), F.col("p.year").alias("year"), "type")
     first = kept.withColumn("k", F.row_number().over(W.partitionBy("page_id", "document_url").orderBy("n"))).filter("k = 1")

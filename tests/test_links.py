@@ -71,3 +71,10 @@ def test_absolute_url(spark, link):
     for base in ("https://h.com/x/y/z.html?k=1", "https://h.com", "https://h.com/x/"):
         got = spark.createDataFrame([(base, link)], "b string, l string").select(absolute_url(F.col("b"), F.col("l")).alias("u")).first().u
         assert got == urldefrag(urljoin(base, link)).url
+
+
+def test_texts_are_computed_once(spark):
+    """Each link's texts are folded for looks, type and period, not again for each term and filter."""
+    pages = spark.createDataFrame([(1, BASE, PAGES[1])], "page_id long, url string, html string")
+    plan = discover_links(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") <= 3 and plan.count("try_url_decode") + plan.count("UrlCodec") <= 2
