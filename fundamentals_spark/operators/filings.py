@@ -10,11 +10,15 @@ from fundamentals_spark.functions.text import norm_text
 from fundamentals_spark.operators.asof import best_row
 
 
+def keeps_order(word: Column, mode: str) -> Column:
+    """Whether a row with this order word stays in the mode (see ``filter_order``); ``contains`` keeps whatever another mode does."""
+    t = norm_text(word, "upper")
+    return {"exact": t == "ULTIMO", "not_previous": t.contains("ULTIMO") & ~t.contains("PENULTIMO"), "contains": t.contains("ULTIMO")}[mode]
+
+
 def filter_order(df: DataFrame, column: str = "order_word", mode: str = "exact") -> DataFrame:
     """Current-exercise rows. ``exact``: the word is ULTIMO; ``not_previous``: contains it and not PENULTIMO; ``contains``: contains it, so comparatives stay."""
-    t = norm_text(F.col(column), "upper")
-    keep = {"exact": t == "ULTIMO", "not_previous": t.contains("ULTIMO") & ~t.contains("PENULTIMO"), "contains": t.contains("ULTIMO")}[mode]
-    return df.filter(keep)
+    return df.filter(keeps_order(F.col(column), mode))
 
 
 def latest_version(df: DataFrame, by: list[str], account: list[str], version: str = "version", tiebreak: tuple[str, ...] = ("ordinal",)) -> DataFrame:

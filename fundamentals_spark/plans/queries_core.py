@@ -97,10 +97,9 @@ def b12(spark, sf):
 @query("c03_exercise_order", f"""WITH {S.FILINGS}, t AS (SELECT *, trim(upper(strip_accents(order_word))) w FROM filings)
 SELECT company, count(*) FILTER (w = 'ULTIMO') AS exact, count(*) FILTER (contains(w, 'ULTIMO') AND NOT contains(w, 'PENULTIMO')) AS not_previous, count(*) FILTER (contains(w, 'ULTIMO')) AS contains_word FROM t GROUP BY 1""")
 def c03(spark, sf):
-    f = S.filings(spark, sf)
-    parts = [filings.filter_order(f, mode=m).select("company", F.lit(m).alias("m")) for m in ("exact", "not_previous", "contains")]
-    u = parts[0].union(parts[1]).union(parts[2])
-    return u.groupBy("company").agg(F.count_if(F.col("m") == "exact").alias("exact"), F.count_if(F.col("m") == "not_previous").alias("not_previous"), F.count_if(F.col("m") == "contains").alias("contains_word"))
+    keep = {m: filings.keeps_order(F.col("order_word"), m) for m in ("exact", "not_previous", "contains")}
+    n = {m: F.count_if(k).alias("contains_word" if m == "contains" else m) for m, k in keep.items()}
+    return S.filings(spark, sf).groupBy("company").agg(*n.values())
 
 
 @query("c04_latest_version", f"""WITH {S.FILINGS}, t AS (SELECT *, max(version) OVER (PARTITION BY company, ref_date) m FROM filings), r AS (SELECT *, row_number() OVER (PARTITION BY company, ref_date, statement, code ORDER BY ordinal DESC, value DESC) k FROM t WHERE version = m)
