@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fundamentals_spark.functions.text import norm_text
-from fundamentals_spark.operators.accounts import leaves_only
-from fundamentals_spark.operators.asof import best_row
+from fundamentals_spark.functions.text import ancestors, norm_text
 
 KINDS = ("receivables", "inventories", "payables")
 
@@ -46,14 +45,10 @@ def _any(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit("|".join(f"(?:{p})" for p in patterns))), F.lit(False))
 
 
-def cycle_accounts(bp: DataFrame) -> DataFrame:
-    """The counted rows: company, ref_date, extended, kind, code, description, value, current.
+def _counted(bp: DataFrame) -> DataFrame:
+    """The rows of ``cycle_accounts`` and, with a null kind, rows that count for nothing, so that no company and date is lost.
 
-    ``bp``: company, ref_date, code, description, value, ordinal (place in the document), extended (the company's sector has a long
-    cycle; null is no). Otherwise the first row with the kind's code counts, or, where no row of the date has it, the first
-    one whose folded description matches (equal places: the smaller code, then description). With it, all rows with a current or non-current code, and described ones of the
-    non-current group unless excluded, less those above another counted row. Kinds are tested as expressions on each row:
-    no join with rules. Null codes and descriptions match nothing; rows without a value count as rows and leave the value null.
+    One pass over ``bp`` and one shuffle: both rules are windows of one key, whose rows are one balance sheet's accounts of a kind.
     """
     text, code, wide = norm_text(F.col("description"), "fold"), F.col("code"), F.coalesce("extended", F.lit(False))
     tests = []
@@ -65,13 +60,26 @@ def cycle_accounts(bp: DataFrame) -> DataFrame:
         inside = F.coalesce(code.startswith(group), F.lit(False)) & ~_any(text, excluded) & _any(text, described)
         hit = F.when(wide, coded | inside).otherwise(exact | _any(text, named))
         tests.append(F.struct(F.lit(k).alias("kind"), hit.alias("hit"), exact.alias("exact")))
-    hits = bp.withColumn("extended", wide).withColumn("__k", F.explode(F.filter(F.array(*tests), lambda t: t["hit"]))).withColumns({"kind": F.col("__k.kind"), "exact": F.col("__k.exact")})
-    by = ["company", "ref_date", "kind"]
-    first = best_row(hits.filter(~F.col("extended")), by, [F.col("exact").desc(), F.col("ordinal").asc(), code.asc(), F.col("description").asc()])
-    summed = leaves_only(hits.filter("extended"), by)
+    hits = bp.withColumn("extended", wide).withColumn("__k", F.explode_outer(F.filter(F.array(*tests), lambda t: t["hit"]))).withColumns({"kind": F.col("__k.kind"), "exact": F.col("__k.exact")})
+    one = W.partitionBy("company", "ref_date", "kind", "extended")
+    place = F.row_number().over(one.orderBy(F.col("exact").desc(), F.col("ordinal").asc(), code.asc(), F.col("description").asc()))
+    above = F.flatten(F.collect_set(F.when(F.col("extended"), ancestors(code))).over(one))
+    is_leaf = ~F.coalesce(F.array_contains("__above", code), F.lit(False))
+    rows = hits.withColumns({"__place": place, "__above": above}).filter(F.when(F.col("extended"), is_leaf).otherwise(F.col("__place") == 1))
     is_current = F.coalesce(code.startswith(CURRENT[0]) | code.startswith(CURRENT[1]), F.lit(False))
-    cols = ["company", "ref_date", "extended", "kind", "code", "description", "value", is_current.alias("current")]
-    return first.select(*cols).unionByName(summed.select(*cols))
+    return rows.select("company", "ref_date", "extended", "kind", "code", "description", "value", is_current.alias("current"))
+
+
+def cycle_accounts(bp: DataFrame) -> DataFrame:
+    """The counted rows: company, ref_date, extended, kind, code, description, value, current.
+
+    ``bp``: company, ref_date, code, description, value, ordinal (place in the document), extended (the company's sector has a long
+    cycle; null is no). Otherwise the first row with the kind's code counts, or, where no row of the date has it, the first
+    one whose folded description matches (equal places: the smaller code, then description). With it, all rows with a current or non-current code, and described ones of the
+    non-current group unless excluded, less those above another counted row. Kinds are tested as expressions on each row:
+    no join with rules. Null codes and descriptions match nothing; rows without a value count as rows and leave the value null.
+    """
+    return _counted(bp).filter("kind is not null")
 
 
 def cycle_balances(bp: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
@@ -80,7 +88,7 @@ def cycle_balances(bp: DataFrame, accounts: DataFrame | None = None) -> DataFram
     A kind without a counted row is null, which ``cash_cycle`` reports as a missing balance; a part without rows is 0 beside the other.
     """
     key = ["company", "ref_date"]
-    rows = cycle_accounts(bp) if accounts is None else accounts
+    rows = _counted(bp) if accounts is None else accounts
     money = lambda c: F.sum(F.when(c, F.col("value"))).cast("decimal(38,4)")
     sums, zero = [], F.lit(0).cast("decimal(38,4)")
     for k in KINDS:
@@ -88,4 +96,5 @@ def cycle_balances(bp: DataFrame, accounts: DataFrame | None = None) -> DataFram
         total = money(of)
         part = lambda c, total=total: F.when(total.isNotNull(), F.coalesce(money(c), zero))
         sums += [total.alias(k), part(of & F.col("current")).alias(f"{k}_current"), part(of & ~F.col("current")).alias(f"{k}_noncurrent")]
-    return bp.select(*key).distinct().join(rows.groupBy(*key).agg(*sums), key, "left")
+    totals = rows.groupBy(*key).agg(*sums)
+    return totals if accounts is None else bp.select(*key).distinct().join(totals, key, "left")
