@@ -17,7 +17,7 @@ def test_order_modes_in_one_pass(spark):
     assert "Union" not in plan_of(registry.queries()["c03_exercise_order"](spark, SF))
 
 
-@pytest.mark.parametrize("name,tables", [("e12_sector_cycle", 9)])
+@pytest.mark.parametrize("name,tables", [("e14_cycle_accounts", 3), ("e12_sector_cycle", 9)])
 def test_cycle_reads_its_filings_once(spark, name, tables):
     """Three tables a pass: the accounts; for the cycle also the flows, and balances at both ends of the period."""
     assert len(re.findall(r"(?<!Local)Relation \[", plan_of(registry.queries()[name](spark, SF)))) == tables
