@@ -100,15 +100,17 @@ def select_registered_scope(df: DataFrame, registry: DataFrame, scope: str = "sc
     """Rows in the scope that the company's registry entry asks for (company, statement_scope: consolidado, individual or
     auto; null or absent: auto, which is ``select_scope``). A company without rows in its scope on a date keeps one row there, with error scope_not_found and no value."""
     wanted = registry.groupBy("company").agg(F.max(F.lower(F.trim("statement_scope"))).alias("__want"))
-    j = df.join(wanted, "company", "left").withColumns({"__con": norm_text(F.col(scope), "fold").contains("consolid"), "__ind": norm_text(F.col(scope), "fold").contains("individual")})
-    at = W.partitionBy("company", "ref_date")
-    auto = F.coalesce(~F.col("__want").isin("consolidado", "individual"), F.lit(True))
-    fits = F.coalesce(F.when(auto, F.col("__con") | ~F.coalesce(F.max("__con").over(at), F.lit(False))).when(F.col("__want") == "consolidado", F.col("__con")).otherwise(F.col("__ind")), F.lit(False))
-    j = j.withColumn("__fits", fits)
-    none = ~F.max("__fits").over(at)
-    j = j.withColumns({"__none": none, "__row": F.row_number().over(at.orderBy(*[c for c in ("code", "ordinal") if c in df.columns], scope))})
-    out = j.filter("__fits or (__none and __row = 1)").withColumn("scope_error", F.when(F.col("__none"), "scope_not_found"))
-    return out.withColumn("value", F.when(F.col("scope_error").isNull(), F.col("value"))).drop("__want", "__con", "__ind", "__fits", "__none", "__row")
+    text, want = norm_text(F.col(scope), "fold"), F.col("__want")
+    con, ind = F.coalesce(text.contains("consolid"), F.lit(False)), F.coalesce(text.contains("individual"), F.lit(False))
+    auto = F.coalesce(~want.isin("consolidado", "individual"), F.lit(True))
+    # what each date has is counted before its rows meet it, so a date's rows are nowhere sorted or held together
+    has = df.groupBy("company", "ref_date").agg(F.max(con).alias("__con"), F.max(ind).alias("__ind")).join(wanted, "company", "left")
+    dates = has.select(F.col("company").alias("__company"), F.col("ref_date").alias("__ref_date"), "__con", auto.alias("__auto"), (want == "consolidado").alias("__wants_con"), (~auto & ~F.when(want == "consolidado", F.col("__con")).otherwise(F.col("__ind"))).alias("__none"))
+    j = df.join(dates, F.col("company").eqNullSafe(F.col("__company")) & F.col("ref_date").eqNullSafe(F.col("__ref_date")))
+    fits = F.when(F.col("__auto"), con | ~F.col("__con")).when(F.col("__wants_con"), con).otherwise(ind)
+    first = best_row(j.filter("__none"), ["company", "ref_date"], [F.col(c).asc() for c in ("code", "ordinal") if c in df.columns] + [F.col(scope).asc()])
+    missing = first.withColumns({"value": F.lit(None).cast(df.schema["value"].dataType), "scope_error": F.lit("scope_not_found")})
+    return j.filter(~F.col("__none") & fits).withColumn("scope_error", F.lit(None).cast("string")).unionByName(missing).select(*df.columns, "scope_error")
 
 
 def quarter_spine(df: DataFrame, start: Column, end: Column) -> DataFrame:
