@@ -19,8 +19,9 @@ def _sales(spark: SparkSession, sf: str, place: bool = False) -> DataFrame:
     o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("d"), "o_orderstatus")
     at = [F.struct("_metadata.file_path", "_metadata.row_index").alias("place")] if place else []
     items = _t(spark, sf, "lineitem").select(*at, "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", *[F.col(x).cast("decimal(18,2)").alias(x) for x in ("l_extendedprice", "l_discount", "l_tax", "l_quantity")])
-    # o_custkey joins a small table by its key; both joins are by key, so Spark chooses broadcast or sort-merge by size
-    return items.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    # both joins are by key, so Spark chooses broadcast or sort-merge by size; orders meet their customers first, so that lines, the larger
+    # table, are shuffled once
+    return items.join(o.join(c, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 _SALES = """sales AS (SELECT CAST(c_nationkey AS INTEGER) company, CAST(o_orderdate AS DATE) d, o_orderstatus, l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus,

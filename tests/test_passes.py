@@ -32,3 +32,26 @@ def test_scope_without_window_over_all_rows(spark):
 def test_cycle_reads_its_filings_once(spark, name, tables):
     """Three tables a pass: the accounts; for the cycle also the flows, and balances at both ends of the period."""
     assert len(re.findall(r"(?<!Local)Relation \[", plan_of(registry.queries()[name](spark, SF)))) == tables
+
+
+@pytest.mark.parametrize("name", ["e14_cycle_accounts", "e12_sector_cycle", "e07_ltm"])
+def test_lines_are_shuffled_once(spark, name):
+    """To their orders, which know their companies by then; names of accounts are sent to the tasks, lines without one are dropped before."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    nodes = [(re.search("[A-Za-z]", x).start(), x) for x in plan.splitlines() if re.search("[A-Za-z]", x)]
+    scans = [i for i, (_, x) in enumerate(nodes) if "FileScan" in x and "l_orderkey" in x]
+    assert scans
+    for i in scans:
+        depth, above = nodes[i][0], []
+        for d, x in reversed(nodes[:i]):
+            if d < depth:
+                depth = d
+                above.append(x)
+        below = above[: next(k for k, x in enumerate(above) if "HashAggregate" in x)]
+        assert sum("Exchange hashpartitioning" in x for x in below) == 1, "\n".join(below)
+        first = next(k for k, x in enumerate(below) if "Exchange" in x)
+        assert "to_code" not in "".join(above) or any("Filter" in x and "1.01.01|Conta 0" in x for x in below[:first])
